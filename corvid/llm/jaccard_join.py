@@ -16,7 +16,6 @@ Candidates pass an exact bound on parity bitmaps before texts are fetched and co
 from __future__ import annotations
 
 import hashlib
-import math
 from itertools import combinations
 
 import numpy as np
@@ -137,30 +136,26 @@ def signatures(s: np.ndarray, sketch: np.ndarray, boundary: int, percent: int) -
     return np.concatenate(out)
 
 
-def _boundary(texts: DataFrame, sketch, width: int, percent: int, sample_rows: int = 2000) -> int:
-    """The largest light size: least estimated rows plus list entries scanned, by set size on a bounded sample.
+def _boundary(texts: DataFrame, sketch: np.ndarray, width: int, percent: int, sample_rows: int = 2000, sample_chars: int = 10_000) -> int:
+    """The largest light size: least estimated rows plus list entries scanned, by set size on a bounded sample (the
+    first sample_rows texts of up to sample_chars characters).
 
     Only the cost depends on it; the linked pairs are the same under any boundary."""
-
-    def run(batches):
-        floor = max(1.0, float(sketch.value.mean()))
-        for batch in batches:
-            rows = []
-            for s in text_sets(batch.column(0), width):
-                n = len(s)
-                if can_link(n, percent) and n <= 2 * LIGHT:
-                    least = least_overlap(n, percent)
-                    counts = np.sort(sketch.value[(s & np.uint64(SKETCH - 1)).astype(np.int64)] / floor)
-                    single, pair = counts[: n - least + 1], counts[: n - least + 2]
-                    m = len(pair)
-                    # a list is scanned up to its length; a pair's list is about as long as the rarer one's over the floor
-                    rows.append((n, float(len(single) + single.sum()), m * (m - 1) / 2 + float((pair[:-1] * np.arange(m - 1, 0, -1)).sum()) / m))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64()))], ["n", "heavy", "light"])
-
-    found = texts.limit(sample_rows).select("text").mapInArrow(run, "n long, heavy double, light double").collect()
+    floor = max(1.0, float(sketch.mean()))
+    sample = texts.select("text").filter(F.length("text") <= sample_chars).limit(sample_rows).collect()
+    found = []
+    for s in text_sets(pa.array([r.text for r in sample], pa.string()), width):
+        n = len(s)
+        if can_link(n, percent) and n <= 2 * LIGHT:
+            least = least_overlap(n, percent)
+            counts = np.sort(sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)] / floor)
+            single, pair = counts[: n - least + 1], counts[: n - least + 2]
+            m = len(pair)
+            # a list is scanned up to its length; a pair's list is about as long as the rarer one's over the floor
+            found.append((n, len(single) + single.sum(), m * (m - 1) / 2 + (pair[:-1] * np.arange(m - 1, 0, -1)).sum() / m))
 
     def cost(b: int) -> float:
-        return sum(r.light for r in found if r.n <= b) + sum(r.heavy for r in found if r.n > b or 100 * r.n >= percent * (b + 1))
+        return sum(light for n, _, light in found if n <= b) + sum(heavy for n, heavy, _ in found if n > b or 100 * n >= percent * (b + 1))
 
     return min((0, 4, 6, 8, 12, 16, 24, 32, 48, LIGHT), key=lambda b: (cost(b), b))
 
@@ -268,7 +263,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = spark.sparkContext.broadcast(_summed(described.filter("n < 0")))
     reps = stored(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("bits").alias("bits")), "reps")
 
-    boundary = _boundary(texts, sketch, width, percent)
+    boundary = _boundary(texts, sketch.value, width, percent)
     sigs = _signature_rows(texts, sketch, boundary, width, percent)
     shared = sigs.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("top")).filter("p.node <> top")
     met = stored(sigs.join(shared.select("sig", F.col("p.node").alias("a"), F.col("p.n").alias("n_a")), "sig").select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), "a", "n_a"), "met")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import byte_bpe, chat, embedding_dedup, jaccard_join, quality, token_count, warc
+from corvid.llm import byte_bpe, chat, embedding_dedup, jaccard_join, lm_score, packing, quality, token_count, warc
 from corvid.llm.shared import table
 
 
@@ -21,6 +21,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = r"\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
@@ -39,7 +43,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_embedding_dedup, op5_chat_formatting, op7_quality_rules, op8_warc, op9_jaccard_join)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_embedding_dedup, op4_best_fit_packing, op5_chat_formatting, op7_quality_rules, op8_warc, op9_jaccard_join, op10_lm_scoring)}
 
 ORACLE = {
     "op8_warc": """
