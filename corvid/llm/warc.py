@@ -1,9 +1,9 @@
 """Web archives: pages to WARC records and back, oversized payloads as chunk rows.
 
-An archive is a folder of plain-text WARC/1.1 files that Spark writes and reads, in whatever store the folder is. A
+An archive is a folder of gzipped WARC/1.1 files that Spark writes and reads, in whatever store the folder is. A
 payload beyond the chunk size becomes a segmented record: a first record and continuation records, each with the
 identifier of the whole and a segment number. A chunk also ends inside every occurrence of a record's first words,
-so that the separator between records never stands inside one, files can be read in splits, and reading is exact.
+so that the separator between records never stands inside one and reading, which streams, is exact.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from corvid.llm.shared import fresh_path
 
 SEPARATOR, VERSION = "\r\n\r\n", "WARC/1.1\r\n"
-CHUNK = 1 << 20
+#: Payload bytes of a chunk, and records of a file.
+CHUNK, FILE_RECORDS = 1 << 20, 20_000
 _BREAK = re.compile(rb"WARC/1\.1")
 _SPACE = uuid.UUID("6f1d3c62-6a37-4f5e-9a0e-0d5c5f6a7b11")
 
@@ -121,7 +122,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 1000, chunk_by
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
 
-    known.mapInArrow(run, "record string").write.option("lineSep", SEPARATOR).text(path)
+    known.mapInArrow(run, "record string").write.options(lineSep=SEPARATOR, compression="gzip", maxRecordsPerFile=FILE_RECORDS).text(path)
     return path
 
 

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -72,7 +73,7 @@ def test_warc_damage_is_found(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "abc" * 500)], "page_id long, url string, html string")
     path = warc.write_archive(df, str(tmp_path / "a"), chunk_bytes=400)
     part = next((tmp_path / "a").glob("part*"))
-    part.write_bytes(part.read_bytes().replace(b"abcabc", b"abcabd", 1))
+    part.write_bytes(gzip.compress(gzip.decompress(part.read_bytes()).replace(b"abcabc", b"abcabd", 1)))
     (tmp_path / "a" / f".{part.name}.crc").unlink()
     with pytest.raises(Exception, match="damaged"):
         warc.read_archive(spark, path).collect()
