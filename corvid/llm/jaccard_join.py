@@ -7,9 +7,10 @@ the inverted lists of single prefix shingles (k = 1), which hold the heavy sets
 enough to link with a heavy one. The boundary minimises estimated rows and list scans.
 
 Groups that meet under a signature are never expanded into pairs at once. Each is resolved in rounds: its member with
-the smallest hash is the pivot and the others are compared with it; linked sets join a component; a group whose
-members are in one component is done, and a pivot leaves its group. Once what remains is small, the pairs across
-components that are left are compared. So every pair that could join two components is compared, and no more.
+the smallest hash is the pivot (in later rounds, a few members are) and the others are compared with it; linked sets
+join a component; a group whose members are in one component is done, and pivots leave their groups. Once what remains
+is small, the pairs across components that are left are compared. So every pair that could join two components is
+compared, and no more.
 Candidates pass an exact bound on parity bitmaps before texts are fetched and compared.
 """
 
@@ -29,11 +30,11 @@ from corvid.llm.shared import mix, slices, stored, utf8
 from corvid.llm.shingles import shingle_hashes, word_hashes
 
 #: Counters of the rarity sketch (4 bytes each: its broadcast size), text bytes handled at once, sizes that may be light.
-SKETCH, SLICE, LIGHT = 1 << 18, 1 << 21, 64
+SKETCH, SLICE, LIGHT = 1 << 18, 1 << 18, 64
 #: Keys up to which a list of documents is broadcast (8 bytes each), beyond which it is joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Pairs that may be compared at once to end the rounds, and besides those for each document.
-PAIRS_AT_ONCE, PAIRS_A_DOCUMENT = 200_000, 4
+#: Rows of pairs that may be made at once to end the rounds, besides those for each document; pivots of a later round.
+PAIRS_AT_ONCE, PAIRS_A_DOCUMENT, PIVOTS = 100_000, 2, 8
 _TOKEN, _PAIR = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -247,6 +248,18 @@ def _linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, per
     return stored(ordered.mapInArrow(verified, "a long, b long"), "links")
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, component) of all nodes with links, after more links: only components that links join are worked on."""
+    if labels is None:
+        return connected_components(links)
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    known = stored(labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))), "known")
+    a, b = (known.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab")
+    between = links.join(a, "a").join(b, "b").filter("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    moved = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return stored(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles (distinct shingles of `width` lower-cased words) and component_id.
 
@@ -268,37 +281,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = sigs.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("top")).filter("p.node <> top")
     met = stored(sigs.join(shared.select("sig", F.col("p.node").alias("a"), F.col("p.n").alias("n_a")), "sig").select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), "a", "n_a"), "met")
 
-    n_docs = rows.count()
-    tested = None
-    links = None
-    turn = 0
+    most = PAIRS_AT_ONCE + PAIRS_A_DOCUMENT * rows.count()
     pairs = met.select("a", "b", "n_a", "n_b").filter(_compatible(percent)).distinct()
     left = met.filter("a <> b").select("sig", F.col("b").alias("node"), F.col("n_b").alias("n"))
+    labels, tested, turn, final = None, None, 0, False
     while True:
         pairs = stored(pairs, "pairs")
-        fresh = _linked(pairs, texts, reps, width, percent)
-        links = fresh if links is None else links.unionByName(fresh)
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        labels = connected_components(links)
-        if turn < 0:
+        labels = _merged(labels, _linked(pairs, texts, reps, width, percent))
+        if final:
             break
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         # what remains: signatures whose members, without past pivots, are in several components
         turn += 1
         held = left.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
-        open_sigs = held.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")).alias("p")).filter("low <> high")
-        left_rows = stored(held.join(open_sigs.select("sig", "m", "p"), "sig"), "left")
-        size = left_rows.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+        by_component = held.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"), *(F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + k)), "node", "n", "component")).alias(f"p{k}") for k in range(PIVOTS)))
+        across = (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2
+        open_sigs = by_component.groupBy("sig").agg(across.alias("across"), *(F.min(f"p{k}").alias(f"p{k}") for k in range(PIVOTS))).filter("across > 0")
+        held = stored(held.join(open_sigs.select("sig", "across", F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("pivots")), "sig"), "left")
+        size = held.groupBy("sig").agg(F.first("across").alias("across")).agg(F.coalesce(F.sum("across"), F.lit(0))).first()[0]
         if not size:
             break
-        if size <= PAIRS_AT_ONCE + PAIRS_A_DOCUMENT * n_docs:
-            x = left_rows.select("sig", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            y = left_rows.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
-            turn = -1
+        if size <= most:
+            x = held.select("sig", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+            y = held.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+            pairs = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _compatible(percent))
+            final = True
         else:
-            pairs = left_rows.filter("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("n_a"), F.col("n").alias("n_b"))
-            left = left_rows.filter("node <> p.node").select("sig", "node", "n")
-        pairs = pairs.filter(_compatible(percent)).select("a", "b", "n_a", "n_b").distinct()
+            pairs = held.select("node", "n", "component", F.explode("pivots").alias("p")).filter("component <> p.component")
+            pairs = pairs.select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("n_a"), F.col("n").alias("n_b")).filter(_compatible(percent))
+            left = held.filter(~F.exists("pivots", lambda p: p["node"] == F.col("node"))).select("sig", "node", "n")
+        pairs = pairs.select("a", "b", "n_a", "n_b").distinct()
         pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
 
     groups = reps.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
