@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import mix, stored, utf8
+from corvid.llm.shared import mix, slices, stored, utf8
 from corvid.llm.shingles import word_hashes
 
-#: Bytes of text in a block, and n-gram occurrences a bucket should have.
-BLOCK, BUCKET = 6 << 20, 2_000_000
+#: Bytes of text in a block, n-gram occurrences a bucket should have, bytes hashed at once.
+BLOCK, BUCKET, SLICE = 6 << 20, 2_000_000, 1 << 18
 #: Hashes that stand for a text's begin and end.
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 
@@ -35,8 +35,9 @@ class Grams:
 
     def __init__(self, ids: list, column, order: int, modulus: int, remainder: int):
         raw, bounds = utf8(column)
-        hashes, first = word_hashes(raw, bounds)
-        sizes = np.diff(first)
+        parts = [word_hashes(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in slices(bounds, SLICE)]
+        hashes = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
+        sizes = np.concatenate([np.diff(f) for _, f in parts]) if parts else np.zeros(0, np.int64)
         #: each text is BEGIN, its words, END
         self.start = np.concatenate([[0], np.cumsum(sizes + 2)])
         tokens = np.empty(self.start[-1], np.uint64)
@@ -72,56 +73,54 @@ class BackoffAutomaton:
     Where a state has no arc for a word, its failure arc leads, at the state's weight, to the context without its
     first word. Probabilities are (count + mass * lower) / (context count + mass), lower being the next shorter
     context's, and at the root (count + 1) / (tokens + kinds + 1); so failure weights are log10 of
-    mass / (context count + mass), and each state's probabilities sum to one."""
+    mass / (context count + mass), and each state's probabilities sum to one. The arc that a state of d words would
+    have at a place is that of the d + 1 words which end there, so arcs are found by place and depth."""
 
     def __init__(self, grams: Grams, totals: list[np.ndarray], tokens: int, kinds: int, mass: float):
         order = len(totals)
         counts = [t.astype(np.float64) for t in totals]
-        self.words = len(counts[0])
-        offset = [0, 1]
-        for c in counts[: order - 1]:
-            offset.append(offset[-1] + len(c))
-        fail, weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+        fail, weight, depth = [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(1, np.int64)]
+        log, end, self.arcs = [], [], []
+        states, arcs = 1, 0
         chance = (counts[0] + 1) / (tokens + kinds + 1)
-        keys, logs, ends = [np.arange(self.words)], [np.log10(chance)], []
-        lower_state = np.zeros(self.words, np.int64)  # the state that a gram's suffix leads to
+        state = None
         for m in range(order):
-            first, word = grams.first[m], grams.place[0][grams.first[m]]
+            first = grams.first[m]
+            seen = counts[m] > 0 if m else np.ones(len(first), bool)  # the root reads unknown words too
+            suffix = state[grams.place[m - 1][first]] if m else np.zeros(len(first), np.int64)
             if m:
                 context = grams.place[m - 1][first - 1]
-                suffix = grams.place[m - 1][first]
-                chance = (counts[m] + mass * chance[suffix]) / (counts[m - 1][context] + mass)
-                lower_state = state[suffix]
-                seen = counts[m] > 0
-                keys.append(((offset[m] + context) * self.words + word)[seen])
-                logs.append(np.log10(chance[seen]))
+                chance = (counts[m] + mass * chance[grams.place[m - 1][first]]) / (counts[m - 1][context] + mass)
+            state = suffix
             if m < order - 1:
                 known = counts[m] > 0
-                state = np.where(known, offset[m + 1] + np.arange(len(first)), lower_state)
-                fail.append(lower_state if m else np.zeros(len(first), np.int64))
-                weight.append(np.log10(mass / (counts[m] + mass)))
-            else:
-                state = lower_state if m else np.zeros(self.words, np.int64)
-            ends.append(state if not m else state[seen])
-        begin = grams.place[0][grams.start[0]]
-        self.begin = int(ends[0][begin])
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys)))))
-        self.log, self.end = np.concatenate(logs).tolist(), np.concatenate(ends).tolist()
-        self.fail, self.weight = np.concatenate(fail).tolist(), np.concatenate(weight).tolist()
-
-    def score(self, words: list[int]) -> float:
-        """log10 probability of a text's words, its end among them: one traversal from the begin state."""
-        arcs, log, end, fail, weight, n = self.arcs, self.log, self.end, self.fail, self.weight, self.words
+                state = np.where(known, states + np.cumsum(known) - 1, suffix)
+                fail.append(suffix[known])
+                weight.append(np.log10(mass / (counts[m][known] + mass)))
+                depth.append(np.full(known.sum(), m + 1))
+                states += int(known.sum())
+            number = np.append(np.where(seen, arcs + np.cumsum(seen) - 1, -1), -1)
+            self.arcs.append(number[grams.place[m]])
+            arcs += int(seen.sum())
+            log.append(np.log10(chance[seen]))
+            end.append(state[seen])
+            if m == 0:
+                self.begin = int(state[grams.place[0][grams.start[0]]])
+        self.log, self.end = np.concatenate(log).tolist(), np.concatenate(end).tolist()
+        self.fail, self.weight, self.depth = (np.concatenate(x).tolist() for x in (fail, weight, depth))
+
+    def score(self, start: int, end: int) -> float:
+        """log10 probability of the words at the places start..end: one traversal from the begin state."""
+        log, to, fail, weight, depth = self.log, self.end, self.fail, self.weight, self.depth
         state, total = self.begin, 0.0
-        find = arcs.get
-        for w in words:
-            arc = find(state * n + w)
-            while arc is None:
+        for arcs in zip(*(a[start:end].tolist() for a in self.arcs)):
+            arc = arcs[depth[state]]
+            while arc < 0:
                 total += weight[state]
                 state = fail[state]
-                arc = find(state * n + w)
+                arc = arcs[depth[state]]
             total += log[arc]
-            state = end[arc]
+            state = to[arc]
         return total
 
 
@@ -243,7 +242,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n.append(b - a)
                 k.append(int(known[a:b].sum()))
                 base.append(float(plus[a:b].sum()) - (b - a) * lows)
-                score.append(automaton.score(grams.place[0][a:b].tolist()))
+                score.append(automaton.score(a, b))
             out.append(pa.table([ids, pa.array(grams.held_out), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([n_train] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=names))
         if not out:
             return pa.table([pa.array([], t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
