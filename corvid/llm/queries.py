@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvid.llm import byte_bpe, chat, embedding_dedup, jaccard_join, lm_score, packing, quality, token_count, warc
+from corvid.llm import byte_bpe, chat, embedding_dedup, jaccard_join, line_dedup, lm_score, packing, quality, token_count, warc
 from corvid.llm.shared import table
 
 
@@ -31,6 +32,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those removed, what is left in characters and as a digest, and whether nothing is."""
+    found = line_dedup.without_later_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"), "emptied")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -47,7 +54,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_embedding_dedup, op4_best_fit_packing, op5_chat_formatting, op7_quality_rules, op8_warc, op9_jaccard_join, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_embedding_dedup, op4_best_fit_packing, op5_chat_formatting, op6_line_dedup, op7_quality_rules, op8_warc, op9_jaccard_join, op10_lm_scoring)}
 
 ORACLE = {
     "op8_warc": """
