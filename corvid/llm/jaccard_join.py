@@ -7,10 +7,11 @@ the inverted lists of single prefix shingles (k = 1), which hold the heavy sets
 enough to link with a heavy one. The boundary minimises estimated rows and list scans.
 
 Groups that meet under a signature are never expanded into pairs at once. Each is resolved in rounds: its member with
-the smallest hash is the pivot (in later rounds, a few members are) and the others are compared with it; linked sets
-join a component; a group whose members are in one component is done, and pivots leave their groups. Once what remains
-is small, the pairs across components that are left are compared. So every pair that could join two components is
-compared, and no more.
+the smallest hash is the pivot and the others are compared with it; linked sets join a component, and a group whose
+members are in one component is done. The pivot leaves its group, and so do the members linked with it: as Jaccard
+distance is a metric, they link with none that is more than twice the threshold's distance from the pivot, and with the
+few between both bounds they are compared first. Once what remains is small, the pairs across components that are left
+are compared. So no pair that could join two components goes unseen.
 Candidates pass an exact bound on parity bitmaps before texts are fetched and compared.
 """
 
@@ -33,8 +34,8 @@ from corvid.llm.shingles import shingle_hashes, word_hashes
 SKETCH, SLICE, LIGHT = 1 << 18, 1 << 18, 64
 #: Keys up to which a list of documents is broadcast (8 bytes each), beyond which it is joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Rows of pairs that may be made at once to end the rounds, besides those for each document; pivots of a later round.
-PAIRS_AT_ONCE, PAIRS_A_DOCUMENT, PIVOTS = 100_000, 2, 8
+#: Rows of pairs that may be made at once to end the rounds, besides those for each document.
+PAIRS_AT_ONCE, PAIRS_A_DOCUMENT = 100_000, 2
 _TOKEN, _PAIR = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -190,23 +191,25 @@ def _signature_rows(texts: DataFrame, sketch, boundary: int, width: int, percent
     return texts.select("text").mapInArrow(run, "sig long, node long, n int")
 
 
-def _compatible(percent: int):
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
+def _judged(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of pairs (a, b, n_a, n_b): those not far apart (a, b), and those linked, both stored.
 
-
-def _linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) whose sets are similar enough, stored: first the bitmap bound, then whole texts."""
+    Bitmaps bound the similarity from above; pairs that may link by that are compared by their whole texts. Far is a
+    distance of more than twice that of linked sets."""
     bits = reps.select("node", "bits")
     close = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
 
     def near(batches):
         for batch in batches:
             a, b, n_a, n_b, x, y = (c.to_pylist() for c in batch.columns)
-            # sets that differ in d shingles have a similarity of (n_a + n_b - d) / (n_a + n_b + d) at most
-            keep = [(p + q - d) * 100 >= percent * (p + q + d) for p, q, d in zip(n_a, n_b, map(differing_bits, x, y))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            # sets that differ in d shingles or more have a similarity of (n_a + n_b - d) / (n_a + n_b + d) at most
+            bound = [(p + q - d, p + q + d) for p, q, d in zip(n_a, n_b, (max(abs(p - q), differing_bits(u, v)) for p, q, u, v in zip(n_a, n_b, x, y)))]
+            keep = pa.array([100 * i >= (2 * percent - 100) * u for i, u in bound], pa.bool_())
+            may = pa.array([100 * i >= percent * u for i, u in bound], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), may], ["a", "b", "may"]).filter(keep)
 
-    close = stored(close.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(near, "a long, b long"), "close")
+    beside = stored(close.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(near, "a long, b long, may boolean"), "close")
+    close = beside.filter("may").select("a", "b")
 
     wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
     wanted = stored(wanted.join(reps.select("node", "rep"), "node"), "wanted")
@@ -245,7 +248,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, per
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
 
     ordered = members.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return stored(ordered.mapInArrow(verified, "a long, b long"), "links")
+    return beside.select("a", "b"), stored(ordered.mapInArrow(verified, "a long, b long"), "links")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -282,36 +285,59 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = stored(sigs.join(shared.select("sig", F.col("p.node").alias("a"), F.col("p.n").alias("n_a")), "sig").select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), "a", "n_a"), "met")
 
     most = PAIRS_AT_ONCE + PAIRS_A_DOCUMENT * rows.count()
-    pairs = met.select("a", "b", "n_a", "n_b").filter(_compatible(percent)).distinct()
-    left = met.filter("a <> b").select("sig", F.col("b").alias("node"), F.col("n_b").alias("n"))
-    labels, tested, turn, final = None, None, 0, False
+    labels, tested, beside, links = None, None, None, None
+
+    def compare(pairs: DataFrame) -> None:
+        """Compare pairs, a being the smaller node, that haven't been, and bring the components up to date."""
+        nonlocal labels, tested, beside, links
+        pairs = pairs.select("a", "b", "n_a", "n_b").distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        near, linked = _judged(pairs, texts, reps, width, percent)
+        also = lambda old, new: new if old is None else old.unionByName(new)
+        tested, beside, links = also(tested, pairs.select("a", "b")), also(beside, near), also(links, linked)
+        labels = _merged(labels, linked)
+
+    def in_components(members: DataFrame) -> tuple[DataFrame, int]:
+        """Members (sig, node, n, ...) with their component, of signatures that hold several; and the pairs across them."""
+        held = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        counts = held.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"))
+        across = counts.groupBy("sig").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("across")).filter("across > 0")
+        held = stored(held.join(across, "sig"), "open")
+        size = held.groupBy("sig").agg(F.first("across").alias("across")).agg(F.coalesce(F.sum("across"), F.lit(0.0))).first()[0]
+        return held.drop("across"), size
+
+    def crossing(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs across components of members of x and y that share a signature."""
+        x = x.select("sig", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
+        y = y.select("sig", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
+        both = x.join(y, "sig").filter((F.col("c_x") != F.col("c_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
+        first = F.col("x") < F.col("y")
+        pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+        return both.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("n_x", "n_y").alias("n_a"), pick("n_y", "n_x").alias("n_b"))
+
+    held = met.select("sig", F.col("b").alias("node"), F.col("n_b").alias("n"), "a", "n_a")
     while True:
-        pairs = stored(pairs, "pairs")
-        labels = _merged(labels, _linked(pairs, texts, reps, width, percent))
-        if final:
-            break
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        # what remains: signatures whose members, without past pivots, are in several components
-        turn += 1
-        held = left.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
-        by_component = held.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"), *(F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + k)), "node", "n", "component")).alias(f"p{k}") for k in range(PIVOTS)))
-        across = (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2
-        open_sigs = by_component.groupBy("sig").agg(across.alias("across"), *(F.min(f"p{k}").alias(f"p{k}") for k in range(PIVOTS))).filter("across > 0")
-        held = stored(held.join(open_sigs.select("sig", "across", F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("pivots")), "sig"), "left")
-        size = held.groupBy("sig").agg(F.first("across").alias("across")).agg(F.coalesce(F.sum("across"), F.lit(0))).first()[0]
-        if not size:
-            break
+        held = held.filter("node <> a")
+        compare(held.select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b")))
+        held, size = in_components(held)
+        if size > most:
+            # members linked with the pivot need to meet only those that are neither linked with it nor far from it
+            judged = beside.join(links.withColumn("linked", F.lit(2)), ["a", "b"], "left").select("a", F.col("b").alias("node"), F.coalesce("linked", F.lit(1)).alias("class"))
+            held = stored(held.join(judged, ["a", "node"], "left").withColumn("class", F.coalesce("class", F.lit(0))), "classes")
+            between = held.filter("class = 1").groupBy("sig").agg(F.count(F.lit(1)).alias("between"))
+            stars = held.filter("class = 2").groupBy("sig").agg(F.count(F.lit(1)).alias("m")).join(between, "sig")
+            if (stars.agg(F.sum(F.col("m") * F.col("between"))).first()[0] or 0) <= most:
+                compare(crossing(held.filter("class = 2"), held.filter("class = 1")))
+                held = held.filter("class <> 2")
+            else:
+                held = held.join(between, "sig", "left").filter("class <> 2 OR between IS NOT NULL")
+            held, size = in_components(held.select("sig", "node", "n"))
         if size <= most:
-            x = held.select("sig", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            y = held.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _compatible(percent))
-            final = True
-        else:
-            pairs = held.select("node", "n", "component", F.explode("pivots").alias("p")).filter("component <> p.component")
-            pairs = pairs.select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("n_a"), F.col("n").alias("n_b")).filter(_compatible(percent))
-            left = held.filter(~F.exists("pivots", lambda p: p["node"] == F.col("node"))).select("sig", "node", "n")
-        pairs = pairs.select("a", "b", "n_a", "n_b").distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+            if size:
+                compare(crossing(held, held))
+            break
+        pivot = held.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("p"))
+        held = held.join(pivot, "sig").select("sig", "node", "n", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"))
 
     groups = reps.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
