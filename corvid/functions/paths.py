@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,8 +64,6 @@ def balanced_template(raw: str | None) -> str | None:
 
 
 def _slim(raw: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def convert(paths: pd.Series) -> pd.Series:
         return paths.map(balanced_template)
