@@ -58,7 +58,7 @@ _RAW = {
     "symfony": ("/{id?1}", [("\\{([^{}:?]+)[^}]*\\}", "{\\1}")]),
     "aspnet": ("/{id:int?}", [("\\{\\**([A-Za-z0-9_]+)(?::[^}?]+)?\\??\\}", "{\\1}")]),
     "nextjs": ("/[id]", [("\\[([^\\]/]+)\\]", "{\\1}")]),
-    "slim": ("/{id:[0-9]{1,9}}", [("\\{id:[^/]*", "{id}")]),
+    "slim": ("/{id:[0-9]{1,9}}", [("\\{id:\\[0-9\\]\\{1,9\\}\\}", "{id}")]),
 }
 
 
@@ -404,7 +404,7 @@ def type_agreement(table) -> DataFrame:
 
 
 @query("""SELECT o_orderpriority, CASE WHEN len(a) = 1 THEN '{"const":"' || a[1].s || '"}' ELSE '{"anyOf":[' || array_to_string(list_transform(a, lambda x: '{"const":"' || x.s || '"}'), ',') || ']}' END AS schema
-    FROM (SELECT o_orderpriority, list({'at': at, 's': s} ORDER BY at) AS a FROM (SELECT o_orderpriority, o_orderstatus AS s, min(o_orderkey) AS at FROM orders GROUP BY 1, 2) GROUP BY 1)""")
+    FROM (SELECT o_orderpriority, list({'k': k, 's': s} ORDER BY k) AS a FROM (SELECT o_orderpriority, o_orderstatus AS s, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) GROUP BY 1)""")
 def variant_union(table) -> DataFrame:
     orders = table("orders").select("o_orderpriority", F.concat(F.lit('{"const":"'), "o_orderstatus", F.lit('"}')).alias("schema"), "o_orderkey")
     return variants.union_schemas(orders, ["o_orderpriority"], "schema", "o_orderkey")
