@@ -6,12 +6,13 @@ enumerate the 2-subsets of that prefix (k = 2) and meet under equal subsets; lar
 the inverted lists of single prefix shingles (k = 1), which hold the heavy sets and those light ones that are large
 enough to link with a heavy one. The boundary minimises estimated rows and list scans.
 
-Groups that meet under a signature are never expanded into pairs at once. Each is resolved in rounds: its member with
-the smallest hash is the pivot and the others are compared with it; linked sets join a component, and a group whose
-members are in one component is done. The pivot leaves its group, and so do the members linked with it: as Jaccard
-distance is a metric, they link with none that is more than twice the threshold's distance from the pivot, and with the
-few between both bounds they are compared first. Once what remains is small, the pairs across components that are left
-are compared. So no pair that could join two components goes unseen.
+Groups that meet under a signature are never expanded into pairs. They are resolved in rounds: the member with the
+smallest hash is the group's pivot and the others are compared with it. Jaccard distance is a metric, so with d the
+largest distance of linked sets, a set within 2d of the pivot links with none beyond 3d of it. All members within 3d of
+one pivot, over all signatures, are one block to be settled: those linked with the pivot are one component already, the
+others are compared with it and among themselves in memory, in pieces of a fixed size. Then the pivot and the members
+within 2d leave their groups, and a group whose members are in one component is done. Once little is left, its pairs
+across components are compared. So no pair that could join two components goes unseen.
 Candidates pass an exact bound on parity bitmaps before texts are fetched and compared.
 """
 
@@ -34,8 +35,8 @@ from corvid.llm.shingles import shingle_hashes, word_hashes
 SKETCH, SLICE, LIGHT = 1 << 18, 1 << 18, 64
 #: Keys up to which a list of documents is broadcast (8 bytes each), beyond which it is joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Rows of pairs that may be made at once to end the rounds, besides those for each document.
-PAIRS_AT_ONCE, PAIRS_A_DOCUMENT = 100_000, 2
+#: Rows of pairs that may be made at once to end the rounds, besides those for each document; sets of a piece of a block.
+PAIRS_AT_ONCE, PAIRS_A_DOCUMENT, PIECE = 100_000, 10, 2000
 _TOKEN, _PAIR = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -191,28 +192,26 @@ def _signature_rows(texts: DataFrame, sketch, boundary: int, width: int, percent
     return texts.select("text").mapInArrow(run, "sig long, node long, n int")
 
 
-def _judged(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of pairs (a, b, n_a, n_b): those not far apart (a, b), and those linked, both stored.
-
-    Bitmaps bound the similarity from above; pairs that may link by that are compared by their whole texts. Far is a
-    distance of more than twice that of linked sets."""
+def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, near) of the pairs (a, b, n_a, n_b) that may be within three times the distance of linked sets; near: within
+    twice. Bitmaps bound the similarity from above."""
     bits = reps.select("node", "bits")
-    close = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
+    both = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
 
-    def near(batches):
+    def run(batches):
         for batch in batches:
-            a, b, n_a, n_b, x, y = (c.to_pylist() for c in batch.columns)
+            _, _, n_a, n_b, x, y = (c.to_pylist() for c in batch.columns)
             # sets that differ in d shingles or more have a similarity of (n_a + n_b - d) / (n_a + n_b + d) at most
             bound = [(p + q - d, p + q + d) for p, q, d in zip(n_a, n_b, (max(abs(p - q), differing_bits(u, v)) for p, q, u, v in zip(n_a, n_b, x, y)))]
-            keep = pa.array([100 * i >= (2 * percent - 100) * u for i, u in bound], pa.bool_())
-            may = pa.array([100 * i >= percent * u for i, u in bound], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), may], ["a", "b", "may"]).filter(keep)
+            keep, near = (pa.array([100 * i >= (100 - k * (100 - percent)) * u for i, u in bound], pa.bool_()) for k in (3, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), near], ["a", "b", "near"]).filter(keep)
+
+    return stored(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, near boolean"), "bounded")
 
-    beside = stored(close.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(near, "a long, b long, may boolean"), "close")
-    close = beside.filter("may").select("a", "b")
 
-    wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(wanted.join(reps.select("node", "rep"), "node"), "wanted")
+def _packed_texts(wanted: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(node, packed): a compressed text of each node in `wanted`, stored."""
+    wanted = stored(wanted.select("node").distinct().join(reps.select("node", "rep"), "node"), "wanted")
     listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     found = texts.join(listed, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
 
@@ -226,14 +225,20 @@ def _judged(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, per
                     out.append(press.compress(batch.column(1)[i].as_buffer()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], ["node", "packed"])
 
-    found = stored(found.mapInArrow(packed, "node long, packed binary").dropDuplicates(["node"]), "packed", "uncompressed")
-    salts = close.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("long").alias("salts"))
-    members = close.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
+    return stored(found.mapInArrow(packed, "node long, packed binary").dropDuplicates(["node"]), "packed", "uncompressed")
+
+
+def _compared(pairs: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, linked) of the pairs (a, b) that are within twice the distance of linked sets, by their whole texts; stored.
+
+    The members of a pivot a are dealt out in salted parts, each with the pivot's text before theirs."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("long").alias("salts"))
+    members = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
     members = members.join(found.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "packed")
     pivots = salts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).join(found.withColumnRenamed("node", "a"), "a")
     pivots = pivots.select("a", "salt", F.lit(None).cast("long").alias("b"), "packed")
 
-    def verified(batches):
+    def run(batches):
         press, now, pivot = zstandard.ZstdDecompressor(), None, None
         for batch in batches:
             out = []
@@ -242,13 +247,128 @@ def _judged(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, per
                 if b is None:
                     now, pivot = (a, salt), s
                 elif now == (a, salt):
-                    both = len(np.intersect1d(pivot, s, assume_unique=True))
-                    if 100 * both >= percent * (len(pivot) + len(s) - both):
-                        out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
+                    both = _shared(pivot, s)
+                    either = len(pivot) + len(s) - both
+                    if 100 * both >= (2 * percent - 100) * either:
+                        out.append((a, b, 100 * both >= percent * either))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "linked"])
 
     ordered = members.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return beside.select("a", "b"), stored(ordered.mapInArrow(verified, "a long, b long"), "links")
+    return stored(ordered.mapInArrow(run, "a long, b long, linked boolean"), "links")
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted arrays of distinct values share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum()) if len(y) else 0
+
+
+class _Piece:
+    """Sets held in memory, with their bitmaps folded to each size asked for, and local component labels."""
+
+    def __init__(self, percent: int):
+        self.percent, self.nodes, self.sets, self.bits, self.label = percent, [], [], [], []
+        self.folded: dict[int, np.ndarray] = {}
+        self.sizes = np.zeros(0, np.int64)
+
+    def add(self, node: int, s: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.sets.append(s)
+        self.bits.append(np.frombuffer(parity_bits(s), np.uint64))
+        self.label.append(len(self.label))
+        self.folded.clear()
+
+    def may_link(self, s: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """Of the rows `among`, those whose bitmaps don't rule out a link with s."""
+        own = np.frombuffer(parity_bits(s), np.uint64)
+        width = min(len(own), min(map(len, self.bits)))
+        if width not in self.folded:
+            self.folded[width] = np.stack([np.bitwise_xor.reduce(b.reshape(-1, width), axis=0) for b in self.bits])
+            self.sizes = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+        d = np.bitwise_count(self.folded[width][among] ^ np.bitwise_xor.reduce(own.reshape(-1, width), axis=0)).sum(axis=1).astype(np.int64)
+        total = self.sizes[among] + len(s)
+        d = np.maximum(d, np.abs(self.sizes[among] - len(s)))
+        return among[100 * (total - d) >= self.percent * (total + d)]
+
+    def linked(self, row: int, s: np.ndarray) -> bool:
+        both = _shared(self.sets[row], s)
+        return 100 * both >= self.percent * (len(self.sets[row]) + len(s) - both)
+
+    def links(self, node: int, s: np.ndarray, start: int, own: int | None = None) -> list[tuple[int, int]]:
+        """Links of a set with the rows from `start` on, one for each component it joins; own: its row, if it has one."""
+        label = np.array(self.label)
+        among = np.flatnonzero(label != (label[own] if own is not None else -1))
+        out, joined = [], [] if own is None else [label[own]]
+        for row in self.may_link(s, among[among >= start]):
+            if self.label[row] not in joined and self.linked(row, s):
+                out.append((node, self.nodes[row]))
+                joined.append(self.label[row])
+        if len(joined) > 1:
+            least = min(joined)
+            self.label = [least if x in joined else x for x in self.label]
+        return out
+
+
+def _settled(bounded: DataFrame, compared: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) links within each pivot's block, besides those with the pivot itself; stored.
+
+    Members linked with the pivot (stars) are one component; the others (strays) are compared with stars and among
+    themselves. Both are dealt out in pieces of PIECE sets, a pair of pieces to a task's group; blocks without strays
+    aren't looked at. A group returns one link for each component that a set joins."""
+    linked = compared.filter("linked").select("a", "b", F.lit(True).alias("star"))
+    member = bounded.select("a", "b").join(linked, ["a", "b"], "left").select("a", "b", F.coalesce("star", F.lit(False)).alias("star"))
+    counts = member.groupBy("a").agg(F.count_if(~F.col("star")).alias("strays"), (F.count_if("star") + 1).alias("stars")).filter("strays > 0")
+    pieces = counts.select("a", F.ceil(F.col("strays") / PIECE).cast("int").alias("p"), F.ceil(F.col("stars") / PIECE).cast("int").alias("q"))
+    member = member.join(pieces, "a").unionByName(pieces.select("a", F.col("a").alias("b"), F.lit(True).alias("star"), "p", "q"))
+    own = F.pmod(F.xxhash64("b"), F.when(F.col("star"), F.col("q")).otherwise(F.col("p"))).cast("int")
+    member = member.withColumn("own", own)
+    spot = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), role.cast("int").alias("role"))
+    all_strays, all_pieces = F.sequence(F.lit(0), F.col("p") - 1), F.sequence(F.lit(0), F.col("p") + F.col("q") - 1)
+    held = F.transform(F.filter(all_pieces, lambda j: j >= F.col("own")), lambda j: spot(F.col("own"), j, F.lit(0)))
+    after = F.transform(F.filter(all_strays, lambda i: i < F.col("own")), lambda i: spot(i, F.col("own"), F.lit(1)))
+    star = F.transform(all_strays, lambda i: spot(i, F.col("p") + F.col("own"), F.lit(1)))
+    dealt = member.withColumn("s", F.explode(F.when(F.col("star"), star).otherwise(F.concat(held, after)))).select("a", "s.i", "s.j", "s.role", "b", "star")
+    dealt = dealt.join(found.withColumnRenamed("node", "b"), "b").select("a", "i", "j", "role", "b", "star", "packed")
+
+    def run(batches):
+        press, now, piece, settled = zstandard.ZstdDecompressor(), None, None, False
+        for batch in batches:
+            out = []
+            texts_here = pa.array([press.decompress(v.as_py()) for v in batch.column(6)], pa.binary())
+            for a, i, j, role, b, is_star, s in zip(*(batch.column(k).to_pylist() for k in range(6)), text_sets(texts_here, width)):
+                if (a, i, j) != now:
+                    if piece is not None and not settled and now[1] == now[2]:
+                        out += _within(piece)
+                    now, piece, settled = (a, i, j), _Piece(percent), False
+                if role == 0:
+                    piece.add(b, s)
+                    continue
+                if not piece.nodes:
+                    continue
+                settled = True
+                if is_star:  # stars are one component: a stray needs one link to it
+                    rest = np.flatnonzero(np.array(piece.label) != -1)
+                    for row in piece.may_link(s, rest) if len(rest) else ():
+                        if piece.linked(row, s):
+                            out.append((b, piece.nodes[row]))
+                            piece.label[row] = -1
+                else:
+                    out += piece.links(b, s, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
+        if piece is not None and not settled and now[1] == now[2]:
+            out = _within(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
+
+    ordered = dealt.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "role")
+    return stored(ordered.mapInArrow(run, "a long, b long"), "settled")
+
+
+def _within(piece: _Piece) -> list[tuple[int, int]]:
+    """Links among the sets of a piece, one for each component that a set joins."""
+    return [x for row in range(len(piece.nodes) - 1) for x in piece.links(piece.nodes[row], piece.sets[row], row + 1, row)]
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -285,20 +405,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = stored(sigs.join(shared.select("sig", F.col("p.node").alias("a"), F.col("p.n").alias("n_a")), "sig").select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), "a", "n_a"), "met")
 
     most = PAIRS_AT_ONCE + PAIRS_A_DOCUMENT * rows.count()
-    labels, tested, beside, links = None, None, None, None
-
-    def compare(pairs: DataFrame) -> None:
-        """Compare pairs, a being the smaller node, that haven't been, and bring the components up to date."""
-        nonlocal labels, tested, beside, links
-        pairs = pairs.select("a", "b", "n_a", "n_b").distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        near, linked = _judged(pairs, texts, reps, width, percent)
-        also = lambda old, new: new if old is None else old.unionByName(new)
-        tested, beside, links = also(tested, pairs.select("a", "b")), also(beside, near), also(links, linked)
-        labels = _merged(labels, linked)
+    labels = None
 
     def in_components(members: DataFrame) -> tuple[DataFrame, int]:
-        """Members (sig, node, n, ...) with their component, of signatures that hold several; and the pairs across them."""
+        """Members (sig, node, n) with their component, of signatures that hold several; and the pairs across them."""
         held = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         counts = held.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"))
         across = counts.groupBy("sig").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("across")).filter("across > 0")
@@ -306,38 +416,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         size = held.groupBy("sig").agg(F.first("across").alias("across")).agg(F.coalesce(F.sum("across"), F.lit(0.0))).first()[0]
         return held.drop("across"), size
 
-    def crossing(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Pairs across components of members of x and y that share a signature."""
-        x = x.select("sig", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-        y = y.select("sig", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-        both = x.join(y, "sig").filter((F.col("c_x") != F.col("c_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
-        first = F.col("x") < F.col("y")
-        pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
-        return both.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("n_x", "n_y").alias("n_a"), pick("n_y", "n_x").alias("n_b"))
+    def crossing(members: DataFrame) -> DataFrame:
+        """The pairs (a, b, n_a, n_b) across components that share a signature and are of sizes that may link."""
+        x = members.select("sig", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+        y = members.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+        both = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+        return both.select("a", "b", "n_a", "n_b").distinct()
 
-    held = met.select("sig", F.col("b").alias("node"), F.col("n_b").alias("n"), "a", "n_a")
+    ends = lambda df: df.select(F.col("a").alias("node")).unionByName(df.select(F.col("b").alias("node")))
+    held = met.select("sig", F.col("b").alias("node"), F.col("n_b").alias("n"), "a", "n_a").filter("b <> a")
     while True:
-        held = held.filter("node <> a")
-        compare(held.select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b")))
-        held, size = in_components(held)
-        if size > most:
-            # members linked with the pivot need to meet only those that are neither linked with it nor far from it
-            judged = beside.join(links.withColumn("linked", F.lit(2)), ["a", "b"], "left").select("a", F.col("b").alias("node"), F.coalesce("linked", F.lit(1)).alias("class"))
-            held = stored(held.join(judged, ["a", "node"], "left").withColumn("class", F.coalesce("class", F.lit(0))), "classes")
-            between = held.filter("class = 1").groupBy("sig").agg(F.count(F.lit(1)).alias("between"))
-            stars = held.filter("class = 2").groupBy("sig").agg(F.count(F.lit(1)).alias("m")).join(between, "sig")
-            if (stars.agg(F.sum(F.col("m") * F.col("between"))).first()[0] or 0) <= most:
-                compare(crossing(held.filter("class = 2"), held.filter("class = 1")))
-                held = held.filter("class <> 2")
-            else:
-                held = held.join(between, "sig", "left").filter("class <> 2 OR between IS NOT NULL")
-            held, size = in_components(held.select("sig", "node", "n"))
+        pairs = held.select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
+        bounded = _bounded(pairs, reps, percent)
+        found = _packed_texts(ends(bounded), texts, reps, width)
+        compared = _compared(bounded.filter("near").select("a", "b"), found, width, percent)
+        labels = _merged(labels, compared.filter("linked").select("a", "b").unionByName(_settled(bounded, compared, found, width, percent)))
+        held = held.join(compared.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti")
+        held, size = in_components(held.select("sig", "node", "n"))
         if size <= most:
-            if size:
-                compare(crossing(held, held))
             break
         pivot = held.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("p"))
-        held = held.join(pivot, "sig").select("sig", "node", "n", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"))
+        held = held.join(pivot, "sig").select("sig", "node", "n", F.col("p.node").alias("a"), F.col("p.n").alias("n_a")).filter("node <> a")
+    if size:
+        bounded = _bounded(crossing(held), reps, percent).filter("near")
+        compared = _compared(bounded.select("a", "b"), _packed_texts(ends(bounded), texts, reps, width), width, percent)
+        labels = _merged(labels, compared.filter("linked").select("a", "b"))
 
     groups = reps.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = groups.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -74,6 +74,7 @@ def test_jaccard_rounds_settle_large_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", 10)
     monkeypatch.setattr(jaccard_join, "PAIRS_A_DOCUMENT", 0)
+    monkeypatch.setattr(jaccard_join, "PIECE", 7)
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
     assert [got[i] for i in range(len(texts))] == brute_jaccard(texts)[1]
 
