@@ -91,7 +91,7 @@ def gate_table(candidates: DataFrame, components: DataFrame | None = None, colum
 
     if components is None:
         components = candidates.sparkSession.createDataFrame([], "project string, name string, schema string")
-    return candidates.groupBy("project").cogroup(components.groupBy("project")).applyInArrow(run, candidates.schema)
+    return candidates.groupBy("project").cogroup(components.select(F.col("project").alias("owner"), "name", "schema").groupBy("owner")).applyInArrow(run, candidates.schema)
 
 
 def graded(confidence: Column, gaps: Column) -> Column:

@@ -38,7 +38,7 @@ STYLES = {
     "koa": Style("hono", r"\bnew\s+Koa\b", r"\bnew\s+(?:Koa)?Router\b", ("use",), VERBS, apps_only=False),
     "hono": Style("hono", r"\bnew\s+(?:OpenAPI)?Hono\b", r"\bnew\s+(?:OpenAPI)?Hono\b", ("route",), VERBS, apps_only=False),
     "elysia": Style("hono", r"\bnew\s+Elysia\b", r"\bnew\s+Elysia\b", ("use", "group"), VERBS, apps_only=False),
-    "fastify": Style("hono", r"\b[Ff]astify\s*\(", r"\b[Ff]astify\s*\(", ("register",), VERBS, best=True),
+    "fastify": Style("hono", r"\b[Ff]astify\s*\(|require\(\s*['\"]fastify['\"]\s*\)\s*\(", r"\b[Ff]astify\s*\(", ("register",), VERBS, best=True),
 }
 
 
@@ -190,6 +190,7 @@ def routers(framework: str):
                     instance = m[2] or m[4]
                     if re.search(rf"\b{instance}\s*\.\s*(?:get|post|put|patch|delete|route|register)\s*\(", text[m.end() :]):
                         made.setdefault((path, instance), {"app": False, "prefix": "", "line": line_at(text, m.start()), "plugin": m[1] or m[3] or "default"})
+        for path, text in modules.texts.items():  # only now are all routers known
             for c in calls(text):
                 owner = (path, c.receiver.split(".")[0].removesuffix("()"))
                 if owner not in made and framework == "elysia" and not c.receiver and c.name in VERBS:

@@ -284,11 +284,11 @@ def aspnet(files: Mapping[str, str]) -> Found:
 
     def candidates() -> Iterator[dict]:
         for path, text in texts.items():
-            for c in re.finditer(r"((?:\[[^\]]*\]\s*)*)(?:public\s+|sealed\s+|abstract\s+|partial\s+)*class\s+(\w+)\s*(?:\([^)]*\))?\s*:[^{]*Controller[^{]*\{", text):
+            for c in re.finditer(r"((?:\[(?:[^\[\]]|\[[^\]]*\])*\]\s*)*)(?:public\s+|sealed\s+|abstract\s+|partial\s+)*class\s+(\w+)\s*(?:\([^)]*\))?\s*:[^{]*Controller[^{]*\{", text):
                 base = next((m[1] for m in re.finditer(r'\[Route\(\s*"([^"]*)"', c[1])), "")
                 token = re.sub(r"Controller$", "", c[2])
                 end = closing(text, c.end() - 1)
-                for m in re.finditer(r"((?:\[[^\]]*\]\s*)+)public\s+(?:async\s+|virtual\s+|override\s+)*([\w<>\[\]?,. ]+?)\s+(\w+)\s*\(", text[c.end() : end]):
+                for m in re.finditer(r"((?:\[(?:[^\[\]]|\[[^\]]*\])*\]\s*)+)public\s+(?:async\s+|virtual\s+|override\s+)*([\w<>\[\]?,. ]+?)\s+(\w+)\s*\(", text[c.end() : end]):
                     at = c.end() + m.start()
                     opened = c.end() + m.end() - 1
                     for verb, raw in re.findall(r'\[?\bHttp(Get|Post|Put|Patch|Delete|Head|Options)\b(?:\(\s*"([^"]*)")?', m[1]):

@@ -47,7 +47,7 @@ class BudgetExceeded(ValueError):
 def listing(spark: SparkSession, root: str, projects: bool = False) -> DataFrame:
     """(project, path, length, url) of all files under root; with `projects`, root's folders are projects of their own.
 
-    Contents aren't read: the column is pruned."""
+    Contents aren't read: the column is pruned. Spark lists no empty files, which hold nothing to analyse."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("url"), "length")
     top = re.sub(r"^file:/*", "/", root).rstrip("/")
     inside = F.regexp_replace(F.regexp_replace("url", r"^[a-z0-9+.-]+:/*(?:[^/]*(?=/" + re.escape(top.lstrip("/")) + "))?", "/"), "^" + re.escape(top) + "/", "")
