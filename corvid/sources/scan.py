@@ -128,6 +128,25 @@ def ignored(path: str, rules: Sequence[tuple[str, str]], extra: Sequence[str] =
     return verdict or any(re.fullmatch(r[0], path) for r in map(ignore_pattern, extra) if r and not r[1])
 
 
+def ignore_rules(spark: SparkSession, root: str, projects: bool = False, depth: int = 10) -> DataFrame:
+    """(project, folder, text) of ignore files down to `depth` folders. Spark's readers skip hidden files, so they are
+    found by globs of the file system itself, on the driver, as Spark's own listing is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.makeQualified(path).toUri().getPath().rstrip("/")
+    rows = []
+    for n in range(depth):
+        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{'*/' * n}{{{','.join(IGNORE_FILES)}}}")) or ():
+            inside = status.getPath().toUri().getPath()[len(top) + 1 :].rpartition("/")[0]
+            project, _, folder = inside.partition("/") if projects else (top.rsplit("/", 1)[-1], "", inside)
+            stream = fs.open(status.getPath())
+            try:
+                rows.append((project, folder, spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return spark.createDataFrame(rows, "project string, folder string, text string")
+
+
 def decoded(content: Column) -> Column:
     """Bytes as text: UTF-16 by its mark, else UTF-8; null for binary content."""
     mark, size = F.hex(F.substring(content, 1, 2)), F.octet_length(content)
@@ -148,10 +167,7 @@ def index_files(
     if min(max_file_bytes, max_files, max_total_bytes) <= 0:
         raise ValueError("budgets must be positive")
     files = listing(spark, root, projects)
-    rules = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(IGNORE_FILES) + "}").load(root)
-    rules = listing(spark, root, projects).join(rules.select(F.col("path").alias("url"), "content"), "url")
-    folder = F.regexp_replace("path", r"(^|/)[^/]+$", "")
-    rules = rules.groupBy("project").agg(F.collect_list(F.struct(folder.alias("folder"), F.col("content").cast("string").alias("text"))).alias("rules"))
+    rules = ignore_rules(spark, root, projects).groupBy("project").agg(F.collect_list(F.struct("folder", "text")).alias("rules"))
 
     own = files.filter(~F.concat(F.lit("/"), "path").rlike(r"/\.[^/]+/") & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED_DIRS))))
     built = built_dirs(own)
