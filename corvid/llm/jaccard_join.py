@@ -51,7 +51,7 @@ def node_of(shingles: np.ndarray) -> int:
 
 def parity_bits(shingles: np.ndarray) -> bytes:
     """A bitmap in which each shingle flips a bit; two bitmaps differ in no more bits than their sets in shingles."""
-    size = max(64, 1 << (len(shingles) - 1).bit_length())
+    size = max(64, 1 << (3 * len(shingles) - 1).bit_length())  # so sparse that unrelated sets come out far apart
     bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
