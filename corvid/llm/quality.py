@@ -123,4 +123,8 @@ def keep_good(docs: DataFrame, rules=RULES, text_col: str = "text", min_words: i
     marked = docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
     figures = measured(marked, "__row", text_col)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return figures.filter(~base & cascade(ordered_rules(docs, rules, text_col, sample_rows)).isNull()).select("id.*")
+    good = ~base & cascade(ordered_rules(docs, rules, text_col, sample_rows)).isNull()
+    # the row number is no one's input, but no filter moves below it: pushed down, the condition would hold the figures'
+    # definitions within each other and compute them again for every word
+    judged = figures.select("id", good.alias("good"), F.monotonically_increasing_id().alias("at"))
+    return judged.filter("good").select("id.*")
