@@ -35,8 +35,8 @@ TEST_FILE = (
     r"(?i)(?:\.test|\.spec|\.stories)\.[a-z]+$|_test\.go$|(?:^|[/\\])test_[^/\\]+\.py$|Test\.java$|Tests\.cs$|Test\.php$"
     r"|(?:^|[/\\])(?:tests?|__tests__|scripts?|fixtures?|e2e)[/\\]|^examples?[/\\]"
 )
-#: Names of ignore files, and the default budgets of a scan.
-IGNORE_FILES = (".gitignore", ".powerduckignore")
+#: The name of ignore files (a caller may name more), and the default budgets of a scan.
+IGNORE_FILES = (".gitignore",)
 MAX_FILE_BYTES, MAX_FILES, MAX_TOTAL_BYTES = 2 << 20, 10_000, 64 << 20
 
 
@@ -128,7 +128,7 @@ def ignored(path: str, rules: Sequence[tuple[str, str]], extra: Sequence[str] =
     return verdict or any(re.fullmatch(r[0], path) for r in map(ignore_pattern, extra) if r and not r[1])
 
 
-def ignore_rules(spark: SparkSession, root: str, projects: bool = False, depth: int = 10) -> DataFrame:
+def ignore_rules(spark: SparkSession, root: str, projects: bool = False, depth: int = 10, names: Sequence[str] = IGNORE_FILES) -> DataFrame:
     """(project, folder, text) of ignore files down to `depth` folders. Spark's readers skip hidden files, so they are
     found by globs of the file system itself, on the driver, as Spark's own listing is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -136,7 +136,7 @@ def ignore_rules(spark: SparkSession, root: str, projects: bool = False, depth:
     top = fs.makeQualified(path).toUri().getPath().rstrip("/")
     rows = []
     for n in range(depth):
-        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{'*/' * n}{{{','.join(IGNORE_FILES)}}}")) or ():
+        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{'*/' * n}{{{','.join(names)}}}")) or ():
             inside = status.getPath().toUri().getPath()[len(top) + 1 :].rpartition("/")[0]
             project, _, folder = inside.partition("/") if projects else (top.rsplit("/", 1)[-1], "", inside)
             stream = fs.open(status.getPath())
