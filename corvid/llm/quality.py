@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import SPACE_CLASS, words
+from corvid.llm.shared import let, words
 
 WINDOW = 5
 
@@ -33,7 +33,7 @@ RULES = (
     Rule("symbols", lambda: F.col("n_symbols") > 0.1 * F.col("n_words")),
     Rule("dup_lines", lambda: F.col("n_dup_lines") > 0.5 * F.col("n_lines")),
     Rule("shouted", lambda: _share(lambda x: x.endswith("!!")) > 0.1),
-    Rule("stuttered", lambda: _share(lambda x, i: (i > 0) & (x == F.get("w", i - 1))) > 0.3),
+    Rule("stuttered", lambda: let(F.col("w"), lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))) / F.greatest(F.size(w), F.lit(1))) > 0.3),
     Rule("letters", lambda: _share(lambda x: x.rlike(r"\p{L}")) < 0.4),
 )
 
@@ -43,9 +43,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = out.select("id", "text", words(F.col("text")).alias("w"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.select("id", "text", "w", lines.alias("lines"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    spans = F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(WINDOW))))
-    out = out.withColumn("g", F.when(F.size("h") >= WINDOW, spans).otherwise(F.array().cast("array<bigint>")))
+    out = out.select("id", "text", "w", lines.alias("lines"), let(F.transform("w", lambda x: F.xxhash64(x)), _windows).alias("g"))
     return out.select(
         "id", "text", "w",
         F.size("w").cast("long").alias("n_words"),
@@ -57,9 +55,15 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def _windows(h: Column) -> Column:
+    """Hashes of all runs of WINDOW words, from the hashes of the words."""
+    spans = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
+    return F.when(F.size(h) >= WINDOW, spans).otherwise(F.array().cast("array<bigint>"))
+
+
 def _covered(spans: str) -> Column:
     """Words that lie in windows found twice or more: windows sorted with their places, those equal to a neighbour
-    kept, and the overlap of successive places taken off. A transform over one element binds a value once."""
+    kept, and the overlap of successive places taken off."""
     placed = F.sort_array(F.transform(F.col(spans), lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
 
     def places(s):
@@ -70,7 +74,7 @@ def _covered(spans: str) -> Column:
         gaps = F.transform(p, lambda a, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - a, F.lit(WINDOW))))
         return F.aggregate(gaps, F.lit(0), lambda a, b: a + b)
 
-    return F.transform(F.transform(F.array(placed), places), width)[0]
+    return let(let(placed, places), width)
 
 
 def ordered_rules(docs: DataFrame, rules=RULES, text_col: str = "text", sample_rows: int = 400, sample_chars: int = 100_000) -> list[Rule]:
@@ -124,7 +128,6 @@ def keep_good(docs: DataFrame, rules=RULES, text_col: str = "text", min_words: i
     figures = measured(marked, "__row", text_col)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     good = ~base & cascade(ordered_rules(docs, rules, text_col, sample_rows)).isNull()
-    # the row number is no one's input, but no filter moves below it: pushed down, the condition would hold the figures'
-    # definitions within each other and compute them again for every word
+    # no filter moves below a row number that it uses: pushed down, the condition would compute each figure many times
     judged = figures.select("id", good.alias("good"), F.monotonically_increasing_id().alias("at"))
-    return judged.filter("good").select("id.*")
+    return judged.filter("good AND at >= 0").select("id.*")

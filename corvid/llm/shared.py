@@ -47,6 +47,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let(value, body):
+    """Column: body(value) with value computed once and bound, however the optimiser moves the expression. A lambda that
+    names a computed column instead may have that column's definition put in its place, for each element again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text):
     """Column: the words of a text in order (null text: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
