@@ -50,3 +50,21 @@ def test_stages_equal_brute_force(spark, tmp_path):
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    clean = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    names = ["id", "n_lines", "n_removed", "emptied", "w", "key", "component", "sig", "row", "at", "good", "gone", "shard", "bin_id"]
+    rows = [(1, clean[0], None, None, 1), (None, clean[1], "en", "s", 2), (3, clean[2], "en", None, 3), (3, clean[2], "en", None, 3), (4, None, None, None, None), (5, "", "", "", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *names) for r in rows], schema)
+    for table, ids in ((docs, [None, 1, 3, 3]), (docs.limit(0), [])):
+        out = table
+        for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, out, "")
+            out.write.parquet(str(tmp_path / f"{len(ids)}-{n}"))
+            out = spark.read.parquet(str(tmp_path / f"{len(ids)}-{n}"))
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns
+                assert all([r[x] for x in names] == names for r in out.collect())
+            assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(ids, key=str), name
