@@ -20,14 +20,14 @@ def keep_best(df: DataFrame, keys: Sequence[str], score: Column, ordinal: Column
     """Of each key the row with the highest score, of equal ones the first by ordinal.
 
     An aggregation rather than a window: rows are combined before the shuffle, so a hot key costs a row a task."""
-    best = df.withColumn("__score", score).withColumn("__at", ordinal)
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    return best.groupBy(*keys).agg(F.max_by(row, F.struct("__score", -F.col("__at"))).alias("__row")).select("__row.*")
+    return df.withColumn("__score", -score).withColumn("__at", ordinal).groupBy(*keys).agg(F.min_by(row, F.struct("__score", "__at")).alias("__row")).select("__row.*")
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], ordinal: Column) -> DataFrame:
     """Of each key the first row by ordinal."""
-    return keep_best(df, keys, F.lit(0), ordinal)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    return df.withColumn("__at", ordinal).groupBy(*keys).agg(F.min_by(row, "__at").alias("__row")).select("__row.*")
 
 
 def duplicates(df: DataFrame, keys: Sequence[str], ordinal: Column) -> DataFrame:

@@ -16,7 +16,7 @@ from corvid.operators.gate import gated
 from corvid.operators.score import scan_report
 from corvid.packs import extract, registry
 from corvid.sources import manifests
-from corvid.sources.scan import index_files
+from corvid.sources.scan import index_files, listing
 
 #: Packages that hint at a framework, and imports that show one without a manifest.
 HINTS: dict[str, tuple[str, ...]] = {
@@ -133,6 +133,30 @@ def scan_project(spark: SparkSession, root: str, projects: bool = False, framewo
     return Scan(files, packages, operations, components, security, servers, unresolved, manifests.project_meta(texts, files))
 
 
+#: Folders of a workspace that hold leaves, folders that may be one themselves, manifests that mark them, most leaves.
+LEAF_PARENTS, LEAF_NAMES, LEAF_MANIFESTS, MOST_LEAVES = ("packages", "apps", "services"), ("server", "api", "app", "src"), manifests.NAMES, 40
+
+
+def workspace_leaves(spark: SparkSession, root: str, most: int = MOST_LEAVES) -> list[str]:
+    """Folders one level down that look like projects of their own, in order of their paths; a bounded list."""
+    parents, names = "|".join(LEAF_PARENTS), "|".join(LEAF_NAMES)
+    marked = "|".join(m.replace(".", r"\.") for m in LEAF_MANIFESTS)
+    leaf = F.regexp_extract("path", rf"^((?:{parents})/[^/]+|(?:{names}))/(?:{marked}|[^/]+\.csproj)$", 1)
+    return [r.leaf for r in listing(spark, root).select(leaf.alias("leaf")).filter("leaf <> ''").distinct().orderBy("leaf").limit(most).collect()]
+
+
+def scan_workspace(spark: SparkSession, root: str, **options) -> tuple[DataFrame, list[Scan]]:
+    """(operations, scans): the root's own, or, if it has no operations, those of its leaves, the first leaf winning."""
+    whole = scan_project(spark, root, **options)
+    if not whole.operations.isEmpty():
+        return whole.operations, [whole]
+    scans = [scan_project(spark, f"{root.rstrip('/')}/{leaf}", **options) for leaf in workspace_leaves(spark, root)]
+    out = whole.operations.withColumn("leaf", F.lit(0))
+    for n, found in enumerate(scans, 1):
+        out = out.unionByName(found.operations.withColumn("leaf", F.lit(n)))
+    return first_wins(out, ["method", "path"], F.struct("leaf", "ordinal")).drop("leaf"), scans
+
+
 def routes_snapshot(scan: Scan) -> DataFrame:
     """Per operation its key and the fingerprint of its file and contract."""
     hashes = scan.files.select("project", F.col("path").alias("file"), "hash")

@@ -75,6 +75,18 @@ def test_scan_of_many_projects(spark, tmp_path):
     assert {r.kind for r in snapshot_diff(before.filter("project = 'flask'"), after, "key", "fingerprint").collect()} == {"changed"}
 
 
+def test_workspace_leaves(spark, tmp_path):
+    for leaf in ("apps/web", "packages/server"):
+        put(tmp_path / leaf, {**PROJECTS["express"][0], "package.json": json.dumps({"dependencies": {"express": "4"}})})
+    put(tmp_path, {"pnpm-workspace.yaml": "packages: ['packages/*']", "apps/docs/readme.md": "x"})
+    assert plans.workspace_leaves(spark, str(tmp_path)) == ["apps/web", "packages/server"]
+    assert plans.workspace_leaves(spark, str(tmp_path), most=1) == ["apps/web"]
+    operations, scans = plans.scan_workspace(spark, str(tmp_path), frameworks=["koa"])
+    assert operations.count() == 0 and len(scans) == 2
+    operations, _ = plans.scan_workspace(spark, str(tmp_path / "apps"))
+    assert {(r.method, r.path) for r in operations.collect()} == PROJECTS["express"][1]
+
+
 def test_rescan_stream(spark, tmp_path):
     root, seen = tmp_path / "src", []
     put(root, {"a.py": "1", "b.py": "2"})
