@@ -9,7 +9,6 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corvid.llm.template import Template
 
