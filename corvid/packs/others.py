@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator, Mapping
 
 from corvid.packs import Found
-from corvid.packs.pyfacts import bases, constant, dotted, find_class, keyword, parse
+from corvid.packs.pyfacts import bases, constant, dotted, find_class, parse
 from corvid.packs.routes import VERBS, best, candidate, firsts, joined, names_in, parameter, response
 from corvid.packs.scanner import calls, closing, line_at, object_schema, split_top, status, string, template, without_comments
 
