@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvid.functions import paths
 from corvid.functions.schemas import on_json, without_hazards
 from corvid.operators import closure, dedupe, diff, gate, merge, score, variants
+from corvid.sources import scan as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -429,3 +430,52 @@ def hazard_strip(table) -> DataFrame:
     name = F.when(F.col("p_partkey") % 3 == 0, "constructor").otherwise(F.col("p_brand"))
     schema = F.to_json(F.struct(F.lit("object").alias("type"), F.map_from_arrays(F.array(name, F.lit("size")), F.array(F.lit("a"), F.lit("b"))).alias("properties"), F.array(name, F.lit("size")).alias("required")))
     return table("part").select("p_partkey", on_json(without_hazards)(schema).alias("schema"))
+
+
+# --- sources ---------------------------------------------------------------------------------------------------------
+
+_EXTENSIONS = ("ts", "mjs", "py", "go", "java", "cs", "rs", "php", "md")
+_FILES = "SELECT p_partkey, replace(p_name, ' ', '/') || CASE WHEN p_partkey % 5 = 0 THEN '/tests/a' WHEN p_partkey % 7 = 0 THEN '.test' ELSE '/a' END || '.' || (['ts', 'mjs', 'py', 'go', 'java', 'cs', 'rs', 'php', 'md'])[p_partkey % 9 + 1] AS path FROM part"
+
+
+def _paths(table) -> DataFrame:
+    k = F.col("p_partkey")
+    middle = F.when(k % 5 == 0, "/tests/a").when(k % 7 == 0, ".test").otherwise("/a")
+    ext = F.get(F.array(*map(F.lit, _EXTENSIONS)), (k % 9).cast("int"))
+    return table("part").select(k, F.concat(F.replace("p_name", F.lit(" "), F.lit("/")), middle, F.lit("."), ext).alias("path"))
+
+
+@query(f"""SELECT p_partkey, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'ts' THEN 'typescript' WHEN 'mjs' THEN 'javascript' WHEN 'py' THEN 'python' WHEN 'cs' THEN 'csharp' WHEN 'rs' THEN 'rust' WHEN 'md' THEN NULL
+    ELSE regexp_extract(path, '\\.([a-z]+)$', 1) END AS language FROM ({_FILES})""")
+def language_by_extension(table) -> DataFrame:
+    return _paths(table).select("p_partkey", sources.language(F.col("path")).alias("language"))
+
+
+@query(f"SELECT p_partkey FROM ({_FILES}) WHERE NOT regexp_matches(path, '\\.test\\.[a-z]+$|(^|/)(tests?|__tests__|scripts?|fixtures?|e2e)/|^examples?/|_test\\.go$')")
+def test_file_filter(table) -> DataFrame:
+    return _paths(table).filter(~F.col("path").rlike(sources.TEST_FILE)).select("p_partkey")
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def decode_marks(table) -> DataFrame:
+    """Texts written as UTF-16 in either order, or UTF-8, and decoded by their marks."""
+    text, k = F.col("text"), F.col("doc_id") % 3
+    little = F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))
+    big = F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))
+    raw = F.when(k == 0, little).when(k == 1, big).otherwise(F.encode(text, "UTF-8"))
+    return table("documents").select("doc_id", F.sha2(sources.decoded(raw), 256).alias("hash"))
+
+
+@query("SELECT o_orderkey, CASE WHEN regexp_full_match(CAST(100 + o_orderkey % 500 AS VARCHAR), '1..|204|205|304') THEN 0 ELSE 1 END AS bodies FROM orders")
+def bodyless_status(table) -> DataFrame:
+    status = (100 + F.col("o_orderkey") % 500).cast("string")
+    return table("orders").select("o_orderkey", F.when(status.rlike(f"^(?:{gate.BODYLESS.pattern})$"), 0).otherwise(1).alias("bodies"))
+
+
+@query("""SELECT n_nationkey, '#/components/schemas/' || replace(replace(replace(replace(n_name, '~', '~0'), '/', '~1'), '~1', '/'), '~0', '~') AS ref, 'get' || string_agg(upper(p[1]) || substr(p, 2), '' ORDER BY i) AS dashed
+    FROM (SELECT n_nationkey, n_name, unnest(string_split(lower(n_name) || '/x-y', '/')) AS part, generate_subscripts(string_split(lower(n_name) || '/x-y', '/'), 1) AS a FROM nation) s,
+    LATERAL (SELECT unnest(string_split(part, '-')) AS p, a * 100 + generate_subscripts(string_split(part, '-'), 1) AS i) WHERE p <> '' GROUP BY n_nationkey, n_name""")
+def pointer_and_dashed_names(table) -> DataFrame:
+    escaped = F.replace(F.replace("n_name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    name = paths.dashed_operation_id(F.lit("GET"), F.concat(F.lower("n_name"), F.lit("/x-y")))
+    return table("nation").select("n_nationkey", F.concat(F.lit("#/components/schemas/"), paths.pointer_unescaped(escaped)).alias("ref"), name.alias("dashed"))
