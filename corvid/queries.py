@@ -279,14 +279,20 @@ def _mounts(table) -> tuple[DataFrame, DataFrame]:
     return nation.limit(1).select(F.lit("app").alias("router"), F.lit("").alias("prefix")), edges
 
 
+def _closure(table) -> tuple[DataFrame, DataFrame]:
+    """The closure of _mounts, whose root is reached once and each router once for an edge: so many ways may be needed."""
+    roots, edges = _mounts(table)
+    return closure.mount_closure(roots, edges, budget=max(10_000, edges.count() + 1))
+
+
 @query(f"{_REACHED} SELECT router, prefix, depth FROM reached")
 def mount_closure(table) -> DataFrame:
-    return closure.mount_closure(*_mounts(table))[0]
+    return _closure(table)[0]
 
 
 @query(f"{_REACHED} SELECT parent, child, reached.prefix || edges.prefix AS prefix FROM reached JOIN edges ON parent = router WHERE list_contains(way, child)")
 def cycle_report(table) -> DataFrame:
-    return closure.mount_closure(*_mounts(table))[1]
+    return _closure(table)[1]
 
 
 @query("SELECT p_partkey AS router FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -297,7 +303,7 @@ def orphans(table) -> DataFrame:
 @query(f"""{_REACHED} SELECT s_suppkey, reached.prefix || '/items/' || s_suppkey AS full_path FROM supplier JOIN reached ON router = 'n' || s_nationkey""")
 def site_fanout(table) -> DataFrame:
     sites = table("supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("router"), "s_suppkey", F.concat(F.lit("/items/"), F.col("s_suppkey").cast("string")).alias("path"))
-    return closure.route_sites(sites, closure.mount_closure(*_mounts(table))[0]).select("s_suppkey", "full_path")
+    return closure.route_sites(sites, _closure(table)[0]).select("s_suppkey", "full_path")
 
 
 @query(f"{_REACHED} SELECT router FROM (SELECT child AS router FROM edges UNION SELECT parent FROM edges) WHERE router NOT IN (SELECT child FROM edges)")
