@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm.components import connected_components
@@ -75,7 +75,7 @@ def text_sets(column, width: int):
 
 
 def _described(texts: DataFrame, width: int) -> DataFrame:
-    """Per row id, n, node and bits; and per task one row whose id is null and whose n is -1 with the task's sketch."""
+    """Per row id, dh (as given), n, node and bits; and per task one row whose id is null and whose n is -1 with the task's sketch."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -89,11 +89,11 @@ def _described(texts: DataFrame, width: int) -> DataFrame:
                 node.append(node_of(s) if len(s) else None)
                 bits.append(parity_bits(s) if len(s) else None)
                 np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], ["id", "n", "node", "bits"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], ["id", "dh", "n", "node", "bits"])
         if id_type is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.array([sketch.tobytes()], pa.binary())], ["id", "n", "node", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.array([sketch.tobytes()], pa.binary())], ["id", "dh", "n", "node", "bits"])
 
-    return texts.mapInArrow(run, f"id {kind}, n long, node long, bits binary")
+    return texts.mapInArrow(run, f"id {kind}, dh long, n long, node long, bits binary")
 
 
 def _summed(sketches: DataFrame) -> np.ndarray:
@@ -392,12 +392,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts are copies of one set; ties have no effect. Other columns are ignored, an empty table gives an empty result.
     Equality of shingles and sets is that of 64-bit hashes.
     """
+    found = _rows_of_components(docs, id_col, text_col, width, percent)
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _place() -> Column:
+    """The order of the rows of a component: by id, null last, then the text's hash."""
+    return F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("dh"))
+
+
+def _rows_of_components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Per row: id, dh (the text's hash), n, node, component_id and first, the least place in the row's component."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    described = stored(_described(texts, width), "sets")
+    described = stored(_described(texts.withColumn("dh", F.xxhash64("text")), width), "sets")
     rows = described.filter("n >= 0")
     sketch = spark.sparkContext.broadcast(_summed(described.filter("n < 0")))
-    reps = stored(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("bits").alias("bits")), "reps")
+    reps = stored(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.min(_place()).alias("first"), F.first("bits").alias("bits")), "reps")
 
     boundary = _boundary(texts, sketch.value, width, percent)
     sigs = _signature_rows(texts, sketch, boundary, width, percent)
@@ -442,17 +454,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         compared = _compared(bounded.select("a", "b"), _packed_texts(ends(bounded), texts, reps, width), width, percent)
         labels = _merged(labels, compared.filter("linked").select("a", "b"))
 
-    groups = reps.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = groups.join(least, "component").select("node", "component_id")
-    out = rows.join(named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out
+    groups = reps.select("node", "rep", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = groups.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("first").alias("first"))
+    named = groups.select("node", "component").join(least, "component").select("node", "component_id", "first")
+    return rows.select("id", "dh", "n", "node").join(named, "node", "left")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, of which each component keeps those of its smallest id.
-
-    Rows with a null id and rows without words stay; rows that repeat an id stay or go together."""
-    found = jaccard_components(docs, id_col, text_col, width, percent)
-    gone = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of docs, all columns, of which each component keeps the first by id (null last), then text hash.
+
+    Each row is judged by its own text, whatever other rows its id has. Rows without words stay; rows that are equal in
+    id and text stay or go together."""
+    found = _rows_of_components(docs, id_col, text_col, width, percent)
+    gone = found.filter(F.col("node").isNotNull() & (_place() > F.col("first"))).select("id", "dh").distinct()
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.id")) & (F.xxhash64(F.col(f"d.`{text_col}`").cast("string")) == F.col("g.dh"))
+    return docs.alias("d").join(gone.alias("g"), same, "left_anti")
