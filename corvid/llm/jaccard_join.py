@@ -33,8 +33,8 @@ from corvid.llm.shingles import shingle_hashes, word_hashes
 
 #: Counters of the rarity sketch (4 bytes each: its broadcast size), text bytes handled at once, sizes that may be light.
 SKETCH, SLICE, LIGHT = 1 << 18, 1 << 18, 64
-#: Keys up to which a list of documents is broadcast (8 bytes each), beyond which it is joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Keys up to which a list of documents is broadcast, beyond which it is joined by a shuffle: none, as in line_dedup.py.
+BROADCAST_KEYS = 0
 #: Rows of pairs that may be made at once to end the rounds, besides those for each document; sets of a piece of a block.
 PAIRS_AT_ONCE, PAIRS_A_DOCUMENT, PIECE = 100_000, 10, 2000
 _TOKEN, _PAIR = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
@@ -212,7 +212,7 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _packed_texts(wanted: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """(node, packed): a compressed text of each node in `wanted`, stored."""
     wanted = stored(wanted.select("node").distinct().join(reps.select("node", "rep"), "node"), "wanted")
-    listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    listed = F.broadcast(wanted) if BROADCAST_KEYS and wanted.count() <= BROADCAST_KEYS else wanted
     found = texts.join(listed, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
 
     def packed(batches):
