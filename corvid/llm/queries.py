@@ -78,11 +78,12 @@ ORACLE = {
     "op6_line_dedup": r"""
         WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
         w AS (SELECT doc_id, no, line, list_filter(string_split(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM l),
-        g AS (SELECT DISTINCT doc_id, no, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, no, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+        g AS (SELECT DISTINCT doc_id, no, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, no, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+            UNION ALL SELECT doc_id, no, array_to_string(w, ' ') || ' short' FROM w WHERE len(w) BETWEEN 1 AND 4),
         n AS (SELECT doc_id, no, count(*) AS n FROM g GROUP BY ALL),
         m AS (SELECT x.doc_id AS xd, x.no AS xn, y.doc_id AS yd, y.no AS yn, count(*) AS same FROM g x JOIN g y ON x.g = y.g AND (x.doc_id < y.doc_id OR (x.doc_id = y.doc_id AND x.no < y.no)) GROUP BY ALL),
         gone AS (SELECT DISTINCT yd AS doc_id, yn AS no FROM m JOIN n a ON a.doc_id = xd AND a.no = xn JOIN n b ON b.doc_id = yd AND b.no = yn WHERE 100 * same >= 80 * (a.n + b.n - same)),
-        kept AS (SELECT w.doc_id, string_agg(line, chr(10) ORDER BY w.no) FILTER (gone.no IS NULL) AS text, count(*) AS n_lines, count(gone.no) AS n_removed, bool_or(gone.no IS NULL AND len(w) >= 5) AS any_left
+        kept AS (SELECT w.doc_id, string_agg(line, chr(10) ORDER BY w.no) FILTER (gone.no IS NULL) AS text, count(*) AS n_lines, count(gone.no) AS n_removed, bool_or(gone.no IS NULL AND len(w) >= 1) AS any_left
             FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.no = w.no GROUP BY w.doc_id)
         SELECT doc_id, n_lines, n_removed, CAST(length(coalesce(text, '')) AS BIGINT) AS kept_chars, sha256(coalesce(text, '')) AS kept_sha256, n_removed > 0 AND NOT any_left AS emptied FROM kept
     """,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one is made on this machine if
+    Spark runs in this one process, as in tests; on a cluster that is an error, since executors can't see such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corvid-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,11 +34,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corvid-{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that removes the shuffle files of a query when it ends, instead of at the driver's next collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it again: lineage is cut and lost executors cost nothing."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it again: lineage is cut and lost executors cost nothing.
+
+    The shuffle files of the write go with its end, so that a job of many steps holds those of one step at a time."""
+    spark = df.sparkSession
+    path, before = fresh_path(spark, label), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
