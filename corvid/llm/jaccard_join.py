@@ -12,7 +12,8 @@ largest distance of linked sets, a set within 2d of the pivot links with none be
 one pivot, over all signatures, are one block to be settled: those linked with the pivot are one component already, the
 others are compared with it and among themselves in memory, in pieces of a fixed size. Then the pivot and the members
 within 2d leave their groups, and a group whose members are in one component is done. Once little is left, its pairs
-across components are compared. So no pair that could join two components goes unseen.
+across components are compared; if much is left after a fixed number of rounds (sets that share a passage and aren't
+similar), groups are compared in memory, in pieces. So no pair that could join two components goes unseen.
 Candidates pass an exact bound on parity bitmaps before texts are fetched and compared.
 """
 
@@ -26,17 +27,20 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvid.llm.components import connected_components
-from corvid.llm.shared import mix, slices, stored, utf8
+from corvid.llm.shared import dropped, mix, slices, stored, utf8
 from corvid.llm.shingles import shingle_hashes, word_hashes
 
-#: Counters of the rarity sketch (4 bytes each: its broadcast size), text bytes handled at once, sizes that may be light.
-SKETCH, SLICE, LIGHT = 1 << 18, 1 << 18, 64
-#: Keys up to which a list of documents is broadcast, beyond which it is joined by a shuffle: none, as in line_dedup.py.
-BROADCAST_KEYS = 0
-#: Rows of pairs that may be made at once to end the rounds, besides those for each document; sets of a piece of a block.
-PAIRS_AT_ONCE, PAIRS_A_DOCUMENT, PIECE = 100_000, 10, 2000
+#: Counters of the rarity sketch (4 bytes each: its broadcast size) and of a part of it that one row holds, text bytes
+#: handled at once, sizes that may be light.
+SKETCH, PART, SLICE, LIGHT = 1 << 18, 1 << 12, 1 << 18, 64
+#: The longest list of sets under a signature that one task may hold, and the tasks that a longer one is dealt over.
+LONGEST_LIST, SALTS = 100_000, 64
+#: Rows of pairs that may be made at once to end the rounds, besides those for each document; sets of a piece of a block;
+#: most rounds around pivots.
+PAIRS_AT_ONCE, PAIRS_A_DOCUMENT, PIECE, ROUNDS = 100_000, 10, 2000, 4
 _TOKEN, _PAIR = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -75,7 +79,8 @@ def text_sets(column, width: int):
 
 
 def _described(texts: DataFrame, width: int) -> DataFrame:
-    """Per row id, dh (as given), n, node and bits; and per task one row whose id is null and whose n is -1 with the task's sketch."""
+    """Per row id, dh (as given), n, node and bits; and per task rows whose id is null and whose n is negative: -1 less the
+    number of the part of the task's sketch that is in the column sketch."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -89,34 +94,37 @@ def _described(texts: DataFrame, width: int) -> DataFrame:
                 node.append(node_of(s) if len(s) else None)
                 bits.append(parity_bits(s) if len(s) else None)
                 np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], ["id", "dh", "n", "node", "bits"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.binary())], names)
         if id_type is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.array([sketch.tobytes()], pa.binary())], ["id", "dh", "n", "node", "bits"])
+            parts = [zstandard.compress(x.astype(np.uint32).tobytes(), 1) for x in np.minimum(sketch, 2**32 - 1).reshape(-1, PART)]
+            k, part = len(parts), pa.array([-1 - i for i in range(len(parts))], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), part, pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(parts, pa.binary())], names)
 
-    return texts.mapInArrow(run, f"id {kind}, dh long, n long, node long, bits binary")
+    names = ["id", "dh", "n", "node", "bits", "sketch"]
+    return texts.mapInArrow(run, f"id {kind}, dh long, n long, node long, bits binary, sketch binary")
 
 
 def _summed(sketches: DataFrame) -> np.ndarray:
-    """The sum of the tasks' sketches: streamed in a few tasks, then in one, so only sketch-sized arrays move."""
+    """The sum of the tasks' sketches: each part is summed by tasks, then in one, so that the driver gets one sketch."""
 
     def run(batches):
-        total = np.zeros(SKETCH, np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for value in batch.column(0):
-                total += np.frombuffer(value.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["bits"])
+            for n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[n] = total.get(n, np.zeros(PART, np.int64)) + np.frombuffer(zstandard.decompress(value), np.uint32)
+        packed = [zstandard.compress(np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes(), 1) for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(packed, pa.binary())], ["n", "sketch"])
 
-    rows = sketches.select("bits").coalesce(64).mapInArrow(run, "bits binary").coalesce(1).mapInArrow(run, "bits binary").collect()
-    total = np.zeros(SKETCH, np.int64)
+    rows = sketches.select("n", "sketch").mapInArrow(run, "n long, sketch binary").repartition("n").mapInArrow(run, "n long, sketch binary").collect()
+    out = np.zeros((SKETCH // PART, PART), np.uint32)
     for row in rows:
-        total += np.frombuffer(row.bits, np.int64)
-    return np.minimum(total, 2**32 - 1).astype(np.uint32)
+        out[-1 - row.n] = np.frombuffer(zstandard.decompress(row.sketch), np.uint32)
+    return out.reshape(-1)
 
 
 def _rare_first(s: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
     """The first shingles of a set in the order of (sketch count, hash); s is sorted by hash."""
-    counts = sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-    return s[np.argsort(counts, kind="stable")[:most]]
+    return s[np.argsort(_seen(s, sketch), kind="stable")[:most]]
 
 
 def can_link(n: int, percent: int) -> bool:
@@ -125,20 +133,30 @@ def can_link(n: int, percent: int) -> bool:
 
 
 def signatures(s: np.ndarray, sketch: np.ndarray, boundary: int, percent: int) -> np.ndarray:
-    """The signatures under which a set meets all sets that it may link with."""
+    """The signatures under which a set meets all sets that it may link with; those whose lists may pass LONGEST_LIST, as the
+    sketch bounds them, are odd, the others even."""
     n = len(s)
     least = least_overlap(n, percent)
     out = []
     if n > boundary or 100 * n >= percent * (boundary + 1):
-        out.append(mix(_rare_first(s, sketch, n - least + 1) ^ _TOKEN))
+        first = _rare_first(s, sketch, n - least + 1)
+        out.append(_marked(mix(first ^ _TOKEN), _seen(first, sketch)))
     if n <= boundary:
         first = _rare_first(s, sketch, n - least + 2)
         pairs = np.array(list(combinations(range(len(first)), 2)), np.int64).reshape(-1, 2)
         low, high = np.sort(first[pairs], axis=1).T
-        out.append(mix(mix(low + _PAIR) ^ high))
+        out.append(_marked(mix(mix(low + _PAIR) ^ high), np.minimum(_seen(low, sketch), _seen(high, sketch))))
     return np.concatenate(out)
 
 
+def _seen(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    return sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+
+
+def _marked(sig: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    return (sig & ~np.uint64(1)) | (seen > LONGEST_LIST).astype(np.uint64)
+
+
 def _boundary(texts: DataFrame, sketch: np.ndarray, width: int, percent: int, sample_rows: int = 2000, sample_chars: int = 10_000) -> int:
     """The largest light size: least estimated rows plus list entries scanned, by set size on a bounded sample (the
     first sample_rows texts of up to sample_chars characters).
@@ -192,6 +210,26 @@ def _signature_rows(texts: DataFrame, sketch, boundary: int, width: int, percent
     return texts.select("text").mapInArrow(run, "sig long, node long, n int")
 
 
+def _pivoted(sigs: DataFrame, long: bool) -> DataFrame:
+    """(sig, b, n_b, a, n_a): the members of each signature's list with the smallest as pivot a, of lists of two nodes or
+    more; stored.
+
+    The texts are read once: a window finds the pivots, of lists that may pass LONGEST_LIST for each of SALTS parts, whose
+    pivots are then aggregated. long: whether there may be such lists."""
+    salt = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)) if long else F.lit(0)
+    own = Window.partitionBy("sig", "salt") if long else Window.partitionBy("sig")
+    rows = sigs.withColumn("salt", salt) if long else sigs
+    rows = rows.withColumn("p", F.min(F.struct("node", "n")).over(own)).withColumn("many", F.max("node").over(own) != F.col("p.node"))
+    cold = F.col("sig").bitwiseAND(F.lit(1)) == 0
+    found = stored(rows.filter(F.col("many") | ~cold if long else F.col("many")).select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("p.node").alias("a"), F.col("p.n").alias("n_a")), "met")
+    if not long:
+        return found
+    hot = found.filter(~cold)
+    first = hot.groupBy("sig").agg(F.min(F.struct("a", "n_a")).alias("p"), F.max("b").alias("top")).filter("p.a <> top")
+    joined = hot.select("sig", "b", "n_b").join(first, "sig").select("sig", "b", "n_b", F.col("p.a").alias("a"), F.col("p.n_a").alias("n_a"))
+    return found.filter(cold).unionByName(joined)
+
+
 def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(a, b, near) of the pairs (a, b, n_a, n_b) that may be within three times the distance of linked sets; near: within
     twice. Bitmaps bound the similarity from above."""
@@ -212,8 +250,7 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _packed_texts(wanted: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """(node, packed): a compressed text of each node in `wanted`, stored."""
     wanted = stored(wanted.select("node").distinct().join(reps.select("node", "rep"), "node"), "wanted")
-    listed = F.broadcast(wanted) if BROADCAST_KEYS and wanted.count() <= BROADCAST_KEYS else wanted
-    found = texts.join(listed, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
+    found = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")  # alike at every size
 
     def packed(batches):
         press = zstandard.ZstdCompressor()
@@ -225,7 +262,9 @@ def _packed_texts(wanted: DataFrame, texts: DataFrame, reps: DataFrame, width: i
                     out.append(press.compress(batch.column(1)[i].as_buffer()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], ["node", "packed"])
 
-    return stored(found.mapInArrow(packed, "node long, packed binary").dropDuplicates(["node"]), "packed", "uncompressed")
+    out = stored(found.mapInArrow(packed, "node long, packed binary").dropDuplicates(["node"]), "packed", "uncompressed")
+    dropped(wanted)
+    return out
 
 
 def _compared(pairs: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
@@ -312,17 +351,16 @@ class _Piece:
         return out
 
 
-def _settled(bounded: DataFrame, compared: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) links within each pivot's block, besides those with the pivot itself; stored.
+def _settled(member: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) links among the members (a, b, star) of each block a; stored.
 
-    Members linked with the pivot (stars) are one component; the others (strays) are compared with stars and among
-    themselves. Both are dealt out in pieces of PIECE sets, a pair of pieces to a task's group; blocks without strays
-    aren't looked at. A group returns one link for each component that a set joins."""
-    linked = compared.filter("linked").select("a", "b", F.lit(True).alias("star"))
-    member = bounded.select("a", "b").join(linked, ["a", "b"], "left").select("a", "b", F.coalesce("star", F.lit(False)).alias("star"))
-    counts = member.groupBy("a").agg(F.count_if(~F.col("star")).alias("strays"), (F.count_if("star") + 1).alias("stars")).filter("strays > 0")
+    A block is a pivot's, whose stars are linked with it and so one component already, or a list's, without stars.
+    Strays, the others, are compared with stars and among themselves. Both are dealt out in pieces of PIECE sets, a pair
+    of pieces to a task's group; blocks without strays aren't looked at. A group returns one link for each component that
+    a set joins."""
+    counts = member.groupBy("a").agg(F.count_if(~F.col("star")).alias("strays"), F.count_if("star").alias("stars")).filter("strays > 0")
     pieces = counts.select("a", F.ceil(F.col("strays") / PIECE).cast("int").alias("p"), F.ceil(F.col("stars") / PIECE).cast("int").alias("q"))
-    member = member.join(pieces, "a").unionByName(pieces.select("a", F.col("a").alias("b"), F.lit(True).alias("star"), "p", "q"))
+    member = member.join(pieces, "a")
     own = F.pmod(F.xxhash64("b"), F.when(F.col("star"), F.col("q")).otherwise(F.col("p"))).cast("int")
     member = member.withColumn("own", own)
     spot = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), role.cast("int").alias("role"))
@@ -366,6 +404,13 @@ def _settled(bounded: DataFrame, compared: DataFrame, found: DataFrame, width: i
     return stored(ordered.mapInArrow(run, "a long, b long"), "settled")
 
 
+def _around_pivots(bounded: DataFrame, compared: DataFrame) -> DataFrame:
+    """(a, b, star) of each pivot's block: the pivot, and all that may be within three times the distance of linked sets."""
+    linked = compared.filter("linked").select("a", "b", F.lit(True).alias("star"))
+    member = bounded.select("a", "b").join(linked, ["a", "b"], "left").select("a", "b", F.coalesce("star", F.lit(False)).alias("star"))
+    return member.unionByName(bounded.select("a", F.col("a").alias("b"), F.lit(True).alias("star")).distinct())
+
+
 def _within(piece: _Piece) -> list[tuple[int, int]]:
     """Links among the sets of a piece, one for each component that a set joins."""
     return [x for row in range(len(piece.nodes) - 1) for x in piece.links(piece.nodes[row], piece.sets[row], row + 1, row)]
@@ -380,7 +425,10 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     a, b = (known.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab")
     between = links.join(a, "a").join(b, "b").filter("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
     moved = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return stored(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+    out = stored(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+    for old in (labels, known, moved):
+        dropped(old)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -412,16 +460,14 @@ def _rows_of_components(docs: DataFrame, id_col: str, text_col: str, width: int,
     reps = stored(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.min(_place()).alias("first"), F.first("bits").alias("bits")), "reps")
 
     boundary = _boundary(texts, sketch.value, width, percent)
-    sigs = _signature_rows(texts, sketch, boundary, width, percent)
-    shared = sigs.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("top")).filter("p.node <> top")
-    met = stored(sigs.join(shared.select("sig", F.col("p.node").alias("a"), F.col("p.n").alias("n_a")), "sig").select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), "a", "n_a"), "met")
+    met = _pivoted(_signature_rows(texts, sketch, boundary, width, percent), int(sketch.value.max()) > LONGEST_LIST)
 
     most = PAIRS_AT_ONCE + PAIRS_A_DOCUMENT * rows.count()
     labels = None
 
     def in_components(members: DataFrame) -> tuple[DataFrame, int]:
         """Members (sig, node, n) with their component, of signatures that hold several; and the pairs across them."""
-        held = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        held = members.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         counts = held.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"))
         across = counts.groupBy("sig").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("across")).filter("across > 0")
         held = stored(held.join(across, "sig"), "open")
@@ -437,22 +483,30 @@ def _rows_of_components(docs: DataFrame, id_col: str, text_col: str, width: int,
 
     ends = lambda df: df.select(F.col("a").alias("node")).unionByName(df.select(F.col("b").alias("node")))
     held = met.select("sig", F.col("b").alias("node"), F.col("n_b").alias("n"), "a", "n_a").filter("b <> a")
-    while True:
+    spent = [met]
+    for turn in range(ROUNDS):
         pairs = held.select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
         bounded = _bounded(pairs, reps, percent)
         found = _packed_texts(ends(bounded), texts, reps, width)
         compared = _compared(bounded.filter("near").select("a", "b"), found, width, percent)
-        labels = _merged(labels, compared.filter("linked").select("a", "b").unionByName(_settled(bounded, compared, found, width, percent)))
-        held = held.join(compared.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti")
+        settled = _settled(_around_pivots(bounded, compared), found, width, percent)
+        labels = _merged(labels, compared.filter("linked").select("a", "b").unionByName(settled))
+        held = held.join(compared.select("a", F.col("b").alias("node")).hint("merge"), ["a", "node"], "left_anti")
         held, size = in_components(held.select("sig", "node", "n"))
-        if size <= most:
+        for old in (*spent, bounded, found, compared, settled):
+            dropped(old)
+        spent = [held]
+        if size <= most or turn == ROUNDS - 1:
             break
         pivot = held.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("p"))
         held = held.join(pivot, "sig").select("sig", "node", "n", F.col("p.node").alias("a"), F.col("p.n").alias("n_a")).filter("node <> a")
-    if size:
+    if 0 < size <= most:
         bounded = _bounded(crossing(held), reps, percent).filter("near")
         compared = _compared(bounded.select("a", "b"), _packed_texts(ends(bounded), texts, reps, width), width, percent)
         labels = _merged(labels, compared.filter("linked").select("a", "b"))
+    elif size:  # lists of many sets that aren't similar: compared by pieces, under each signature
+        found = _packed_texts(held.select("node"), texts, reps, width)
+        labels = _merged(labels, _settled(held.select(F.col("sig").alias("a"), F.col("node").alias("b"), F.lit(False).alias("star")), found, width, percent))
 
     groups = reps.select("node", "rep", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("first").alias("first"))

@@ -38,7 +38,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str = "zstd", options: dict | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut and lost executors cost nothing.
 
     The shuffle files of the write go with its end, so that a job of many steps holds those of one step at a time."""
@@ -46,7 +46,7 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     path, before = fresh_path(spark, label), spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.options(**(options or {})).option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

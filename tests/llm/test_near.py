@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from corvid.llm import embedding_dedup, jaccard_join
 from corvid.llm.components import connected_components
@@ -66,12 +67,14 @@ def test_jaccard_components_equal_brute_force(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, c in enumerate(components) if i == c}
 
 
-def test_jaccard_rounds_settle_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_jaccard_rounds_settle_large_groups(spark, monkeypatch, rounds):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(100)]
     texts = [" ".join(base[: rng.randrange(70, 100)] + [f"t{i}"] * rng.randrange(3)) for i in range(60)] + [" ".join(base[40:] + [f"z{k}" for k in range(i)]) for i in range(20)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(jaccard_join, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(jaccard_join, "LONGEST_LIST", 3)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", 10)
     monkeypatch.setattr(jaccard_join, "PAIRS_A_DOCUMENT", 0)
     monkeypatch.setattr(jaccard_join, "PIECE", 7)
