@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,24 +45,28 @@ def template_path(raw: Column, dialect: str) -> Column:
     return F.when(out == "", "/").otherwise(out) if dialect in ROOTED else out
 
 
+#: A route's syntax in parts: an escaped character, an opening or closing brace, or a run of anything else.
+_PARTS = re.compile(r"\\.|[{}]|[^\\{}]+|\\$", re.S)
+
+
 def balanced_template(raw: str | None) -> str | None:
-    """The placeholders of a path whose constraints may hold nested braces, without the constraints."""
+    """The placeholders of a path whose constraints may hold nested braces, without the constraints.
+
+    The path's parts go to the topmost of a stack of open placeholders; closing the outermost keeps its name. Placeholders
+    that are never closed stay as they were written."""
     if raw is None:
         return None
-    route = raw if raw.startswith("/") else f"/{raw}"
-    out, at = [], 0
-    while (start := route.find("{", at)) >= 0:
-        out.append(route[at:start])
-        depth, end = 1, start + 1
-        while end < len(route) and depth:
-            step = route[end]
-            end += 2 if step == "\\" else 1
-            depth += (step == "{") - (step == "}")
-        if depth:
-            return "".join(out) + route[start:]
-        out.append("{" + route[start + 1 : end - 1].partition(":")[0] + "}")
-        at = end
-    return "".join(out) + route[at:]
+    open_parts: list[list[str]] = [[]]
+    for part in _PARTS.findall(raw if raw.startswith("/") else "/" + raw):
+        if part == "{":
+            open_parts.append([])
+        elif part == "}" and len(open_parts) > 1:
+            inner = "".join(open_parts.pop())
+            name = re.split(":", inner, maxsplit=1)[0] if len(open_parts) == 1 else inner
+            open_parts[-1].append("{" + name + "}")
+        else:
+            open_parts[-1].append(part)
+    return "{".join("".join(x) for x in open_parts)
 
 
 def _slim(raw: Column) -> Column:
@@ -71,11 +77,6 @@ def _slim(raw: Column) -> Column:
     return convert(raw)
 
 
-def is_dynamic_express(raw: Column) -> Column:
-    """Whether an express path is a pattern that no template can stand for."""
-    return raw.contains("(.*)") | raw.rlike(r"[\^$]|\\[dsw]|\\\.")
-
-
 def parameters(template: Column) -> Column:
     """Names in braces, in order."""
     return F.regexp_extract_all(template, F.lit(r"\{([^}]+)\}"), 1)
@@ -134,17 +135,21 @@ def tag(path: Column, file: Column) -> Column:
     return F.when(first.isNotNull() & ~first.startswith("{"), first).when(stem == "index", "default").otherwise(stem)
 
 
-def singular(word: Column) -> Column:
+#: Endings of a plural as (pattern, replacement); the first that a word has applies.
+SINGULAR = (("ies$", "y"), ("ses$", "s"), ("s$", ""))
+
+
+def singular_word(word: str) -> str:
     """A resource's name for one of it: categories -> category, statuses -> status, users -> user."""
-    return (
-        F.when(word.endswith("ies"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.endswith("ses"), F.regexp_replace(word, "es$", ""))
-        .otherwise(F.regexp_replace(word, "s$", ""))
-    )
+    return next((re.sub(p, r, word) for p, r in SINGULAR if re.search(p, word)), word)
 
 
-def resource_binding(segment: Column) -> Column:
-    return singular(F.replace(segment, F.lit("-"), F.lit("_")))
+def singular(word: Column) -> Column:
+    """singular_word as a Column."""
+    out = word
+    for pattern, replacement in reversed(SINGULAR):
+        out = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, replacement)).otherwise(out)
+    return out
 
 
 def snake_case(name: Column) -> Column:
@@ -170,8 +175,3 @@ def pointer_unescaped(name: Column) -> Column:
 
 def component_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_")
-
-
-def without_fence(text: Column) -> Column:
-    """A model's answer without the code fence around it."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def mount_closure(roots: DataFrame, edges: DataFrame, budget: int = 10_000, depth: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -21,6 +22,7 @@ def mount_closure(roots: DataFrame, edges: DataFrame, budget: int = 10_000, dept
         back = F.array_contains("way", F.col("child"))
         backs.append(step.filter(back).select("parent", "child", F.concat("base", "more").alias("prefix")))
         frontier = step.filter(~back).select(F.col("child").alias("router"), F.concat("base", "more").alias("prefix"), F.concat("way", F.array("child")).alias("way"), F.lit(level).alias("depth"))
+        frontier = frontier.persist()  # each level is read by the next one, by the result and by the check of the budget
         if frontier.isEmpty():
             break
         levels.append(frontier)
@@ -60,3 +62,15 @@ def covering_scopes(routes: DataFrame, scopes: DataFrame, path: str = "path", sc
     parts = F.split(path, "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     return routes.withColumn(scope, F.explode(F.array_distinct(prefixes))).join(scopes, scope)
+
+
+def later_handlers(events: DataFrame, scope: str, ordinal: str, route: Column, handler: Column, key: str) -> DataFrame:
+    """Routes of `events` with the handlers registered after them in their scope: key, handlers (how many) and
+    first_handler (the least key among them); routes without any are left out.
+
+    A running aggregate from the end of the scope, not a join of all pairs; rows of the same ordinal aren't after each
+    other."""
+    after = Window.partitionBy(scope).orderBy(F.desc(ordinal)).rangeBetween(Window.unboundedPreceding, -1)
+    found = F.when(handler, F.col(key))
+    own = events.filter(route | handler).select(key, route.alias("__route"), F.count(found).over(after).alias("handlers"), F.min(found).over(after).alias("first_handler"))
+    return own.filter("__route AND handlers > 0").drop("__route")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -43,13 +44,15 @@ def numbered_names(df: DataFrame, name: str, ordinal: Sequence[Column], out: str
 
 
 def free_names(names: Sequence[str]) -> list[str]:
-    """Names told apart by the first free suffix from _2 on, also against names that occur as such."""
-    taken, out = set(), []
+    """Names told apart: the first of equal ones keeps its name, later ones get the first suffix from _2 on that gives a
+    name which neither stands anywhere in the list nor was given before."""
+    reserved, met, out = set(names), set(), []
     for name in names:
-        new, n = name, 2
-        while new in taken:
-            new, n = f"{name}_{n}", n + 1
-        taken.add(new)
+        new = name
+        if name in met:
+            new = next(x for x in (f"{name}_{n}" for n in itertools.count(2)) if x not in reserved)
+        met.add(name)
+        reserved.add(new)
         out.append(new)
     return out
 

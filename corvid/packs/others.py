@@ -7,6 +7,7 @@ import ast
 import re
 from collections.abc import Iterator, Mapping
 
+from corvid.functions.paths import singular_word
 from corvid.packs import Found
 from corvid.packs.pyfacts import bases, constant, dotted, find_class, parse
 from corvid.packs.routes import VERBS, best, candidate, firsts, joined, names_in, parameter, response
@@ -31,13 +32,18 @@ def _texts(files: Mapping[str, str], suffix: str, hashes: bool = False) -> dict[
 
 # --- PHP -------------------------------------------------------------------------------------------------------------
 
-#: The actions of a resource as (verb, suffix, status).
-RESOURCE = {"index": ("get", "", 200), "create": ("get", "/create", 200), "store": ("post", "", 201), "show": ("get", "/{x}", 200), "edit": ("get", "/{x}/edit", 200), "update": ("put", "/{x}", 200), "destroy": ("delete", "/{x}", 204)}
+#: The actions of a resource as (verbs, suffix).
+RESOURCE = {
+    "index": (("get",), ""), "create": (("get",), "/create"), "store": (("post",), ""), "show": (("get",), "/{x}"), "edit": (("get",), "/{x}/edit"),
+    "update": (("put", "patch"), "/{x}"), "destroy": (("delete",), "/{x}"),
+}
 
 
-def _singular(word: str) -> str:
-    word = word.replace("-", "_")
-    return word[:-3] + "y" if word.endswith("ies") else word[:-2] if word.endswith("ses") else word[:-1] if word.endswith("s") else word
+def _nested(segments: str) -> tuple[str, str]:
+    """A resource's collection path and the name of its own binding: photos.comments -> photos/{photo}/comments, comment."""
+    parts = [p for p in segments.strip("/").split(".") if p]
+    names = [singular_word(p.split("/")[-1].replace("-", "_")) for p in parts]
+    return "/".join(x for p, n in zip(parts, names) for x in (p, f"{{{n}}}"))[: -len(names[-1]) - 3] if parts else "", names[-1] if names else "resource"
 
 
 def _php_rules(text: str) -> dict | None:
@@ -129,10 +135,14 @@ def laravel(files: Mapping[str, str]) -> Found:
                     named = {n: a for n, a, _, _ in parts}
                     only = re.findall(r"['\"](\w+)['\"]", " ".join(named.get("only", [])))
                     without = re.findall(r"['\"](\w+)['\"]", " ".join(named.get("except", []))) + (["create", "edit"] if name == "apiResource" else [])
-                    for action, (verb, suffix, _) in RESOURCE.items():
+                    collection, binding = _nested(segment)
+                    for action, (verbs, suffix) in RESOURCE.items():
                         if (not only or action in only) and action not in without:
-                            full = joined(own, segment) + suffix.replace("x", _singular(segment.split("/")[-1]) if "{x}" in suffix else "x")
-                            yield described(_route(verb, full, path, text, at), owner, action)
+                            for verb in verbs:
+                                route = described(_route(verb, joined(own, collection) + suffix.replace("x", binding), path, text, at), owner, action)
+                                if not route["responses"]:  # the action is there whether or not its method was found
+                                    route["responses"].append(response(200, confidence="low"))
+                                yield route
 
     def all_routes() -> Iterator[dict]:
         for path, text in texts.items():

@@ -85,7 +85,7 @@ class Call:
     end: int
 
 
-_CALL = re.compile(r"(?:([A-Za-z_$][\w$]*(?:\(\))?(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*)\s*(?:\.|->|::)\s*)?([A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\s*\(")
+_CALL = re.compile(r"(?:([A-Za-z_$][\w$]*(?:\(\))?(?:(?:\.|->|::)[A-Za-z_$][\w$]*(?:\(\))?)*)\s*(?:\.|->|::)\s*)?([A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\s*\(")
 
 
 def calls(text: str, start: int = 0, end: int | None = None) -> Iterator[Call]:

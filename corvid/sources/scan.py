@@ -7,6 +7,7 @@ recognised by joins, and contents are read for files that pass name and size fil
 from __future__ import annotations
 
 import fnmatch
+import itertools
 import re
 from collections.abc import Sequence
 
@@ -128,14 +129,16 @@ def ignored(path: str, rules: Sequence[tuple[str, str]], extra: Sequence[str] =
     return verdict or any(re.fullmatch(r[0], path) for r in map(ignore_pattern, extra) if r and not r[1])
 
 
-def ignore_rules(spark: SparkSession, root: str, projects: bool = False, depth: int = 10, names: Sequence[str] = IGNORE_FILES) -> DataFrame:
-    """(project, folder, text) of ignore files down to `depth` folders. Spark's readers skip hidden files, so they are
+def ignore_rules(spark: SparkSession, root: str, projects: bool = False, names: Sequence[str] = IGNORE_FILES) -> DataFrame:
+    """(project, folder, text) of ignore files in folders of any depth. Spark's readers skip hidden files, so they are
     found by globs of the file system itself, on the driver, as Spark's own listing is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     top = fs.makeQualified(path).toUri().getPath().rstrip("/")
     rows = []
-    for n in range(depth):
+    for n in itertools.count():
+        if n and not any(s.isDirectory() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/*" * n)) or ()):
+            break
         for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{'*/' * n}{{{','.join(names)}}}")) or ():
             inside = status.getPath().toUri().getPath()[len(top) + 1 :].rpartition("/")[0]
             project, _, folder = inside.partition("/") if projects else (top.rsplit("/", 1)[-1], "", inside)

@@ -11,6 +11,9 @@ from corvid.operators.diff import snapshot_diff
 from corvid.sources.scan import decoded
 
 
+STATE = "path string, hash string"
+
+
 def file_stream(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, hash) of files as they appear under root."""
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -25,10 +28,9 @@ def watch(stream: DataFrame, known: str, checkpoint: str, on_change: Callable[[D
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        try:
-            before = spark.read.parquet(f"{known}/batch=*").filter(F.col("batch") < number) if number else None
-        except Exception:  # the first batch finds no table
-            before = None
+        path = spark._jvm.org.apache.hadoop.fs.Path(known)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)  # any other failure to read is an error
+        before = spark.read.schema(f"{STATE}, batch int").parquet(known).filter(F.col("batch") < number) if there else None
         latest = before.groupBy("path").agg(F.max_by("hash", "batch").alias("hash")) if before is not None else df.limit(0)
         seen = latest.join(df.select("path"), "path", "left_semi")
         on_change(snapshot_diff(seen, df, "path", "hash"))

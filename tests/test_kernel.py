@@ -33,7 +33,8 @@ def test_dedupe(spark):
     assert best == {k: min(n for x, n, s in rows if x == k and s == 4) for k in "ab"}
     assert {r.k: r.n for r in dedupe.first_wins(df, ["k"], F.col("n")).collect()} == {"a": 0, "b": 0}
     assert dedupe.duplicates(df, ["k"], F.col("n")).count() == 38
-    assert dedupe.free_names(["a", "a", "a_2", "a", "b"]) == ["a", "a_2", "a_2_2", "a_3", "b"]
+    assert dedupe.free_names(["a", "a", "a_2", "a", "b"]) == ["a", "a_3", "a_2", "a_4", "b"]
+    assert dedupe.free_names(["a", "a", "a_2"]) == ["a", "a_3", "a_2"]
 
 
 def test_diff(spark):
@@ -67,6 +68,9 @@ def test_schemas():
     assert out == {"items": {"$ref": S.REF + "P"}} and components == {"P": {"$ref": S.REF + "Q"}, "Q": {"type": "string"}}
     assert S.namespaced({"A": {"$ref": S.REF + "A"}}, "p_") == {"p_A": {"$ref": S.REF + "p_A"}}
     assert S.filled({"type": "object", "properties": {"a": {}, "b": {"type": "string"}}}, {"properties": {"a": {"type": "integer"}, "b": {"type": "number"}}})["properties"] == {"a": {"type": "integer"}, "b": {"type": "string"}}
+    assert S.filled({"type": "string"}, {"type": "integer", "minimum": 0}) == {"type": "string"}
+    assert S.filled({"type": "object", "properties": {"a": {"type": "string"}}}, {"properties": {"a": {}, "x": {"type": "null"}}}) == {"type": "object", "properties": {"a": {"type": "string"}}}
+    assert S.filled({"anyOf": [{"type": "array"}]}, {"type": "array", "items": {"type": "string"}}) == {"type": "array", "items": {"type": "string"}} and S.filled({"anyOf": [{"type": "array"}]}, {"type": "array"}) == {"anyOf": [{"type": "array"}]}
     assert S.clamped({"type": "weird", "properties": {"a": {"type": "string", "evil": 1}, "constructor": {}}, "x": 1}) == {"properties": {"a": {"type": "string"}}}
     a, b = {"x": 1, "y": {"z": 2, "w": 3}}, {"y": {"w": 3, "z": 2}, "x": 1}
     assert S.canonical(a) == S.canonical(b) and S.ordered(a) != S.ordered(b)
