@@ -18,6 +18,7 @@ from corvid.functions import paths, schemas
 from corvid.operators import gate, merge, variants
 from corvid.operators.dedupe import free_names
 from corvid.packs import extract, registry, validators
+from corvid.packs.routes import VERBS
 from corvid.plans import review
 from corvid.queries import query
 from corvid.sources import models
@@ -114,8 +115,8 @@ _PACKS: dict[str, tuple[dict[str, str], list[tuple[str, str, str, str]]]] = {
         [("get", "/api/@w/c@k/{id}", "path:id,query:full", "200"), ("post", "/api/@w", "", "201")]),
     "nextjs": ({"app/api/@w/[id]/route.ts": "export async function GET(req) { return Response.json({ a: 1 }) }\nexport const DELETE = async () => new Response(null)", "pages/api/v@k.ts": "export default function h(req, res) { res.status(202).json({}) }", "app/(shop)/api/all/[...rest]/route.ts": "export async function POST() { return Response.json({ b: 1 }, { status: 201 }) }"},
         [("get", "/api/@w/{id}", _ID, "200"), ("delete", "/api/@w/{id}", _ID, ""), ("get", "/api/v@k", "", "202"), ("post", "/api/all/{rest}", "path:rest", "201")]),
-    "gin": ({"main.go": 'package main\nimport "github.com/gin-gonic/gin"\nfunc main() {\n\tr := gin.Default()\n\tv1 := r.Group("/@w")\n\tv1.GET("/i@k/:id", one)\n\tregister(v1)\n\thttp.Get("/decoy")\n}\nfunc register(rg *gin.RouterGroup) {\n\trg.POST("/items", one)\n}\nfunc one(c *gin.Context) {\n\tq := c.Query("page")\n\tc.JSON(http.StatusAccepted, gin.H{"q": q})\n}\n'},
-        [("get", "/@w/i@k/{id}", "path:id,query:page", "202"), ("post", "/@w/items", "query:page", "202")]),
+    "gin": ({"main.go": 'package main\nimport "github.com/gin-gonic/gin"\nfunc main() {\n\tr := gin.Default()\n\tv1 := r.Group("/@w")\n\tv1.GET("/i@k/:id", one)\n\tv1.Any("/any", none)\n\tregister(v1)\n\thttp.Get("/decoy")\n}\nfunc register(rg *gin.RouterGroup) {\n\trg.POST("/items", one)\n}\nfunc one(c *gin.Context) {\n\tq := c.Query("page")\n\tc.JSON(http.StatusAccepted, gin.H{"q": q})\n}\nfunc none(c *gin.Context) { c.Status(http.StatusNoContent) }\n'},
+        [("get", "/@w/i@k/{id}", "path:id,query:page", "202"), ("post", "/@w/items", "query:page", "202"), *((v, "/@w/any", "", "204") for v in VERBS)]),
     "echo": ({"main.go": 'package main\nfunc main() {\n\te := echo.New()\n\tg := e.Group("/@w")\n\tg.PUT("/a@k/:id", h)\n}\nfunc h(c echo.Context) error { return c.NoContent(http.StatusNoContent) }\n'}, [("put", "/@w/a@k/{id}", _ID, "204")]),
     "fiber": ({"main.go": 'package main\nfunc main() {\n\tapp := fiber.New()\n\tapp.Get("/@w/f@k/:id", func(c *fiber.Ctx) error { return c.Status(202).JSON(fiber.Map{"a": 1}) })\n}\n'}, [("get", "/@w/f@k/{id}", _ID, "202")]),
     "chi": ({"main.go": 'package main\nfunc main() {\n\tr := chi.NewRouter()\n\tr.Route("/@w", func(r chi.Router) {\n\t\tr.Get("/", list)\n\t\tr.Route("/{id:[0-9]+}", func(r chi.Router) {\n\t\t\tr.Delete("/d@k", list)\n\t\t})\n\t})\n\tr.Mount("/admin", adminRouter())\n}\nfunc adminRouter() http.Handler {\n\tr := chi.NewRouter()\n\tr.Get("/stats", list)\n\treturn r\n}\nfunc list(w http.ResponseWriter, r *http.Request) { w.WriteHeader(http.StatusCreated) }\n'},
@@ -135,7 +136,7 @@ _PACKS: dict[str, tuple[dict[str, str], list[tuple[str, str, str, str]]]] = {
         "C.cs": 'using Microsoft.AspNetCore.Mvc;\n[ApiController]\n[Route("api/[controller]")]\npublic class ItemsController : ControllerBase {\n  [HttpGet("{id:int}")]\n  public ActionResult<Item> Get(int id, [FromQuery] string? q) { return null; }\n}\npublic class Item { public required string Name { get; set; } }\n',
         "Program.cs": 'var app = WebApplication.CreateBuilder(args).Build();\nvar g = app.MapGroup("/@w");\ng.MapGet("/x@k/{id}", (int id) => Results.Ok());\n',
     }, [("get", "/api/Items/{id}", "path:id,query:q", "200"), ("get", "/@w/x@k/{id}", _ID, "200")]),
-    "fastendpoints": ({"E.cs": 'public class E : Endpoint<Req, Res> {\n  public override void Configure() { Post("/@w/fe@k/{id}"); AllowAnonymous(); }\n}\npublic class Req { public string A { get; set; } }\npublic class Res { public int B { get; set; } }\n'}, [("post", "/@w/fe@k/{id}", _ID, "200")]),
+    "fastendpoints": ({"E.cs": 'public class E : Endpoint<Req, Res> {\n  public override void Configure() { Verbs(Http.POST, Http.PUT); Routes("/@w/fe@k/{id}", "/other@k"); AllowAnonymous(); }\n}\npublic class Req { public string A { get; set; } }\npublic class Res { public int B { get; set; } }\n'}, [(v, p, q, "200") for v in ("post", "put") for p, q in (("/@w/fe@k/{id}", _ID), ("/other@k", ""))]),
     "axum": ({"m.rs": 'use axum::Router;\nfn app() -> Router { Router::new().route("/a@k/:id", get(h).post(h2)).nest("/@w", sub()) }\nfn sub() -> Router { Router::new().route("/s", delete(h)) }\n'}, [("get", "/a@k/{id}", _ID, ""), ("post", "/a@k/{id}", _ID, ""), ("delete", "/@w/s", "", "")]),
     "actix": ({"m.rs": 'use actix_web::{get, web};\n#[get("/u@k/{id}")]\nasync fn user() {}\n#[post("/p")]\nasync fn free() {}\nfn cfg() { App::new().service(web::scope("/@w").service(user)); }\n'}, [("get", "/@w/u@k/{id}", _ID, ""), ("post", "/p", "", "")]),
     "rocket": ({"m.rs": '#[get("/r@k/<id>?<q>")]\nfn r(id: usize, q: String) {}\n#[get("/lost")]\nfn lost() {}\nfn rocket() { rocket::build().mount("/@w", routes![r]); }\n'}, [("get", "/@w/r@k/{id}", "path:id,query:q", ""), ("unresolved", "unreachable-router", "", "")]),

@@ -74,3 +74,20 @@ def later_handlers(events: DataFrame, scope: str, ordinal: str, route: Column, h
     found = F.when(handler, F.col(key))
     own = events.filter(route | handler).select(key, route.alias("__route"), F.count(found).over(after).alias("handlers"), F.min(found).over(after).alias("first_handler"))
     return own.filter("__route AND handlers > 0").drop("__route")
+
+
+def exception_handlers(raised: DataFrame, handlers: DataFrame, parents: DataFrame, depth: int = 20) -> DataFrame:
+    """Each raised row (route, error) with the handler of its class or, failing that, of its nearest ancestor.
+
+    handlers: error, handler; parents: error, parent (a class's direct one). One join a level of ancestry, of what is not
+    yet handled; rows that no level handles are left out."""
+    out, left = None, raised.withColumn("class", F.col("error"))
+    for _ in range(depth):
+        met = left.join(handlers.select(F.col("error").alias("class"), "handler"), "class", "left").persist()
+        found = met.filter("handler IS NOT NULL").select("route", "error", "handler")
+        out = found if out is None else out.unionByName(found)
+        rest = met.filter("handler IS NULL").drop("handler")
+        left = rest.join(parents.select(F.col("error").alias("class"), F.col("parent")), "class").select("route", "error", F.col("parent").alias("class")).persist()
+        if left.isEmpty():
+            break
+    return out

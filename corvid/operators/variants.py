@@ -50,6 +50,35 @@ def union_by_status(responses: Iterable[dict]) -> list[dict]:
     return list(out.values())
 
 
+def event_schema(events: Iterable[dict]) -> dict:
+    """What an event stream's items are, from its events ({name, data}): the data's shape, or the shapes as oneOf where
+    they differ; if every event has a name, an envelope of the name, one of those, and the data."""
+    events = list(events)
+    shapes, names = [e["data"] for e in events if e.get("data")], [e["name"] for e in events if e.get("name")]
+    if not shapes:
+        return {}
+    data = shapes[0] if len({ordered(s) for s in shapes}) == 1 else {"oneOf": shapes}
+    if len(names) < len(events):
+        return data
+    return {"type": "object", "properties": {"event": {"type": "string", "enum": sorted(set(names))}, "data": data}, "required": ["event", "data"]}
+
+
+def collected_responses(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """Per key, status and media type one response: columns status, media_type, schema, replaces (boolean) and confidence,
+    a row for each time that a handler's code answers.
+
+    The first schema holds, unless a later row replaces it: then the last that does. Confidence is high if any row's is,
+    else that of the first. An aggregation, combined before the shuffle."""
+    found = F.col("schema").isNotNull()
+    place = F.when(F.col("replaces"), -F.col(ordinal)).otherwise(F.col(ordinal))
+    at = F.struct((~F.col("replaces")).alias("kept"), place.alias("place"))
+    first = F.min_by("confidence", ordinal)
+    return df.groupBy(*keys, "status", "media_type").agg(
+        F.min_by(F.when(found, F.col("schema")), F.when(found, at)).alias("schema"),
+        F.when(F.max(F.col("confidence") == "high"), "high").otherwise(first).alias("confidence"),
+    )
+
+
 def union_schemas(df: DataFrame, keys: list[str], schema: str, ordinal: str) -> DataFrame:
     """Per key the union of a JSON schema column in the order of ordinal.
 

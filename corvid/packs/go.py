@@ -151,8 +151,9 @@ def describe(sources: Sources, body: str, route: dict) -> None:
         elif c.name == "JSON" and len(c.args) == 1:
             code = re.search(r"Status\(([^()]+)\)\s*\.?$", body[: c.open].rstrip("(").removesuffix("JSON"))
             route["responses"].append(response((status(code[1]) if code else None) or 200, _value_schema(sources, c.args[0], body) or {}))
-        elif c.name in ("NoContent", "Status", "AbortWithStatus", "WriteHeader", "SendStatus") and len(c.args) == 1 and (code := status(c.args[0])) and c.name != "Status":
-            route["responses"].append(response(code))
+        elif c.name in ("NoContent", "Status", "AbortWithStatus", "WriteHeader", "SendStatus") and len(c.args) == 1 and (code := status(c.args[0])):
+            if c.name != "Status" or not re.match(r"\s*\.", body[c.end + 1 :]):  # Status(n).JSON(...) is read at its end
+                route["responses"].append(response(code))
         elif c.name == "Error" and c.receiver == "http" and len(c.args) == 3:
             route["responses"].append(response(status(c.args[2]) or 500, {"type": "string"}, "text/plain"))
         elif c.name == "Encode" and c.args:

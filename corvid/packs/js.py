@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-from corvid.packs import Found
+from corvid.packs import Found, validators
 from corvid.packs.routes import VERBS, best, candidate, firsts, joined, names_in, parameter, response
 from corvid.packs.scanner import calls, closing, line_at, object_schema, split_top, status, string, template, without_comments
 
@@ -98,6 +98,124 @@ class Modules:
         return text[d.start() : closing(text, brace) + 1] if brace >= 0 else text[d.start() : d.start() + 400]
 
 
+#: Names of middleware that asks for credentials, in lower case and letters alone.
+AUTH = re.compile(r"(^auth$|^authenticate|authorization|^jwt|bearer|^protect|guard|requireauth|isauth|ensureauth|authmiddleware|withauth)", re.I)
+_LIBRARY = {"z": validators.zod, "Joi": validators.joi, "joi": validators.joi, "yup": validators.yup, "Yup": validators.yup, "Type": validators.typebox, "t": validators.typebox, "S": validators.fluent}
+_PARSES = r"(?:parse|safeParse|parseAsync|safeParseAsync|validate|validateAsync|validateSync|attempt|cast)"
+
+
+def asks_credentials(middleware: str) -> bool:
+    """Whether a middleware's text is one that asks for a token: passport's jwt strategies, or by its name."""
+    if re.search(r"\.authenticate\(\s*['\"][^'\"]*(?:jwt|bearer)", middleware, re.I):
+        return True
+    name = re.match(r"[\w$.]+", middleware.strip())
+    return bool(name and "=>" not in middleware and AUTH.search(re.sub(r"[^A-Za-z]", "", name[0]).lower()))
+
+
+def _statement(text: str, at: int) -> str:
+    """The chain of calls that begins at `at`."""
+    end = at
+    while m := re.compile(r"\s*\.?\s*[A-Za-z_$][\w$]*").match(text, end):
+        end = m.end()
+        if end < len(text) and text[end] == "(":
+            end = closing(text, end) + 1
+        if not re.compile(r"\s*\.").match(text, end):
+            break
+    return text[at:end]
+
+
+class Validators:
+    """Schemas that validators declare, by name in each file, read on demand."""
+
+    def __init__(self, modules: Modules):
+        self.modules, self.known = modules, {}
+
+    def named(self, path: str) -> dict[str, str]:
+        if path not in self.known:
+            text = self.modules.texts[path]
+            found = re.finditer(rf"(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?=(?:{'|'.join(_LIBRARY)})\s*\.)", text)
+            self.known[path] = {m[1]: _statement(text, m.end()) for m in found}
+        return self.known[path]
+
+    def schema(self, path: str, expression: str) -> dict | None:
+        """The schema of an expression: a chain of a known library, or a name that stands for one here or where it's from."""
+        e = expression.strip()
+        head = re.match(r"([A-Za-z_$][\w$]*)(\s*\.)?", e)
+        if not head:
+            return None
+        if head[2] and head[1] in _LIBRARY:
+            return _LIBRARY[head[1]](e) if head[1] in ("S",) else _LIBRARY[head[1]](e, self.named(path))
+        file, name = self.modules.place(path, head[1])
+        text = self.named(file).get(name)
+        return self.schema(file, text) if text else None
+
+    def apply(self, path: str, code: str, route: dict) -> None:
+        """What a text (a handler, or middleware among a route's arguments) says about body, query and path parameters."""
+        places = {"body": "body", "json": "body", "form": "body", "query": "query", "params": "path", "param": "path", "headers": "header", "header": "header"}
+        for m in re.finditer(rf"\.\s*{_PARSES}\(\s*(?:await\s+)?(?:req|request|ctx\.request|ctx|c\.req)\.(body|query|params|json\(\))", code):
+            start = _chain_start(code, m.start())
+            self._said(route, places[m[1].removesuffix("()")], self.schema(path, code[start : m.start()]))
+        for m in re.finditer(r"\b(?:validate\w*|celebrate|validator)\(\s*(\{)?", code):
+            args = split_top(code[code.index("(", m.start()) + 1 : closing(code, code.index("(", m.start()))])
+            for entry in split_top(args[0].strip()[1:-1]) if m[1] and args else ():
+                key, _, value = entry.partition(":")
+                place = places.get(re.sub(r"[^a-z]", "", key.lower().replace("segments", "")))
+                self._said(route, place, self.schema(path, value) or (validators.joi(value) if value.strip().startswith("{") else None))
+            if not m[1] and args:
+                self._said(route, "body", self.schema(path, args[0]))
+        for m in re.finditer(r"\b\w*[vV]alidator\(\s*['\"](\w+)['\"]\s*,\s*", code):  # a context framework's own: place, schema
+            self._said(route, places.get(m[1]), self.schema(path, _statement(code, m.end())))
+        fields: dict = {}
+        for m in re.finditer(r"(?<![\w.])(body|query|param|header|cookie|check)\(\s*['\"]", code):
+            found = validators.express_validator(_statement(code, m.start()))
+            if found and found[0] == "body":
+                fields[found[1]] = (found[2], found[3])
+            elif found:
+                self._parameter(route, found[0], found[1], found[2], found[3])
+        if fields:
+            needed = [n for n, (_, r) in fields.items() if r]
+            self._said(route, "body", {"type": "object", "properties": {n: f for n, (f, _) in fields.items()}, **({"required": needed} if needed else {})})
+
+    @staticmethod
+    def _parameter(route: dict, place: str, name: str, schema: dict, needed: bool) -> None:
+        own = next((p for p in route["parameters"] if (p["in"], p["name"]) == (place, name)), None)
+        if own:
+            own.update(schema=schema, required=needed or place == "path")
+        elif place != "path":
+            route["parameters"].append(parameter(name, place, schema, needed))
+
+    def _said(self, route: dict, place: str | None, schema: dict | None) -> None:
+        if schema is None or place is None:
+            return
+        if place == "body":
+            route["request_body"] = {"required": True, "content": [{"media_type": "application/json", "schema": schema}]}
+        for name, each in schema.get("properties", {}).items() if place != "body" else ():
+            self._parameter(route, place, name, each, name in schema.get("required", ()))
+
+
+def _chain_start(code: str, end: int) -> int:
+    """Where the chain of names and calls that ends at `end` begins."""
+    at = end
+    while at > 0:
+        before = code[:at].rstrip()
+        if before.endswith(")"):
+            depth, at = 0, len(before)
+            while at > 0:
+                at -= 1
+                depth += (before[at] == ")") - (before[at] == "(")
+                if depth == 0:
+                    break
+        elif m := re.search(r"[A-Za-z_$][\w$]*$", before):
+            at = m.start()
+            if not code[:at].rstrip().endswith("."):
+                return at
+        elif before.endswith("."):
+            at = len(before) - 1
+        else:
+            return at
+    return at
+
+
 def describe(code: str | None, route: dict) -> None:
     """Parameters, body and responses in a handler's text, for request and context styles alike."""
     if code is None:
@@ -175,6 +293,8 @@ def routers(framework: str):
     def extract(files: Mapping[str, str]) -> Found:
         found = Found()
         modules = Modules(files)
+        checks = Validators(modules)
+        around: list[tuple[tuple[str, str], str, int, str, str]] = []  # middleware: owner, file, place, scope, text
         made: dict[tuple[str, str], dict] = {}
         mounts: dict[tuple[str, str], list[tuple[tuple[str, str], str]]] = {}
         sites: list[tuple[tuple[str, str], str, str, int, list[str]]] = []
@@ -200,6 +320,9 @@ def routers(framework: str):
                 chain_path = re.search(r"\.route\(\s*['\"]([^'\"]+)['\"]\s*\)\s*(?:\.\w+\((?:[^()]|\([^()]*\))*\)\s*)*$", text[max(0, c.at - 300) : c.open]) if framework == "express" else None
                 if c.name in style.mount and c.args:
                     _mounted(modules, made, mounts, owner, path, c)
+                if c.name == "use" and c.args:
+                    scope = string(c.args[0])
+                    around += [(owner, path, c.at, scope or "", a) for a in (c.args[1:] if scope is not None else c.args)]
                 if c.name in (*VERBS, style.all_name, "query", "del") and c.args and not chain_path:
                     sites.append((owner, c.name, path, c.at, c.args))
                 elif c.name == "route" and framework == "fastify" and c.args and c.args[0].startswith("{"):
@@ -242,7 +365,18 @@ def routers(framework: str):
                     full = joined(prefix, template(raw, style.paths))
                     route = candidate(method, full, path, line_at(modules.texts[path], at))
                     route["parameters"] = [parameter(n, "path", {"type": "string"}, True) for n in names_in(full)]
-                    describe(modules.function(path, handler) if handler else None, route)
+                    code = modules.function(path, handler) if handler else None
+                    describe(code, route)
+                    before = [a for a in args[1:] if a is not handler]
+                    for text in (*before, code or ""):
+                        checks.apply(path, text, route)
+                    # middleware of the router that stands before the route, whose scope covers it
+                    before += [a for o, file, place, scope, a in around if o == owner and (file != path or place < at) and _covers(scope, raw)]
+                    if any(map(asks_credentials, before)):
+                        route["security"] = [{"bearerAuth": []}]
+                        found.security["bearerAuth"] = {"type": "http", "scheme": "bearer"}
+                    if code and re.search(r"\bthrow\b|\bnext\(\s*[^)\s]", code):
+                        _handled(modules, made, around, owner, path, at, raw, full, route)
                     candidates.append(route)
         used = {s[0] for s in sites}
         for key in made:
@@ -260,6 +394,29 @@ def routers(framework: str):
     return extract
 
 
+def _covers(scope: str, path: str) -> bool:
+    """Whether a middleware's scope is a path or a prefix of it at a slash."""
+    scope = scope.rstrip("/")
+    return path == scope or path.startswith(scope + "/") or not scope
+
+
+def _handled(modules: Modules, made: dict, around, owner, path: str, at: int, raw: str, full: str, route: dict) -> None:
+    """Responses of the error handlers that a route's errors reach: those of its router after it, and an app's own."""
+    known = {r["status_code"] for r in route["responses"]}
+    for o, file, place, scope, text in around:
+        own = o == owner and (file != path or place > at) and _covers(scope, raw)
+        if not own and not (made[o]["app"] and o != owner and _covers(scope, full)):
+            continue
+        code = modules.function(file, text)
+        head = re.search(r"\(([^()]*)\)", code) if code else None
+        if not head or len([p for p in head[1].split(",") if p.strip()]) != 4:
+            continue
+        answer = candidate(route["method"], full, file, 1)
+        describe(code, answer)
+        route["responses"] += [r for r in answer["responses"] if r["status_code"] not in known]
+        known |= {r["status_code"] for r in answer["responses"]}
+
+
 def _mounted(modules: Modules, made: dict, mounts: dict, owner, path: str, c) -> None:
     prefix, targets = "", c.args
     first = string(c.args[0])

@@ -16,7 +16,7 @@ from corvid.operators.gate import gated
 from corvid.operators.score import scan_report
 from corvid.packs import extract, registry
 from corvid.sources import manifests
-from corvid.sources.scan import index_files, listing
+from corvid.sources.scan import index_files, index_with_roots, listing
 
 #: Packages that hint at a framework, and imports that show one without a manifest.
 HINTS: dict[str, tuple[str, ...]] = {
@@ -46,11 +46,21 @@ def gates(files: DataFrame, packages: DataFrame, frameworks: Sequence[str] | Non
     text = F.when(F.col("language") == "typescript", "javascript").otherwise(F.col("language"))
     shown = F.array(*(F.when((text == lang) & F.col("content").rlike(pattern), F.lit(f)) for f, (lang, pattern) in EVIDENCE.items()))
     seen = files.select("project", F.explode(F.filter(shown, lambda f: f.isNotNull())).alias("framework")).distinct()
-    found = declared.unionByName(seen).distinct()
-    pairs = spark.createDataFrame([(a, b) for a, bs in YIELDS.items() for b in bs], "framework string, other string")
-    yielding = found.join(F.broadcast(pairs), "framework").join(found.select("project", F.col("framework").alias("other")), ["project", "other"], "left_semi")
-    out = found.join(yielding.select("project", "framework"), ["project", "framework"], "left_anti")
-    return out.filter(F.col("framework").isin(*frameworks)) if frameworks else out
+    found = without_yielding(declared.unionByName(seen).distinct(), YIELDS)
+    return asked(found, frameworks) if frameworks else found
+
+
+def without_yielding(found: DataFrame, yields: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(project, framework) without those that yield to another framework of the same project."""
+    pairs = [(a, b) for a, bs in yields.items() for b in bs]
+    other = F.explode(F.array(*(F.struct(F.lit(a).alias("framework"), F.lit(b).alias("other")) for a, b in pairs)))
+    yielding = found.select("project", F.col("framework").alias("claimed")).select("project", "claimed", other.alias("y")).filter("claimed = y.other")
+    return found.join(yielding.select("project", "y.framework").distinct(), ["project", "framework"], "left_anti")
+
+
+def asked(found: DataFrame, frameworks: Sequence[str]) -> DataFrame:
+    """What the caller named of what was found."""
+    return found.filter(F.col("framework").isin(*frameworks))
 
 
 @dataclass
@@ -110,14 +120,14 @@ def _assembled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return operations, both.filter("kind = 'component'").select("project", "name", F.col("value").alias("schema"), "ordinal")
 
 
-def scan_project(spark: SparkSession, root: str, projects: bool = False, frameworks: Sequence[str] | None = None, on_progress: Callable[[str, str], None] | None = None, **options) -> Scan:
+def scan_project(spark: SparkSession, root: str, projects: bool = False, frameworks: Sequence[str] | None = None, on_progress: Callable[[str, str], None] | None = None, extra_roots: Sequence[str] = (), **options) -> Scan:
     """Scan the sources under root. With `projects`, each folder of root is a project and all are scanned in one job.
 
     Options are those of index_files. A project without any known framework or route has no operations and, if a pack was
     there, a remark."""
     tell = on_progress or (lambda phase, detail: None)
     tell("index", root)
-    files, skipped = index_files(spark, root, projects, **options)
+    files, skipped = index_with_roots(spark, root, extra_roots, **options) if extra_roots else index_files(spark, root, projects, **options)
     files = files.cache()
     texts = manifests.manifest_texts(spark, root, projects)
     packages = manifests.packages(texts)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.functions import paths
-from corvid.functions.schemas import on_json, without_hazards
 from corvid.operators import closure, dedupe, diff, gate, merge, score, variants
+from corvid.plans import scan as plan
+from corvid.sources import manifests
 from corvid.sources import scan as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,54 +38,53 @@ def query(sql: str | None = None, name: str | None = None):
 
 URL_PATH = r"^https?://[^/?#]+(/[^?#]*)"
 _DUCK_PATH = f"regexp_extract(url, '{URL_PATH}', 1)"
-#: How the numeric segments of a URL are written in each dialect, and what DuckDB has to do to undo it.
+#: How the numeric segments of a URL are written in each dialect, by the page's key: what stands before the path, the
+#: placeholder as written, and the template that it means.
 _RAW = {
-    "express": ("/:id([0-9]+)", [(":([A-Za-z0-9_]+)\\([^)]*\\)", "{\\1}")]),
-    "hono": ("/:id", [(":([A-Za-z0-9_]+)", "{\\1}")]),
-    "koa": ("/:id/*", [(":([A-Za-z0-9_]+)", "{\\1}"), ("\\*", "{wildcard}")]),
-    "elysia": ("/*rest", [("\\*([A-Za-z0-9_]+)", "{\\1}")]),
-    "fastapi": ("/{id:int}", [("\\{([^{}:]+):[^{}]+\\}", "{\\1}")]),
-    "flask": ("/<int:id>", [("<(?:[A-Za-z]+:)?([A-Za-z_][A-Za-z0-9_]*)>", "{\\1}")]),
-    "django": ("/(?P<id>[0-9]+)/?", [("\\(\\?P<([^>]+)>[^)]*\\)", "{\\1}"), ("/\\?", "/")]),
-    "gin": ("/:id", [(":([A-Za-z0-9_]+)", "{\\1}")]),
-    "echo": ("/*id", [("\\*[A-Za-z0-9_]*", "{wildcard}")]),
-    "fiber": ("/:id/*", [(":([A-Za-z0-9_]+)", "{\\1}"), ("\\*[A-Za-z0-9_]*", "{wildcard}")]),
-    "chi": ("/{id:[0-9]+}", [("\\{([^}:]+):[^}]*\\}", "{\\1}")]),
-    "gorillamux": ("/{id:[a-z]+}", [("\\{([^}:]+):[^}]*\\}", "{\\1}")]),
-    "nethttp": ("/{id...}", [("\\{([A-Za-z0-9_]+)\\.\\.\\.\\}", "{\\1}")]),
-    "axum": ("/:id", [(":([A-Za-z0-9_]+)", "{\\1}")]),
-    "actix": ("/{id:\\d+}", [("\\{([^{}:]*):[^{}]*\\}", "{\\1}")]),
-    "rocket": ("/<id:usize>", [("<([A-Za-z_][A-Za-z0-9_]*)(?::[^>]+)?>", "{\\1}")]),
-    "laravel": ("/{id?}", [("\\{([^}?]+)\\?\\}", "{\\1}"), ("/+$", "")]),
-    "symfony": ("/{id?1}", [("\\{([^{}:?]+)[^}]*\\}", "{\\1}")]),
-    "aspnet": ("/{id:int?}", [("\\{\\**([A-Za-z0-9_]+)(?::[^}?]+)?\\??\\}", "{\\1}")]),
-    "nextjs": ("/[id]", [("\\[([^\\]/]+)\\]", "{\\1}")]),
-    "slim": ("/{id:[0-9]{1,9}}", [("\\{id:\\[0-9\\]\\{1,9\\}\\}", "{id}")]),
-}
-
-
-def _java(replacement: str) -> str:
-    return replacement.replace("\\", "\\\\")
-
-
-def _register_path(dialect: str, written: str, undo: list[tuple[str, str]]) -> None:
-    duck = f"regexp_replace({_DUCK_PATH}, '/[0-9]+', '{written.replace(chr(92), chr(92) * 2)}', 'g')"
-    out = duck
-    for pattern, replacement in undo:
-        out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
+    "express": [("", "/:id([0-9]+)", "/{id}"), ("", "/:id?", "/{id}"), ("", "/*rest", "/{rest}"), ("", "/*", "/{wildcard}")],
+    "hono": [("", "/:id", "/{id}"), ("", "/*", "/{wildcard}")],
+    "koa": [("", "/:id/*", "/{id}/{wildcard}"), ("", "/*rest", "/{rest}")],
+    "elysia": [("", "/*rest", "/{rest}"), ("", "/:a/:b", "/{a}/{b}")],
+    "fastapi": [("", "/{id:int}", "/{id}"), ("", "/{rest:path}", "/{rest}"), ("", "/{plain}", "/{plain}")],
+    "flask": [("", "/<int:id>", "/{id}"), ("", "/<id>", "/{id}"), ("", "/<path:rest>", "/{rest}")],
+    "django": [("", "/(?P<id>[0-9]+)/?", "/{id}/"), ("", "/<slug:s>", "/{s}"), ("^", "/<n>", "/{n}")],
+    "gin": [("", "/:id", "/{id}"), ("", "/*rest", "/{rest}")],
+    "echo": [("", "/*id", "/{wildcard}"), ("", "/:id", "/{id}"), ("", "/*", "/{wildcard}")],
+    "fiber": [("", "/:id/*", "/{id}/{wildcard}")],
+    "chi": [("", "/{id:[0-9]+}", "/{id}"), ("", "/{id}", "/{id}")],
+    "gorillamux": [("", "/{id:[a-z]+}", "/{id}"), ("", "/{a}-{b:[0-9]}", "/{a}-{b}")],
+    "nethttp": [("", "/{id...}", "/{id}"), ("GET ", "/{id}", "/{id}")],
+    "axum": [("", "/:id", "/{id}"), ("", "/*rest", "/{rest}"), ("", "/{id}", "/{id}")],
+    "actix": [("", "/{id:\\d+}", "/{id}"), ("", "/{rest:.*}", "/{rest}")],
+    "rocket": [("", "/<id:usize>", "/{id}"), ("", "/<id>", "/{id}")],
+    "laravel": [("", "/{id?}", "/{id}"), ("", "/{id}", "/{id}")],
+    "symfony": [("", "/{id?1}", "/{id}"), ("", "/{id:user}", "/{id}"), ("", "/{id}", "/{id}")],
+    "aspnet": [("", "/{id:int?}", "/{id}"), ("", "/{**rest}", "/{rest}"), ("", "/{id}", "/{id}")],
+    "nextjs": [("", "/[id]", "/{id}"), ("", "/(group)/[id]", "/{id}"), ("", "/[...rest]", "/{rest}"), ("", "/[[...rest]]", "/{rest}")],
+    "slim": [("", "/{id:[0-9]{1,9}}", "/{id}"), ("", "/{id}", "/{id}"), ("", "/{a:x{b}y}-z", "/{a}-z")],
+}
+
+
+def _register_path(dialect: str, cases: list[tuple[str, str, str]]) -> None:
+    n = len(cases)
+    by_key = lambda k, f: "CASE " + " ".join(f"WHEN page_id % {n} = {i} THEN {f(c[k])}" for i, c in enumerate(cases)) + " END"
+    literal = lambda x: "'" + x + "'"
+    end = "regexp_replace({}, '/+$', '')" if dialect == "laravel" else "{}"  # the only dialect whose paths lose a slash there
+    written = lambda x: f"regexp_replace({_DUCK_PATH}, '/[0-9]+', '{x.replace(chr(92), chr(92) * 2)}', 'g')"
 
     def run(table) -> DataFrame:
         path = F.regexp_extract("url", URL_PATH, 1)
-        pages = table("pages").select("page_id", F.regexp_replace(path, "/[0-9]+", _java(written)).alias("raw"))
+        quoted = lambda x: F.lit(x.replace("\\", "\\\\").replace("$", "\\$"))
+        one = lambda c: F.concat(F.lit(c[0]), F.regexp_replace(path, F.lit("/[0-9]+"), quoted(c[1])))
+        raw = F.get(F.array(*map(one, cases)), (F.col("page_id") % n).cast("int"))
+        pages = table("pages").select("page_id", raw.alias("raw"))
         return pages.select("page_id", "raw", paths.template_path(F.col("raw"), dialect).alias("path"))
 
-    if dialect == "laravel":
-        out = f"CASE WHEN ({out}) = '' THEN '/' ELSE {out} END"
-    query(f"SELECT page_id, {duck} AS raw, {out} AS path FROM pages", f"path_{dialect}")(run)
+    query(f"SELECT page_id, {by_key(0, literal)} || {by_key(1, written)} AS raw, {end.format(by_key(2, written))} AS path FROM pages", f"path_{dialect}")(run)
 
 
-for _dialect, (_written, _undo) in _RAW.items():
-    _register_path(_dialect, _written, _undo)
+for _dialect, _cases in _RAW.items():
+    _register_path(_dialect, _cases)
 
 #: The endpoint of a page: host, and path with numbers as {id} between single slashes.
 _ENDPOINTS = rf"""
@@ -136,11 +136,11 @@ def path_joins(table) -> DataFrame:
 
 @query("""SELECT p_partkey, lower(regexp_replace(p_type, '[ -]+', '_', 'g')) AS snake,
     CASE WHEN p_type LIKE '%ies' THEN regexp_replace(p_type, 'ies$', 'y') WHEN p_type LIKE '%ses' THEN regexp_replace(p_type, 'es$', '') ELSE regexp_replace(p_type, 's$', '') END AS one,
-    regexp_replace(p_name, '[^A-Za-z0-9._-]', '_', 'g') AS component, sha256(p_name) AS hash, substr(sha256(p_brand || p_name), 1, 16) AS review_id FROM part""")
+    regexp_replace(p_name, '[^A-Za-z0-9._-]', '_', 'g') AS component, sha256(p_name) AS hash FROM part""")
 def name_functions(table) -> DataFrame:
     return table("part").select(
-        "p_partkey", F.lower(F.regexp_replace("p_type", "[ -]+", "_")).alias("snake"), paths.singular(F.col("p_type")).alias("one"), paths.component_name(F.col("p_name")).alias("component"),
-        F.sha2("p_name", 256).alias("hash"), F.substring(F.sha2(F.concat("p_brand", "p_name"), 256), 1, 16).alias("review_id"),
+        "p_partkey", paths.snake_case(F.col("p_type")).alias("snake"), paths.singular(F.col("p_type")).alias("one"), paths.component_name(F.col("p_name")).alias("component"),
+        sources.content_hash(F.col("p_name")).alias("hash"),
     )
 
 
@@ -186,10 +186,14 @@ def dup_suffix(table) -> DataFrame:
     return dedupe.numbered_names(table("part"), "p_brand", [F.col("p_partkey")], "name").select("p_partkey", "name")
 
 
-@query("SELECT p_partkey, CASE WHEN n > 1 THEN p_brand || '_' || n ELSE p_brand END AS name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)")
+@query("""WITH n AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 4 = 0 THEN 'r_' || (2 + p_partkey % 7) ELSE 'r' END AS name FROM part), a AS (SELECT p_brand, list(name) AS names FROM n GROUP BY p_brand),
+    d AS (SELECT *, row_number() OVER (PARTITION BY p_brand, name ORDER BY p_partkey) - 1 AS k FROM n)
+    SELECT p_partkey, CASE WHEN k = 0 THEN name ELSE name || '_' || (list_filter(range(2, 100000), lambda x: NOT list_contains(names, name || '_' || x)))[k] END AS name FROM d JOIN a USING (p_brand)""")
 def free_suffix(table) -> DataFrame:
-    part = table("part").select("p_brand", "p_partkey").withColumn("project", F.col("p_brand"))
-    return dedupe.unique_names(part, "project", "p_brand", "p_partkey", "name").select("p_partkey", "name")
+    """Names of which some are suffixed by themselves: r, r, r_2 -> r, r_3, r_2."""
+    key = F.col("p_partkey")
+    name = F.when(key % 4 == 0, F.concat(F.lit("r_"), (2 + key % 7).cast("string"))).otherwise("r")
+    return dedupe.unique_names(table("part").select("p_brand", "p_partkey", name.alias("was")), "p_brand", "was", "p_partkey", "name").select("p_partkey", "name")
 
 
 @query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER w AS n, sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM documents WINDOW w AS (PARTITION BY source ORDER BY n_chars, doc_id)) WHERE n <= 8 AND s <= 24000""")
@@ -230,25 +234,23 @@ def removed_keys(table) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS hash, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")
 def content_hash(table) -> DataFrame:
-    return table("documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("bytes"))
+    return table("documents").select("doc_id", sources.content_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("bytes"))
 
 
 @query("SELECT CASE WHEN n_chars > 4000 THEN 'source-skipped' ELSE 'indexed' END AS state, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def size_cap_split(table) -> DataFrame:
-    state = F.when(F.col("n_chars") > 4000, "source-skipped").otherwise("indexed")
-    return table("documents").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"))
+    large = sources.too_large(F.col("n_chars"), 4000)
+    return table("documents").groupBy(F.when(large, "source-skipped").otherwise("indexed").alias("state")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"))
 
 
 @query("SELECT count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) > 10000 OR sum(octet_length(encode(text))) > 67108864 AS over FROM documents")
 def budget_report(table) -> DataFrame:
-    out = table("documents").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
-    return out.withColumn("over", (F.col("files") > 10_000) | (F.col("bytes") > 64 << 20))
+    return sources.budget_use(table("documents").select(F.lit("all").alias("project"), F.octet_length("text").alias("length"))).drop("project")
 
 
-@query("""SELECT n_nationkey AS key, n_name || coalesce('/' || r_name, '') AS contract, CASE WHEN n_nationkey % 5 = 0 THEN 'removed' WHEN n_nationkey % 4 = 0 THEN 'edited' WHEN n_nationkey % 7 = 0 THEN 'added' ELSE 'scanned' END AS origin FROM nation JOIN region ON FALSE
-    UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 7 = 0 THEN c_name WHEN c_custkey % 4 = 0 THEN c_name || ' edited' ELSE c_name END WHEN c_custkey % 7 <> 0 AND c_custkey % 4 = 0 THEN c_name || ' edited'
-        WHEN c_custkey % 3 = 0 THEN c_name || ' new' ELSE c_name END,
-    CASE WHEN c_custkey % 5 = 0 THEN 'removed' WHEN c_custkey % 7 = 0 THEN 'added' WHEN c_custkey % 4 = 0 THEN 'edited' ELSE 'scanned' END FROM customer""")
+@query("""SELECT c_custkey AS key, CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 7 = 0 THEN c_name WHEN c_custkey % 4 = 0 THEN c_name || ' edited' ELSE c_name END WHEN c_custkey % 7 <> 0 AND c_custkey % 4 = 0 THEN c_name || ' edited'
+        WHEN c_custkey % 3 = 0 THEN c_name || ' new' ELSE c_name END AS contract,
+    CASE WHEN c_custkey % 5 = 0 THEN 'removed' WHEN c_custkey % 7 = 0 THEN 'added' WHEN c_custkey % 4 = 0 THEN 'edited' ELSE 'scanned' END AS origin FROM customer""")
 def merge_three_way(table) -> DataFrame:
     base = table("customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("contract"))
     edited = F.when(F.col("key") % 4 == 0, F.concat("contract", F.lit(" edited"))).otherwise(F.col("contract"))
@@ -322,45 +324,35 @@ def scope_prefix_join(table) -> DataFrame:
 
 @query("""SELECT r.event_id, count(h.event_id) AS handlers, min(h.event_id) AS first_handler FROM events r JOIN events h ON h.user_id = r.user_id AND h.event_type = 'error' AND h.ts > r.ts WHERE r.event_type = 'signup' GROUP BY r.event_id""")
 def range_handler(table) -> DataFrame:
-    """Handlers registered after a route, per scope: a running aggregate from the end, not a join of all pairs."""
-    from pyspark.sql.window import Window
-
-    after = Window.partitionBy("user_id").orderBy(F.desc("ts")).rangeBetween(Window.unboundedPreceding, -1)
-    events = table("events").filter(F.col("event_type").isin("signup", "error")).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
-    error = F.when(F.col("event_type") == "error", F.col("event_id"))
-    own = events.select("event_id", "event_type", F.count(error).over(after).alias("handlers"), F.min(error).over(after).alias("first_handler"))
-    return own.filter("event_type = 'signup' AND handlers > 0").drop("event_type")
+    """Handlers registered after a route, per scope."""
+    events = table("events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    return closure.later_handlers(events, "user_id", "ts", F.col("event_type") == "signup", F.col("event_type") == "error", "event_id")
 
 
 # --- gates, sets and reports -----------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events WHERE value > 99) OR props LIKE '%\"k\": 7%'")
+@query("SELECT DISTINCT user_id AS project, 'on ' || event_type AS framework FROM events WHERE event_type IN (SELECT event_type FROM events WHERE value > 99)")
 def manifest_gate(table) -> DataFrame:
-    """A pack applies where a dependency hint is in the manifest, a semi-join, or the content matches."""
+    """A pack applies where a package that hints at it is declared."""
     events = table("events")
-    hints = events.filter("value > 99").select(F.col("event_type").alias("hint")).distinct()
-    marked = events.join(F.broadcast(hints), F.col("event_type") == F.col("hint"), "left")
-    return marked.filter(F.col("hint").isNotNull() | F.col("props").contains('"k": 7')).select("event_id")
+    hints = events.filter("value > 99").select(F.concat(F.lit("on "), "event_type").alias("framework"), F.col("event_type").alias("package")).distinct()
+    return manifests.gated_projects(events.select(F.col("user_id").alias("project"), F.col("event_type").alias("package")), hints)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+@query("""WITH f AS (SELECT DISTINCT c_custkey % 400 AS project, c_mktsegment AS framework FROM customer)
+    SELECT * FROM f WHERE NOT (framework = 'BUILDING' AND project IN (SELECT project FROM f WHERE framework = 'MACHINERY')) AND NOT (framework = 'FURNITURE' AND project IN (SELECT project FROM f WHERE framework IN ('BUILDING', 'HOUSEHOLD')))""")
 def cross_claim(table) -> DataFrame:
-    """A pack yields to another that claims the same project."""
-    return table("customer").join(table("supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey", "left_anti").select("c_custkey")
-
+    """A pack yields to others that claim the same project."""
+    found = table("customer").select((F.col("c_custkey") % 400).alias("project"), F.col("c_mktsegment").alias("framework")).distinct()
+    return plan.without_yielding(found, {"BUILDING": ("MACHINERY",), "FURNITURE": ("BUILDING", "HOUSEHOLD")})
 
-@query("SELECT o_orderkey, unnest(CASE o_orderstatus WHEN 'F' THEN ['get', 'post', 'put', 'patch', 'delete', 'head', 'options'] WHEN 'O' THEN ['get'] ELSE ['get', 'head'] END) AS method FROM orders")
-def method_expand(table) -> DataFrame:
-    verbs = lambda *v: F.array(*map(F.lit, v))
-    every = verbs("get", "post", "put", "patch", "delete", "head", "options")
-    methods = F.when(F.col("o_orderstatus") == "F", every).when(F.col("o_orderstatus") == "O", verbs("get")).otherwise(verbs("get", "head"))
-    return table("orders").select("o_orderkey", F.explode(methods).alias("method"))
 
-
-@query("SELECT lower(v.verb) AS verb, n_name AS route FROM nation, (VALUES ('GET'), ('POST')) v(verb)")
-def verb_route_cross(table) -> DataFrame:
-    return table("nation").select(F.explode(F.array(F.lit("get"), F.lit("post"))).alias("verb"), F.col("n_name").alias("route"))
+@query("SELECT c_custkey AS project, 'BUILDING' AS framework FROM customer WHERE c_mktsegment = 'BUILDING'")
+def framework_filter(table) -> DataFrame:
+    """What the caller asked for: of the found frameworks, those that were named."""
+    found = table("customer").select(F.col("c_custkey").alias("project"), F.col("c_mktsegment").alias("framework"))
+    return plan.asked(found, ("BUILDING", "no such"))
 
 
 _GAPS = """list_filter([CASE WHEN l.doc_id IS NULL THEN 'response-unknown' END, CASE WHEN l.toxic = 1 THEN 'auth-unknown' END, CASE WHEN l.quality = 0 THEN 'query-unknown' END,
@@ -417,27 +409,6 @@ def variant_union(table) -> DataFrame:
     return variants.union_schemas(orders, ["o_orderpriority"], "schema", "o_orderkey")
 
 
-@query("""SELECT o_orderkey, o_totalprice, CAST(count(l_orderkey) AS BIGINT) AS n_lines, round(coalesce(sum(l_quantity), 0), 2) AS quantity, CASE WHEN count(l_orderkey) = 0 THEN 'nullable' ELSE 'array' END AS cardinality FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
-def orm_include(table) -> DataFrame:
-    """What an ORM's include means: a left join, nested and counted."""
-    lines = table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
-    both = table("orders").select("o_orderkey", "o_totalprice").join(lines, "o_orderkey", "left")
-    return both.select("o_orderkey", "o_totalprice", F.coalesce("n", F.lit(0)).alias("n_lines"), F.round(F.coalesce("q", F.lit(0.0)), 2).alias("quantity"), F.when(F.col("n").isNull(), "nullable").otherwise("array").alias("cardinality"))
-
-
-@query("SELECT c_mktsegment AS segment, count(*) AS n, count(DISTINCT c_nationkey) AS nations FROM customer WHERE c_acctbal > 0 GROUP BY 1")
-def orm_count(table) -> DataFrame:
-    return table("customer").filter("c_acctbal > 0").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_nationkey").alias("nations"))
-
-
-@query()
-def hazard_strip(table) -> DataFrame:
-    """Schemas with a hazardous property, stripped; tested against plain Python."""
-    name = F.when(F.col("p_partkey") % 3 == 0, "constructor").otherwise(F.col("p_brand"))
-    schema = F.to_json(F.struct(F.lit("object").alias("type"), F.map_from_arrays(F.array(name, F.lit("size")), F.array(F.lit("a"), F.lit("b"))).alias("properties"), F.array(name, F.lit("size")).alias("required")))
-    return table("part").select("p_partkey", on_json(without_hazards)(schema).alias("schema"))
-
-
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 _EXTENSIONS = ("ts", "mjs", "py", "go", "java", "cs", "rs", "php", "md")

@@ -96,4 +96,4 @@ def project_meta(texts: DataFrame, projects: DataFrame) -> DataFrame:
 
 def gated_projects(found: DataFrame, hints: DataFrame) -> DataFrame:
     """(project, framework) where a framework's package hint is declared: a semi-join on (framework, package)."""
-    return found.select("project", "package").join(F.broadcast(hints), "package").select("project", "framework").distinct()
+    return found.select("project", "package").join(hints, "package").select("project", "framework").distinct()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import fnmatch
 import itertools
+import posixpath
 import re
 from collections.abc import Sequence
 
@@ -159,6 +160,20 @@ def decoded(content: Column) -> Column:
     return F.when(F.instr(text, F.char(F.lit(0))) == 0, text)
 
 
+def content_hash(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def too_large(length: Column, most: int = MAX_FILE_BYTES) -> Column:
+    return length > most
+
+
+def budget_use(files: DataFrame, max_files: int = MAX_FILES, max_total_bytes: int = MAX_TOTAL_BYTES) -> DataFrame:
+    """(project, files, bytes, over) of files (project, length): what a scan would read, and whether that is too much."""
+    used = files.groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.sum("length").cast("long").alias("bytes"))
+    return used.withColumn("over", (F.col("files") > max_files) | (F.col("bytes") > max_total_bytes))
+
+
 def index_files(
     spark: SparkSession, root: str, projects: bool = False, ignore: Sequence[str] = (), include_tests: bool = False,
     max_file_bytes: int = MAX_FILE_BYTES, max_files: int = MAX_FILES, max_total_bytes: int = MAX_TOTAL_BYTES,
@@ -187,16 +202,39 @@ def index_files(
         return pd.Series([ignored(p, [(r["folder"], r["text"]) for r in rs] if rs is not None else [], extra) for p, rs in zip(path, rules)], dtype=bool)
 
     own = own.join(F.broadcast(rules) if not projects else rules, "project", "left").filter(~left_out("path", "rules")).drop("rules")
-    large = own.filter(F.col("length") > max_file_bytes)
-    small = own.filter(F.col("length") <= max_file_bytes)
-    over = small.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).filter((F.col("n") > max_files) | (F.col("bytes") > max_total_bytes)).first()
+    large = own.filter(too_large(F.col("length"), max_file_bytes))
+    small = own.filter(~too_large(F.col("length"), max_file_bytes))
+    over = budget_use(small, max_files, max_total_bytes).filter("over").first()
     if over:
-        raise BudgetExceeded(f"project {over.project} has {over.n} files of {over.bytes} bytes; the budget is {max_files} files, {max_total_bytes} bytes")
+        raise BudgetExceeded(f"project {over.project} has {over.files} files of {over.bytes} bytes; the budget is {max_files} files, {max_total_bytes} bytes")
 
     globs = "{" + ",".join([*(f"*.{e}" for e in LANGUAGES), "*.yml", "*.yaml"]) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", globs).load(root).filter(F.col("length") <= max_file_bytes)
     read = small.join(raw.select(F.col("path").alias("url"), "content"), "url").withColumn("text", decoded(F.col("content")))
     ordinal = F.row_number().over(Window.partitionBy("project").orderBy("path"))
-    kept = read.filter("text IS NOT NULL").select("project", "path", F.col("text").alias("content"), F.col("length").alias("bytes"), F.sha2("text", 256).alias("hash"), "language", ordinal.alias("ordinal"))
+    kept = read.filter("text IS NOT NULL").select("project", "path", F.col("text").alias("content"), F.col("length").alias("bytes"), content_hash(F.col("text")).alias("hash"), "language", ordinal.alias("ordinal"))
     skipped = lambda df, why: df.select("project", F.lit("source-skipped").alias("reason"), F.lit(why).alias("message"), F.col("path").alias("file"))
     return kept, skipped(large, f"larger than {max_file_bytes} bytes").unionByName(skipped(read.filter("text IS NULL"), "not text"))
+
+
+def with_extra(files: DataFrame, extra: DataFrame, max_files: int = MAX_FILES, max_total_bytes: int = MAX_TOTAL_BYTES) -> DataFrame:
+    """Files and those of an extra root whose paths aren't there yet; the budgets hold for both together."""
+    out = files.unionByName(extra.join(files.select("project", "path"), ["project", "path"], "left_anti"))
+    over = budget_use(out.withColumnRenamed("bytes", "length"), max_files, max_total_bytes).filter("over").first()
+    if over:
+        raise BudgetExceeded(f"project {over.project} has {over.files} files of {over.bytes} bytes with its extra roots; the budget is {max_files} files, {max_total_bytes} bytes")
+    return out
+
+
+def index_with_roots(spark: SparkSession, root: str, extra_roots: Sequence[str] = (), **options) -> tuple[DataFrame, DataFrame]:
+    """index_files of root and of folders inside it that its rules leave out, paths below root; what root has wins."""
+    files, unresolved = index_files(spark, root, **options)
+    project = F.lit(root.rstrip("/").rsplit("/", 1)[-1])
+    for extra in extra_roots:
+        inside = posixpath.normpath(extra)
+        if inside in ("", ".", "..") or inside.startswith(("../", "/")):
+            raise ValueError(f"an extra root must be a folder inside the project: {extra}")
+        more, remarks = index_files(spark, f"{root.rstrip('/')}/{inside}", **options)
+        files = with_extra(files, more.withColumn("path", F.concat(F.lit(inside + "/"), "path")).withColumn("project", project))
+        unresolved = unresolved.unionByName(remarks.withColumn("file", F.concat(F.lit(inside + "/"), "file")).withColumn("project", project))
+    return files, unresolved
