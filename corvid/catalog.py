@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.functions import paths, schemas
-from corvid.operators import gate, merge, variants
+from corvid.operators import closure, gate, merge, variants
 from corvid.operators.dedupe import free_names
-from corvid.packs import extract, registry, validators
+from corvid.packs import extract, registry, types, validators
 from corvid.packs.routes import VERBS
 from corvid.plans import review
 from corvid.queries import query
@@ -66,11 +66,7 @@ def pack_query(framework: str, files: Mapping[str, str], rows: Sequence[tuple[st
     sql = f"SELECT {_WORD} AS project, {_filled('method')} AS method, {_filled('path')} AS path, {_filled('parameters')} AS parameters, statuses FROM nation, (VALUES {values}) v(method, path, parameters, statuses)"
 
     def run(table) -> DataFrame:
-        language = registry()[framework][0]
-        project = F.lower(F.replace("n_name", F.lit(" "), F.lit("")))
-        each = F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("content")) for p, t in files.items())))
-        texts = table("nation").select("n_name", "n_nationkey", project.alias("project"), each.alias("f")).select("project", _named(F.col("f.path")).alias("path"), _named(F.col("f.content")).alias("content"))
-        texts = texts.withColumn("language", F.when(F.col("path").rlike(r"\.ya?ml$"), "yaml").otherwise(F.lit(language)))
+        texts = _project_files(table, framework, files)
         found = extract(texts, texts.select("project", F.lit(framework).alias("framework")).distinct())
         route = F.from_json("value", "method string, full_path string, reason string, parameters array<struct<name string, `in` string>>, responses array<struct<status_code string>>")
         found = found.filter("kind IN ('route', 'unresolved')").select("project", "kind", route.alias("r"))
@@ -81,6 +77,43 @@ def pack_query(framework: str, files: Mapping[str, str], rows: Sequence[tuple[st
     query(sql, f"pack_{framework}")(run)
 
 
+def contract_query(framework: str, files: Mapping[str, str], rows: Sequence[tuple]) -> None:
+    """As pack_query, with what routes declare: rows are (method, path, parameters, body, statuses, result, security), body and
+    result (of the first response) being schemas or None, parameters in:name:type."""
+    text = lambda v: "" if v is None else schemas.canonical(v).replace('"@k#"', "@k")
+    values = ", ".join("(" + ", ".join(map(_literal, (m, p, a, text(b), st, text(r), sec))) + ")" for m, p, a, b, st, r, sec in rows)
+    names = "method, path, parameters, body, statuses, result, security"
+    sql = f"SELECT {_WORD} AS project, method, {_filled('path')} AS path, parameters, {_filled('body')} AS body, statuses, {_filled('result')} AS result, security FROM nation, (VALUES {values}) v({names})"
+
+    def run(table) -> DataFrame:
+        @F.pandas_udf("string")
+        def told(candidates: pd.Series) -> pd.Series:
+            def one(c: dict) -> dict:
+                kind = lambda p: "/".join([t] if isinstance(t := (p.get("schema") or {}).get("type", ""), str) else t)
+                body, first = (c.get("request_body") or {}).get("content"), (c["responses"] or [{}])[0].get("content")
+                shown = lambda content: schemas.canonical(content[0].get("schema")) if content and content[0].get("schema") is not None else ""
+                return {
+                    "method": c["method"], "path": c["full_path"], "parameters": ",".join(sorted(f"{p['in']}:{p['name']}:{kind(p)}" for p in c["parameters"])), "body": shown(body),
+                    "statuses": ",".join(sorted(r["status_code"] for r in c["responses"])), "result": shown(first), "security": ",".join(sorted(k for s in c.get("security") or [] for k in s)),
+                }
+
+            return candidates.map(lambda t: json.dumps(one(json.loads(t))))
+
+        texts = _project_files(table, framework, files)
+        found = extract(texts, texts.select("project", F.lit(framework).alias("framework")).distinct()).filter("kind = 'route'")
+        row = F.from_json(told("value"), ", ".join(f"{n} string" for n in names.split(", ")))
+        return found.select("project", row.alias("r")).select("project", "r.*")
+
+    query(sql, f"contract_{framework}")(run)
+
+
+def _project_files(table, framework: str, files: Mapping[str, str]) -> DataFrame:
+    project = F.lower(F.replace("n_name", F.lit(" "), F.lit("")))
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("content")) for p, t in files.items())))
+    texts = table("nation").select("n_name", "n_nationkey", project.alias("project"), each.alias("f")).select("project", _named(F.col("f.path")).alias("path"), _named(F.col("f.content")).alias("content"))
+    return texts.withColumn("language", F.when(F.col("path").rlike(r"\.ya?ml$"), "yaml").otherwise(F.lit(registry()[framework][0])))
+
+
 # --- packs -----------------------------------------------------------------------------------------------------------
 
 _ID = "path:id"
@@ -312,3 +345,114 @@ value_query("document_merge", _json(_merged), [
                  {"paths": {"/@w": {"get": {"summary": "new", "responses": {"20@k": {"$ref": "#/components/schemas/A"}}}}}, "components": {"schemas": {"A": {"const": "@w"}}}}, [["changed", "get", "/@w"]]]),
      [{"/@w": {"get": {"summary": "mine", "responses": {"20@k": {"$ref": "#/components/schemas/A2"}}}}}, {"A": {"const": "mine"}, "A2": {"const": "@w"}}]),
 ])
+
+
+# --- contracts -------------------------------------------------------------------------------------------------------
+
+contract_query("express", {"a.js": """const express = require('express');
+const { z } = require('zod');
+const app = express();
+const router = express.Router();
+const Thing = z.object({ @w: z.string().min(@k), zz: z.number().int().optional() });
+app.use('/v1', router);
+router.post('/zod', (req, res) => { const t = Thing.parse(req.body); res.status(201).json({ id: 1 }); });
+router.post('/joi', validate({ body: Joi.object({ @w: Joi.string().required() }), query: Joi.object({ page: Joi.number().integer() }) }), (req, res) => res.json({ ok: true }));
+router.post('/chain', [body('@w').isEmail(), query('size').isInt({ max: @k }).optional()], (req, res) => res.sendStatus(204));
+router.get('/open', (req, res) => res.send('x'));
+router.use(requireAuth);
+router.get('/me', (req, res, next) => { if (!req.user) return next(new Error('no')); res.json({ id: 1 }); });
+router.get('/token', passport.authenticate('jwt', { session: false }), (req, res) => res.json({ id: 1 }));
+router.use((err, req, res, next) => { res.status(418).json({ error: 'x' }); });
+"""}, [
+    ("post", "/v1/zod", "", _object(["@w"], w={**_S, "minLength": "@k#"}, zz=_I), "201", _object(["id"], id=_I), ""),
+    ("post", "/v1/joi", "query:page:integer", _object(["@w"], w=_S), "200", _object(["ok"], ok=_B), ""),
+    ("post", "/v1/chain", "query:size:integer", _object(["@w"], w={**_S, "format": "email"}), "204", None, ""),
+    ("get", "/v1/open", "", None, "200", _S, ""),
+    ("get", "/v1/me", "", None, "200,418", _object(["id"], id=_I), "bearerAuth"),
+    ("get", "/v1/token", "", None, "200", _object(["id"], id=_I), "bearerAuth"),
+])
+contract_query("hono", {"a.ts": "import { Hono } from 'hono'\nimport { z } from 'zod'\nconst S = z.object({ @w: z.number().max(@k) })\nconst app = new Hono()\napp.post('/p', zValidator('json', S), (c) => c.json({ id: 1 }, 201))\n"}, [("post", "/p", "", _object(["@w"], w={**_N, "maximum": "@k#"}), "201", _object(["id"], id=_I), "")])
+contract_query("nest", {"c.ts": "import { Controller, Post } from '@nestjs/common';\nimport { Dto, Row } from './dto';\n@Controller('@w')\nexport class C {\n  @Post()\n  async make(@Body() dto: Dto, @Query() q: Page): Promise<Row[]> { return this.s.make(dto); }\n}\n",
+                        "dto.ts": "export interface Dto { @w: string; zz?: number }\nexport class Row { id!: number; zz: 'a' | 'b' | null; }\nexport type Page = { page?: number; size: number };\n"},
+               [("post", "/@w", "query:page:number,query:size:number", {"$ref": "#/components/schemas/Dto"}, "201", {"type": "array", "items": {"$ref": "#/components/schemas/Row"}}, "")])
+contract_query("axum", {"m.rs": "use axum::Router;\nfn app() -> Router { Router::new().route(\"/@w/:id\", post(make)) }\nasync fn make(Path(id): Path<i32>, Query(q): Query<Page>, Json(b): Json<Item>) -> (StatusCode, Json<Vec<Item>>) { (StatusCode::CREATED, Json(vec![])) }\nstruct Item { name: String }\nstruct Page { size: Option<u32> }\n"},
+               [("post", "/@w/{id}", "path:id:integer,query:size:integer/null", {"$ref": "#/components/schemas/Item"}, "201", {"type": "array", "items": {"$ref": "#/components/schemas/Item"}}, "")])
+contract_query("symfony", {"src/C.php": "<?php\nclass C {\n  #[Route('/@w/{id}', methods: ['POST'])]\n  public function make(int $id, #[MapRequestPayload] Dto $dto, #[MapQueryParameter] ?string $q): JsonResponse { return $this->json(new Row($id), 201); }\n}\n", "src/Dto.php": "<?php\nclass Dto { public function __construct(public readonly string $name) {} }\nclass Row { public int $id; }\n"},
+               [("post", "/@w/{id}", "path:id:integer,query:q:string/null", {"$ref": "#/components/schemas/Dto"}, "201", {"$ref": "#/components/schemas/Row"}, "")])
+contract_query("aspnet", {"C.cs": "[Route(\"@w\")]\npublic class TController : ControllerBase {\n  [HttpPost]\n  public ActionResult<Row> Make([FromBody] Dto d) => Ok();\n}\npublic class Dto { public string Name { get; set; } }\npublic class Row { public int Id { get; set; } }\npublic class V : AbstractValidator<Dto> { public V() { RuleFor(x => x.Name).NotEmpty().MaximumLength(@k); } }\n"},
+               [("post", "/@w", "", {"$ref": "#/components/schemas/Dto"}, "200", {"$ref": "#/components/schemas/Row"}, "")])
+
+
+def _typed(reader: type, kind: str) -> Callable[[str], list]:
+    def read(text: str) -> list:
+        components: dict = {}
+        out = reader({"a": text}, components).schema(kind)
+        return [out, sorted(components.items())]
+
+    return read
+
+
+_A = {"$ref": "#/components/schemas/A"}
+value_query("types_typescript", _typed(types.TypeScript, "Promise<A[]>"), [
+    ("interface A { @w: string; zz?: number | null }", [{"type": "array", "items": _A}, [["A", _object(["@w"], w=_S, zz={"type": ["number", "null"]})]]]),
+    ("type A = '@w' | 'zz';", [{"type": "array", "items": _A}, [["A", {**_S, "enum": ["@w", "zz"]}]]]),
+    ("interface B { id: number; zz: Date }\nexport interface A extends B { tags: Record<string, boolean> }", [{"type": "array", "items": _A}, [["A", _object(["id", "zz", "tags"], id=_N, zz={**_S, "format": "date-time"}, tags={"type": "object", "additionalProperties": _B})], ["B", _object(["id", "zz"], id=_N, zz={**_S, "format": "date-time"})]]]),
+    ("type A = Pick<B, 'id'> & { '@w': [string, @k] };\nclass B { id: number; private secret: string }", [{"type": "array", "items": _A}, [["A", {"allOf": [_object(["id"], id=_N), _object(["@w"], w={"type": "array", "prefixItems": [_S, {"type": "number", "const": "@k#"}], "minItems": 2, "maxItems": 2})]}], ["B", _object(["id"], id=_N)]]]),
+    ("enum A { One = '@w', Two = 'zz' }", [{"type": "array", "items": _A}, [["A", {**_S, "enum": ["@w", "zz"]}]]]),
+])
+value_query("types_rust", _typed(types.Rust, "Json<Vec<A>>"), [
+    ('#[derive(Serialize)]\n#[serde(rename_all = "camelCase")]\npub struct A { pub user_id: i32, #[serde(rename = "@w")] pub other: Option<String>, #[serde(skip)] hidden: u8, #[serde(default)] tags: HashMap<String, f64> }', [{"type": "array", "items": _A}, [["A", _object(["userId"], w={"type": ["string", "null"]}, userId={**_I, "format": "int32"}, tags={"type": "object", "additionalProperties": _N})]]]),
+    ('#[serde(rename_all = "snake_case")] enum A { FirstOne, #[serde(rename = "@w")] Other }', [{"type": "array", "items": _A}, [["A", {**_S, "enum": ["first_one", "@w"]}]]]),
+    ("struct A { b: B }\nstruct B(Uuid);", [{"type": "array", "items": _A}, [["A", _object(["b"], b={"$ref": "#/components/schemas/B"})], ["B", {**_S, "format": "uuid"}]]]),
+])
+value_query("types_php", _typed(types.Php, "?A"), [
+    ("<?php class A { public int $zid; public ?string $@w = null; /** @var list<B> */ public array $zz; private int $no; } class B { public function __construct(public readonly bool $on) {} }", [{"anyOf": [_A, {"type": "null"}]}, [["A", _object(["zid", "zz"], zid=_I, w={"type": ["string", "null"]}, zz={"type": "array", "items": {"$ref": "#/components/schemas/B"}})], ["B", _object(["on"], on=_B)]]]),
+    ("<?php enum A: string { case One = '@w'; case Two = 'zz'; }", [{"anyOf": [_A, {"type": "null"}]}, [["A", {**_S, "enum": ["@w", "zz"]}]]]),
+])
+value_query("event_schema", _json(variants.event_schema), [
+    ('[{"name": "zz", "data": {"const": @k}}, {"name": "@w", "data": {"const": @k}}]', {"type": "object", "properties": {"event": {**_S, "enum": ["@w", "zz"]}, "data": {"const": "@k#"}}, "required": ["event", "data"]}),
+    ('[{"name": "@w", "data": {"const": 1}}, {"data": {"const": 2}}]', {"oneOf": [{"const": 1}, {"const": 2}]}), ('[{"name": "@w"}]', {}),
+])
+value_query("schema_merged_object", _json(lambda v: schemas.merged_object(*v)), [
+    ('[{"type": "object", "properties": {"@w": {"const": 1}, "zz": {"type": "object", "properties": {"a": {}}}}}, {"type": "object", "properties": {"@w": {"const": 2}, "zz": {"type": "object", "properties": {"a": {"const": 3}, "b": {"const": @k}}}}}]',
+     _object(w={"const": 1}, zz=_object(a={"const": 3}, b={"const": "@k#"}))), ('[{"type": "string"}, {"type": "object", "properties": {"@w": {}}}]', _S),
+])
+value_query("schema_input_names", _json(lambda v: schemas.input_names(*v)), [
+    ('[{"A": {"$ref": "#/components/schemas/B"}, "B": {"const": "@w"}, "C": {"const": 1}}, {"A": {"$ref": "#/components/schemas/B"}, "B": {"const": "out"}, "C": {"const": 1}, "input_B": 0}]', {"A": "input_A", "B": "input_B_2"}), ('[{"@w": {"const": @k}}, {}]', {}),
+])
+value_query("schema_property_names", _json(schemas.property_names), [('{"properties": {"@w": {}, "constructor": {}, ' + ", ".join(f'"p{i}": {{}}' for i in range(60)) + "}}", ["@w", *(f"p{i}" for i in range(39))])])
+
+
+@query("""WITH r AS (SELECT l_orderkey AS route, CAST(200 + l_linenumber % 2 AS VARCHAR) AS status, l_shipdate, l_partkey, l_linenumber AS n, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_partkey END AS s, l_partkey % 5 = 0 AS rep,
+        CASE WHEN l_suppkey % 4 = 0 THEN 'high' ELSE 'low' END AS c, l_orderkey * 100 + l_linenumber AS o FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS k FROM lineitem) WHERE k = 1)
+    SELECT route, status, 'x' AS media_type, CAST(coalesce(arg_max(s, o) FILTER (rep AND s IS NOT NULL), arg_min(s, o) FILTER (s IS NOT NULL)) AS VARCHAR) AS schema, CASE WHEN bool_or(c = 'high') THEN 'high' ELSE arg_min(c, o) END AS confidence FROM r GROUP BY route, status""")
+def collected_responses(table) -> DataFrame:
+    first = F.min(F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"))
+    one = table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(first.alias("f")).select("l_orderkey", "l_linenumber", "f.*")
+    part = F.col("l_partkey")
+    rows = one.select(
+        F.col("l_orderkey").alias("route"), (200 + F.col("l_linenumber") % 2).cast("string").alias("status"), F.lit("x").alias("media_type"), F.when(part % 3 != 0, part.cast("string")).alias("schema"),
+        (part % 5 == 0).alias("replaces"), F.when(F.col("l_suppkey") % 4 == 0, "high").otherwise("low").alias("confidence"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("o"),
+    )
+    return variants.collected_responses(rows, ["route"], "o")
+
+
+@query("""WITH RECURSIVE p AS (SELECT 'n' || n_nationkey AS error, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region),
+    h AS (SELECT 'n' || n_nationkey AS error, n_name AS handler FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'r' || r_regionkey, r_name FROM region WHERE r_regionkey % 2 = 0),
+    w AS (SELECT c_custkey AS route, 'n' || c_nationkey AS error, 'n' || c_nationkey AS class, 0 AS d FROM customer UNION ALL SELECT route, w.error, parent, d + 1 FROM w JOIN p ON p.error = class),
+    m AS (SELECT route, w.error, handler, row_number() OVER (PARTITION BY route ORDER BY d) AS k FROM w JOIN h ON h.error = class) SELECT route, error, handler FROM m WHERE k = 1""")
+def exception_handlers(table) -> DataFrame:
+    tagged = lambda df, tag, key, *more: df.select(F.concat(F.lit(tag), F.col(key).cast("string")).alias("error"), *more)
+    nation, region = table("nation"), table("region")
+    parents = tagged(nation, "n", "n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent")).unionByName(tagged(region, "r", "r_regionkey", F.lit("root").alias("parent")))
+    handlers = tagged(nation.filter("n_nationkey % 3 = 0"), "n", "n_nationkey", F.col("n_name").alias("handler")).unionByName(tagged(region.filter("r_regionkey % 2 = 0"), "r", "r_regionkey", F.col("r_name").alias("handler")))
+    raised = table("customer").select(F.col("c_custkey").alias("route"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("error"))
+    return closure.exception_handlers(raised, handlers, parents)
+
+
+@query("SELECT project, path, 0 AS bytes FROM (SELECT source AS project, 'd' || doc_id % 500 AS path, doc_id < 400 AS own FROM documents) GROUP BY project, path")
+def extra_roots(table) -> DataFrame:
+    """A project's files and those of an extra root, each path once."""
+    docs = table("documents").select(F.col("source").alias("project"), F.concat(F.lit("d"), (F.col("doc_id") % 500).cast("string")).alias("path"), F.lit(0).alias("bytes"), F.col("doc_id"))
+    own, extra = (docs.filter(c).select("project", "path", "bytes").distinct() for c in ("doc_id < 400", "doc_id >= 400"))
+    return sources.with_extra(own, extra)

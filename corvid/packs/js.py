@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from corvid.packs import Found, validators
 from corvid.packs.routes import VERBS, best, candidate, firsts, joined, names_in, parameter, response
 from corvid.packs.scanner import calls, closing, line_at, object_schema, split_top, status, string, template, without_comments
+from corvid.packs.types import TypeScript
 
 SUFFIXES = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
 NEXT_ROUTE = re.compile(r"(?:^|/)app/.*route\.(?:ts|tsx|js|jsx|mjs|cjs)$|^route\.(?:ts|js)$")
@@ -439,6 +440,7 @@ def nest(files: Mapping[str, str]) -> Found:
     """Controllers by decorators."""
     found = Found()
     modules = Modules(files)
+    types = TypeScript(modules.texts, found.components)
     root = next((m[1] for t in modules.texts.values() if (m := re.search(r"\.setGlobalPrefix\(\s*['\"]([^'\"]+)", t))), "")
     candidates = []
     verbs = {**{v.capitalize(): (v,) for v in VERBS}, "All": ("get",)}
@@ -468,15 +470,24 @@ def nest(files: Mapping[str, str]) -> Found:
                     route["parameters"] = [parameter(n, "path", {"type": "string"}, True) for n in names_in(full)]
                     for p in split_top(text[opened + 1 : ended]):
                         q = re.match(r"@(Param|Query|Headers|Body)\(\s*(?:['\"]([^'\"]+)['\"])?", p)
-                        if q and q[1] == "Body":
-                            route["request_body"] = _body(None)
+                        kind = re.search(r"\w\s*\??\s*:\s*(.+)$", p, re.S)
+                        if q and q[1] == "Body" and not q[2]:
+                            schema = types.schema(kind[1]) if kind else {}
+                            route["request_body"] = {"required": True, "content": [{"media_type": "application/json", "schema": schema}]}
+                        elif q and q[1] == "Query" and not q[2] and kind:
+                            whole = types.whole(types.schema(kind[1]))
+                            route["parameters"] += [parameter(n, "query", each, n in whole.get("required", ())) for n, each in whole.get("properties", {}).items()]
                         elif q and q[2] and q[1] != "Param":
                             kind = "number" if re.search(r":\s*number\b", p) else "string"
                             route["parameters"].append(parameter(q[2], places[q[1]], {"type": kind}, "?" not in p))
                     code_ = re.search(r"@HttpCode\(\s*([\w.]+)\s*\)", text[close : opened])
                     ok = (status(code_[1]) if code_ else None) or (201 if verb == "post" else 200)
                     returned = re.search(r"return\s+(\{.*?\}|\[.*?\]|['\"][^'\"]*['\"])\s*;?\s*\}$", code, re.S)
-                    schema = object_schema(returned[1]) if returned else None
+                    said = re.match(r"\s*:\s*(.+)$", text[ended + 1 : body], re.S)
+                    schema = (types.schema(said[1]) if said else None) or (object_schema(returned[1]) if returned else None)
+                    if any(map(asks_credentials, re.findall(r"@UseGuards\(\s*([^()]*(?:\([^()]*\))?)", text[at : opened] + text[m.start() - 300 if m.start() > 300 else 0 : m.start()] + m[0]))):
+                        route["security"] = [{"bearerAuth": []}]
+                        found.security["bearerAuth"] = {"type": "http", "scheme": "bearer"}
                     route["responses"].append(response(ok, schema if schema is not None else {}))
                     candidates.append(route)
     found.routes = best(candidates)

@@ -12,6 +12,8 @@ from corvid.packs import Found
 from corvid.packs.pyfacts import bases, constant, dotted, find_class, parse
 from corvid.packs.routes import VERBS, best, candidate, firsts, joined, names_in, parameter, response
 from corvid.packs.scanner import calls, closing, line_at, object_schema, split_top, status, string, template, without_comments
+from corvid.packs.types import Php, Rust
+from corvid.packs.validators import fluent_validation
 
 
 def _route(verb: str, full: str, file: str, text: str, at: int, **more) -> dict:
@@ -156,6 +158,7 @@ def laravel(files: Mapping[str, str]) -> Found:
 def symfony(files: Mapping[str, str]) -> Found:
     """Attributes on controllers, and YAML route files."""
     found, texts = Found(), _texts(files, ".php")
+    types = Php(texts, found.components)
 
     def attribute(text: str) -> tuple[str | None, list[str]]:
         args = split_top(text)
@@ -163,6 +166,33 @@ def symfony(files: Mapping[str, str]) -> Found:
         verbs = next((re.findall(r"['\"](\w+)['\"]", a) for a in args if a.startswith("methods")), [])
         return path, [v.lower() for v in verbs]
 
+    def contract(text: str, opened: int, route: dict) -> dict:
+        close = closing(text, opened)
+        for p in split_top(text[opened + 1 : close]):
+            m = re.match(r"((?:#\[[^\]]*\]\s*)*)([?\\\w|]+)\s+\$(\w+)\s*(=)?", p)
+            if not m:
+                continue
+            own = next((x for x in route["parameters"] if (x["in"], x["name"]) == ("path", m[3])), None)
+            if own:
+                own["schema"] = types.schema(m[2]) or own["schema"]
+            elif "MapRequestPayload" in m[1]:
+                route["request_body"] = {"required": True, "content": [{"media_type": "application/json", "schema": types.schema(m[2])}]}
+            elif "MapQueryParameter" in m[1]:
+                route["parameters"].append(parameter(m[3], "query", types.schema(m[2]), not m[4] and not m[2].startswith("?")))
+            elif "MapQueryString" in m[1]:
+                whole = types.components.get(types.schema(m[2]).get("$ref", "").rpartition("/")[2], {})
+                route["parameters"] += [parameter(n, "query", each, n in whole.get("required", ())) for n, each in whole.get("properties", {}).items()]
+        brace = text.find("{", close)
+        code = text[brace : closing(text, brace)] if brace >= 0 else ""
+        for m in re.finditer(r"(?:\$this->json|new\s+JsonResponse)\(", code):
+            args = split_top(code[m.end() : closing(code, m.end() - 1)])
+            made = re.match(r"new\s+([\\\w]+)\(", args[0]) if args else None
+            route["responses"].append(response((status(args[1]) if len(args) > 1 else None) or 200, types.schema(made[1]) if made else {}))
+        said = re.match(r"\s*:\s*([?\\\w|]+)", text[close + 1 :])
+        if said and not route["responses"] and (schema := types.schema(said[1])):
+            route["responses"].append(response(200, schema))
+        return route
+
     def candidates() -> Iterator[dict]:
         for path, text in texts.items():
             for c in re.finditer(r"((?:#\[[^\]]*\]\s*)*)(?:final\s+|abstract\s+)*class\s+(\w+)[^{]*\{", text):
@@ -173,8 +203,9 @@ def symfony(files: Mapping[str, str]) -> Found:
                     if raw is None:
                         found.remark("dynamic-path", "a route's path isn't constant", path, line_at(text, c.end() + m.start()))
                         continue
+                    opened = c.end() + m.end() - 1
                     for verb in verbs or ["get"]:
-                        yield _open(_route(verb, template(joined(base, raw), "symfony"), path, text, c.end() + m.start()))
+                        yield _open(contract(text, opened, _route(verb, template(joined(base, raw), "symfony"), path, text, c.end() + m.start())))
         import yaml
 
         for path, text in files.items():
@@ -330,9 +361,20 @@ def aspnet(files: Mapping[str, str]) -> Found:
                 yield _open(route)
 
     found.routes = best(candidates())
+    _validated(texts, found.components)
     return found
 
 
+def _validated(texts: Mapping[str, str], components: dict) -> None:
+    """Rules of AbstractValidator<Dto> and Validator<Dto> classes go into the components of their DTOs."""
+    for text in texts.values():
+        for m in re.finditer(r"class\s+\w+\s*(?:\([^)]*\))?\s*:\s*(?:Abstract)?Validator<\s*([\w.]+)\s*>[^{]*\{", text):
+            name = m[1].rpartition(".")[2]
+            if components.get(name):
+                ruled = fluent_validation(text[m.end() : closing(text, m.end() - 1)], components[name])
+                components[name] = {k: v for k, v in ruled.items() if k != "required" or v}
+
+
 def fastendpoints(files: Mapping[str, str]) -> Found:
     found, texts = Found(), _texts(files, ".cs")
 
@@ -366,14 +408,52 @@ def fastendpoints(files: Mapping[str, str]) -> Found:
                         yield _open(route)
 
     found.routes = firsts(candidates())[0]
+    _validated(texts, found.components)
     return found
 
 
 # --- Rust ------------------------------------------------------------------------------------------------------------
 
 
+def _rust_contract(text: str, name: str, types: Rust, route: dict) -> dict:
+    """The route with what its handler's signature says (extractors and results) and the statuses that its body names."""
+    m = re.search(rf"\bfn\s+{re.escape(name)}\s*(?:<[^>(]*>)?\s*\(", text)
+    if not m:
+        return route
+    end = closing(text, m.end() - 1)
+    opened = text.find("{", end)
+    signature, code = text[m.end() : end], text[opened : closing(text, opened) + 1] if opened >= 0 else ""
+    result = text[end + 1 : opened]
+    if found := re.search(r"\b(?:\w+::)*(Json|Form)\s*<((?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*)>", signature):
+        media = "application/json" if found[1] == "Json" else "application/x-www-form-urlencoded"
+        route["request_body"] = {"required": True, "content": [{"media_type": media, "schema": types.schema(found[2])}]}
+    if found := re.search(r"\bQuery\s*<((?:[^<>]|<[^<>]*>)*)>", signature):
+        whole = types.schema(found[1])
+        whole = types.components.get(whole.get("$ref", "").rpartition("/")[2], whole)
+        route["parameters"] += [parameter(n, "query", each, n in whole.get("required", ())) for n, each in whole.get("properties", {}).items()]
+    if found := re.search(r"\bPath\s*<((?:[^<>]|<[^<>]*>)*)>", signature):
+        kinds = split_top(found[1].strip()[1:-1]) if found[1].strip().startswith("(") else [found[1]]
+        own = [p for p in route["parameters"] if p["in"] == "path"]
+        for p, kind in zip(own, kinds if len(kinds) == len(own) else ()):
+            p["schema"] = types.schema(kind) or p["schema"]
+    for p in route["parameters"]:  # an argument of the parameter's name, as rocket writes it
+        if p["in"] in ("path", "query") and (own := re.search(rf"\b{re.escape(p['name'])}\s*:\s*([^,]+)", signature)):
+            p["schema"] = types.schema(own[1]) or p["schema"]
+    answer = re.search(r"\bJson\s*<((?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*)>", result)
+    named = [x for x in map(status, re.findall(r"\bStatusCode::[A-Z_]+", code)) if x]
+    built = [(status("HttpResponse." + x) or status(x), rest) for x, rest in re.findall(r"\bHttpResponse::(\w+)\(\)([^;,}]*)", code)]
+    if answer:
+        good = next((x for x in named if x < 300), 200)
+        route["responses"].append(response(good, types.schema(answer[1])))
+        named = [x for x in named if x != good]
+    route["responses"] += [response(code_, {} if ".json(" in rest else None) for code_, rest in built if code_]
+    route["responses"] += [response(x) for x in dict.fromkeys(named)]
+    return route
+
+
 def axum(files: Mapping[str, str]) -> Found:
     found, texts = Found(), _texts(files, ".rs")
+    types = Rust(texts, found.components)
     bodies = {m[1]: (p, t, t.find("{", closing(t, m.end() - 1)), closing(t, t.find("{", closing(t, m.end() - 1)))) for p, t in texts.items() for m in re.finditer(r"\bfn\s+(\w+)\s*(?:<[^>]*>)?\s*\(", t)}
     nested = {n for t in texts.values() for n in re.findall(r"\.(?:nest|merge)\s*\((?:[^(),]*,)?\s*(?:\w+::)*(\w+)\s*\(", t)}
 
@@ -385,9 +465,10 @@ def axum(files: Mapping[str, str]) -> Found:
                 if raw is None:
                     found.remark("dynamic-path", "a route's path isn't constant", path, line_at(text, c.at))
                     continue
-                for verb in re.findall(r"\b(get|post|put|patch|delete|head|options|any)\s*\(", c.args[1]):
+                for verb, handler in re.findall(r"\b(get|post|put|patch|delete|head|options|any)\s*\(\s*(?:\w+::)*(\w*)", c.args[1]):
+                    owner = next((t for t in (text, *texts.values()) if re.search(rf"\bfn\s+{handler}\b", t)), text) if handler else text
                     for v in VERBS if verb == "any" else (verb,):
-                        yield _open(_route(v, re.sub("/+", "/", prefix + template(raw, "axum")).rstrip("/") or "/", path, text, c.at))
+                        yield _open(_rust_contract(owner, handler, types, _route(v, re.sub("/+", "/", prefix + template(raw, "axum")).rstrip("/") or "/", path, text, c.at)))
             elif c.name in ("nest", "merge") and c.args:
                 target = re.match(r"(?:\w+::)*(\w+)\s*\(", c.args[-1])
                 raw = string(c.args[0]) if c.name == "nest" else ""
@@ -401,6 +482,7 @@ def axum(files: Mapping[str, str]) -> Found:
 def _rust_attributes(dialect: str):
     def extract(files: Mapping[str, str]) -> Found:
         found, texts = Found(), _texts(files, ".rs")
+        types = Rust(texts, found.components)
         mounts: dict[str, list[str]] = {}
         for text in texts.values():
             if dialect == "rocket":
@@ -425,7 +507,7 @@ def _rust_attributes(dialect: str):
                     for prefix in mounts.get(m[3], [""] if dialect == "actix" else []):
                         route = _route(m[1], joined(prefix, template(raw, dialect)), path, text, m.start())
                         route["parameters"] += [parameter(q, "query", {"type": "string"}, False) for q in query]
-                        yield _open(route)
+                        yield _open(_rust_contract(text, m[3], types, route))
                     if dialect == "rocket" and m[3] not in mounts:
                         found.remark("unreachable-router", f"{m[3]} isn't mounted", path, line_at(text, m.start()))
                 if dialect == "actix":
