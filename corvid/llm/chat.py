@@ -9,6 +9,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvid.llm.template import Template
 
@@ -135,7 +136,7 @@ def format_chats(chats: DataFrame, template: str = CHAT_TEMPLATE, with_text: boo
     if with_text:
         fields += [("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
         schema += ", formatted string, loss_spans array<struct<start: long, end: long>>"
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    key_type = to_arrow_type(chats.schema["conv_id"].dataType)
 
     def packed(rows):
         return pa.RecordBatch.from_arrays([pa.array(list(c), t or key_type) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvid.llm.shared import mix, slices, stored, utf8
 from corvid.llm.shingles import word_hashes
@@ -162,10 +163,12 @@ def _opened(blob: bytes, order: int, modulus: int, remainder: int) -> tuple[pa.A
     return ids, Grams(ids.to_pylist(), table.column(1).combine_chunks(), order, modulus, remainder)
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's keys begin and end among sorted keys."""
-    edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def _cuts(keys: np.ndarray, buckets: int):
+    """(bucket, start, end) of each bucket that has any of the sorted keys: work by keys, however many buckets there are."""
+    high = keys >> np.uint64(32)  # a bucket is a range of the upper half, so that the product fits
+    bucket = ((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)])
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mass: float = 500.0, modulus: int = 7, remainder: int = 2, block_bytes: int = BLOCK, bucket_grams: int = BUCKET) -> DataFrame:
@@ -190,10 +193,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 grams = _opened(blob.as_buffer(), order, modulus, remainder)[1]
                 rows = []
                 for m, (keys, counts) in enumerate(zip(grams.keys, grams.count)):
-                    cuts = _cuts(keys, buckets)
-                    for b in range(buckets):
-                        if cuts[b] < cuts[b + 1]:
-                            rows.append((b, block, m, keys[cuts[b] : cuts[b + 1]].tobytes(), counts[cuts[b] : cuts[b + 1]].tobytes()))
+                    for b, start, end in _cuts(keys, buckets):
+                        rows.append((b, block, m, keys[start:end].tobytes(), counts[start:end].tobytes()))
                 types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "block", "level", "keys", "counts"])
 
@@ -248,7 +249,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return pa.table([pa.array([], t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
         return pa.concat_tables(out)
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     grouped = blocks.select("block", "blob").groupBy("block").cogroup(model.filter("block >= 0").groupBy("block"))
     return grouped.applyInArrow(scored, schema).withColumnRenamed("id", id_col)

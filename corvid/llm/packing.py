@@ -9,6 +9,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvid.llm.shared import words
 
@@ -127,25 +128,40 @@ def best_fit(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text
     def run(batches):
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "n", "source", "cluster"))))
 
-        def packed(shard, turn, part):
+        def packed(shard, base, part):
             got = pack_items([(n, source, cluster) for _, _, n, source, cluster in part], capacity)
-            out = [(part[i][1], piece, size, shard << 32 | turn << 22 | b, start) for i, piece, size, b, start in got]
+            out = [(part[i][1], piece, size, (shard << 40) + base + b, start) for i, piece, size, b, start in got]
             out += [(r[1], 0, 0, None, None) for r in part if not r[2]]
             types = (None, pa.int64(), pa.int64(), pa.int64(), pa.int64())
             columns = [pa.array(list(c), t or id_type) for c, t in zip(zip(*out), types)]
-            return pa.RecordBatch.from_arrays(columns, ["id", "piece", "n_words", "bin_id", "bin_start"])
+            return pa.RecordBatch.from_arrays(columns, ["id", "piece", "n_words", "bin_id", "bin_start"]), base + max((b + 1 for *_, b, _ in got), default=0)
 
         for shard, group in groupby(rows, key=lambda r: r[0]):
-            turn, part, pieces = 0, [], 0
+            base, part, pieces = 0, [], 0
             for r in group:
                 part.append(r)
                 pieces += 1 + r[2] // capacity
                 if len(part) >= 2 * shard_rows or pieces >= 1 << 21:
-                    yield packed(shard, turn, part)
-                    turn, part, pieces = turn + 1, [], 0
+                    batch, base = packed(shard, base, part)
+                    yield batch
+                    part, pieces = [], 0
             if part:
-                yield packed(shard, turn, part)
+                yield packed(shard, base, part)[0]
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
     out = ordered.mapInArrow(run, f"id {kind}, piece long, n_words long, bin_id long, bin_start long")
     return out.withColumnRenamed("id", id_col)
+
+
+def sequences(docs: DataFrame, placed: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bin_id, n_words, pieces, text) of the bins of best_fit(docs, capacity): what is trained on.
+
+    A bin's text is the words of its pieces in the order of their places, between single spaces; pieces are (id, bin_start,
+    n_words), so that attention can be kept within one. ids must be unique in docs. A bin is at most `capacity` words, so
+    no group is large."""
+    spelled = docs.select(F.col(id_col).alias("__id"), words(F.col(text_col).cast("string")).alias("__w"))
+    cut = placed.filter("bin_id IS NOT NULL").join(spelled, F.col(id_col).eqNullSafe(F.col("__id")))
+    cut = cut.select("bin_id", "bin_start", F.col(id_col).alias("id"), "n_words", F.slice("__w", (F.col("piece") * capacity + 1).cast("int"), F.col("n_words").cast("int")).alias("w"))
+    bins = cut.groupBy("bin_id").agg(F.sum("n_words").alias("n_words"), F.sort_array(F.collect_list(F.struct("bin_start", "id", "n_words", "w"))).alias("p"))
+    piece = F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["bin_start"].alias("bin_start"), x["n_words"].alias("n_words")))
+    return bins.select("bin_id", "n_words", piece.alias("pieces"), F.array_join(F.flatten(F.transform("p", lambda x: x["w"])), " ").alias("text"))

@@ -14,6 +14,7 @@ import re
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +46,16 @@ def _header(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def _records(page, url, payload, ordinal, kind, refers, hex_digest, date, most):
-    """The records of one page as strings without their last separator."""
-    name = uuid.uuid5(_SPACE, f"{page} {hex_digest} {ordinal}")
-    target = uuid.uuid5(_SPACE, f"page {refers}")
+def record_id(page, hex_digest: str, again: str = "") -> uuid.UUID:
+    """The identifier of a page's record. again tells rows that repeat a page and payload apart; others have none."""
+    return uuid.uuid5(_SPACE, f"{page} {hex_digest} {again}")
+
+
+def _records(page, url, payload, again, kind, refers, ambiguous, hex_digest, date, most):
+    """The records of one page as strings without their last separator. ambiguous: several records are of the page that
+    this one refers to, so it names the page alone."""
+    name = record_id(page, hex_digest, again)
+    target = "" if ambiguous else f"WARC-Refers-To: <urn:uuid:{record_id(refers, hex_digest)}>\r\n"
     digest = base64.b32encode(bytes.fromhex(hex_digest)).decode()
     shared = (
         f"WARC-Date: {date}\r\nWARC-Target-URI: {_header(url)}\r\nWARC-Payload-Digest: sha1:{digest}\r\n"
@@ -60,7 +67,7 @@ def _records(page, url, payload, ordinal, kind, refers, hex_digest, date, most):
         yield (
             f"{VERSION}WARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:{name}>\r\n{shared}"
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
-            f"WARC-Refers-To: <urn:uuid:{target}>\r\nX-Refers-To-Page: {refers}\r\n"
+            f"{target}X-Refers-To-Page: {refers}\r\n"
             f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(body)}\r\n\r\n{body}"
         )
         return
@@ -90,30 +97,38 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 1000, chunk_by
 
     The payload is html in UTF-8 (null: empty; null url: empty). Of rows with equal payloads of min_revisit bytes or
     more, those with the largest page_id are responses and others revisit it; a null page_id is never the largest
-    where another exists. Rows that repeat a page_id are records of their own.
+    where another exists. Rows that repeat a page_id are records of their own; of those with equal payloads too, all are
+    of one kind, and a revisit of such a page names the page but none of its records. Each file is one gzip stream.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("n", F.octet_length("payload")).withColumn("sha", F.when(F.col("n") >= min_revisit, F.sha2("payload", 256)))
     latest = rows.filter(F.col("n") >= min_revisit).groupBy("sha").agg(F.max("page_id").alias("refers"), F.count(F.lit(1)).alias("copies"))
     latest = latest.filter(F.col("copies") > 1).select("sha", "refers")
-    # Payloads stay out of the join: only those that revisit need to be known, by page_id and digest.
-    small = rows.filter(F.col("n") >= min_revisit).select("page_id", "sha")
-    revisits = small.join(latest, "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers"))).select("page_id", "sha", "refers").distinct()
-    known = rows.alias("r").join(
-        revisits.alias("v"), F.col("r.page_id").eqNullSafe(F.col("v.page_id")) & (F.col("r.sha") == F.col("v.sha")), "left"
-    ).select("r.page_id", "r.url", F.when(F.col("v.refers").isNull(), F.col("r.payload")).alias("payload"), "r.n", F.sha1("r.payload").alias("digest"), "v.refers")
+    # What is to be known of rows that revisit or repeat others is found without payloads. These pass one join by page and
+    # digest, in which each row learns it; no list of pages is small enough to send it to all tasks instead.
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    again = rows.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("m"), F.first("sha").alias("sha"))
+    told = again.join(latest, "sha", "left").withColumn("refers", F.when(~F.col("page_id").eqNullSafe(F.col("refers")), F.col("refers")))
+    told = told.filter("refers IS NOT NULL OR m > 1").select("page_id", "digest", "sha", "refers", (F.col("m") > 1).alias("again"))
+    many = told.filter("again").select(F.col("page_id").alias("refers"), "sha", F.lit(True).alias("ambiguous"))
+    told = told.join(many, ["refers", "sha"], "left").select("page_id", "digest", "refers", "again", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+    known = rows.alias("r").join(told.alias("v"), F.col("r.page_id").eqNullSafe(F.col("v.page_id")) & (F.col("r.digest") == F.col("v.digest")), "left").select(
+        "r.page_id", "r.url", F.when(F.col("v.refers").isNull(), F.col("r.payload")).alias("payload"), "r.n", "r.digest", "v.refers",
+        F.coalesce("v.again", F.lit(False)).alias("again"), F.coalesce("v.ambiguous", F.lit(False)).alias("ambiguous"),
+    )
 
     def run(batches):
         ordinal = 0
         for batch in batches:
             out, held = [], 0
             for i in range(batch.num_rows):
-                page, url, size, digest, refers = (batch.column(k)[i].as_py() for k in (0, 1, 3, 4, 5))
+                page, url, size, digest, refers, repeats, ambiguous = (batch.column(k)[i].as_py() for k in (0, 1, 3, 4, 5, 6, 7))
                 raw = batch.column(2)[i].as_buffer() if refers is None else None
                 data = memoryview(raw) if raw is not None else _Length(size)
                 ordinal += 1
-                for record in _records(page, url, data, ordinal, "revisit" if refers is not None else "response", refers, digest, date, chunk_bytes):
+                told_apart = f"{TaskContext.get().partitionId()}:{ordinal}" if repeats else ""
+                for record in _records(page, url, data, told_apart, "revisit" if refers is not None else "response", refers, ambiguous, digest, date, chunk_bytes):
                     out.append(record)
                     held += len(record)
                     if held >= 8 * CHUNK:

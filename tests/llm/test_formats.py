@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import re
 
 import pytest
 
@@ -77,3 +78,16 @@ def test_warc_damage_is_found(spark, tmp_path):
     (tmp_path / "a" / f".{part.name}.crc").unlink()
     with pytest.raises(Exception, match="damaged"):
         warc.read_archive(spark, path).collect()
+
+
+def test_revisits_name_records_that_are_there(spark, tmp_path):
+    big = "x" * 1500
+    rows = [(i, f"http://h/{i}", big) for i in range(6)] + [(9, "http://h/9", "y" * 2000), (9, "http://h/9", "y" * 2000), (3, "http://h/3", "y" * 2000), (None, None, "z" * 1200), (5, "u", big)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    warc.write_archive(df, str(tmp_path / "a"))
+    text = "".join(r.value for r in spark.read.text(str(tmp_path / "a"), wholetext=True).collect())
+    ids = re.findall(r"WARC-Record-ID: (\S+)", text)
+    assert len(ids) == len(set(ids)) == len(rows)
+    refers = re.findall(r"WARC-Refers-To: (\S+)", text)
+    assert set(refers) <= set(ids) and len(re.findall("WARC-Type: revisit", text)) == 6
+    assert len(refers) == 0 if text.count("X-Page-Id: 5") > 1 else len(refers) == 5  # a page of two records is named, not a record

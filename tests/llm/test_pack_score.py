@@ -117,3 +117,18 @@ def test_scores_of_odd_tables(spark):
     df = spark.createDataFrame([(i, "x y") for i in range(60) if lm_score.is_held_out(i, 7, 2)], "doc_id long, text string")
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.held_out for r in lm_score.score_texts(df).collect())
     assert lm_score.score_texts(df.limit(0)).count() == 0
+
+
+def test_sequences_hold_every_word_once(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{i}_{k}" for k in range(rng.choice([0, 3, 17, 40, 95]))) for i in range(80)] + [None]
+    df = spark.createDataFrame([(i, t, f"s{i % 7}") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    placed = packing.best_fit(df, 40, shard_rows=20)
+    bins = packing.sequences(df, placed, 40).collect()
+    assert len({r.bin_id for r in bins}) == len(bins) and max(r.n_words for r in bins) <= 40
+    got = collections.Counter(w for r in bins for w in r.text.split())
+    assert got == collections.Counter(w for t in texts if t for w in t.split())
+    for r in bins:
+        assert len(r.text.split()) == r.n_words == sum(p.n_words for p in r.pieces)
+        for p in r.pieces:
+            assert set(r.text.split()[p.bin_start : p.bin_start + p.n_words]) <= set(texts[p.id].split())
