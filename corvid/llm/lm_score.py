@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -23,6 +24,8 @@ from corvid.llm.shingles import word_hashes
 
 #: Bytes of text in a block, n-gram occurrences a bucket should have, bytes hashed at once.
 BLOCK, BUCKET, SLICE = 6 << 20, 2_000_000, 1 << 18
+#: The bits that tell n-grams of two words or more apart: a byte fewer to send for each.
+LONGER = ~np.uint64(0xFF)
 #: Hashes that stand for a text's begin and end.
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 
@@ -56,7 +59,7 @@ class Grams:
             before = np.concatenate([np.zeros(1, np.uint64), key[:-1]])
             key = mix(before * np.uint64(0xD1342543DE82EF95) + tokens + np.uint64(m))
             at = np.flatnonzero(depth >= m)
-            keys, first_at, inverse = np.unique(key[at], return_index=True, return_inverse=True)
+            keys, first_at, inverse = np.unique(key[at] & LONGER if m else key[at], return_index=True, return_inverse=True)
             spread = np.full(len(tokens), -1, np.int64)
             spread[at] = inverse
             self.keys.append(keys)
@@ -163,6 +166,16 @@ def _opened(blob: bytes, order: int, modulus: int, remainder: int) -> tuple[pa.A
     return ids, Grams(ids.to_pylist(), table.column(1).combine_chunks(), order, modulus, remainder)
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Integers as bytes, the first bytes of all together, then the second, and so on: high bytes are mostly zero."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+
+
+def _unsqueezed(data, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def _cuts(keys: np.ndarray, buckets: int):
     """(bucket, start, end) of each bucket that has any of the sorted keys: work by keys, however many buckets there are."""
     high = keys >> np.uint64(32)  # a bucket is a range of the upper half, so that the product fits
@@ -171,7 +184,7 @@ def _cuts(keys: np.ndarray, buckets: int):
     return zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mass: float = 500.0, modulus: int = 7, remainder: int = 2, block_bytes: int = BLOCK, bucket_grams: int = BUCKET) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, mass: float = 150.0, modulus: int = 7, remainder: int = 2, block_bytes: int = BLOCK, bucket_grams: int = BUCKET) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are a text's words (A-Z lower-cased) and one end. Rows whose crc32(id as text) modulo `modulus` is not
@@ -179,7 +192,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     log10((c + 1) / (N + V + 1)) over tokens, c being the token's training count, N all and V distinct training tokens;
     n_known counts tokens with c > 0; score is the log10 probability under the `order`-gram automaton. Null, empty and
     blank texts are their end alone. Repeated rows count and are scored each; other columns are ignored; an empty
-    table gives an empty result; without training rows every c is 0. Words and n-grams are told apart by 64-bit hashes.
+    table gives an empty result; without training rows every c is 0. Words are told apart by
+    64-bit hashes, longer n-grams by 56 bits of theirs.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -194,7 +208,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows = []
                 for m, (keys, counts) in enumerate(zip(grams.keys, grams.count)):
                     for b, start, end in _cuts(keys, buckets):
-                        rows.append((b, block, m, keys[start:end].tobytes(), counts[start:end].tobytes()))
+                        rows.append((b, block, m, _squeezed(np.diff(keys[start:end], prepend=np.uint64(0))), _squeezed(counts[start:end])))
                 types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "block", "level", "keys", "counts"])
 
@@ -206,15 +220,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             part = table.filter(pa.compute.equal(table.column("level"), m))
             if not part.num_rows:
                 continue
-            keys = [np.frombuffer(k.as_buffer(), np.uint64) for k in part.column("keys")]
-            counts = np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) for c in part.column("counts")])
+            keys = [np.cumsum(_unsqueezed(k.as_buffer(), np.uint64), dtype=np.uint64) for k in part.column("keys")]
+            counts = np.concatenate([_unsqueezed(c.as_buffer(), np.uint32) for c in part.column("counts")])
             unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(inverse, weights=counts, minlength=len(unique))
             if m == 0:
                 kinds = int(((total > 0) & (unique != begin)).sum())
             total = total.astype(np.uint64 if total.max(initial=0) >= 2**32 else np.uint32)[inverse]
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-            rows += [(block, bucket, m, total[at[i] : at[i + 1]].tobytes(), 0, total.itemsize) for i, block in enumerate(part.column("block").to_pylist())]
+            rows += [(block, bucket, m, _squeezed(total[at[i] : at[i + 1]]), 0, total.itemsize) for i, block in enumerate(part.column("block").to_pylist())]
         rows.append((-1, bucket, -1, b"", kinds, 4))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["block", "bucket", "level", "totals", "kinds", "width"])
@@ -233,7 +247,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             totals = []
             for m in range(order):
                 part = right.filter(pa.compute.equal(right.column("level"), m))
-                totals.append(np.concatenate([np.frombuffer(t.as_buffer(), np.uint32 if w == 4 else np.uint64) for t, w in zip(part.column("totals"), part.column("width").to_pylist())]))
+                totals.append(np.concatenate([_unsqueezed(t.as_buffer(), np.uint32 if w == 4 else np.uint64) for t, w in zip(part.column("totals"), part.column("width").to_pylist())]))
             automaton = BackoffAutomaton(grams, totals, n_train, kinds, mass)
             c = totals[0][grams.place[0]].astype(np.float64)
             plus, known = np.log10(c + 1), c > 0
