@@ -248,9 +248,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for m in range(order):
                 part = right.filter(pa.compute.equal(right.column("level"), m))
                 totals.append(np.concatenate([_unsqueezed(t.as_buffer(), np.uint32 if w == 4 else np.uint64) for t, w in zip(part.column("totals"), part.column("width").to_pylist())]))
+            grams.keys = grams.count = ()  # the totals stand for both
             automaton = BackoffAutomaton(grams, totals, n_train, kinds, mass)
             c = totals[0][grams.place[0]].astype(np.float64)
             plus, known = np.log10(c + 1), c > 0
+            del part, totals
+            grams.place = grams.first = ()
             lows = math.log10(n_train + kinds + 1)
             n, k, base, score = [], [], [], []
             for a, b in zip(grams.start[:-1] + 1, grams.start[1:]):
