@@ -10,6 +10,7 @@ cell of the smaller number, and links are exact.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from corvid.llm.components import connected_components
 from corvid.llm.shared import stored
 
-#: Vectors a cell should hold, most centroids, sampled vectors a centroid, vectors a block, slack for rounding.
-CELL, MOST_CELLS, SAMPLE, BLOCK, SLACK = 2000, 2048, 32, 2000, 1e-6
+#: Vectors a cell should hold, most centroids, sampled vectors a centroid, vectors a block, slack for rounding. Few vectors
+#: have a centroid for each FEW of their number's square root, so that small tables have several cells too.
+CELL, MOST_CELLS, SAMPLE, BLOCK, SLACK, FEW = 2000, 2048, 32, 2000, 1e-6, 8
 
 
 def unit(values) -> np.ndarray | None:
@@ -268,7 +270,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     reps = stored(reps, "reps")
     main = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     dim, n = (main["dim"], main["count"]) if main else (1, 0)
-    k = int(min(MOST_CELLS, max(1, n // CELL)))
+    k = int(min(MOST_CELLS, max(1, n // CELL, round(math.sqrt(n) / FEW))))
     sample = reps.filter(F.col("dim") == dim).orderBy("node").limit(SAMPLE * max(k, 64)).select("unit").collect() if n else []
     x = np.stack([np.frombuffer(r.unit, np.float64) for r in sample]) if sample else np.ones((1, dim))
     centroids = spark.sparkContext.broadcast(spherical_kmeans(x, min(k, len(x))))
