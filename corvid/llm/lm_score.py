@@ -24,6 +24,8 @@ from corvid.llm.shingles import word_hashes
 
 #: Bytes of text in a block, n-gram occurrences a bucket should have, bytes hashed at once.
 BLOCK, BUCKET, SLICE = 6 << 20, 2_000_000, 1 << 18
+#: Bytes that a word is taken to have with its space, where the number of buckets is chosen.
+WORD_BYTES = 6
 #: The bits that tell n-grams of two words or more apart: a byte fewer to send for each.
 LONGER = ~np.uint64(0xFF)
 #: Hashes that stand for a text's begin and end.
@@ -128,8 +130,8 @@ class BackoffAutomaton:
         return total
 
 
-def _blocks(texts: DataFrame, modulus: int, remainder: int, block_bytes: int) -> DataFrame:
-    """(block, tokens, train_tokens, blob): texts with their ids, compressed, in blocks of about block_bytes."""
+def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, n_bytes, blob): texts with their ids, compressed, in blocks of about block_bytes."""
 
     def run(batches):
         held, size = [], 0
@@ -139,9 +141,8 @@ def _blocks(texts: DataFrame, modulus: int, remainder: int, block_bytes: int) ->
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table.combine_chunks())
-            grams = Grams(table.column(0).to_pylist(), table.column(1).combine_chunks(), 0, modulus, remainder)
-            row = [[random.getrandbits(62)], [int(grams.start[-1]) - table.num_rows], [grams.train_tokens()], [sink.getvalue().to_pybytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["block", "tokens", "train_tokens", "blob"])
+            row = [[random.getrandbits(62)], [size], [sink.getvalue().to_pybytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int64(), pa.binary()))], ["block", "n_bytes", "blob"])
 
         for batch in batches:
             _, bounds = utf8(batch.column(1))
@@ -157,7 +158,7 @@ def _blocks(texts: DataFrame, modulus: int, remainder: int, block_bytes: int) ->
         if held:
             yield packed()
 
-    return texts.mapInArrow(run, "block long, tokens long, train_tokens long, blob binary")
+    return texts.mapInArrow(run, "block long, n_bytes long, blob binary")
 
 
 def _opened(blob: bytes, order: int, modulus: int, remainder: int) -> tuple[pa.Array, Grams]:
@@ -197,15 +198,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = stored(_blocks(texts, modulus, remainder, block_bytes), "blocks", "uncompressed")
-    n_tokens, n_train = (int(x or 0) for x in blocks.agg(F.sum("tokens"), F.sum("train_tokens")).first())
-    buckets = max(8, -(-n_tokens * order // bucket_grams))
+    blocks = stored(_blocks(texts, block_bytes), "blocks", "uncompressed")
+    n_bytes = int(blocks.agg(F.sum("n_bytes")).first()[0] or 0)
+    buckets = max(8, -(-n_bytes * order // (WORD_BYTES * bucket_grams)))
 
     def sent(batches):
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 grams = _opened(blob.as_buffer(), order, modulus, remainder)[1]
-                rows = []
+                rows = [(block % buckets, block, -1, b"", grams.train_tokens().to_bytes(8, "little"))]
                 for m, (keys, counts) in enumerate(zip(grams.keys, grams.count)):
                     for b, start, end in _cuts(keys, buckets):
                         rows.append((b, block, m, _squeezed(np.diff(keys[start:end], prepend=np.uint64(0))), _squeezed(counts[start:end])))
@@ -230,13 +231,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             rows += [(block, bucket, m, _squeezed(total[at[i] : at[i + 1]]), 0, total.itemsize) for i, block in enumerate(part.column("block").to_pylist())]
         rows.append((-1, bucket, -1, b"", kinds, 4))
+        told = table.filter(pa.compute.equal(table.column("level"), -1)).column("counts").to_pylist()
+        rows.append((-2, bucket, -1, b"", sum(int.from_bytes(n, "little") for n in told), 4))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["block", "bucket", "level", "totals", "kinds", "width"])
 
     counted = blocks.select("block", "blob").mapInArrow(sent, "bucket int, block long, level int, keys binary, counts binary")
     model = counted.groupBy("bucket").applyInArrow(summed, "block long, bucket int, level int, totals binary, kinds long, width int")
     model = stored(model, "model")
-    kinds = int(model.filter("block = -1").agg(F.sum("kinds")).first()[0] or 0)
+    kinds, n_train = (int(model.filter(F.col("block") == k).agg(F.sum("kinds")).first()[0] or 0) for k in (-1, -2))
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
