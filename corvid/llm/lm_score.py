@@ -23,7 +23,7 @@ from corvid.llm.shared import mix, slices, stored, utf8
 from corvid.llm.shingles import word_hashes
 
 #: Bytes of text in a block, n-gram occurrences a bucket should have, bytes hashed at once.
-BLOCK, BUCKET, SLICE = 6 << 20, 2_000_000, 1 << 18
+BLOCK, BUCKET, SLICE = 5 << 20, 2_000_000, 1 << 18
 #: Bytes that a word is taken to have with its space, where the number of buckets is chosen.
 WORD_BYTES = 6
 #: The bits that tell n-grams of two words or more apart: a byte fewer to send for each.
