@@ -77,7 +77,7 @@ def pack_query(framework: str, files: Mapping[str, str], rows: Sequence[tuple[st
     query(sql, f"pack_{framework}")(run)
 
 
-def contract_query(framework: str, files: Mapping[str, str], rows: Sequence[tuple]) -> None:
+def contract_query(framework: str, files: Mapping[str, str], rows: Sequence[tuple], about: str = "") -> None:
     """As pack_query, with what routes declare: rows are (method, path, parameters, body, statuses, result, security), body and
     result (of the first response) being schemas or None, parameters in:name:type."""
     text = lambda v: "" if v is None else schemas.canonical(v).replace('"@k#"', "@k")
@@ -104,14 +104,14 @@ def contract_query(framework: str, files: Mapping[str, str], rows: Sequence[tupl
         row = F.from_json(told("value"), ", ".join(f"{n} string" for n in names.split(", ")))
         return found.select("project", row.alias("r")).select("project", "r.*")
 
-    query(sql, f"contract_{framework}")(run)
+    query(sql, f"contract_{framework}{about}")(run)
 
 
 def _project_files(table, framework: str, files: Mapping[str, str]) -> DataFrame:
     project = F.lower(F.replace("n_name", F.lit(" "), F.lit("")))
     each = F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("content")) for p, t in files.items())))
     texts = table("nation").select("n_name", "n_nationkey", project.alias("project"), each.alias("f")).select("project", _named(F.col("f.path")).alias("path"), _named(F.col("f.content")).alias("content"))
-    return texts.withColumn("language", F.when(F.col("path").rlike(r"\.ya?ml$"), "yaml").otherwise(F.lit(registry()[framework][0])))
+    return texts.withColumn("language", F.when(F.col("path").rlike(r"\.ya?ml$"), "yaml").when(F.col("path").endswith(".prisma"), "prisma").otherwise(F.lit(registry()[framework][0])))
 
 
 # --- packs -----------------------------------------------------------------------------------------------------------
@@ -371,6 +371,23 @@ router.use((err, req, res, next) => { res.status(418).json({ error: 'x' }); });
     ("get", "/v1/me", "", None, "200,418", _object(["id"], id=_I), "bearerAuth"),
     ("get", "/v1/token", "", None, "200", _object(["id"], id=_I), "bearerAuth"),
 ])
+contract_query("express", {"prisma/schema.prisma": "model Thing {\n  zid Int @id\n  @w String?\n}\n", "m.js": "const s = new Schema({ @w: Number }, { versionKey: false });\nconst Row = mongoose.model('Row', s);\n", "a.js": """const express = require('express');
+const app = express();
+const prisma = new PrismaClient();
+app.get('/all@k', async (req, res) => { const [all, total] = await Promise.all([prisma.thing.findMany(), prisma.thing.count()]); res.json({ all, total }); });
+app.get('/one', async (req, res) => { const t = await prisma.thing.findFirst({ select: { @w: true } }); if (!t) throw new Error('x'); res.json(t); });
+app.post('/rows', async (req, res) => { res.status(201).json(await Row.create(req.body)); });
+app.get('/rows', async (req, res) => { const rows = await Row.find().sort('@w').lean(); res.json(rows); });
+app.get('/lost', async (req, res) => { res.json(await cache.thing.count()); });
+"""}, [
+    ("get", "/all@k", "", None, "200", _object(["all", "total"], all={"type": "array", "items": _object(["zid", "@w"], zid=_I, w={"type": ["string", "null"]})}, total=_I), ""),
+    ("get", "/one", "", None, "200", _object(["@w"], w={"type": ["string", "null"]}), ""),
+    ("post", "/rows", "", {}, "201", _object(["_id", "@w"], _id=_S, w=_N), ""),
+    ("get", "/rows", "", None, "200", {"type": "array", "items": _object(["_id", "@w"], _id=_S, w=_N)}, ""),
+    ("get", "/lost", "", None, "200", {}, ""),
+], "_rows")
+contract_query("fastify", {"m.js": "const User = sequelize.define('User', { @w: { type: DataTypes.STRING, allowNull: false }, zz: DataTypes.DATEONLY });\n", "a.js": "const fastify = require('fastify')();\nfastify.get('/@w', async (req, reply) => { const { rows, count } = await User.findAndCountAll({ attributes: ['@w', ['zz', 'zday']] }); return { rows, n: count }; });\n"},
+               [("get", "/@w", "", None, "200", _object(["rows", "n"], rows={"type": "array", "items": _object(["@w", "zday"], w=_S, zday={"type": ["string", "null"], "format": "date"})}, n=_I), "")])
 contract_query("hono", {"a.ts": "import { Hono } from 'hono'\nimport { z } from 'zod'\nconst S = z.object({ @w: z.number().max(@k) })\nconst app = new Hono()\napp.post('/p', zValidator('json', S), (c) => c.json({ id: 1 }, 201))\n"}, [("post", "/p", "", _object(["@w"], w={**_N, "maximum": "@k#"}), "201", _object(["id"], id=_I), "")])
 contract_query("nest", {"c.ts": "import { Controller, Post } from '@nestjs/common';\nimport { Dto, Row } from './dto';\n@Controller('@w')\nexport class C {\n  @Post()\n  async make(@Body() dto: Dto, @Query() q: Page): Promise<Row[]> { return this.s.make(dto); }\n}\n",
                         "dto.ts": "export interface Dto { @w: string; zz?: number }\nexport class Row { id!: number; zz: 'a' | 'b' | null; }\nexport type Page = { page?: number; size: number };\n"},

@@ -49,7 +49,7 @@ def extract(files: DataFrame, gates: DataFrame) -> DataFrame:
 
     kind is route, unresolved, component, security or server. Files are filtered to gated projects and the framework's
     language before they are grouped."""
-    also = {"javascript": ("javascript", "typescript"), "php": ("php", "yaml")}
+    also = {"javascript": ("javascript", "typescript", "prisma"), "php": ("php", "yaml")}
     languages = [(f, each) for f, (lang, _) in registry().items() for each in also.get(lang, (lang,))]
     wanted = gates.join(files.sparkSession.createDataFrame(languages, "framework string, language string"), "framework")
     chosen = files.select("project", "path", "content", "language").join(wanted, ["project", "language"])

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 from corvid.packs import Found, validators
+from corvid.packs.results import Results, returned
 from corvid.packs.routes import VERBS, best, candidate, firsts, joined, names_in, parameter, response
 from corvid.packs.scanner import calls, closing, line_at, object_schema, split_top, status, string, template, without_comments
 from corvid.packs.types import TypeScript
@@ -217,11 +218,12 @@ def _chain_start(code: str, end: int) -> int:
     return at
 
 
-def describe(code: str | None, route: dict) -> None:
+def describe(code: str | None, route: dict, results: Results | None = None) -> None:
     """Parameters, body and responses in a handler's text, for request and context styles alike."""
     if code is None:
         route["gaps"].append("response-unknown")
         return
+    known_rows = (lambda e: results.schema(code, e)) if results else None
     known = {(p["in"], p["name"]) for p in route["parameters"]}
 
     def add(name: str, where: str, schema=None):
@@ -253,7 +255,7 @@ def describe(code: str | None, route: dict) -> None:
         if c.name in ("json", "send") and (re.match(r"(?:res|response|reply|c|ctx|NextResponse|Response)\b", chain) or before):
             given = re.search(r"status\s*:\s*(\d{3})", c.args[1]) if len(c.args) > 1 else None
             code_ = code_ or (int(given[1]) if given else None) or (status(c.args[1]) if len(c.args) > 1 else None) or 200
-            schema = object_schema(c.args[0]) if c.args else None
+            schema = object_schema(c.args[0], known=known_rows) if c.args else None
             text = c.name == "send" and (schema or {}).get("type") == "string"
             if c.args or c.name == "json":
                 route["responses"].append(response(code_, schema if schema is not None else {}, "text/html" if text else "application/json"))
@@ -271,7 +273,7 @@ def describe(code: str | None, route: dict) -> None:
         rest = code[m.end() :]
         literal = rest[: closing(rest, 0) + 1] if rest[:1] in "{[" else re.split(r"[;\n]", rest)[0]
         stated = re.search(r"ctx\.status\s*=\s*(\d{3})", code)
-        route["responses"].append(response(int(stated[1]) if stated else 200, object_schema(literal) or {}))
+        route["responses"].append(response(int(stated[1]) if stated else 200, object_schema(literal, known=known_rows) or {}))
     if re.search(r"text/event-stream", code):
         route["x-protocol"] = "sse"
         route["responses"].append(response(200, None, "text/event-stream"))
@@ -294,7 +296,7 @@ def routers(framework: str):
     def extract(files: Mapping[str, str]) -> Found:
         found = Found()
         modules = Modules(files)
-        checks = Validators(modules)
+        checks, results = Validators(modules), Results(files, modules.texts)
         around: list[tuple[tuple[str, str], str, int, str, str]] = []  # middleware: owner, file, place, scope, text
         made: dict[tuple[str, str], dict] = {}
         mounts: dict[tuple[str, str], list[tuple[tuple[str, str], str]]] = {}
@@ -367,7 +369,9 @@ def routers(framework: str):
                     route = candidate(method, full, path, line_at(modules.texts[path], at))
                     route["parameters"] = [parameter(n, "path", {"type": "string"}, True) for n in names_in(full)]
                     code = modules.function(path, handler) if handler else None
-                    describe(code, route)
+                    describe(code, route, results)
+                    if framework == "fastify" and code:
+                        _returns(code, route, results)
                     before = [a for a in args[1:] if a is not handler]
                     for text in (*before, code or ""):
                         checks.apply(path, text, route)
@@ -395,6 +399,14 @@ def routers(framework: str):
     return extract
 
 
+def _returns(code: str, route: dict, results: Results) -> None:
+    """The body that a handler returns instead of sending it, where it is a literal or known from models."""
+    found = [s for e in returned(code) if (s := object_schema(e, known=lambda x: results.schema(code, x))) is not None]
+    if found and "200" not in {r["status_code"] for r in route["responses"]}:
+        route["responses"].append(response(200, found[-1], "text/plain" if found[-1].get("type") == "string" else "application/json"))
+        route["gaps"] = [g for g in route["gaps"] if g != "response-unknown"]
+
+
 def _covers(scope: str, path: str) -> bool:
     """Whether a middleware's scope is a path or a prefix of it at a slash."""
     scope = scope.rstrip("/")
@@ -440,7 +452,7 @@ def nest(files: Mapping[str, str]) -> Found:
     """Controllers by decorators."""
     found = Found()
     modules = Modules(files)
-    types = TypeScript(modules.texts, found.components)
+    types, results = TypeScript(modules.texts, found.components), Results(files, modules.texts)
     root = next((m[1] for t in modules.texts.values() if (m := re.search(r"\.setGlobalPrefix\(\s*['\"]([^'\"]+)", t))), "")
     candidates = []
     verbs = {**{v.capitalize(): (v,) for v in VERBS}, "All": ("get",)}
@@ -482,9 +494,8 @@ def nest(files: Mapping[str, str]) -> Found:
                             route["parameters"].append(parameter(q[2], places[q[1]], {"type": kind}, "?" not in p))
                     code_ = re.search(r"@HttpCode\(\s*([\w.]+)\s*\)", text[close : opened])
                     ok = (status(code_[1]) if code_ else None) or (201 if verb == "post" else 200)
-                    returned = re.search(r"return\s+(\{.*?\}|\[.*?\]|['\"][^'\"]*['\"])\s*;?\s*\}$", code, re.S)
                     said = re.match(r"\s*:\s*(.+)$", text[ended + 1 : body], re.S)
-                    schema = (types.schema(said[1]) if said else None) or (object_schema(returned[1]) if returned else None)
+                    schema = (types.schema(said[1]) if said else None) or next((s for e in returned("() => " + code) if (s := object_schema(e, known=lambda x: results.schema(code, x))) is not None), None)
                     if any(map(asks_credentials, re.findall(r"@UseGuards\(\s*([^()]*(?:\([^()]*\))?)", text[at : opened] + text[m.start() - 300 if m.start() > 300 else 0 : m.start()] + m[0]))):
                         route["security"] = [{"bearerAuth": []}]
                         found.security["bearerAuth"] = {"type": "http", "scheme": "bearer"}
@@ -498,6 +509,7 @@ def nextjs(files: Mapping[str, str]) -> Found:
     """Routes by files: exported verbs of app routes, and pages under pages/api."""
     found = Found()
     modules = Modules(files)
+    results = Results(files, modules.texts)
 
     def candidates() -> Iterator[dict]:
         for path, text in modules.texts.items():
@@ -515,7 +527,7 @@ def nextjs(files: Mapping[str, str]) -> Found:
             for verb in dict.fromkeys(verbs):
                 route = candidate(verb, full, path, 1)
                 route["parameters"] = [parameter(n, "path", {"type": "string"}, True) for n in names_in(full)]
-                describe(modules.function(path, verb) if NEXT_ROUTE.search(path) else text, route)
+                describe(modules.function(path, verb) if NEXT_ROUTE.search(path) else text, route, results)
                 yield route
 
     found.routes = firsts(candidates())[0]

@@ -7,7 +7,7 @@ file, strings are kept, and anything that isn't understood is left out rather th
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from corvid.functions.paths import DIALECTS, ROOTED, balanced_template
@@ -138,8 +138,9 @@ def status(text: str | None) -> int | None:
     return next((v for k, v in STATUSES.items() if k.lower() == flat), None)
 
 
-def object_schema(text: str, depth: int = 0) -> dict | None:
-    """The schema of a literal in JSON-like syntax (JavaScript objects, Go gin.H); None where it is no literal."""
+def object_schema(text: str, depth: int = 0, known: Callable[[str], dict | None] | None = None) -> dict | None:
+    """The schema of a literal in JSON-like syntax (JavaScript objects, Go gin.H); `known` tells that of anything else in
+    it, and None is said where it isn't known."""
     text = text.strip()
     if depth > 12:
         return None
@@ -155,7 +156,7 @@ def object_schema(text: str, depth: int = 0) -> dict | None:
         return {"type": "null"}
     if text.startswith("[") and closing(text, 0) == len(text) - 1:
         items = split_top(text[1:-1])
-        return {"type": "array", "items": (object_schema(items[0], depth + 1) or {}) if items else {}}
+        return {"type": "array", "items": (object_schema(items[0], depth + 1, known) or {}) if items else {}}
     head = re.match(r"(?:gin\.H|echo\.Map|fiber\.Map|map\[string\](?:any|interface\{\}|string))?\s*(?=\{)", text)
     if head and closing(text, head.end()) == len(text) - 1:
         properties, partial = {}, False
@@ -167,7 +168,7 @@ def object_schema(text: str, depth: int = 0) -> dict | None:
             if key is None or entry.startswith("..."):
                 partial = True
                 continue
-            properties[key] = (object_schema(":".join(parts[1:]), depth + 1) or {}) if len(parts) > 1 else {}
+            properties[key] = object_schema(":".join(parts[1:]) if len(parts) > 1 else key, depth + 1, known) or {}
         out = {"type": "object", "properties": properties, "required": list(properties)}
         return {**out, "x-discovery-incomplete": ["spread"]} if partial else out
-    return None
+    return known(text) if known else None

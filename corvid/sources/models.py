@@ -19,6 +19,8 @@ SEQUELIZE = {"STRING": {"type": "string"}, "TEXT": {"type": "string"}, "INTEGER"
 MANY = {"findMany", "find", "findAll", "aggregate"}
 ONE_OR_NONE = {"findUnique", "findFirst", "findOne", "findById", "findByPk", "findOneAndUpdate", "findByIdAndUpdate", "findOneAndDelete", "findByIdAndDelete"}
 COUNTS = {"count", "countDocuments", "estimatedDocumentCount"}
+PRISMA_ROW = {"findUniqueOrThrow", "findFirstOrThrow", "create", "update", "upsert", "delete"}
+MODEL_ROW = {"create", "build"}
 WRITES = {"updateMany": "count", "deleteMany": "count", "createMany": "count"}
 
 
@@ -116,6 +118,8 @@ def prisma_result(models: Mapping[str, Model], call: str) -> dict | None:
         return {"type": "integer"}
     if m[2] in WRITES:
         return of_object({"count": {"type": "integer"}})
+    if m[2] != "findMany" and m[2] not in ONE_OR_NONE | PRISMA_ROW:
+        return None
     row = projected(models, name, args[0] if args else "")
     return {"type": "array", "items": row} if m[2] in MANY else nullable(row) if m[2] in ONE_OR_NONE else row
 
@@ -203,6 +207,8 @@ def mongoose_result(models: Mapping[str, Model], call: str) -> dict | None:
     if m[2] in ("updateOne", "updateMany", "deleteOne", "deleteMany"):
         name = "deletedCount" if m[2].startswith("delete") else "modifiedCount"
         return of_object({"acknowledged": {"type": "boolean"}, name: {"type": "integer"}})
+    if m[2] not in MANY | ONE_OR_NONE | MODEL_ROW:
+        return None
     row = mongoose_row(models, m[1], select, populate)
     return {"type": "array", "items": row} if m[2] in MANY else nullable(row) if m[2] in ONE_OR_NONE else row
 
@@ -230,6 +236,8 @@ def sequelize_result(models: Mapping[str, Model], call: str) -> dict | None:
         return None
     if m[2] == "count":
         return {"type": "integer"}
+    if m[2] not in {"findAll", "findAndCountAll"} | ONE_OR_NONE | MODEL_ROW:
+        return None
     args = split_top(call[m.end() : closing(call, m.end() - 1)])
     chosen = _options(args[-1]).get("attributes", "") if args and args[-1].startswith("{") else ""
     own = models[m[1]].scalars

@@ -91,7 +91,7 @@ def built_dirs(files: DataFrame) -> DataFrame:
 
 def language(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
-    out = F.when(path.rlike(r"(?:^|/)config/.*\.ya?ml$"), "yaml")
+    out = F.when(path.rlike(r"(?:^|/)config/.*\.ya?ml$"), "yaml").when(path.rlike(r"(?:^|/)(?:schema|(?:src/)?prisma/[^/]+)\.prisma$"), "prisma")
     for name in dict.fromkeys(LANGUAGES.values()):
         out = out.when(ext.isin(*(e for e, v in LANGUAGES.items() if v == name)), name)
     return out
@@ -208,7 +208,7 @@ def index_files(
     if over:
         raise BudgetExceeded(f"project {over.project} has {over.files} files of {over.bytes} bytes; the budget is {max_files} files, {max_total_bytes} bytes")
 
-    globs = "{" + ",".join([*(f"*.{e}" for e in LANGUAGES), "*.yml", "*.yaml"]) + "}"
+    globs = "{" + ",".join([*(f"*.{e}" for e in LANGUAGES), "*.yml", "*.yaml", "*.prisma"]) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", globs).load(root).filter(F.col("length") <= max_file_bytes)
     read = small.join(raw.select(F.col("path").alias("url"), "content"), "url").withColumn("text", decoded(F.col("content")))
     ordinal = F.row_number().over(Window.partitionBy("project").orderBy("path"))
