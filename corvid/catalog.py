@@ -83,7 +83,7 @@ def contract_query(framework: str, files: Mapping[str, str], rows: Sequence[tupl
     text = lambda v: "" if v is None else schemas.canonical(v).replace('"@k#"', "@k")
     values = ", ".join("(" + ", ".join(map(_literal, (m, p, a, text(b), st, text(r), sec))) + ")" for m, p, a, b, st, r, sec in rows)
     names = "method, path, parameters, body, statuses, result, security"
-    sql = f"SELECT {_WORD} AS project, method, {_filled('path')} AS path, parameters, {_filled('body')} AS body, statuses, {_filled('result')} AS result, security FROM nation, (VALUES {values}) v({names})"
+    sql = f"SELECT {_WORD} AS project, method, {_filled('path')} AS path, {_filled('parameters')} AS parameters, {_filled('body')} AS body, statuses, {_filled('result')} AS result, security FROM nation, (VALUES {values}) v({names})"
 
     def run(table) -> DataFrame:
         @F.pandas_udf("string")
@@ -376,18 +376,26 @@ const app = express();
 const prisma = new PrismaClient();
 app.get('/all@k', async (req, res) => { const [all, total] = await Promise.all([prisma.thing.findMany(), prisma.thing.count()]); res.json({ all, total }); });
 app.get('/one', async (req, res) => { const t = await prisma.thing.findFirst({ select: { @w: true } }); if (!t) throw new Error('x'); res.json(t); });
-app.post('/rows', async (req, res) => { res.status(201).json(await Row.create(req.body)); });
-app.get('/rows', async (req, res) => { const rows = await Row.find().sort('@w').lean(); res.json(rows); });
+app.post('/rows', async (req, res) => { const row = await Row.create(req.body); res.status(201).json({ @w: row.@w, zid: row._id }); });
+app.get('/rows', async (req, res) => { const rows = await Row.find().select('@w -_id').lean(); res.json(rows); });
 app.get('/lost', async (req, res) => { res.json(await cache.thing.count()); });
 """}, [
     ("get", "/all@k", "", None, "200", _object(["all", "total"], all={"type": "array", "items": _object(["zid", "@w"], zid=_I, w={"type": ["string", "null"]})}, total=_I), ""),
     ("get", "/one", "", None, "200", _object(["@w"], w={"type": ["string", "null"]}), ""),
-    ("post", "/rows", "", {}, "201", _object(["_id", "@w"], _id=_S, w=_N), ""),
-    ("get", "/rows", "", None, "200", {"type": "array", "items": _object(["_id", "@w"], _id=_S, w=_N)}, ""),
+    ("post", "/rows", "", {}, "201", _object(["@w", "zid"], w=_N, zid=_S), ""),
+    ("get", "/rows", "", None, "200", {"type": "array", "items": _object(["@w"], w=_N)}, ""),
     ("get", "/lost", "", None, "200", {}, ""),
 ], "_rows")
 contract_query("fastify", {"m.js": "const User = sequelize.define('User', { @w: { type: DataTypes.STRING, allowNull: false }, zz: DataTypes.DATEONLY });\n", "a.js": "const fastify = require('fastify')();\nfastify.get('/@w', async (req, reply) => { const { rows, count } = await User.findAndCountAll({ attributes: ['@w', ['zz', 'zday']] }); return { rows, n: count }; });\n"},
                [("get", "/@w", "", None, "200", _object(["rows", "n"], rows={"type": "array", "items": _object(["@w", "zday"], w=_S, zday={"type": ["string", "null"], "format": "date"})}, n=_I), "")])
+contract_query("starlette", {"a.py": "from starlette.applications import Starlette\nfrom starlette.routing import Route\nfrom starlette.exceptions import HTTPException\nfrom starlette.responses import JSONResponse\nclass Base(Exception): ...\nclass Lost(Base): ...\nasync def none(request, exc): return JSONResponse({'@w': 1}, status_code=exc.status_code)\nasync def lost(request, exc): return JSONResponse({'zz': 'x'}, status_code=410)\nasync def a(request): raise HTTPException(404)\nasync def b(request): raise Lost()\nasync def c(request): raise HTTPException(409)\napp = Starlette(routes=[Route('/@w/a', a), Route('/b@k', b), Route('/c', c)], exception_handlers={404: none, Base: lost})\n"}, [
+    ("get", "/@w/a", "", None, "404", _object(["@w"], w=_I), ""), ("get", "/b@k", "", None, "410", _object(["zz"], zz=_S), ""), ("get", "/c", "", None, "409", _S, ""),
+])
+contract_query("flask", {"app.py": "from flask import Flask, jsonify, request, abort\nfrom marshmallow import Schema, fields\napp = Flask(__name__)\nclass Base(Schema):\n    @w = fields.Int(required=True)\nclass ThingSchema(Base):\n    zz = fields.Str()\nthings = ThingSchema(many=True)\n@app.errorhandler(404)\ndef none(e): return jsonify(zz='no'), 404\n@app.post('/@w')\ndef make():\n    data = ThingSchema().load(request.get_json())\n    return ThingSchema().dump(data), 201\n@app.get('/all@k')\ndef all():\n    args = Base().load(request.args)\n    return jsonify(things.dump([]))\n@app.get('/lost')\ndef lost():\n    abort(404)\n"}, [
+    ("post", "/@w", "", {"$ref": "#/components/schemas/Thing"}, "201", {"$ref": "#/components/schemas/Thing"}, ""),
+    ("get", "/all@k", "query:@w:integer", None, "200", {"type": "array", "items": {"$ref": "#/components/schemas/Thing"}}, ""),
+    ("get", "/lost", "", None, "404", _object(["zz"], zz=_S), ""),
+])
 contract_query("hono", {"a.ts": "import { Hono } from 'hono'\nimport { z } from 'zod'\nconst S = z.object({ @w: z.number().max(@k) })\nconst app = new Hono()\napp.post('/p', zValidator('json', S), (c) => c.json({ id: 1 }, 201))\n"}, [("post", "/p", "", _object(["@w"], w={**_N, "maximum": "@k#"}), "201", _object(["id"], id=_I), "")])
 contract_query("nest", {"c.ts": "import { Controller, Post } from '@nestjs/common';\nimport { Dto, Row } from './dto';\n@Controller('@w')\nexport class C {\n  @Post()\n  async make(@Body() dto: Dto, @Query() q: Page): Promise<Row[]> { return this.s.make(dto); }\n}\n",
                         "dto.ts": "export interface Dto { @w: string; zz?: number }\nexport class Row { id!: number; zz: 'a' | 'b' | null; }\nexport type Page = { page?: number; size: number };\n"},

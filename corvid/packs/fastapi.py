@@ -7,8 +7,10 @@ import re
 from collections.abc import Mapping
 
 from corvid.packs import Found
+from corvid.packs.errors import ErrorHandlers
 from corvid.packs.pyfacts import Module, Project, constant, constrained, dotted, keyword, literal_schema, parse, schema_of
 from corvid.packs.routes import VERBS, candidate, joined, names_in, parameter, response
+from corvid.packs.starlette import responses as starlette_responses
 
 #: Converters of path placeholders, functions that say where a parameter is, security classes, depth of Depends.
 CONVERTERS = {"int": {"type": "integer"}, "float": {"type": "number"}, "path": {"type": "string"}, "str": {"type": "string"}, "uuid": {"type": "string", "format": "uuid"}}
@@ -20,6 +22,8 @@ SECURITY = {
 KEYS = {"APIKeyHeader": "header", "APIKeyQuery": "query", "APIKeyCookie": "cookie"}
 INJECTED = {"Request", "Response", "BackgroundTasks", "WebSocket", "HTTPConnection", "SecurityScopes"}
 DEPENDS_DEPTH, MOUNTS = 4, 10_000
+#: Fixed value: the framework's own answer to an HTTPException.
+DETAIL = {"type": "object", "properties": {"detail": {"type": "string"}}}
 
 
 class _App:
@@ -191,7 +195,7 @@ def _responses(app: _App, module: Module, function, call: ast.Call, route: dict)
                 code = int(named[1]) if named else 0
             if code >= 400 and str(code) not in seen:
                 seen.add(str(code))
-                route["responses"].append(response(code, {"type": "object", "properties": {"detail": {"type": "string"}}}))
+                route["responses"].append(response(code, dict(DETAIL)))
 
 
 def _body(parts: list, route: dict) -> None:
@@ -213,6 +217,7 @@ def extract(files: Mapping[str, str]) -> Found:
         found.remark("analysis-failed", error, path)
     app = _App(project, found)
     app.collect()
+    errors = ErrorHandlers(project)
     reached = app.reached()
     used: set = set()
     for module in project.modules.values():
@@ -253,6 +258,8 @@ def extract(files: Mapping[str, str]) -> Found:
                         last = {(p["in"], p["name"]): p for p in route["parameters"]}  # a later declaration replaces an earlier one
                         route["parameters"] = list(last.values())
                         _responses(app, module, function, call, route)
+                        if errors.handlers:
+                            errors.apply(module, function, route, lambda m, f, r: starlette_responses(project, m, f, r), lambda code: response(code, dict(DETAIL)))
                         found.routes.append(route)
     for key, router in app.routers.items():
         if key not in reached and key in used:

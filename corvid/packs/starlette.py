@@ -7,6 +7,7 @@ import re
 from collections.abc import Mapping
 
 from corvid.packs import Found
+from corvid.packs.errors import ErrorHandlers
 from corvid.packs.flask import _returned as _flask_returned
 from corvid.packs.pyfacts import Module, Project, constant, dotted, keyword, literal_schema, parse
 from corvid.packs.routes import candidate, joined, parameter, response
@@ -25,7 +26,7 @@ def _handler(project: Project, module: Module, name: str):
     return None
 
 
-def _responses(project: Project, module: Module, function, route: dict) -> None:
+def responses(project: Project, module: Module, function, route: dict) -> None:
     for n in ast.walk(function):
         if not isinstance(n, ast.Return) or n.value is None:
             continue
@@ -39,7 +40,8 @@ def _responses(project: Project, module: Module, function, route: dict) -> None:
             elif name in MEDIA:
                 route["responses"].append(response(status, {"type": "string"}, MEDIA[name]))
             else:
-                route["responses"].append(response(status, (literal_schema(project, module, call.args[0]) or {}) if call.args else None))
+                content = call.args[0] if call.args else keyword(call, "content")
+                route["responses"].append(response(status, (literal_schema(project, module, content) or {}) if content is not None else None))
         else:
             route["responses"].append(_flask_returned(project, module, call))
     seen: dict = {}
@@ -53,6 +55,7 @@ def extract(files: Mapping[str, str]) -> Found:
     project = parse(dict(files))
     for path, error in project.broken:
         found.remark("analysis-failed", error, path)
+    errors = ErrorHandlers(project)
 
     def listed(module: Module, node: ast.AST | None, prefix: str, depth: int = 0) -> None:
         if isinstance(node, ast.Name) and depth < 8:
@@ -95,7 +98,8 @@ def extract(files: Mapping[str, str]) -> Found:
                     route["x-websocket"] = True
                     route["responses"].append(response(101))
                 elif handler:
-                    _responses(project, handler[0], views.get(verb, handler[1]), route)
+                    responses(project, handler[0], views.get(verb, handler[1]), route)
+                    errors.apply(handler[0], views.get(verb, handler[1]), route, lambda m, f, r: responses(project, m, f, r), lambda code: response(code, {"type": "string"}, "text/plain"))
                 else:
                     route["gaps"].append("response-unknown")
                 found.routes.append(route)
