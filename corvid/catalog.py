@@ -396,6 +396,12 @@ contract_query("flask", {"app.py": "from flask import Flask, jsonify, request, a
     ("get", "/all@k", "query:@w:integer", None, "200", {"type": "array", "items": {"$ref": "#/components/schemas/Thing"}}, ""),
     ("get", "/lost", "", None, "404", _object(["zz"], zz=_S), ""),
 ])
+contract_query("express", {"types.ts": "import { type } from 'arktype';\nexport const Thing = type({ @w: 'string.email', 'zz?': 'number >= @k', zin: { a: \"'x' | 'y'\" } });\n", "a.ts": """import { type } from 'arktype';
+import { Thing } from './types';
+const app = express();
+const Page = type({ 'page?': 'number.integer' });
+app.post('/@w', (req, res) => { const t = Thing(req.body); const p = Page(req.query); if (t instanceof type.errors) return res.sendStatus(422); res.status(201).json({ id: 1 }); });
+"""}, [("post", "/@w", "query:page:integer", _object(["@w", "zin"], w={**_S, "format": "email"}, zin=_object(["a"], a={**_S, "enum": ["x", "y"]}), zz={**_N, "minimum": "@k#"}), "201,422", None, "")], "_arktype")
 contract_query("hono", {"a.ts": "import { Hono } from 'hono'\nimport { z } from 'zod'\nconst S = z.object({ @w: z.number().max(@k) })\nconst app = new Hono()\napp.post('/p', zValidator('json', S), (c) => c.json({ id: 1 }, 201))\n"}, [("post", "/p", "", _object(["@w"], w={**_N, "maximum": "@k#"}), "201", _object(["id"], id=_I), "")])
 contract_query("nest", {"c.ts": "import { Controller, Post } from '@nestjs/common';\nimport { Dto, Row } from './dto';\n@Controller('@w')\nexport class C {\n  @Post()\n  async make(@Body() dto: Dto, @Query() q: Page): Promise<Row[]> { return this.s.make(dto); }\n}\n",
                         "dto.ts": "export interface Dto { @w: string; zz?: number }\nexport class Row { id!: number; zz: 'a' | 'b' | null; }\nexport type Page = { page?: number; size: number };\n"},

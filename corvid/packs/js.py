@@ -137,11 +137,15 @@ class Validators:
             text = self.modules.texts[path]
             found = re.finditer(rf"(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?=(?:{'|'.join(_LIBRARY)})\s*\.)", text)
             self.known[path] = {m[1]: _statement(text, m.end()) for m in found}
+            if re.search(r"['\"]arktype['\"]", text):
+                self.known[path] |= {m[1]: _statement(text, m.end()) for m in re.finditer(r"(?:const|let|var)\s+(\w+)\s*=\s*(?=type\s*\()", text)}
         return self.known[path]
 
     def schema(self, path: str, expression: str) -> dict | None:
         """The schema of an expression: a chain of a known library, or a name that stands for one here or where it's from."""
         e = expression.strip()
+        if re.match(r"type\s*\(", e):
+            return validators.arktype_call(e)
         head = re.match(r"([A-Za-z_$][\w$]*)(\s*\.)?", e)
         if not head:
             return None
@@ -157,6 +161,10 @@ class Validators:
         for m in re.finditer(rf"\.\s*{_PARSES}\(\s*(?:await\s+)?(?:req|request|ctx\.request|ctx|c\.req)\.(body|query|params|json\(\))", code):
             start = _chain_start(code, m.start())
             self._said(route, places[m[1].removesuffix("()")], self.schema(path, code[start : m.start()]))
+        for m in re.finditer(r"(?<![\w$.])([A-Za-z_$]\w*)\(\s*(?:await\s+)?(?:req|request|ctx\.request|ctx|c\.req)\.(body|query|params|json\(\))\s*\)", code):
+            file, name = self.modules.place(path, m[1])  # a type is called with what it checks
+            if self.named(file).get(name, "").startswith("type"):
+                self._said(route, places[m[2].removesuffix("()")], self.schema(path, m[1]))
         for m in re.finditer(r"\b(?:validate\w*|celebrate|validator)\(\s*(\{)?", code):
             args = split_top(code[code.index("(", m.start()) + 1 : closing(code, code.index("(", m.start()))])
             for entry in split_top(args[0].strip()[1:-1]) if m[1] and args else ():

@@ -233,6 +233,32 @@ def arktype(definition: str) -> dict:
     return {**out, "multipleOf": int(m[6])} if m[6] else out
 
 
+def arktype_call(text: str) -> dict:
+    """type({name: "string", "age?": "number > 0", inner: {...}}) or type("string[]"): a key that ends in ? may be absent."""
+    m = re.match(r"\s*type\s*\(", text)
+    args = split_top(text[m.end() : closing(text, m.end() - 1)]) if m else []
+    return _arktype_value(args[0]) if args else {}
+
+
+def _arktype_value(text: str) -> dict:
+    if string(text) is not None:
+        return arktype(string(text))
+    if text.startswith("type"):
+        return arktype_call(text)
+    if not text.startswith("{"):
+        return {}
+    properties, required = {}, []
+    for entry in split_top(text[1:-1]):
+        key, _, value = entry.partition(":")
+        name = string(key) or key.strip()
+        if name.startswith("...") or not value:
+            continue
+        properties[name.removesuffix("?")] = _arktype_value(value.strip())
+        if not name.endswith("?"):
+            required.append(name)
+    return {"type": "object", "properties": properties, **({"required": required} if required else {})}
+
+
 def fluent(text: str) -> dict:
     """S.object().prop('a', S.string().required()).prop(...): required is said inside or right after a property."""
     links = [x for x in chain(text) if x[0] != "S"]
