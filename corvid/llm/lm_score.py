@@ -61,13 +61,17 @@ class Grams:
             before = np.concatenate([np.zeros(1, np.uint64), key[:-1]])
             key = mix(before * np.uint64(0xD1342543DE82EF95) + tokens + np.uint64(m))
             at = np.flatnonzero(depth >= m)
-            keys, first_at, inverse = np.unique(key[at] & LONGER if m else key[at], return_index=True, return_inverse=True)
+            keys = key[at] & LONGER if m else key[at]
+            order_of = np.argsort(keys)
+            keys, at = keys[order_of], at[order_of]
+            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+            runs = np.diff(new, append=len(keys))
             spread = np.full(len(tokens), -1, np.int64)
-            spread[at] = inverse
-            self.keys.append(keys)
-            self.first.append(at[first_at])
+            spread[at] = np.repeat(np.arange(len(new)), runs)
+            self.keys.append(keys[new])
+            self.first.append(at[new])  # any place of the gram does
             self.place.append(spread)
-            self.count.append(np.bincount(inverse, weights=train[at], minlength=len(keys)).astype(np.uint32))
+            self.count.append(np.add.reduceat(train[at], new, dtype=np.uint32) if len(new) else np.zeros(0, np.uint32))
 
     def train_tokens(self) -> int:
         return int((np.diff(self.start) - 1)[~self.held_out].sum())
