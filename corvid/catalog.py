@@ -403,6 +403,12 @@ const Page = type({ 'page?': 'number.integer' });
 app.post('/@w', (req, res) => { const t = Thing(req.body); const p = Page(req.query); if (t instanceof type.errors) return res.sendStatus(422); res.status(201).json({ id: 1 }); });
 """}, [("post", "/@w", "query:page:integer", _object(["@w", "zin"], w={**_S, "format": "email"}, zin=_object(["a"], a={**_S, "enum": ["x", "y"]}), zz={**_N, "minimum": "@k#"}), "201,422", None, "")], "_arktype")
 contract_query("hono", {"a.ts": "import { Hono } from 'hono'\nimport { z } from 'zod'\nconst S = z.object({ @w: z.number().max(@k) })\nconst app = new Hono()\napp.post('/p', zValidator('json', S), (c) => c.json({ id: 1 }, 201))\n"}, [("post", "/p", "", _object(["@w"], w={**_N, "maximum": "@k#"}), "201", _object(["id"], id=_I), "")])
+contract_query("fastify", {"a.js": "const fastify = require('fastify')();\nconst item = { type: 'object', properties: { @w: { type: 'integer', maximum: @k } }, required: ['@w'] };\nconst opts = { schema: { body: item, querystring: { type: 'object', properties: { page: { type: 'integer' } } }, response: { 201: item, '4xx': { type: 'null' } } } };\nfastify.post('/@w', opts, async (req, reply) => reply.code(201).send({ zz: 'x' }));\n"},
+               [("post", "/@w", "query:page:integer", _object(["@w"], w={**_I, "maximum": "@k#"}), "201,4XX", _object(["@w"], w={**_I, "maximum": "@k#"}), "")], "_schema")
+contract_query("elysia", {"a.ts": "import { Elysia, t } from 'elysia'\nconst app = new Elysia()\napp.post('/@w', ({ body }) => body, { body: t.Object({ @w: t.String({ minLength: @k }) }), query: t.Object({ page: t.Optional(t.Integer()) }), response: { 200: t.Object({ zz: t.Integer() }), 404: t.Null() } })\n"},
+               [("post", "/@w", "query:page:integer", _object(["@w"], w={**_S, "minLength": "@k#"}), "200,404", _object(["zz"], zz=_I), "")])
+contract_query("hono", {"r.ts": "import { Row } from './s'\nexport const route = createRoute({ method: 'put', path: '/@w/{id}', request: { query: z.object({ page: z.number().optional() }), body: { content: { 'application/json': { schema: Row } } } }, responses: { 200: { content: { 'application/json': { schema: Row } }, description: 'x' }, 204: { description: 'y' } } })\n", "s.ts": "export const Row = z.object({ @w: z.number().max(@k) })\n", "a.ts": "import { route } from './r'\nconst app = new OpenAPIHono()\napp.openapi(route, (c) => c.json({ other: 1 }, 200))\n"},
+               [("put", "/@w/{id}", "path:id:string,query:page:number", _object(["@w"], w={**_N, "maximum": "@k#"}), "200,204", _object(["@w"], w={**_N, "maximum": "@k#"}), "")], "_route")
 contract_query("nest", {"c.ts": "import { Controller, Post } from '@nestjs/common';\nimport { Dto, Row } from './dto';\n@Controller('@w')\nexport class C {\n  @Post()\n  async make(@Body() dto: Dto, @Query() q: Page): Promise<Row[]> { return this.s.make(dto); }\n}\n",
                         "dto.ts": "export interface Dto { @w: string; zz?: number }\nexport class Row { id!: number; zz: 'a' | 'b' | null; }\nexport type Page = { page?: number; size: number };\n"},
                [("post", "/@w", "query:page:number,query:size:number", {"$ref": "#/components/schemas/Dto"}, "201", {"type": "array", "items": {"$ref": "#/components/schemas/Row"}}, "")])

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 from corvid.packs import Found, validators
+from corvid.packs.declared import Declared, entries
 from corvid.packs.results import Results, returned
 from corvid.packs.routes import VERBS, best, candidate, firsts, joined, names_in, parameter, response
 from corvid.packs.scanner import calls, closing, line_at, object_schema, split_top, status, string, template, without_comments
@@ -160,21 +161,21 @@ class Validators:
         places = {"body": "body", "json": "body", "form": "body", "query": "query", "params": "path", "param": "path", "headers": "header", "header": "header"}
         for m in re.finditer(rf"\.\s*{_PARSES}\(\s*(?:await\s+)?(?:req|request|ctx\.request|ctx|c\.req)\.(body|query|params|json\(\))", code):
             start = _chain_start(code, m.start())
-            self._said(route, places[m[1].removesuffix("()")], self.schema(path, code[start : m.start()]))
+            self.said(route, places[m[1].removesuffix("()")], self.schema(path, code[start : m.start()]))
         for m in re.finditer(r"(?<![\w$.])([A-Za-z_$]\w*)\(\s*(?:await\s+)?(?:req|request|ctx\.request|ctx|c\.req)\.(body|query|params|json\(\))\s*\)", code):
             file, name = self.modules.place(path, m[1])  # a type is called with what it checks
             if self.named(file).get(name, "").startswith("type"):
-                self._said(route, places[m[2].removesuffix("()")], self.schema(path, m[1]))
+                self.said(route, places[m[2].removesuffix("()")], self.schema(path, m[1]))
         for m in re.finditer(r"\b(?:validate\w*|celebrate|validator)\(\s*(\{)?", code):
             args = split_top(code[code.index("(", m.start()) + 1 : closing(code, code.index("(", m.start()))])
             for entry in split_top(args[0].strip()[1:-1]) if m[1] and args else ():
                 key, _, value = entry.partition(":")
                 place = places.get(re.sub(r"[^a-z]", "", key.lower().replace("segments", "")))
-                self._said(route, place, self.schema(path, value) or (validators.joi(value) if value.strip().startswith("{") else None))
+                self.said(route, place, self.schema(path, value) or (validators.joi(value) if value.strip().startswith("{") else None))
             if not m[1] and args:
-                self._said(route, "body", self.schema(path, args[0]))
+                self.said(route, "body", self.schema(path, args[0]))
         for m in re.finditer(r"\b\w*[vV]alidator\(\s*['\"](\w+)['\"]\s*,\s*", code):  # a context framework's own: place, schema
-            self._said(route, places.get(m[1]), self.schema(path, _statement(code, m.end())))
+            self.said(route, places.get(m[1]), self.schema(path, _statement(code, m.end())))
         fields: dict = {}
         for m in re.finditer(r"(?<![\w.])(body|query|param|header|cookie|check)\(\s*['\"]", code):
             found = validators.express_validator(_statement(code, m.start()))
@@ -184,7 +185,7 @@ class Validators:
                 self._parameter(route, found[0], found[1], found[2], found[3])
         if fields:
             needed = [n for n, (_, r) in fields.items() if r]
-            self._said(route, "body", {"type": "object", "properties": {n: f for n, (f, _) in fields.items()}, **({"required": needed} if needed else {})})
+            self.said(route, "body", {"type": "object", "properties": {n: f for n, (f, _) in fields.items()}, **({"required": needed} if needed else {})})
 
     @staticmethod
     def _parameter(route: dict, place: str, name: str, schema: dict, needed: bool) -> None:
@@ -194,7 +195,7 @@ class Validators:
         elif place != "path":
             route["parameters"].append(parameter(name, place, schema, needed))
 
-    def _said(self, route: dict, place: str | None, schema: dict | None) -> None:
+    def said(self, route: dict, place: str | None, schema: dict | None) -> None:
         if schema is None or place is None:
             return
         if place == "body":
@@ -305,6 +306,7 @@ def routers(framework: str):
         found = Found()
         modules = Modules(files)
         checks, results = Validators(modules), Results(files, modules.texts)
+        declared = Declared(modules, checks)
         around: list[tuple[tuple[str, str], str, int, str, str]] = []  # middleware: owner, file, place, scope, text
         made: dict[tuple[str, str], dict] = {}
         mounts: dict[tuple[str, str], list[tuple[tuple[str, str], str]]] = {}
@@ -337,9 +339,14 @@ def routers(framework: str):
                 if c.name in (*VERBS, style.all_name, "query", "del") and c.args and not chain_path:
                     sites.append((owner, c.name, path, c.at, c.args))
                 elif c.name == "route" and framework == "fastify" and c.args and c.args[0].startswith("{"):
-                    given = {e.split(":")[0].strip(): e.partition(":")[2].strip() for e in split_top(c.args[0][1:-1])}
+                    given = entries(c.args[0])
                     for verb in re.findall(r"['\"](\w+)['\"]", given.get("method", "")):
-                        sites.append((owner, verb.lower(), path, c.at, [given.get("url") or given.get("path") or "", given.get("handler", "")]))
+                        sites.append((owner, verb.lower(), path, c.at, [given.get("url") or given.get("path") or "", f"{{schema: {given['schema']}}}" if "schema" in given else "{}", given.get("handler", "")]))
+                elif c.name == "openapi" and framework == "hono" and len(c.args) > 1:
+                    file, said = declared.text(path, c.args[0])
+                    parts = entries(said[len("createRoute(") : -1]) if said.startswith("createRoute(") else {}
+                    if verb := string(parts.get("method")):
+                        sites.append((owner, verb.lower(), path, c.at, [parts.get("path", ""), said if file == path else c.args[0], *c.args[1:]]))
                 elif c.name == "route" and framework == "express" and c.args:
                     at = c.end + 1
                     while m := re.compile(r"\s*\.\s*(\w+)\s*\(").match(text, at):
@@ -380,6 +387,7 @@ def routers(framework: str):
                     describe(code, route, results)
                     if framework == "fastify" and code:
                         _returns(code, route, results)
+                    declared.apply(framework, path, args, route)
                     before = [a for a in args[1:] if a is not handler]
                     for text in (*before, code or ""):
                         checks.apply(path, text, route)
