@@ -19,7 +19,7 @@ from corvid.operators import closure, gate, merge, variants
 from corvid.operators.dedupe import free_names
 from corvid.packs import extract, registry, types, validators
 from corvid.packs.routes import VERBS
-from corvid.plans import review
+from corvid.plans import openapi, review
 from corvid.queries import query
 from corvid.sources import models
 from corvid.sources import scan as sources
@@ -347,6 +347,15 @@ value_query("document_merge", _json(_merged), [
 ])
 
 
+value_query("openapi_problems", _json(openapi.problems), [
+    ('{"openapi": "3.2.0", "info": {"title": "@w", "version": "1"}, "paths": {"/@w/{id}": {"get": {"parameters": [{"name": "id", "in": "path", "required": true, "schema": {"type": "string"}}], "responses": {"200": {"description": ""}}}}}}', []),
+    ('{"openapi": "3.2.0", "info": {"title": "t", "version": "@k"}, "paths": {"/a/{@w}": {"get": {"responses": {"9@k": {"description": ""}}}}}, "components": {"schemas": {"A": {"$ref": "#/components/schemas/@w"}, "B": {"type": "@w"}}}}',
+     [["components/schemas/A", "#/components/schemas/@w isn't there"], ["components/schemas/B", "unknown type @w"], ["get /a/{@w}", "path parameter @w isn't declared"], ["get /a/{@w}/responses/9@k", "unknown status"]]),
+    ('{"openapi": "2.0", "info": {"title": "@w"}, "paths": {"@w": {"post": {"operationId": "x", "responses": {"200": {}}}}, "/y": {"get": {"operationId": "x", "responses": {"200": {"description": "z"}}}}}}',
+     [["get /y", "operationId x is that of post @w"], ["info/version", "not a string"], ["@w", "a path begins with a slash"], ["openapi", "not a version 3"], ["post @w/responses/200", "no description"]]),
+])
+
+
 # --- contracts -------------------------------------------------------------------------------------------------------
 
 contract_query("express", {"a.js": """const express = require('express');
