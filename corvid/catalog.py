@@ -418,6 +418,10 @@ contract_query("elysia", {"a.ts": "import { Elysia, t } from 'elysia'\nconst app
                [("post", "/@w", "query:page:integer", _object(["@w"], w={**_S, "minLength": "@k#"}), "200,404", _object(["zz"], zz=_I), "")])
 contract_query("hono", {"r.ts": "import { Row } from './s'\nexport const route = createRoute({ method: 'put', path: '/@w/{id}', request: { query: z.object({ page: z.number().optional() }), body: { content: { 'application/json': { schema: Row } } } }, responses: { 200: { content: { 'application/json': { schema: Row } }, description: 'x' }, 204: { description: 'y' } } })\n", "s.ts": "export const Row = z.object({ @w: z.number().max(@k) })\n", "a.ts": "import { route } from './r'\nconst app = new OpenAPIHono()\napp.openapi(route, (c) => c.json({ other: 1 }, 200))\n"},
                [("put", "/@w/{id}", "path:id:string,query:page:number", _object(["@w"], w={**_N, "maximum": "@k#"}), "200,204", _object(["@w"], w={**_N, "maximum": "@k#"}), "")], "_route")
+contract_query("micronaut", {"M.java": '@Controller("/@w")\nclass M {\n  @Get("/a@k")\n  Row a() { throw new Lost("x"); }\n  @Get("/b")\n  Row b() { throw new HttpStatusException(HttpStatus.CONFLICT, "x"); }\n  @Get("/c")\n  Row c() { throw new Own(); }\n  @Error(exception = Own.class)\n  HttpResponse<Fault> own(Own e) { return HttpResponse.badRequest(new Fault()); }\n}\n',
+    "E.java": "class Base extends RuntimeException {}\nclass Lost extends Base {}\nclass Own extends Base {}\nclass Row { int zz; }\nclass Fault { String why; }\n@Singleton\nclass H implements ExceptionHandler<Base, HttpResponse<Fault>> {\n  @Override\n  public HttpResponse<Fault> handle(HttpRequest request, Base e) { return HttpResponse.status(HttpStatus.GONE).body(new Fault()); }\n}\n"}, [
+    ("get", "/@w/a@k", "", None, "200,410", {"$ref": "#/components/schemas/Row"}, ""), ("get", "/@w/b", "", None, "200,409", {"$ref": "#/components/schemas/Row"}, ""), ("get", "/@w/c", "", None, "200,400", {"$ref": "#/components/schemas/Row"}, ""),
+])
 contract_query("nest", {"c.ts": "import { Controller, Post } from '@nestjs/common';\nimport { Dto, Row } from './dto';\n@Controller('@w')\nexport class C {\n  @Post()\n  async make(@Body() dto: Dto, @Query() q: Page): Promise<Row[]> { return this.s.make(dto); }\n}\n",
                         "dto.ts": "export interface Dto { @w: string; zz?: number }\nexport class Row { id!: number; zz: 'a' | 'b' | null; }\nexport type Page = { page?: number; size: number };\n"},
                [("post", "/@w", "query:page:number,query:size:number", {"$ref": "#/components/schemas/Dto"}, "201", {"type": "array", "items": {"$ref": "#/components/schemas/Row"}}, "")])

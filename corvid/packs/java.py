@@ -246,10 +246,66 @@ class Model:
         return out
 
 
+#: Statuses of the methods that build a response.
+BUILT = {"ok": 200, "created": 201, "accepted": 202, "noContent": 204, "badRequest": 400, "unauthorized": 401, "notFound": 404, "notAllowed": 405, "unprocessableEntity": 422, "serverError": 500}
+
+
+class ErrorMethods:
+    """Micronaut's error handlers: methods marked Error, of their controller if it has routes and else of the whole app, and
+    classes that implement ExceptionHandler."""
+
+    def __init__(self, model: Model, found: list[Class], verbs: Mapping[str, tuple[str, ...]]):
+        self.model, self.classes = model, {c.name: c for c in reversed(found)}
+        self.handlers: dict[tuple[str, str | int], Method] = {}
+        for cls in found:
+            methods = [m for m in members(model.texts[cls.file], cls) if isinstance(m, Method)]
+            if any(a.name == "Controller" for a in cls.annotations):
+                routed = any(a.name in verbs for m in methods for a in m.annotations)
+                for m in methods:
+                    for a in (a for a in m.annotations if a.name == "Error"):
+                        scope = cls.name if routed and a.values.get("global", "").strip() != "true" else ""
+                        kind = re.match(r"([\w.]+)\.class", a.values.get("exception") or a.values.get("value") or "")
+                        if kind:
+                            self.handlers.setdefault((scope, kind[1].rpartition(".")[2]), m)
+                        if code := status(a.values.get("status")):
+                            self.handlers.setdefault((scope, code), m)
+            kind = re.search(r"\bExceptionHandler\s*<\s*([\w.]+)", cls.header)
+            handle = next((m for m in methods if m.name == "handle" and len(m.parameters) == 2), None)
+            if kind and handle:
+                self.handlers.setdefault(("", kind[1].rpartition(".")[2]), handle)
+
+    def _lineage(self, name: str) -> list[str]:
+        """A class's name and those of its ancestors, near ones first."""
+        out = [name]
+        for n in out:
+            out += [p for p in (self.classes[n].extends if n in self.classes else ()) if p not in out]
+        return out
+
+    def apply(self, cls: Class, method: Method, route: dict) -> None:
+        """Add the responses to what a method throws: by the controller's own handlers, then by those of the app."""
+        known = {r["status_code"] for r in route["responses"]}
+        for m in re.finditer(r"\bthrow\s+new\s+([\w.]+)\s*\(", method.body):
+            args = split_top(method.body[m.end() : closing(method.body, m.end() - 1)])
+            name = m[1].rpartition(".")[2]
+            code = status(args[0]) if name == "HttpStatusException" and args else None
+            wanted = [code, *self._lineage(name)] if code else self._lineage(name)
+            handler = next((h for scope in (cls.name, "") for w in wanted if (h := self.handlers.get((scope, w)))), None)
+            answer = self._answer(handler, code) if handler else response(code) if code else None
+            if answer and answer["status_code"] not in known:
+                known.add(answer["status_code"])
+                route["responses"].append(answer)
+
+    def _answer(self, handler: Method, thrown: int | None) -> dict:
+        marked = next((status((a.values.get("value") or "").strip()) for a in handler.annotations if a.name == "Status"), None)
+        built = re.search(r"\.status\(\s*([\w.]+)|HttpResponse\s*\.\s*(?:<[^>]*>\s*)?(" + "|".join(BUILT) + r")\b", handler.body)
+        code = marked or (status(built[1]) if built and built[1] else BUILT[built[2]] if built else None) or thrown or 500
+        return response(code, self.model.of(handler.returns) or None)
+
+
 def pack(framework: str):
     style = STYLES[framework]
 
-    def routes_of(model: Model, found: Found, cls: Class, methods: list[Method], base: list[str]) -> Iterator[dict]:
+    def routes_of(model: Model, found: Found, cls: Class, methods: list[Method], base: list[str], errors: ErrorMethods | None) -> Iterator[dict]:
         for method in methods:
             named = {a.name: a for a in method.annotations}
             for annotation in method.annotations:
@@ -267,7 +323,10 @@ def pack(framework: str):
                     for prefix in base or [""]:
                         for sub in subs or [""]:
                             full = re.sub(r"\{\s*([^{}:?]+?)\s*(?::[^{}]*(?:\{[^}]*\}[^{}]*)*)?\}", r"{\1}", joined(prefix, re.sub(r"\{\?.*?\}$", "", sub)))
-                            yield described(model, cls, method, candidate(verb, full, cls.file, line_at(model.texts[cls.file], method.at)), named)
+                            route = described(model, cls, method, candidate(verb, full, cls.file, line_at(model.texts[cls.file], method.at)), named)
+                            if errors:
+                                errors.apply(cls, method, route)
+                            yield route
 
     def described(model: Model, cls: Class, method: Method, route: dict, named: dict) -> dict:
         template_names = names_in(route["full_path"])
@@ -324,6 +383,7 @@ def pack(framework: str):
         model = Model(texts, all_classes)
         by_name = {c.name: c for c in all_classes}
         candidates: list[dict] = []
+        errors = ErrorMethods(model, all_classes, style.verbs) if framework == "micronaut" else None
         for cls in all_classes:
             marks = {a.name: a for a in cls.annotations}
             if cls.kind not in ("class", "record") or not any(re.fullmatch(style.controller, n) for n in marks):
@@ -343,7 +403,7 @@ def pack(framework: str):
                             mine.parameters = [(a or b, k, n) for (a, k, n), (b, _, _) in zip(mine.parameters, m.parameters)]
                 inherited = {a.name: a for a in above.annotations}
                 base = base or next((inherited[p].strings("value", "path") for p in style.prefix if p in inherited), [])
-            candidates += routes_of(model, found, cls, methods, base)
+            candidates += routes_of(model, found, cls, methods, base, errors)
         found.routes = best(candidates)
         found.components = model.components
         return found

@@ -53,3 +53,16 @@ def test_sequelize_and_returned_rows():
 def test_prisma_service_in_nest():
     got = told("nest", {"prisma/schema.prisma": PRISMA, "s.ts": "export class PrismaService extends PrismaClient {}", "c.ts": "@Controller('u')\nexport class C {\n  constructor(private readonly prisma: PrismaService) {}\n  @Get()\n  async all() { return this.prisma.user.findMany(); }\n}\n"})
     assert got["get", "/u"] == [("200", {"type": "array", "items": USER})]
+
+
+def test_prisma_files_are_scanned(spark, tmp_path):
+    import json
+
+    from corvid.plans.scan import scan_project
+
+    app = "const express = require('express');\nconst app = express();\nconst prisma = new PrismaClient();\napp.get('/u', async (req, res) => { res.json(await prisma.user.findMany()); });\n"
+    for name, text in {"package.json": json.dumps({"dependencies": {"express": "4"}}), "prisma/schema.prisma": PRISMA, "app.js": app, "x/other.prisma": "model User {\n  no Int\n}\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (got,) = scan_project(spark, str(tmp_path)).operations.collect()
+    assert json.loads(got.candidate)["responses"][0]["content"][0]["schema"] == {"type": "array", "items": USER}

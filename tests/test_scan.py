@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from corvid.plans import openapi
 from corvid.plans import scan as plans
 from corvid.operators.diff import snapshot_diff
 from corvid.sources import manifests
@@ -64,6 +65,7 @@ def test_scan_of_many_projects(spark, tmp_path):
     report = found.report().first()
     assert report.routes == len(got) and report.high + report.not_high == report.routes
     docs = {r.project: json.loads(r.document) for r in plans.documents(found).collect()}
+    assert openapi.invalid(plans.documents(found)).collect() == []
     one = docs["fastapi"]["paths"]["/api/v1/things/{thing_id}"]["get"]
     assert docs["fastapi"]["openapi"] == "3.2.0" and one["security"] == [{"HTTPBearer": []}] and "Thing" in docs["fastapi"]["components"]["schemas"] and docs["express"]["servers"] == [{"url": "http://localhost:4000"}]
     plans.write_documents(found, str(tmp_path / "out"))
