@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +117,9 @@ class BackoffAutomaton:
             end.append(state[seen])
             if m == 0:
                 self.begin = int(state[grams.place[0][grams.start[0]]])
-        self.log, self.end = np.concatenate(log).tolist(), np.concatenate(end).tolist()
-        self.fail, self.weight, self.depth = (np.concatenate(x).tolist() for x in (fail, weight, depth))
+        # machine numbers in arrays: a list would hold an object for each
+        self.log, self.weight = (array("d", np.concatenate(x).tobytes()) for x in (log, weight))
+        self.end, self.fail, self.depth = (array("q", np.concatenate(x).astype(np.int64).tobytes()) for x in (end, fail, depth))
 
     def score(self, start: int, end: int) -> float:
         """log10 probability of the words at the places start..end: one traversal from the begin state."""
