@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import byte_bpe, chat, embedding_dedup, jaccard_join, line_dedup, lm_score, packing, quality, token_count, warc
+from corvid.llm import byte_bpe, chat, embedding_dedup, fim, importance, jaccard_join, line_dedup, lm_score, mixing, packing, quality, token_count, warc
 from corvid.llm.shared import table
 
 
@@ -54,12 +54,61 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_embedding_dedup, op4_best_fit_packing, op5_chat_formatting, op6_line_dedup, op7_quality_rules, op8_warc, op9_jaccard_join, op10_lm_scoring)}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).drop("epochs", "cut")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms of documents, with digests of outputs and of the texts rebuilt from them."""
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_byte_bpe, op3_embedding_dedup, op4_best_fit_packing, op5_chat_formatting, op6_line_dedup, op7_quality_rules, op8_warc, op9_jaccard_join, op10_lm_scoring,
+        op11_mixing, op12_fill_in_middle, op13_importance_resampling,
+    )
+}
 
 _COMPONENTS = """reach AS (SELECT id, id AS r FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r),
     component AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)"""
 
+#: Of a source's random keys, the first 15 hex digits; the water level of the targets by rounds, as the contract words it.
+_MIXTURE = r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '~') AS g, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+            substr(sha256('mix:' || doc_id), 1, 15) AS key FROM documents),
+        s AS (SELECT g, CAST(sum(size) AS BIGINT) AS source_size, ([5, 2, 1])[(row_number() OVER (ORDER BY encode(g)) - 1) % 3 + 1] AS w FROM d GROUP BY g),
+        level AS (SELECT 0 AS round, (SELECT 1.5 * sum(source_size) / sum(w) FROM s) AS x
+            UNION ALL SELECT round + 1, (SELECT (1.5 * sum(source_size) - coalesce(sum(2 * source_size) FILTER (w * x > 2 * source_size), 0)) / sum(w) FILTER (NOT w * x > 2 * source_size) FROM s) FROM level
+            WHERE round < (SELECT count(*) FROM s)),
+        t AS (SELECT g, source_size, least(w * (SELECT x FROM level ORDER BY round DESC LIMIT 1), CAST(2 * source_size AS DOUBLE)) AS target FROM s),
+        b AS (SELECT *, CAST(floor(target) AS BIGINT) AS budget FROM t),
+        c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs, budget,
+            CAST(coalesce(sum(size) OVER (PARTITION BY d.g ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d JOIN b ON b.g = d.g)
+        SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken FROM c
+    """
+
+_UNITS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
 ORACLE = {
+    "op11_mixing": _MIXTURE,
+    "op12_fill_in_middle": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_UNITS}') AS u, sha256('42:' || doc_id) AS h FROM documents),
+        n AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS r FROM d),
+        k AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM k)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256 FROM p
+    """,
     "op3_embedding_dedup": f"""
         WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), nodes AS (SELECT id FROM v),
         links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id <> y.id AND list_cosine_similarity(x.e, y.e) >= 0.95), {_COMPONENTS},
