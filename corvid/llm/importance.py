@@ -134,7 +134,8 @@ def resampled(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int =
     Repeated rows are rows of their own with the same score. Other columns are ignored, whatever their names.
     Only ids and numbers pass a shuffle; places come from ranges of the scores, whose ties are split by id.
     """
-    gain = gains(bucket_counts(docs, most, buckets, text_col), bucket_counts(target, most, buckets, target_text), buckets)
+    counts = [stored(bucket_counts(x, most, buckets, col), "buckets") for x, col in ((docs, text_col), (target, target_text))]
+    gain = gains(*counts, buckets)
     rows = weighed(docs, gain, most, buckets, id_col, text_col)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), name), 256), 1, 8), 16, 10).cast("double")
