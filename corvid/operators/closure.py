@@ -1,43 +1,50 @@
-"""Reachability over mount graphs: every prefix under which a router is reached, and the cycles met on the way."""
+"""Reachability over mount graphs, and the scopes and handlers that apply to routes."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvid.operators.fixpoint import fixpoint
+from corvid.operators.sweep import cut_into_blocks
+from corvid.tables import stored
+
 
-def mount_closure(roots: DataFrame, edges: DataFrame, budget: int = 10_000, depth: int = 100) -> tuple[DataFrame, DataFrame]:
+def mount_closure(roots: DataFrame, edges: DataFrame, budget: int = 10_000, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(reached, cycles) from roots (router, prefix) over edges (parent, child, prefix).
 
     reached: router, prefix and depth, a row for each way; cycles: parent, child and prefix where an edge leads back to
-    a router on the way to it, which ends that way. A level is one join of the frontier with the edges on the parent;
-    the loop ends with the frontier, or at `depth`. More than `budget` ways from one root raise an error: an
-    unbounded graph is a mistake in the input, not a longer job.
+    a router on the way to it, which ends that way. A level is one join of the last level's ways with the edges on the
+    parent, written to the shared folder. More than `budget` ways from one root raise an error: an unbounded graph
+    is a mistake in the input, not a longer job. So do mounts nested more than `depth` deep, where it is given.
     """
-    frontier = roots.select(F.col("router"), F.col("prefix"), F.array("router").alias("way"), F.lit(0).alias("depth"))
-    levels, backs = [frontier], []
-    for level in range(1, depth + 1):
-        step = frontier.select(F.col("router").alias("parent"), F.col("prefix").alias("base"), "way").join(edges.select("parent", "child", F.col("prefix").alias("more")), "parent")
-        back = F.array_contains("way", F.col("child"))
-        backs.append(step.filter(back).select("parent", "child", F.concat("base", "more").alias("prefix")))
-        frontier = step.filter(~back).select(F.col("child").alias("router"), F.concat("base", "more").alias("prefix"), F.concat("way", F.array("child")).alias("way"), F.lit(level).alias("depth"))
-        frontier = frontier.persist()  # each level is read by the next one, by the result and by the check of the budget
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    else:
-        raise ValueError(f"mounts are nested more than {depth} deep")
-    reached = levels[0]
-    for x in levels[1:]:
-        reached = reached.unionByName(x)
-    cycles = backs[0]
-    for x in backs[1:]:
-        cycles = cycles.unionByName(x)
-    most = reached.groupBy(F.get("way", F.lit(0)).alias("root")).count().agg(F.max("count")).first()[0] or 0
-    if most > budget:
-        raise ValueError(f"a root reaches {most} mounts; the budget is {budget}")
-    return reached.select("router", "prefix", "depth"), cycles
+    more = stored(edges.select("parent", "child", F.col("prefix").alias("more")), "edges")
+    seed = roots.select("router", "prefix", F.array("router").alias("way"), F.lit(False).alias("back"))
+    most, ways = budget * max(1, roots.count()), 0
+
+    def step(last: DataFrame) -> DataFrame:
+        up = last.filter("NOT back").select(F.col("router").alias("parent"), F.col("prefix").alias("base"), F.col("way").alias("was"))
+        child = F.col("child")
+        return up.join(more, "parent").select(child.alias("router"), F.concat("base", "more").alias("prefix"), F.concat("was", F.array(child)).alias("way"), F.array_contains("was", child).alias("back"))
+
+    def within(level: int, rows: DataFrame) -> None:
+        nonlocal ways
+        if depth is not None and level > depth:
+            raise ValueError(f"mounts are nested more than {depth} deep")
+        ways += rows.count()
+        if ways > most:
+            raise ValueError(f"roots reach more than {most} mounts together; the budget is {budget} a root")
+
+    found = fixpoint(seed, step, None, "mounts", within)
+    reached = found.filter("NOT back")
+    widest = reached.groupBy(F.get("way", F.lit(0)).alias("root")).count().agg(F.max("count")).first()[0] or 0
+    if widest > budget:
+        raise ValueError(f"a root reaches {widest} mounts; the budget is {budget}")
+    cycles = found.filter("back").select(F.element_at("way", -2).alias("parent"), F.col("router").alias("child"), "prefix")
+    return reached.select("router", "prefix", F.col("round").alias("depth")), cycles
 
 
 def root_routers(routers: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,13 +62,19 @@ def route_sites(sites: DataFrame, reached: DataFrame) -> DataFrame:
     return sites.join(reached.select("router", "prefix"), "router").withColumn("full_path", F.regexp_replace(F.concat("prefix", "path"), "/+", "/"))
 
 
-def covering_scopes(routes: DataFrame, scopes: DataFrame, path: str = "path", scope: str = "scope") -> DataFrame:
+def covering_scopes(routes: DataFrame, scopes: DataFrame, path: str = "path", scope: str = "scope", on: Sequence[str] = (), at: str | None = None) -> DataFrame:
     """Routes with each scope that is their path or a prefix of it at a slash.
 
-    Rather than a join on startswith, which compares all pairs, a route is looked up by each of its own prefixes."""
+    Rather than a join on startswith, which compares all pairs, a route is looked up by each of its own prefixes. `on`
+    names columns that have to be equal too (the router). `at` names a column of both tables, the position: then only
+    scopes declared before the route count, and the result has the scope's position as `<at>_of_scope`. A scope of "/"
+    covers all."""
     parts = F.split(path, "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    return routes.withColumn(scope, F.explode(F.array_distinct(prefixes))).join(scopes, scope)
+    looked_up = routes.withColumn(scope, F.explode(F.array_distinct(F.concat(prefixes, F.array(F.lit("/"))) if at else prefixes)))
+    if at is None:
+        return looked_up.join(scopes, [*on, scope])
+    return looked_up.join(scopes.withColumnRenamed(at, f"{at}_of_scope"), [*on, scope]).filter(F.col(f"{at}_of_scope") < F.col(at))
 
 
 def later_handlers(events: DataFrame, scope: str, ordinal: str, route: Column, handler: Column, key: str) -> DataFrame:
@@ -76,18 +89,77 @@ def later_handlers(events: DataFrame, scope: str, ordinal: str, route: Column, h
     return own.filter("__route AND handlers > 0").drop("__route")
 
 
-def exception_handlers(raised: DataFrame, handlers: DataFrame, parents: DataFrame, depth: int = 20) -> DataFrame:
-    """Each raised row (route, error) with the handler of its class or, failing that, of its nearest ancestor.
-
-    handlers: error, handler; parents: error, parent (a class's direct one). One join a level of ancestry, of what is not
-    yet handled; rows that no level handles are left out."""
-    out, left = None, raised.withColumn("class", F.col("error"))
-    for _ in range(depth):
-        met = left.join(handlers.select(F.col("error").alias("class"), "handler"), "class", "left").persist()
-        found = met.filter("handler IS NOT NULL").select("route", "error", "handler")
-        out = found if out is None else out.unionByName(found)
-        rest = met.filter("handler IS NULL").drop("handler")
-        left = rest.join(parents.select(F.col("error").alias("class"), F.col("parent")), "class").select("route", "error", F.col("parent").alias("class")).persist()
-        if left.isEmpty():
-            break
-    return out
+def later_counts(routes: DataFrame, handlers: DataFrame, on: Sequence[str], at: str, rows_a_block: int = 50_000) -> DataFrame:
+    """routes with `handlers`: how many handlers of the same `on` have a greater position. Groups are counted in blocks of
+    positions, and a block adds what all later ones hold."""
+    on = list(on)
+    row = F.struct(*(F.col(f"`{c}`") for c in routes.columns))
+    both = routes.select(*on, F.col(at).alias("__at"), row.alias("__route")).unionByName(handlers.select(*on, F.col(at).alias("__at")), allowMissingColumns=True)
+    cuts, block = cut_into_blocks(both, on, "__at", rows_a_block)
+    one = F.when(F.col("__route").isNull(), 1).otherwise(0)
+    both = both.join(cuts, on).withColumn("__block", block(F.col("__at"))).drop("__cuts")
+    later = Window.partitionBy(*on).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.groupBy(*on, "__block").agg(F.sum(one).alias("__n")).select(*on, "__block", F.coalesce(F.sum("__n").over(later), F.lit(0)).alias("__later"))
+    after = Window.partitionBy(*on, "__block").orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, -1)
+    own = both.withColumn("__own", F.coalesce(F.sum(one).over(after), F.lit(0))).filter("__route IS NOT NULL")
+    return own.join(sums, [*on, "__block"]).select("__route.*", (F.col("__own") + F.col("__later")).cast("long").alias("handlers"))
+
+
+def handler_pairs(routes: DataFrame, handlers: DataFrame, on: Sequence[str], at: str, where: Column | None = None, most: int | None = None, rows_a_block: int = 2_000) -> tuple[DataFrame, DataFrame]:
+    """(pairs, counted): each route with each handler of the same `on` whose position `at` is greater.
+
+    routes and handlers have `on` and `at` and no other common names; a pair has `on`, the route's columns and the handler's,
+    with `at` of the handler as `<at>_of_handler`. `where` is a further condition on a pair. Positions of each `on` are cut
+    into blocks of about rows_a_block handlers: a route meets all handlers of later blocks by the number of the block alone,
+    and those of its own block by comparing positions. So the join is by equality of `on` and block, the handlers of a hot scope lie in
+    many tasks, and a route is repeated once for each block that it meets, not for each handler.
+
+    Where a route has more than `most` later handlers it isn't paired: `counted` has those routes with `handlers`, how many
+    there are (before `where`). Without `most` it is empty. Rows without a position meet nothing.
+    """
+    on = list(on)
+    routes, handlers = routes.filter(F.col(at).isNotNull()), handlers.filter(F.col(at).isNotNull())
+    if most is None:
+        counted = routes.limit(0).withColumn("handlers", F.lit(0).cast("long"))
+    else:
+        sizes = later_counts(routes, handlers, on, at)
+        counted, routes = sizes.filter(F.col("handlers") > most), sizes.filter(F.col("handlers") <= most).drop("handlers")
+    cuts, block = cut_into_blocks(handlers, on, at, rows_a_block)
+    theirs = handlers.withColumnRenamed(at, f"{at}_of_handler").join(cuts, on).withColumn("__block", block(F.col(f"{at}_of_handler"))).drop("__cuts")
+    mine = routes.join(cuts, on).withColumn("__own", block(F.col(at))).withColumn("__block", F.explode(F.sequence("__own", F.size("__cuts")))).drop("__cuts")
+    met = mine.join(theirs, [*on, "__block"]).filter((F.col("__block") > F.col("__own")) | (F.col(f"{at}_of_handler") > F.col(at))).drop("__block", "__own")
+    return met if where is None else met.filter(where), counted
+
+
+def error_handlers(routes: DataFrame, handlers: DataFrame) -> DataFrame:
+    """(route, handler): the error handlers that a route's errors reach.
+
+    routes: route, router, position, path, full_path; handlers: handler, router, position, scope (null: everything) and
+    global (on the application itself). A router's own handlers count where they are declared after the route and their
+    scope starts its path; the application's count for every route whose full path their scope starts. The latter are
+    looked up by scope among all starts of the path, not compared with every route."""
+    own = handlers.select("handler", "router", "position", "scope")
+    pairs, _ = handler_pairs(routes.select("route", "router", "position", "path"), own, ["router"], "position", F.col("scope").isNull() | F.col("path").startswith(F.col("scope")))
+    starts = F.transform(F.sequence(F.lit(0), F.length("full_path")), lambda n: F.substring("full_path", F.lit(1), n))
+    everywhere = handlers.filter("global").select("handler", F.coalesce("scope", F.lit("")).alias("scope"))
+    reached = routes.select("route", F.explode(starts).alias("scope")).join(everywhere, "scope")
+    return pairs.select("route", "handler").unionByName(reached.select("route", "handler")).distinct()
+
+
+def exception_handlers(raised: DataFrame, handlers: DataFrame, parents: DataFrame) -> DataFrame:
+    """Each raised row (route, error) with the handler of its class or, failing that, of its nearest ancestor; of ancestors
+    equally near the first by name. Rows that no class of theirs handles are left out.
+
+    handlers: error, handler; parents: error, parent (a class's direct ones). Only distinct classes climb, one join a level,
+    each way until it meets a handler; a way that comes back to a class ends there. Any depth is followed."""
+    handled = stored(handlers.groupBy("error").agg(F.min("handler").alias("handler")), "handlers")
+    up = stored(parents.select(F.col("error").alias("class"), F.col("parent").alias("__up")).filter("__up IS NOT NULL").distinct(), "edges")
+    known = handled.select(F.col("error").alias("class"))
+
+    def step(last: DataFrame) -> DataFrame:
+        return last.join(known, "class", "left_anti").join(up, "class").select("error", F.col("__up").alias("class"))
+
+    seed = raised.select("error").filter("error IS NOT NULL").distinct().select("error", F.col("error").alias("class"))
+    met = fixpoint(seed, step, ["error", "class"], "exceptions").join(handled.select(F.col("error").alias("class"), "handler"), "class")
+    nearest = met.groupBy("error").agg(F.min_by("handler", F.struct("round", "class")).alias("handler"))
+    return raised.join(nearest, "error").select("route", "error", "handler")

@@ -4,6 +4,7 @@ import os
 import pytest
 
 import corvid.catalog  # noqa: F401  registers its queries
+import corvid.graph_queries  # noqa: F401
 from corvid.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
