@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corvid.operators import closure, context, fixpoint, names, sweep
+from corvid.operators import closure, context, fixpoint, names, nodes, sweep
 from corvid.queries import _ENDPOINTS, _endpoints, query
 
 s = lambda x: (F.col(x) if isinstance(x, str) else x).cast("string")
@@ -176,3 +177,31 @@ def reach(table) -> tuple[DataFrame, DataFrame]:
     origins = docs.select(key.alias("origin"), key.alias("path"))
     asked, held = named.withColumnRenamed("doc_id", "origin"), named.withColumnRenamed("doc_id", "path")
     return context.budgeted_reach(origins, docs.select(key.alias("path"), F.length("text").alias("size")), edges, asked, held)
+
+
+# --- nodes of JSON ---------------------------------------------------------------------------------------------------
+
+@query("""SELECT event_id, '/k' AS path, json_extract_string(props, '$.k') AS leaf FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL
+    UNION ALL SELECT doc_id, '/' || u.k, u.v FROM (SELECT doc_id, unnest([{'k': 'lang', 'v': '"' || lang || '"'}, {'k': 'at/0', 'v': '"' || source || '"'}, {'k': 'at/1/chars', 'v': CAST(n_chars AS VARCHAR)}]) AS u FROM documents)""")
+def json_leaves(table) -> DataFrame:
+    """Leaves of events' properties, and of documents' figures as nested JSON."""
+    events = table("events").select("event_id", F.col("props").alias("value"))
+    docs = table("documents").select(F.col("doc_id").alias("event_id"), F.format_string('{"lang": "%s", "at": ["%s", {"chars": %d}]}', "lang", "source", "n_chars").alias("value"))
+    return nodes.json_leaves(events, ["event_id"]).unionByName(nodes.json_leaves(docs, ["event_id"]))
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_brand AS project, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, p_size FROM part),
+    l AS (SELECT a.project, a.k, b.k AS t, a.p_size % 5 AS kind FROM n a LEFT JOIN n b ON b.project = a.project AND b.n = CASE a.p_size % 5 WHEN 1 THEN a.n + 1 WHEN 2 THEN a.n // 2 WHEN 3 THEN a.n - 3 END),
+    u AS (SELECT project, k FROM l WHERE kind = 4 OR kind IN (1, 2, 3) AND t IS NULL UNION SELECT l.project, l.k FROM u JOIN l ON l.project = u.project AND l.t = u.k)
+    SELECT project, 'S' || k AS name, EXISTS (SELECT 1 FROM u WHERE u.project = n.project AND u.k = n.k) AS unknown FROM n""")
+def unknown_schemas(table) -> DataFrame:
+    """Schemas that refer to each other, some open and some of a name that isn't there; what can't be known of them."""
+    part = table("part").select(F.col("p_brand").alias("project"), F.col("p_partkey").alias("k"), "p_size")
+    place = part.withColumn("n", F.row_number().over(Window.partitionBy("project").orderBy("k")))
+    kind = F.col("p_size") % 5
+    at = F.when(kind == 1, F.col("n") + 1).when(kind == 2, F.floor(F.col("n") / 2)).when(kind == 3, F.col("n") - 3)
+    linked = place.withColumn("at", at.cast("int")).join(place.select("project", F.col("n").alias("at"), F.col("k").alias("t")), ["project", "at"], "left")
+    ref = F.concat(F.lit('{"$ref": "#/components/schemas/S'), F.coalesce(s("t"), F.lit("-none")), F.lit('"}'))
+    text = F.when(kind == 1, ref).when(kind == 2, F.concat(F.lit('{"type": "object", "properties": {"a": {"type": "null"}, "b": '), ref, F.lit("}}"))).when(kind == 3, F.concat(F.lit('{"anyOf": [{"type": "string"}, {"type": "array", "items": '), ref, F.lit("}]}")))
+    schema = text.when(kind == 4, F.lit('{"type": "object", "properties": {"a": {"type": "array"}}}')).otherwise(F.lit('{"type": "integer"}'))
+    return nodes.unknown_schemas(linked.select("project", F.concat(F.lit("S"), s("k")).alias("name"), schema.alias("schema")), ["project"])
