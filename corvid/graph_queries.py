@@ -205,3 +205,22 @@ def unknown_schemas(table) -> DataFrame:
     text = F.when(kind == 1, ref).when(kind == 2, F.concat(F.lit('{"type": "object", "properties": {"a": {"type": "null"}, "b": '), ref, F.lit("}}"))).when(kind == 3, F.concat(F.lit('{"anyOf": [{"type": "string"}, {"type": "array", "items": '), ref, F.lit("}]}")))
     schema = text.when(kind == 4, F.lit('{"type": "object", "properties": {"a": {"type": "array"}}}')).otherwise(F.lit('{"type": "integer"}'))
     return nodes.unknown_schemas(linked.select("project", F.concat(F.lit("S"), s("k")).alias("name"), schema.alias("schema")), ["project"])
+
+
+#: A recursion over levels: of each origin what it has met, its last files, what it has used, and what each level took. A
+#: level's files, by score and path, are folded one after another, as the share of each hangs on those before it.
+@query("""WITH RECURSIVE f AS (SELECT doc_id AS path, CAST(length(text) AS BIGINT) AS size, lang, source FROM documents), e AS (SELECT DISTINCT doc_id AS path, unnest([doc_id + 1, doc_id * 2, doc_id * 2 + 1]) AS target FROM documents),
+    s AS (SELECT path AS origin, 0 AS lvl, [path] AS met, [path] AS front, CAST(1 AS BIGINT) AS used, least(6000, size) AS spent, [{'path': path, 'place': CAST(1 AS BIGINT), 'chars': least(6000, size)}] AS got FROM f
+        UNION ALL SELECT origin, lvl + 1, met || news, list_transform(r.got, lambda g: g.path), r.used, r.spent, r.got FROM (
+            SELECT origin, lvl, met, news, list_reduce(list_transform(line, lambda x: {'p': x.p, 'z': x.z, 'used': used, 'spent': spent, 'got': CAST([] AS STRUCT(path BIGINT, place BIGINT, chars BIGINT)[])}),
+                lambda a, b: CASE WHEN a.used < 8 AND a.spent < 24000 THEN {'p': b.p, 'z': b.z, 'used': a.used + 1, 'spent': a.spent + least(b.z, 6000, (24000 - a.spent) // greatest(1, 8 - a.used)),
+                    'got': a.got || [{'path': b.p, 'place': a.used + 1, 'chars': least(b.z, 6000, (24000 - a.spent) // greatest(1, 8 - a.used))}]} ELSE a END,
+                {'p': CAST(0 AS BIGINT), 'z': CAST(0 AS BIGINT), 'used': used, 'spent': spent, 'got': CAST([] AS STRUCT(path BIGINT, place BIGINT, chars BIGINT)[])}) AS r
+            FROM (SELECT origin, lvl, met, used, spent, list(target) AS news, list({'p': target, 'z': f.size} ORDER BY -((f.lang = o.lang)::INT + (f.source = o.source)::INT), target) FILTER (f.size IS NOT NULL) AS line
+                FROM (SELECT DISTINCT origin, lvl, met, used, spent, target FROM (SELECT *, unnest(front) AS p FROM s WHERE lvl < 6) q JOIN e ON e.path = q.p WHERE NOT list_contains(met, target)) n JOIN f o ON o.path = origin LEFT JOIN f ON f.path = target
+                GROUP BY origin, lvl, met, used, spent) WHERE line IS NOT NULL))
+    SELECT origin, u.path, lvl AS depth, u.place, u.chars FROM (SELECT origin, lvl, unnest(got) AS u FROM s)""")
+def budgeted_reach(table) -> DataFrame:
+    """Documents as files that import three others each, their source and language as names: what each reaches in its budget."""
+    taken = reach(table)[0]
+    return taken.select("origin", "path", "depth", F.col("place").cast("long").alias("place"), "chars")

@@ -151,8 +151,9 @@ def identifiers(body: Column) -> Column:
 
 
 def scored(pairs: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
-    """pairs (origin, path, ...) with score: how many of the origin's names the file has. asked: origin, name; held: path, name."""
-    met = pairs.select("origin", "path").distinct().join(asked.select("origin", "name").distinct(), "origin").join(held.select("path", "name").distinct(), ["path", "name"])
+    """pairs (origin, path, ...) with score: how many of the origin's names the file has. asked: origin, name; held: path, name; each
+    pair once."""
+    met = pairs.select("origin", "path").distinct().join(asked, "origin").join(held, ["path", "name"])
     return pairs.join(met.groupBy("origin", "path").agg(F.count(F.lit(1)).alias("score")), ["origin", "path"], "left").fillna(0, ["score"])
 
 
@@ -172,9 +173,12 @@ def budgeted_reach(origins: DataFrame, files: DataFrame, edges: DataFrame, asked
     most most_files rows of an origin; what is known is a row for each origin and file in the shared folder. Null paths are
     ignored, and repeated rows count once.
     """
-    size = files.filter("path IS NOT NULL").groupBy("path").agg(F.max("size").cast("long").alias("size"))
-    hops = edges.select("path", "target").filter("target IS NOT NULL").distinct()
-    placed = "array<struct<path:string,place:int,chars:bigint,truncated:boolean>>"
+    # read once a level, so they are written once
+    size = stored(files.filter("path IS NOT NULL").groupBy("path").agg(F.max("size").cast("long").alias("size")), "sizes")
+    hops = stored(edges.select("path", "target").filter("target IS NOT NULL").distinct(), "hops")
+    if asked is not None and held is not None:
+        asked, held = stored(asked.select("origin", "name").distinct(), "asked"), stored(held.select("path", "name").distinct(), "held")
+    placed = f"array<struct<path:{size.schema['path'].dataType.simpleString()},place:int,chars:bigint,truncated:boolean>>"
 
     def put(state, f, level: int):
         """One more file of an origin: what it gets of what is left."""

@@ -96,12 +96,13 @@ def best_covers(points: DataFrame, intervals: DataFrame, on: Sequence[str], at:
     return points.join(found, [*on, at], "left")
 
 
-def chosen_spans(spans: DataFrame, on: Sequence[str], limit: int, marker: int = 0, start: str = "start", end: str = "end", priority: str = "priority", bits: int = 32) -> DataFrame:
+def chosen_spans(spans: DataFrame, on: Sequence[str], limit: int, marker: int = 0, start: str = "start", end: str = "end", priority: str = "priority", bits: int = 32, ranked: bool = False) -> DataFrame:
     """(on, start, end) of the parts of a text that a budget of `limit` characters goes to.
 
     Spans are served by priority, length and start; a span gives only what earlier ones didn't take, in fragments from left
     to right, and each fragment but the first costs `marker` more. The fragment in which the budget ends is cut there. Empty
-    and null spans give nothing; of spans equal in all three any is the same.
+    and null spans give nothing; of spans equal in all three any is the same. With `ranked` the result has `before` too, what
+    was spent before a fragment, and fragments aren't cut short, so that a caller may apply limits of its own.
 
     Between two successive ends of spans a text belongs to one span, the best that covers it, found by best_covers; pieces of
     one span that follow each other are a fragment; the budget is a running sum over fragments.
@@ -109,15 +110,17 @@ def chosen_spans(spans: DataFrame, on: Sequence[str], limit: int, marker: int =
     on = list(on)
     real = spans.filter((F.col(start) < F.col(end)) & F.col(start).isNotNull()).select(*on, F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.col(priority).alias("priority")).distinct()
     rank = F.struct("priority", (F.col("end") - F.col("start")).alias("length"), F.col("start").alias("from"))
-    ranked = real.withColumn("rank", rank)
+    of_rank = real.withColumn("rank", rank)
     group = Window.partitionBy(*on)
     edges = real.select(*on, F.explode(F.array("start", "end")).alias("at")).distinct().withColumn("next", F.lead("at").over(group.orderBy("at"))).filter("next IS NOT NULL")
-    owned = best_covers(edges, ranked, on, "at", "rank", bits=bits).filter("rank IS NOT NULL")
+    owned = best_covers(edges, of_rank, on, "at", "rank", bits=bits).filter("rank IS NOT NULL")
     by_place = group.orderBy("at")
     fresh = F.lag("rank").over(by_place).eqNullSafe(F.col("rank")) & F.lag("next").over(by_place).eqNullSafe(F.col("at"))
     numbered = owned.withColumn("__new", (~fresh).cast("int")).withColumn("__run", F.sum("__new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy(*on, "__run").agg(F.min("rank").alias("rank"), F.min("at").alias("start"), F.max("next").alias("end"))
     served = group.orderBy("rank", "start")
     cost = F.sum(F.col("end") - F.col("start") + marker).over(served.rowsBetween(Window.unboundedPreceding, -1))
-    left = F.lit(limit) - F.coalesce(cost, F.lit(0))
-    return runs.withColumn("__left", left).filter("__left > 0").select(*on, "start", F.least("end", F.col("start") + F.col("__left")).alias("end"))
+    paid = runs.withColumn("before", F.coalesce(cost, F.lit(0))).filter(F.col("before") < limit)
+    if ranked:
+        return paid.select(*on, "start", "end", "before")
+    return paid.select(*on, "start", F.least("end", F.col("start") + limit - F.col("before")).alias("end"))
