@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvid.operators import closure, context, fixpoint, names, nodes, sweep
+from corvid.functions import paths
+from corvid.operators import closure, context, diff, fixpoint, names, nodes, score, sweep, variants
 from corvid.queries import _ENDPOINTS, _endpoints, query
+from corvid.sources import scan as sources
 
 s = lambda x: (F.col(x) if isinstance(x, str) else x).cast("string")
 
@@ -224,3 +226,70 @@ def budgeted_reach(table) -> DataFrame:
     """Documents as files that import three others each, their source and language as names: what each reaches in its budget."""
     taken = reach(table)[0]
     return taken.select("origin", "path", "depth", F.col("place").cast("long").alias("place"), "chars")
+
+
+# --- reports and sets ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey AS key FROM lineitem WHERE l_quantity > 25 INTERSECT SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%'")
+def shared_keys(table) -> DataFrame:
+    """Keys that both snapshots have."""
+    urgent = table("orders").filter(F.col("o_orderpriority").like("1%")).select(F.col("o_orderkey").alias("key"))
+    return diff.shared(urgent, table("lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("key")), "key")
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS project, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS frameworks FROM customer GROUP BY c_nationkey")
+def project_frameworks(table) -> DataFrame:
+    """The distinct frameworks of each project."""
+    found = table("customer").select(s("c_nationkey").alias("project"), F.col("c_mktsegment").alias("framework"))
+    return score.frameworks(found).withColumn("frameworks", F.array_join("frameworks", ","))
+
+
+@query("""WITH n AS (SELECT p_partkey, p_brand, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN upper(p_name[1]) || substr(p_name, 2) WHEN 2 THEN replace(p_name, 'e', 'é') ELSE p_name || (p_partkey % 12) END AS name FROM part)
+    SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY name COLLATE en, name, p_partkey) AS place FROM n""")
+def locale_order(table) -> DataFrame:
+    """Names with cases, accents and digits in the order of a reader, not of their bytes."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    written = F.when(key % 4 == 0, F.upper(name)).when(key % 4 == 1, F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1000))).when(key % 4 == 2, F.regexp_replace(name, "e", "é")).otherwise(F.concat(name, s(key % 12)))
+    order = Window.partitionBy("p_brand").orderBy(sources.in_locale(F.col("name")), "name", "p_partkey")
+    return table("part").select("p_partkey", "p_brand", written.alias("name")).select("p_partkey", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("""WITH w AS (SELECT event_type AS t, 'c' || (user_id % 5) AS c, CASE WHEN value > 99.9 THEN NULL WHEN value < 40 AND user_id % 5 = 1 THEN 'number' WHEN user_id % 5 = 2 AND value < 1 THEN NULL ELSE 'string' END AS k, value > 99.9 AND event_type <> 'view' AS whole FROM events),
+    a AS (SELECT t, c, CASE WHEN count(DISTINCT k) = 1 AND count(k) = count(*) THEN '{"type":"' || min(k) || '"}' ELSE '{}' END AS s FROM w GROUP BY ALL), o AS (SELECT t, bool_or(whole) AS o FROM w GROUP BY t)
+    SELECT t AS "table", '{"type":"object","properties":{' || string_agg('"' || c || '":' || s, ',' ORDER BY c) || '}' || CASE WHEN bool_or(o) THEN ',"additionalProperties":{}' ELSE '' END || '}' AS schema FROM a JOIN o USING (t) GROUP BY t""")
+def table_rows(table) -> DataFrame:
+    """What rows of tables without schema are, by all that is written to them."""
+    user, value = F.col("user_id") % 5, F.col("value")
+    kind = F.when(value > 99.9, None).when((value < 40) & (user == 1), "number").when((user == 2) & (value < 1), None).otherwise("string")
+    writes = table("events").select(F.col("event_type").alias("table"), F.concat(F.lit("c"), s(user)).alias("column"), F.concat(F.lit('{"type":"'), kind, F.lit('"}')).alias("type"), ((value > 99.9) & (F.col("event_type") != "view")).alias("whole"))
+    return variants.table_rows(writes)
+
+
+@query("""WITH w AS (SELECT l_orderkey AS k, (['request', 'response', 'parameter', 'constraint'])[l_linenumber % 4 + 1] AS f, l_linenumber AS a, min(l_returnflag) AS v, min(l_quantity) AS q, min(l_shipdate) AS d FROM lineitem GROUP BY ALL),
+    c AS (SELECT f, count(*) AS total, count(*) FILTER (k % 19 <> 0 AND q > 2 AND NOT q BETWEEN 20 AND 21) AS ok, count(*) FILTER (k % 19 = 0 OR q <= 2) AS open FROM w GROUP BY f),
+    r AS (SELECT count(*) AS routes, count(*) FILTER (o_orderkey % 19 <> 0) AS matched, count(*) FILTER (o_orderkey % 19 <> 0) + count(*) FILTER (o_orderkey % 40 = 0) AS scanned FROM orders),
+    t AS (SELECT coalesce(max(total) FILTER (f = 'request'), 0) AS q, coalesce(max(ok) FILTER (f = 'request'), 0) AS qo, coalesce(max(total) FILTER (f = 'response'), 0) AS s, coalesce(max(ok) FILTER (f = 'response'), 0) AS so,
+        coalesce(max(total) FILTER (f = 'parameter'), 0) AS p, coalesce(max(ok) FILTER (f = 'parameter'), 0) AS po, coalesce(max(total) FILTER (f = 'constraint'), 0) AS c, coalesce(max(ok) FILTER (f = 'constraint'), 0) AS co, coalesce(sum(open) FILTER (f <> 'constraint'), 0) AS u FROM c),
+    x AS (SELECT routes, matched, scanned, round(matched / routes, 4) AS recall, round(matched / scanned, 4) AS precision, round(qo / q, 4) AS request_completeness, round(so / s, 4) AS response_completeness, round(po / p, 4) AS parameter_completeness, round(co / c, 4) AS constraint_accuracy, round(u / (q + s + p), 4) AS unresolved FROM r, t)
+    SELECT *, least(recall, precision, request_completeness, response_completeness, parameter_completeness, constraint_accuracy) AS overall, least(recall, precision, request_completeness, response_completeness, parameter_completeness, constraint_accuracy) >= 0.95 AND unresolved <= 0.05 AS accepted FROM x""")
+def audit(table) -> DataFrame:
+    """A scan against a baseline on all axes: orders as routes, their lines as what is asserted of them."""
+    facet = F.get(F.array(*map(F.lit, score.FACETS)), F.col("l_linenumber") % 4)
+    lines = table("lineitem").groupBy(F.col("l_orderkey").alias("k"), "l_linenumber").agg(F.min("l_returnflag").alias("value"), F.min("l_quantity").alias("q"))
+    lines = lines.select("k", facet.alias("facet"), s("l_linenumber").alias("at"), "value", "q")
+    route = lambda df: df.select(F.col("o_orderkey").alias("k"), F.lit("route").alias("facet"), F.lit(None).cast("string").alias("at"), F.lit(None).cast("string").alias("value"))
+    orders = table("orders")
+    more = orders.filter("o_orderkey % 40 = 0").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    seen = F.when(F.col("q") <= 2, None).when(F.col("q").between(20, 21), F.concat("value", F.lit("!"))).otherwise(F.col("value"))
+    found = route(orders.filter("o_orderkey % 19 <> 0")).unionByName(route(more)).unionByName(lines.filter("k % 19 <> 0").select("k", "facet", "at", seen.alias("value")))
+    return score.audit(found, route(orders).unionByName(lines.drop("q")), ["k"])
+
+
+@query("""WITH p AS (SELECT p_partkey, list_transform(string_split(CASE p_partkey % 3 WHEN 0 THEN '_' || replace(p_name, ' ', '/_') WHEN 1 THEN replace(p_name, ' ', '__') ELSE replace(p_name, ' ', '/') END, '/'), lambda x: x) AS parts FROM part)
+    SELECT p_partkey, '/' || array_to_string(list_transform(parts, lambda x: CASE WHEN contains(x, '__') THEN replace(x, '__', ':') WHEN starts_with(x, '_') THEN ':' || substr(x, 2) ELSE x END), '/') AS path FROM p""")
+def path_autoload(table) -> DataFrame:
+    """Folders of routes as paths: what an underscore marks is a parameter."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    folder = F.when(key % 3 == 0, F.concat(F.lit("_"), F.regexp_replace(name, " ", "/_"))).when(key % 3 == 1, F.regexp_replace(name, " ", "__")).otherwise(F.regexp_replace(name, " ", "/"))
+    return table("part").select("p_partkey", F.concat(F.lit("/"), F.array_join(F.transform(F.split(folder, "/"), paths.autoload_segment), "/")).alias("path"))

@@ -20,6 +20,16 @@ def affected(diff: DataFrame, key: str) -> DataFrame:
     return diff.filter(F.col("kind").isin("added", "changed")).select(key)
 
 
+def shared(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """Keys that both snapshots have, each once."""
+    return current.select(key).join(previous.select(key), key, "left_semi").distinct()
+
+
+def listed(diff: DataFrame, key: str) -> DataFrame:
+    """(kind, keys): the keys of each kind of change, in the order of their bytes. A report: a kind's keys are one row."""
+    return diff.groupBy("kind").agg(F.sort_array(F.collect_set(key)).alias("keys"))
+
+
 def left_over(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
     """Keys of the previous snapshot that the current lacks."""
     return previous.select(key).join(current.select(key), key, "left_anti").distinct()

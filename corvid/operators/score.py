@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,50 @@ def scorecard(found: DataFrame, wanted: DataFrame, keys: list[str], value: str)
     return axes.withColumn("overall", F.coalesce(F.least(*positive), F.lit(0.0))).withColumn("accepted", F.col("overall") >= ACCEPTED)
 
 
+#: What a baseline asserts about a route besides that it is there; of the last, what is unknown isn't counted apart.
+FACETS = ("request", "response", "parameter", "constraint")
+
+
+def audit(found: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how a scan does against an independent baseline on every axis, and whether it passes.
+
+    Both tables: keys (of the route), facet ("route", with a null `at`, or one of FACETS), at (what it is about, such as a
+    property's place) and value. An asserted value that the scan has counts as correct, one that it has as null, or not at all while it has
+    the route, as unknown, any other as wrong; what a scan has beyond the baseline counts against precision for routes alone.
+
+    recall, precision; request, response and parameter completeness (correct of asserted); constraint accuracy; unresolved (unknown of
+    asserted, constraints apart). overall is the least axis above zero. accepted: routes reach ACCEPTED on both axes, every other
+    axis does or asserts nothing, and no more than the rest is unresolved. Rows of both tables meet in one full join."""
+    a = found.select(*keys, "facet", "at", F.col("value").alias("__a"), F.lit(True).alias("__f"))
+    b = wanted.select(*keys, "facet", "at", F.col("value").alias("__b"), F.lit(True).alias("__w"))
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in (*keys, "facet", "at")]
+    both = a.alias("x").join(b.alias("y"), reduce(and_, same), "full_outer")
+    facet, hit, asserted = F.coalesce("x.facet", "y.facet"), F.col("__f") & F.col("__w"), F.col("__w")
+    equal, known = F.col("__a") == F.col("__b"), F.col("__a").isNotNull()
+    counts = [F.count_if((facet == "route") & asserted).alias("routes"), F.count_if((facet == "route") & hit).alias("matched"), F.count_if((facet == "route") & F.col("__f")).alias("scanned")]
+    for x in FACETS:
+        counts += [F.count_if((facet == x) & asserted).alias(f"{x}_total"), F.count_if((facet == x) & hit & equal).alias(f"{x}_correct"), F.count_if((facet == x) & asserted & ~F.coalesce(known, F.lit(False))).alias(f"{x}_unknown")]
+    n = both.agg(*counts)
+    part = lambda p, w: F.when(w == 0, F.lit(0.0)).otherwise(F.round(p / w, 4))
+    three = [x for x in FACETS if x != "constraint"]
+    total = lambda what: sum((F.col(f"{x}_{what}") for x in three[1:]), F.col(f"{three[0]}_{what}"))
+    names = {"request": "request_completeness", "response": "response_completeness", "parameter": "parameter_completeness", "constraint": "constraint_accuracy"}
+    axes = n.select(
+        *n.columns, part(F.col("matched"), F.col("routes")).alias("recall"), part(F.col("matched"), F.col("scanned")).alias("precision"),
+        *(part(F.col(f"{x}_correct"), F.col(f"{x}_total")).alias(names[x]) for x in FACETS), part(total("unknown"), total("total")).alias("unresolved"),
+    )
+    least = F.least(*(F.when(F.col(c) > 0, F.col(c)) for c in ("recall", "precision", *names.values())))
+    passed = (F.col("recall") >= ACCEPTED) & (F.col("precision") >= ACCEPTED) & (F.col("unresolved") <= 1 - ACCEPTED)
+    for x in FACETS:
+        passed = passed & ((F.col(f"{x}_total") == 0) | (F.col(names[x]) >= ACCEPTED))
+    return axes.select("routes", "matched", "scanned", "recall", "precision", *names.values(), "unresolved", F.coalesce(least, F.lit(0.0)).alias("overall"), passed.alias("accepted"))
+
+
+def frameworks(candidates: DataFrame) -> DataFrame:
+    """(project, frameworks): the frameworks of a project's routes, each once, in order of their names."""
+    return candidates.groupBy("project").agg(F.sort_array(F.collect_set("framework")).alias("frameworks"))
+
+
 def budgeted(df: DataFrame, group: list[str], size: Column, order: list[Column], most_rows: int, most_size: int) -> DataFrame:
     """Of each group the first rows in order while their number and total size stay within the budget."""
     from pyspark.sql.window import Window

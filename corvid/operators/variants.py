@@ -98,6 +98,21 @@ def union_schemas(df: DataFrame, keys: list[str], schema: str, ordinal: str) ->
     return listed.select(*keys, on_json(union)(F.to_json("__all")).alias(schema))
 
 
+def table_rows(writes: DataFrame, table: str = "table") -> DataFrame:
+    """(table, schema): the object that a row of a schema-less table is, as far as all writes to it prove it.
+
+    writes: table, column, type (a schema as JSON text, null where it isn't known) and whole (the written row came whole from
+    somewhere else, so it may hold more; its column is null). A column has a type if every write to it proves the same one, else it is
+    open; a table with a whole row, or without any known column, has further properties."""
+    columns = writes.filter("column IS NOT NULL").groupBy(table, "column").agg(F.when((F.min("type") == F.max("type")) & (F.count("type") == F.count(F.lit(1))), F.min("type")).alias("type"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("column", F.coalesce("type", F.lit("{}")).alias("type")))), lambda c: F.concat(F.regexp_extract(F.to_json(F.struct(c["column"].alias("c"))), r'^\{"c":(.*)\}$', 1), F.lit(":"), c["type"]))
+    properties = columns.groupBy(table).agg(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("properties"))
+    opened = writes.groupBy(table).agg(F.coalesce(F.bool_or("whole"), F.lit(False)).alias("open"))
+    more = F.when(F.col("open") | F.col("properties").isNull(), ',"additionalProperties":{}').otherwise("")
+    schema = F.concat(F.lit('{"type":"object"'), F.coalesce(F.concat(F.lit(',"properties":'), "properties"), F.lit("")), more, F.lit("}"))
+    return opened.join(properties, table, "left").select(table, schema.alias("schema"))
+
+
 def agreed_types(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """Per key the type if every row has the same known one, else null: what a table without a schema holds."""
     return df.groupBy(*keys).agg(F.when((F.min(kind) == F.max(kind)) & (F.count(kind) == F.count(F.lit(1))), F.min(kind)).alias(kind))

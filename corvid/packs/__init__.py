@@ -44,25 +44,30 @@ def registry() -> dict[str, tuple[str, Pack]]:
     }
 
 
-def extract(files: DataFrame, gates: DataFrame) -> DataFrame:
+def extract(files: DataFrame, gates: DataFrame, counts=None) -> DataFrame:
     """Rows (project, framework, ordinal, kind, name, value as JSON) for the (project, framework) pairs in `gates`.
 
     kind is route, unresolved, component, security or server. Files are filtered to gated projects and the framework's
-    language before they are grouped."""
+    language before they are grouped, and a pack sees them by their ordinal. `counts` is an accumulator of {name: n}: routes by
+    framework, and failures of packs as "!framework"."""
     also = {"javascript": ("javascript", "typescript", "prisma"), "php": ("php", "yaml")}
     languages = [(f, each) for f, (lang, _) in registry().items() for each in also.get(lang, (lang,))]
     wanted = gates.join(files.sparkSession.createDataFrame(languages, "framework string, language string"), "framework")
-    chosen = files.select("project", "path", "content", "language").join(wanted, ["project", "language"])
+    chosen = files.select("project", "path", "content", "language", "ordinal").join(wanted, ["project", "language"])
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         project, framework = key
         try:
-            found = registry()[framework][1](dict(sorted(zip(pdf["path"], pdf["content"]))))
+            found = registry()[framework][1]({p: c for _, p, c in sorted(zip(pdf["ordinal"], pdf["path"], pdf["content"]))})
             if not found.routes:
                 found.remark("handler-unresolved", f"{framework} is there but no route was found")
         except Exception as error:  # a pack's failure is a remark about the project
             found = Found()
-            found.remark("extraction-failed", f"{framework}: {error}")
+            found.remark("extraction-failed", f"{framework}: {type(error).__name__}: {error}")
+            if counts is not None:
+                counts.add({f"!{framework}": 1})
+        if counts is not None and found.routes:
+            counts.add({framework: len(found.routes)})
         rows = [("route", r["operation_id"], r) for r in found.routes] + [("unresolved", r["reason"], r) for r in found.unresolved]
         rows += [("component", n, s) for n, s in found.components.items()] + [("security", n, s) for n, s in found.security.items()] + [("server", u, u) for u in found.servers]
         return pd.DataFrame([(project, framework, n, kind, name, json.dumps(value)) for n, (kind, name, value) in enumerate(rows)], columns=["project", "framework", "ordinal", "kind", "name", "value"])

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from corvid.functions.schemas import fingerprint, hoisted, without_hazards
 from corvid.operators.dedupe import first_wins, free_names
 from corvid.operators.gate import gated
-from corvid.operators.score import scan_report
+from corvid.operators.nodes import unknown_schemas
+from corvid.operators.score import frameworks, scan_report
 from corvid.packs import extract, registry
+from corvid.plans.context import review_contexts
+from corvid.plans.progress import Progress
 from corvid.sources import manifests
 from corvid.sources.scan import index_files, index_with_roots, listing
+from corvid.tables import deleted, shared_dir, stored
 
 #: Packages that hint at a framework, and imports that show one without a manifest.
 HINTS: dict[str, tuple[str, ...]] = {
@@ -76,6 +80,31 @@ class Scan:
     servers: DataFrame
     unresolved: DataFrame
     meta: DataFrame
+    candidates: DataFrame | None = None
+
+    def close(self) -> None:
+        """Delete the tables that the scan wrote; nothing of it can be read afterwards."""
+        for df in (self.files, self.candidates):
+            for folder in {f.rsplit("/", 1)[0] for f in (df.inputFiles() if df is not None else ())}:
+                if "/corvid-" in folder:
+                    deleted(df.sparkSession, folder)
+
+    def frameworks(self) -> DataFrame:
+        """(project, frameworks) of the operations found."""
+        return frameworks(self.operations)
+
+    def unknown_components(self) -> DataFrame:
+        """(project, name, unknown) of components: whether any part of the shape isn't known, references followed."""
+        return unknown_schemas(self.components.select("project", "name", "schema"), ["project"])
+
+    def contexts(self, lines: int = 60, chars: int = 8_192) -> DataFrame:
+        """(project, route, files, unavailable, limitations): the sources that go with a question about each operation with
+        gaps; see review_contexts. The handler's text is the file from the line of its declaration on, up to `lines` lines."""
+        asked = self.operations.filter(F.size("gaps") > 0).select("project", F.concat(F.upper("method"), F.lit(" "), "path").alias("route"), "file", F.get_json_object("candidate", "$.origin.line").cast("int").alias("line"))
+        first = asked.groupBy("project", "route").agg(F.min(F.struct("file", "line")).alias("at")).select("project", "route", F.col("at.file").alias("origin"), F.col("at.line").alias("line"))
+        held = first.join(self.files.select("project", F.col("path").alias("origin"), "content"), ["project", "origin"], "left")
+        text = F.substring(F.array_join(F.slice(F.split("content", "\n"), F.greatest(F.lit(1), F.coalesce("line", F.lit(1))), F.lit(lines)), "\n"), 1, chars)
+        return review_contexts(held.select("project", "route", "origin", text.alias("handler")), self.files)
 
     def report(self) -> DataFrame:
         return scan_report(self.operations)
@@ -124,15 +153,18 @@ def scan_project(spark: SparkSession, root: str, projects: bool = False, framewo
     """Scan the sources under root. With `projects`, each folder of root is a project and all are scanned in one job.
 
     Options are those of index_files. A project without any known framework or route has no operations and, if a pack was
-    there, a remark."""
+    there, a remark. Files and candidates are written to the shared folder once; Scan.close() deletes them. on_progress is told
+    of phases ("index", "extract", "done"), and, while packs run, of routes in batches and of packs that fail."""
     tell = on_progress or (lambda phase, detail: None)
+    shared_dir(spark)
     tell("index", root)
     files, skipped = index_with_roots(spark, root, extra_roots, **options) if extra_roots else index_files(spark, root, projects, **options)
-    files = files.cache()
+    files = stored(files, "files")
     texts = manifests.manifest_texts(spark, root, projects)
     packages = manifests.packages(texts)
     tell("extract", root)
-    rows = extract(files, gates(files, packages, frameworks)).cache()
+    with Progress(spark, tell) as progress:
+        rows = stored(extract(files, gates(files, packages, frameworks), progress.counts), "candidates")
     operations, components = _assembled(rows)
     j = lambda path: F.get_json_object("value", path)
     remarks = rows.filter("kind = 'unresolved'").select("project", "framework", j("$.reason").alias("reason"), j("$.message").alias("message"), j("$.file").alias("file"))
@@ -140,7 +172,7 @@ def scan_project(spark: SparkSession, root: str, projects: bool = False, framewo
     security = first_wins(rows.filter("kind = 'security'").select("project", "name", F.col("value").alias("scheme"), "ordinal"), ["project", "name"], F.col("ordinal"))
     servers = first_wins(rows.filter("kind = 'server'").select("project", F.col("name").alias("url"), "ordinal"), ["project", "url"], F.col("ordinal"))
     tell("done", root)
-    return Scan(files, packages, operations, components, security, servers, unresolved, manifests.project_meta(texts, files))
+    return Scan(files, packages, operations, components, security, servers, unresolved, manifests.project_meta(texts, files), rows)
 
 
 #: Folders of a workspace that hold leaves, folders that may be one themselves, manifests that mark them, most leaves.
@@ -183,6 +215,16 @@ def routes_snapshot(scan: Scan) -> DataFrame:
     return grouped.applyInArrow(run, "project string, method string, path string, operation_id string, file string, key string, fingerprint string")
 
 
+def write_snapshot(scan: Scan, path: str) -> None:
+    """The snapshot of a scan as two Parquet tables, files and routes, replacing an earlier one at `path`."""
+    for name, df in zip(("files", "routes"), scan.snapshot()):
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path.rstrip('/')}/files"), spark.read.parquet(f"{path.rstrip('/')}/routes")
+
+
 def operation_object(candidate: Mapping) -> dict:
     """An OpenAPI operation from a candidate: empty descriptions and schemas are left out, missing required is false."""
     media = lambda items: {m["media_type"]: {k: m[s] for s, k in (("schema", "schema"), ("item_schema", "itemSchema")) if m.get(s)} for m in items or []}

@@ -6,7 +6,6 @@ recognised by joins, and contents are read for files that pass name and size fil
 
 from __future__ import annotations
 
-import fnmatch
 import itertools
 import posixpath
 import re
@@ -17,28 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Directories that never hold a project's own sources.
-IGNORED_DIRS = (
-    "node_modules", ".git", ".next", ".nuxt", "coverage", ".turbo", ".cache", "vendor", "__pycache__", ".venv",
-    ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".eggs", "site-packages", "egg-info", ".gradle",
-)
-#: Which files beside or inside mark a directory of that name as build output.
-BESIDE_TARGET = ("pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts")
-INSIDE_TARGET = ("classes", "test-classes", "maven-status", "generated-sources", "generated-test-sources")
-BESIDE_DIST = ("package.json", "pyproject.toml", "setup.py", "pom.xml", "build.gradle")
-INSIDE_DIST = ("assets", "static", "lib", "bdist.linux-x86_64")
-#: Languages by extension.
-LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript",
-    "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python", "go": "go", "java": "java", "cs": "csharp", "rs": "rust", "php": "php",
-}
-#: Fixed value: paths of tests, fixtures and examples.
-TEST_FILE = (
-    r"(?i)(?:\.test|\.spec|\.stories)\.[a-z]+$|_test\.go$|(?:^|[/\\])test_[^/\\]+\.py$|Test\.java$|Tests\.cs$|Test\.php$"
-    r"|(?:^|[/\\])(?:tests?|__tests__|scripts?|fixtures?|e2e)[/\\]|^examples?[/\\]"
-)
-#: The name of ignore files (a caller may name more), and the default budgets of a scan.
-IGNORE_FILES = (".gitignore",)
+from corvid.sources import tree
+from corvid.sources.rules import BESIDE_DIST, BESIDE_TARGET, COMPILED, BUNDLED, CONFIG_FILE, IGNORE_FILES, IGNORED_DIRS, INSIDE_DIST, INSIDE_TARGET, LANGUAGES, PRISMA_FILE, PROJECT_FILE, TEST_FILE, ignored
+from corvid.tables import stored
+
+#: The default budgets of a scan.
 MAX_FILE_BYTES, MAX_FILES, MAX_TOTAL_BYTES = 2 << 20, 10_000, 64 << 20
 
 
@@ -82,54 +64,21 @@ def built_dirs(files: DataFrame) -> DataFrame:
     n = F.col("name")
     built = (
         F.when(n == "target", some("beside", BESIDE_TARGET) | some("inside", INSIDE_TARGET))
-        .when(n.isin("bin", "obj"), match("beside", r"\.(csproj|sln|fsproj|vbproj)$") | some("inside", ("Debug", "Release")) | match("inside", r"(?i)\.(dll|exe|pdb|cache)$"))
+        .when(n.isin("bin", "obj"), match("beside", PROJECT_FILE) | some("inside", ("Debug", "Release")) | match("inside", COMPILED))
         .when(n.isin("env", "venv"), some("inside", ("pyvenv.cfg", "activate")) | (F.array_contains("inside", "bin") & F.array_contains("inside", "lib")))
-        .otherwise(some("beside", BESIDE_DIST) & (some("inside", INSIDE_DIST) | match("inside", r"(?i)\.(map|whl|tar\.gz|egg)$")))
+        .otherwise(some("beside", BESIDE_DIST) & (some("inside", INSIDE_DIST) | match("inside", BUNDLED)))
     )
     return known.filter(built).select("project", "dir")
 
 
 def language(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
-    out = F.when(path.rlike(r"(?:^|/)config/.*\.ya?ml$"), "yaml").when(path.rlike(r"(?:^|/)(?:schema|(?:src/)?prisma/[^/]+)\.prisma$"), "prisma")
+    out = F.when(path.rlike(CONFIG_FILE), "yaml").when(path.rlike(PRISMA_FILE), "prisma")
     for name in dict.fromkeys(LANGUAGES.values()):
         out = out.when(ext.isin(*(e for e, v in LANGUAGES.items() if v == name)), name)
     return out
 
 
-def ignore_pattern(line: str) -> tuple[str, bool] | None:
-    """A line of an ignore file as (regular expression of paths below the file's folder, whether it takes back)."""
-    line = line.rstrip("\n").rstrip()
-    if not line or line.startswith("#"):
-        return None
-    negated = line.startswith("!")
-    line = line[negated:]
-    only_dir, line = line.endswith("/"), line.rstrip("/")
-    anchored = "/" in line
-    out = []
-    for part in line.lstrip("/").split("/"):
-        if part == "**":
-            out.append(".*")
-        else:
-            out.append(re.sub(r"\(\?s:(.*)\)\\[zZ]", r"\1", fnmatch.translate(part)).replace(".*", "[^/]*"))
-    body = "/".join(out).replace(".*/", "(?:.*/)?")
-    return ("" if anchored else "(?:.*/)?") + body + ("/.*" if only_dir else "(?:/.*)?"), negated
-
-
-def ignored(path: str, rules: Sequence[tuple[str, str]], extra: Sequence[str] = ()) -> bool:
-    """Whether ignore files (folder, text) leave a path out: the last rule that matches decides, deeper folders after
-    outer ones; the caller's own patterns are final."""
-    verdict = False
-    for folder, text in sorted(rules, key=lambda r: (r[0].count("/") + bool(r[0]), r[0])):
-        if folder and not path.startswith(folder + "/"):
-            continue
-        below = path[len(folder) + 1 :] if folder else path
-        for rule in filter(None, map(ignore_pattern, text.splitlines())):
-            if re.fullmatch(rule[0], below):
-                verdict = not rule[1]
-    return verdict or any(re.fullmatch(r[0], path) for r in map(ignore_pattern, extra) if r and not r[1])
-
-
 def ignore_rules(spark: SparkSession, root: str, projects: bool = False, names: Sequence[str] = IGNORE_FILES) -> DataFrame:
     """(project, folder, text) of ignore files in folders of any depth. Spark's readers skip hidden files, so they are
     found by globs of the file system itself, on the driver, as Spark's own listing is."""
@@ -160,6 +109,11 @@ def decoded(content: Column) -> Column:
     return F.when(F.instr(text, F.char(F.lit(0))) == 0, text)
 
 
+def in_locale(name: Column | str) -> Column:
+    """What to order names by so that they stand as a reader expects, not by their bytes: a, A, b, é, f."""
+    return F.collate(name, "UNICODE")
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -174,16 +128,9 @@ def budget_use(files: DataFrame, max_files: int = MAX_FILES, max_total_bytes: in
     return used.withColumn("over", (F.col("files") > max_files) | (F.col("bytes") > max_total_bytes))
 
 
-def index_files(
-    spark: SparkSession, root: str, projects: bool = False, ignore: Sequence[str] = (), include_tests: bool = False,
-    max_file_bytes: int = MAX_FILE_BYTES, max_files: int = MAX_FILES, max_total_bytes: int = MAX_TOTAL_BYTES,
-) -> tuple[DataFrame, DataFrame]:
-    """(files, unresolved) of the projects under root.
-
-    files: project, path, content, bytes, hash, language, ordinal (by path); unresolved: project, reason, message, file
-    for files too large or not text. More than max_files files or max_total_bytes bytes of a project is an error."""
-    if min(max_file_bytes, max_files, max_total_bytes) <= 0:
-        raise ValueError("budgets must be positive")
+def _listed(spark: SparkSession, root: str, projects: bool, ignore: Sequence[str], include_tests: bool, max_file_bytes: int, max_files: int, max_total_bytes: int) -> DataFrame:
+    """What source_tree gives, for stores that only Spark's readers can open: all is listed, then joined with the rules. Names
+    that start with an underscore stay unseen."""
     files = listing(spark, root, projects)
     rules = ignore_rules(spark, root, projects).groupBy("project").agg(F.collect_list(F.struct("folder", "text")).alias("rules"))
 
@@ -201,17 +148,37 @@ def index_files(
     def left_out(path: pd.Series, rules: pd.Series) -> pd.Series:
         return pd.Series([ignored(p, [(r["folder"], r["text"]) for r in rs] if rs is not None else [], extra) for p, rs in zip(path, rules)], dtype=bool)
 
-    own = own.join(F.broadcast(rules) if not projects else rules, "project", "left").filter(~left_out("path", "rules")).drop("rules")
-    large = own.filter(too_large(F.col("length"), max_file_bytes))
-    small = own.filter(~too_large(F.col("length"), max_file_bytes))
-    over = budget_use(small, max_files, max_total_bytes).filter("over").first()
+    own = own.join(rules, "project", "left").filter(~left_out("path", "rules")).drop("rules")
+    over = budget_use(own.filter(~too_large(F.col("length"), max_file_bytes)), max_files, max_total_bytes).filter("over").first()
     if over:
         raise BudgetExceeded(f"project {over.project} has {over.files} files of {over.bytes} bytes; the budget is {max_files} files, {max_total_bytes} bytes")
 
     globs = "{" + ",".join([*(f"*.{e}" for e in LANGUAGES), "*.yml", "*.yaml", "*.prisma"]) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", globs).load(root).filter(F.col("length") <= max_file_bytes)
-    read = small.join(raw.select(F.col("path").alias("url"), "content"), "url").withColumn("text", decoded(F.col("content")))
-    ordinal = F.row_number().over(Window.partitionBy("project").orderBy("path"))
+    return own.join(raw.select(F.col("path").alias("url"), "content"), "url", "left").select("project", "path", "length", "content", "language")
+
+
+def index_files(
+    spark: SparkSession, root: str, projects: bool = False, ignore: Sequence[str] = (), include_tests: bool = False,
+    max_file_bytes: int = MAX_FILE_BYTES, max_files: int = MAX_FILES, max_total_bytes: int = MAX_TOTAL_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """(files, unresolved) of the projects under root.
+
+    files: project, path, content, bytes, hash, language, ordinal (by path); unresolved: project, reason, message, file
+    for files too large or not text. More than max_files files or max_total_bytes bytes of a project is an error."""
+    if min(max_file_bytes, max_files, max_total_bytes) <= 0:
+        raise ValueError("budgets must be positive")
+    if tree.readable(root):
+        found = tree.source_tree(spark, root, projects, ignore, include_tests, max_file_bytes, max_total_bytes)
+        read = stored(found.withColumn("language", language(F.col("path"))), "sources")
+    else:
+        read = _listed(spark, root, projects, ignore, include_tests, max_file_bytes, max_files, max_total_bytes)
+    large, small = read.filter(too_large(F.col("length"), max_file_bytes)), read.filter(~too_large(F.col("length"), max_file_bytes))
+    over = budget_use(small, max_files, max_total_bytes).filter("over").first()
+    if over:
+        raise BudgetExceeded(f"project {over.project} has {over.files} files of {over.bytes} bytes; the budget is {max_files} files, {max_total_bytes} bytes")
+    read = small.withColumn("text", decoded(F.col("content")))
+    ordinal = F.row_number().over(Window.partitionBy("project").orderBy(in_locale("path"), "path"))
     kept = read.filter("text IS NOT NULL").select("project", "path", F.col("text").alias("content"), F.col("length").alias("bytes"), content_hash(F.col("text")).alias("hash"), "language", ordinal.alias("ordinal"))
     skipped = lambda df, why: df.select("project", F.lit("source-skipped").alias("reason"), F.lit(why).alias("message"), F.col("path").alias("file"))
     return kept, skipped(large, f"larger than {max_file_bytes} bytes").unionByName(skipped(read.filter("text IS NULL"), "not text"))
