@@ -156,6 +156,19 @@ def snake_case(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"), r"[\s\-]+", "_"))
 
 
+#: What a FastAPI path converter says of its parameter.
+CONVERTERS = {"int": ("integer", None), "float": ("number", None), "path": ("string", None), "str": ("string", None), "uuid": ("string", "uuid")}
+
+
+def converter_types(raw: Column) -> Column:
+    """The parameters of a FastAPI path in order, as (name, type, format); without a known converter the type is null."""
+    names = F.regexp_extract_all(raw, F.lit(r"\{([^{}:]+)(?::([^{}]+))?\}"), F.lit(1))
+    kinds = F.regexp_extract_all(raw, F.lit(r"\{([^{}:]+)(?::([^{}]+))?\}"), F.lit(2))
+    known = lambda at: F.create_map(*(F.lit(x) for k, v in CONVERTERS.items() if v[at] for x in (k, v[at])))
+    one = lambda z: F.struct(z["name"].alias("name"), F.try_element_at(known(0), z["kind"]).alias("type"), F.try_element_at(known(1), z["kind"]).alias("format"))
+    return F.transform(F.arrays_zip(names.alias("name"), kinds.alias("kind")), one)
+
+
 def autoload_segment(segment: Column) -> Column:
     """A folder's name as a path segment: __id or _id is a parameter."""
     return F.when(segment.contains("__"), F.replace(segment, F.lit("__"), F.lit(":"))).when(segment.startswith("_"), F.concat(F.lit(":"), F.substring(segment, 2, 2**31 - 1))).otherwise(segment)

@@ -293,3 +293,15 @@ def path_autoload(table) -> DataFrame:
     key, name = F.col("p_partkey"), F.col("p_name")
     folder = F.when(key % 3 == 0, F.concat(F.lit("_"), F.regexp_replace(name, " ", "/_"))).when(key % 3 == 1, F.regexp_replace(name, " ", "__")).otherwise(F.regexp_replace(name, " ", "/"))
     return table("part").select("p_partkey", F.concat(F.lit("/"), F.array_join(F.transform(F.split(folder, "/"), paths.autoload_segment), "/")).alias("path"))
+
+
+@query(rf"""WITH e AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) AS p FROM pages), r AS (SELECT page_id, regexp_replace(p, '/[0-9]+', '/{{{{id:' || (['int', 'float', 'path', 'uuid', 'other'])[page_id % 5 + 1] || '}}}}/{{{{more}}}}', 'g') AS raw, (['integer', 'number', 'string', 'string', NULL])[page_id % 5 + 1] AS t, CASE WHEN page_id % 5 = 3 THEN 'uuid' END AS f FROM e),
+    n AS (SELECT page_id, t, f, len(regexp_extract_all(raw, '\{{id')) AS n FROM r)
+    SELECT page_id, CAST(i AS BIGINT) AS pos, CASE WHEN i % 2 = 0 THEN 'id' ELSE 'more' END AS name, CASE WHEN i % 2 = 0 THEN t END AS type, CASE WHEN i % 2 = 0 THEN f END AS format FROM n, unnest(range(0, 2 * n)) u(i)""".replace("{{{{", "{").replace("}}}}", "}").replace("\\{{", "\\{"))
+def converter_types(table) -> DataFrame:
+    """What converters in a path say of its parameters."""
+    path = F.regexp_extract("url", "^https?://[^/?#]+(/[^?#]*)", 1)
+    kind = F.get(F.array(*map(F.lit, ("int", "float", "path", "uuid", "other"))), (F.col("page_id") % 5).cast("int"))
+    raw = F.regexp_replace(path, F.lit("/[0-9]+"), F.concat(F.lit("/{id:"), kind, F.lit("}/{more}")))
+    found = table("pages").select("page_id", F.posexplode(paths.converter_types(raw)).alias("pos", "p"))
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), "p.name", "p.type", "p.format")

@@ -19,6 +19,8 @@ from corvid.packs import extract, registry
 from corvid.plans.context import review_contexts
 from corvid.plans.progress import Progress
 from corvid.sources import manifests
+from corvid.sources.imports import import_edges
+from corvid.sources.installed import installed_sources
 from corvid.sources.scan import index_files, index_with_roots, listing
 from corvid.tables import deleted, shared_dir, stored
 
@@ -81,6 +83,8 @@ class Scan:
     unresolved: DataFrame
     meta: DataFrame
     candidates: DataFrame | None = None
+    root: str | None = None
+    projects: bool = False
 
     def close(self) -> None:
         """Delete the tables that the scan wrote; nothing of it can be read afterwards."""
@@ -97,14 +101,21 @@ class Scan:
         """(project, name, unknown) of components: whether any part of the shape isn't known, references followed."""
         return unknown_schemas(self.components.select("project", "name", "schema"), ["project"])
 
-    def contexts(self, lines: int = 60, chars: int = 8_192) -> DataFrame:
+    def contexts(self, lines: int = 60, chars: int = 8_192, installed: bool = False) -> DataFrame:
         """(project, route, files, unavailable, limitations): the sources that go with a question about each operation with
-        gaps; see review_contexts. The handler's text is the file from the line of its declaration on, up to `lines` lines."""
+        gaps; see review_contexts. The handler's text is the file from the line of its declaration on, up to `lines` lines. With
+        `installed`, JavaScript packages under the scan's root are followed as well."""
         asked = self.operations.filter(F.size("gaps") > 0).select("project", F.concat(F.upper("method"), F.lit(" "), "path").alias("route"), "file", F.get_json_object("candidate", "$.origin.line").cast("int").alias("line"))
         first = asked.groupBy("project", "route").agg(F.min(F.struct("file", "line")).alias("at")).select("project", "route", F.col("at.file").alias("origin"), F.col("at.line").alias("line"))
         held = first.join(self.files.select("project", F.col("path").alias("origin"), "content"), ["project", "origin"], "left")
         text = F.substring(F.array_join(F.slice(F.split("content", "\n"), F.greatest(F.lit(1), F.coalesce("line", F.lit(1))), F.lit(lines)), "\n"), 1, chars)
-        return review_contexts(held.select("project", "route", "origin", text.alias("handler")), self.files)
+        routes = held.select("project", "route", "origin", text.alias("handler"))
+        if not installed or self.root is None:
+            return review_contexts(routes, self.files)
+        edges, missing = (stored(x, "imports") for x in import_edges(self.files))
+        more, ways = installed_sources(missing, self.root, self.projects)
+        found = missing.join(ways.select("project", "path").distinct(), ["project", "path"], "left_anti")
+        return review_contexts(routes, self.files.select(*more.columns).unionByName(more), edges.unionByName(ways), found)
 
     def report(self) -> DataFrame:
         return scan_report(self.operations)
@@ -172,7 +183,7 @@ def scan_project(spark: SparkSession, root: str, projects: bool = False, framewo
     security = first_wins(rows.filter("kind = 'security'").select("project", "name", F.col("value").alias("scheme"), "ordinal"), ["project", "name"], F.col("ordinal"))
     servers = first_wins(rows.filter("kind = 'server'").select("project", F.col("name").alias("url"), "ordinal"), ["project", "url"], F.col("ordinal"))
     tell("done", root)
-    return Scan(files, packages, operations, components, security, servers, unresolved, manifests.project_meta(texts, files), rows)
+    return Scan(files, packages, operations, components, security, servers, unresolved, manifests.project_meta(texts, files), rows, root, projects)
 
 
 #: Folders of a workspace that hold leaves, folders that may be one themselves, manifests that mark them, most leaves.
