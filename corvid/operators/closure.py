@@ -81,28 +81,34 @@ def later_handlers(events: DataFrame, scope: str, ordinal: str, route: Column, h
     """Routes of `events` with the handlers registered after them in their scope: key, handlers (how many) and
     first_handler (the least key among them); routes without any are left out.
 
-    A running aggregate from the end of the scope, not a join of all pairs; rows of the same ordinal aren't after each
-    other."""
-    after = Window.partitionBy(scope).orderBy(F.desc(ordinal)).rangeBetween(Window.unboundedPreceding, -1)
-    found = F.when(handler, F.col(key))
-    own = events.filter(route | handler).select(key, route.alias("__route"), F.count(found).over(after).alias("handlers"), F.min(found).over(after).alias("first_handler"))
-    return own.filter("__route AND handlers > 0").drop("__route")
+    Running aggregates from the end of the scope, not a join of all pairs, in blocks of a hot scope; rows of the same ordinal
+    aren't after each other."""
+    own = events.filter((route | handler) & F.col(scope).isNotNull()).select(scope, key, F.col(ordinal).alias("__at"), route.alias("__route"), F.when(handler, F.col(key)).alias("__handler"))
+    found = _after(own, [scope]).filter("__route AND __n > 0")
+    return found.select(key, F.col("__n").alias("handlers"), F.col("__least").alias("first_handler"))
+
+
+def _after(rows: DataFrame, on: list[str], rows_a_block: int = 50_000) -> DataFrame:
+    """rows (on, __at, __handler and others) with __n and __least: how many rows of their group with a handler have a greater
+    position, and the least handler among them. Groups are cut into blocks of positions; a block adds what all later ones hold."""
+    cuts, block = cut_into_blocks(rows, on, "__at", rows_a_block)
+    placed = rows.join(cuts, on).withColumn("__block", F.coalesce(block(F.col("__at")), F.lit(0))).drop("__cuts")
+    later = Window.partitionBy(*on).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*on, "__block").agg(F.count("__handler").alias("n"), F.min("__handler").alias("least"))
+    sums = sums.select(*on, "__block", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("__n_later"), F.min("least").over(later).alias("__least_later"))
+    after = Window.partitionBy(*on, "__block").orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumn("__n", F.count("__handler").over(after)).withColumn("__least", F.min("__handler").over(after))
+    both = own.join(sums, [*on, "__block"])
+    return both.select(*rows.columns, (F.col("__n") + F.col("__n_later")).alias("__n"), F.least("__least", "__least_later").alias("__least"))
 
 
 def later_counts(routes: DataFrame, handlers: DataFrame, on: Sequence[str], at: str, rows_a_block: int = 50_000) -> DataFrame:
-    """routes with `handlers`: how many handlers of the same `on` have a greater position. Groups are counted in blocks of
-    positions, and a block adds what all later ones hold."""
+    """routes with `handlers`: how many handlers of the same `on` have a greater position."""
     on = list(on)
     row = F.struct(*(F.col(f"`{c}`") for c in routes.columns))
-    both = routes.select(*on, F.col(at).alias("__at"), row.alias("__route")).unionByName(handlers.select(*on, F.col(at).alias("__at")), allowMissingColumns=True)
-    cuts, block = cut_into_blocks(both, on, "__at", rows_a_block)
-    one = F.when(F.col("__route").isNull(), 1).otherwise(0)
-    both = both.join(cuts, on).withColumn("__block", block(F.col("__at"))).drop("__cuts")
-    later = Window.partitionBy(*on).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = both.groupBy(*on, "__block").agg(F.sum(one).alias("__n")).select(*on, "__block", F.coalesce(F.sum("__n").over(later), F.lit(0)).alias("__later"))
-    after = Window.partitionBy(*on, "__block").orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, -1)
-    own = both.withColumn("__own", F.coalesce(F.sum(one).over(after), F.lit(0))).filter("__route IS NOT NULL")
-    return own.join(sums, [*on, "__block"]).select("__route.*", (F.col("__own") + F.col("__later")).cast("long").alias("handlers"))
+    own = routes.select(*on, F.col(at).alias("__at"), row.alias("__route"), F.lit(None).cast("int").alias("__handler"))
+    both = own.unionByName(handlers.select(*on, F.col(at).alias("__at"), F.lit(1).alias("__handler")), allowMissingColumns=True)
+    return _after(both, on, rows_a_block).filter("__route IS NOT NULL").select("__route.*", F.col("__n").cast("long").alias("handlers"))
 
 
 def handler_pairs(routes: DataFrame, handlers: DataFrame, on: Sequence[str], at: str, where: Column | None = None, most: int | None = None, rows_a_block: int = 2_000) -> tuple[DataFrame, DataFrame]:

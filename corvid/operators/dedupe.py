@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvid.operators.sweep import cut_into_blocks
+
 
 def evidence_score(n_responses: Column, n_parameters: Column, has_body: Column, n_gaps: Column, weights: tuple[int, int, int] = (2, 1, 2)) -> Column:
     """How well a route candidate is proven. weights: of responses, parameters and a body; Go packs take (3, 2, 4)."""
@@ -31,16 +33,32 @@ def first_wins(df: DataFrame, keys: Sequence[str], ordinal: Column) -> DataFrame
     return df.withColumn("__at", ordinal).groupBy(*keys).agg(F.min_by(row, "__at").alias("__row")).select("__row.*")
 
 
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, rows_a_block: int = 50_000) -> DataFrame:
+    """df with `out`, the place (1, 2, ...) of each row among those of its keys in the given order.
+
+    The first of `order` is a number or a time. By it the rows of a hot key are cut into blocks, which are counted and then
+    numbered each in a task of its own; a block starts where those before it end. Null keys are a key; null positions
+    come first."""
+    names = [f"__k{n}" for n in range(len(keys))]
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    marked = df.select(*(F.struct(F.col(f"`{k}`").alias("k")).alias(n) for k, n in zip(keys, names)), row.alias("__row"), *(c.alias(f"__o{n}") for n, c in enumerate(order)))
+    cuts, block = cut_into_blocks(marked, names, "__o0", rows_a_block)
+    marked = marked.join(cuts, names).withColumn("__block", F.coalesce(block(F.col("__o0")), F.lit(0))).drop("__cuts")
+    earlier = Window.partitionBy(*names).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy(*names, "__block").agg(F.count(F.lit(1)).alias("__n")).select(*names, "__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    own = Window.partitionBy(*names, "__block").orderBy(*(f"__o{n}" for n in range(len(order))))
+    return marked.withColumn("__at", F.row_number().over(own)).join(starts, [*names, "__block"]).select("__row.*", (F.col("__start") + F.col("__at")).alias(out))
+
+
 def duplicates(df: DataFrame, keys: Sequence[str], ordinal: Column) -> DataFrame:
     """The rows that first_wins drops: what a pack reports as duplicate routes."""
-    own = Window.partitionBy(*keys).orderBy(ordinal)
-    return df.withColumn("__n", F.row_number().over(own)).filter("__n > 1").drop("__n")
+    return placed(df, keys, [ordinal], "__nth").filter("__nth > 1").drop("__nth")
 
 
 def numbered_names(df: DataFrame, name: str, ordinal: Sequence[Column], out: str, within: Sequence[str] = ()) -> DataFrame:
     """The nth row of a name gets name_n; the first keeps the name."""
-    n = F.row_number().over(Window.partitionBy(*within, name).orderBy(*ordinal))
-    return df.withColumn(out, F.when(n > 1, F.concat(F.col(name), F.lit("_"), n.cast("string"))).otherwise(F.col(name)))
+    n = F.col("__nth")
+    return placed(df, [*within, name], ordinal, "__nth").withColumn(out, F.when(n > 1, F.concat(F.col(name), F.lit("_"), n.cast("string"))).otherwise(F.col(name))).drop("__nth")
 
 
 def free_names(names: Sequence[str]) -> list[str]:

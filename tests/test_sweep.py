@@ -34,7 +34,7 @@ def test_innermost_scope_equals_brute_force(spark, monkeypatch):
     for g, at, i in points:
         over = [(b - a, n) for x, a, b, n in intervals if x == g and at is not None and a <= at < b]
         want[g, i] = min(over)[1] if over else None
-    for rows_a_block in (50_000, 20, 3):
+    for rows_a_block in (50_000, 3):
         got = sweep.innermost(asked, lines, ["g"], rows_a_block=rows_a_block).collect()
         assert len(got) == len(points) and {(r.g, r.id): r.name for r in got} == want
     assert sweep.innermost(asked.limit(0), lines, ["g"]).count() == 0
@@ -90,7 +90,7 @@ def test_handler_pairs_of_a_hot_scope(spark):
     handlers = [(rng.choice([1, 1, 1, 2]), rng.randrange(100), f"h{k}") for k in range(80)] + [(1, None, "never")]
     r, h = spark.createDataFrame(routes, "scope int, at long, route string"), spark.createDataFrame(handlers, "scope int, at long, handler string")
     want = {(a, b) for s, x, a in routes for t, y, b in handlers if s == t and x is not None and y is not None and y > x}
-    for rows_a_block in (2000, 7, 1):
+    for rows_a_block in (2000, 3):
         pairs, counted = closure.handler_pairs(r, h, ["scope"], "at", rows_a_block=rows_a_block)
         got = [(x.route, x.handler) for x in pairs.collect()]
         assert len(got) == len(set(got)) and set(got) == want and counted.count() == 0
@@ -115,3 +115,17 @@ def test_error_handlers_of_routes(spark):
     handlers = spark.createDataFrame([("h1", "sub", 7, "/x", False), ("h2", "sub", 8, None, False), ("h3", "app", 0, "/a/x", True), ("h4", "app", 9, None, True)], "handler string, router string, position int, scope string, global boolean")
     got = {(r.route, r.handler) for r in closure.error_handlers(routes, handlers).collect()}
     assert got == {("r1", "h4"), ("r2", "h1"), ("r2", "h2"), ("r2", "h3"), ("r2", "h4"), ("r3", "h4")}
+
+
+def test_places_among_the_rows_of_a_hot_key(spark):
+    from corvid.operators import dedupe
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "cold", None]), rng.choice([None, *range(40)]), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "k string, o int, id int").repartition(3)
+    want, seen = {}, {}
+    for k, o, i in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        want[i] = seen[k] = seen.get(k, 0) + 1
+    for rows_a_block in (50_000, 20, 1):
+        got = dedupe.placed(df, ["k"], [F.col("o"), F.col("id")], "n", rows_a_block).collect()
+        assert {r.id: r.n for r in got} == want and len(got) == 300
