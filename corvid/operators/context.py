@@ -15,8 +15,8 @@ from corvid.tables import stored
 
 #: Bytes of a gram, and how many grams in a row one is picked from: a text of GRAM + PICK - 1 bytes holds a picked one.
 GRAM, PICK = 8, 16
-#: Bits of the table that tells which grams are asked about.
-BITS = 24
+#: Bits of the table that tells which grams are asked about; grams of texts that are sent at once.
+BITS, ROWS = 24, 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -74,12 +74,24 @@ def _text_grams(wanted, widths):
     def run(batches):
         bits = wanted.value
         for batch in batches:
+            at, grams, held = [], [], 0
+
+            def rows():
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(grams).view(np.int64))], ["text", "gram"])
+
             for k, text in enumerate(batch.column(1).cast(pa.large_binary())):
                 raw = text.as_py()
                 parts = [picked(raw), *(np.unique(_grams(np.frombuffer(raw, np.uint8), w)) for w in widths)]
                 found = np.unique(np.concatenate([p[_asked(bits, p)] for p in parts]))
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(found), k))), pa.array(found.view(np.int64))], ["text", "gram"])
+                    at.append(np.full(len(found), k))
+                    grams.append(found)
+                    held += len(found)
+                if held >= ROWS:
+                    yield rows()
+                    at, grams, held = [], [], 0
+            if held:
+                yield rows()
 
     return run
 

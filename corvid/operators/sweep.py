@@ -35,9 +35,12 @@ def innermost(points: DataFrame, intervals: DataFrame, on: Sequence[str], at: st
     top of the stack is the last start among the rows of the same depth.
 
     Groups are cut into blocks. A block's sums and last starts are carried into later blocks, so a hot group is swept by many
-    tasks. Other columns of points and intervals must not share names.
+    tasks. Points without a position or a group are in no interval. Other columns of points and intervals must not share names.
     """
     on = list(on)
+    somewhere = F.lit(True)
+    for c in (*on, at):
+        somewhere = somewhere & F.col(c).isNotNull()
     more = [c for c in intervals.columns if c not in (*on, start, end)]
     row = F.struct(*(F.col(f"`{c}`") for c in (start, end, *more)))
     real = intervals.filter(F.col(start) < F.col(end)).select(*on, row.alias("__scope"))
@@ -46,7 +49,7 @@ def innermost(points: DataFrame, intervals: DataFrame, on: Sequence[str], at: st
     scope = F.col("__scope")
     opened = event(real, scope[start], 1, 1, scope)
     closed = event(real, scope[end], 0, -1, F.lit(None).cast(opened.schema["__scope"].dataType).alias("__scope"))
-    asked = event(points.filter(F.col(at).isNotNull()), F.col(at), 2, 0, F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("__point"))
+    asked = event(points.filter(somewhere), F.col(at), 2, 0, F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("__point"))
     events = opened.unionByName(closed).unionByName(asked, allowMissingColumns=True)
     cuts, block = cut_into_blocks(events.select(*on, "__at"), on, "__at", rows_a_block)
     events = events.join(cuts, on).withColumn("__block", block(F.col("__at"))).drop("__cuts")
@@ -64,7 +67,7 @@ def innermost(points: DataFrame, intervals: DataFrame, on: Sequence[str], at: st
     met = placed.filter("__kind = 2").join(carried, [*on, "__block", "__depth"])
     found = F.when(F.col("__depth") > 0, F.coalesce("__own", "__carried"))
     out = met.select("__point", found.alias("__scope")).select("__point.*", *(F.col(f"__scope.`{c}`").alias(c) for c in (start, end, *more)))
-    lost = points.filter(F.col(at).isNull())
+    lost = points.filter(~somewhere)
     return out.unionByName(lost, allowMissingColumns=True)
 
 
@@ -101,7 +104,7 @@ def chosen_spans(spans: DataFrame, on: Sequence[str], limit: int, marker: int =
 
     Spans are served by priority, length and start; a span gives only what earlier ones didn't take, in fragments from left
     to right, and each fragment but the first costs `marker` more. The fragment in which the budget ends is cut there. Empty
-    and null spans give nothing; of spans equal in all three any is the same. With `ranked` the result has `before` too, what
+    and null spans and those of a null group give nothing; of spans equal in all three any is the same. With `ranked` the result has `before` too, what
     was spent before a fragment, and fragments aren't cut short, so that a caller may apply limits of its own.
 
     Between two successive ends of spans a text belongs to one span, the best that covers it, found by best_covers; pieces of

@@ -98,10 +98,41 @@ def scoped_imports(files: DataFrame, language: str) -> tuple[DataFrame, DataFram
     return edges, lost.select("project", "path", "name")
 
 
-def module_imports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, missing) of Rust and Go: `use crate::a::b::C` by the only file that ends in a/b/C or else a/b, `mod x` by the file
-    beside; an import path of Go by the only folder that ends as it does, all of whose files count."""
-    rust, go = files.filter("language = 'rust'"), files.filter("language = 'go'")
+def go_symbols(files: DataFrame) -> DataFrame:
+    """(project, folder, name, path): what the files of a Go package declare at their top and others may use."""
+    own = files.filter("language = 'go'")
+    folder = F.array_join(_without_last(F.split("path", "/")), "/")
+    single = _all(F.col("content"), r"(?m)^(?:func|type|var|const)\s+([A-Za-z_]\w*)")
+    grouped = F.flatten(F.transform(_all(F.col("content"), r"(?ms)^(?:type|var|const)\s*\((.*?)^\)"), lambda x: _all(x, r"(?m)^\t([A-Za-z_]\w*)")))
+    return own.select("project", folder.alias("folder"), F.explode(F.array_distinct(F.concat(single, grouped))).alias("name"), "path").filter("name NOT IN ('main', 'init', '_')")
+
+
+def go_imports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, missing) of Go: the files of a package that declare what a file uses, its own package's and imported ones'.
+
+    An import path means the only folder of the project that ends as it does; its package goes by the alias or the last part of the
+    path, without a version. Uses and declarations meet by project, folder and name."""
+    own, text = files.filter("language = 'go'"), F.col("content")
+    folder = F.array_join(_without_last(F.split("path", "/")), "/")
+    line = r'(?m)^\s*(?:import\s+)?(?:([\w.]+)\s+)?"([\w.\-]+(?:/[\w.\-]+)+)"\s*$'
+    pairs = F.array_distinct(F.arrays_zip(_all(text, line, 1).alias("alias"), _all(text, line, 2).alias("name")))
+    packages = own.select("project", "path", F.explode(pairs).alias("p")).select("project", "path", "p.alias", "p.name")
+    plain = F.regexp_replace("name", r"/v[0-9]+$", "")
+    packages = packages.withColumn("called", F.when(F.col("alias") != "", F.col("alias")).otherwise(F.element_at(F.split(plain, "/"), -1)))
+    folders = own.select("project", folder.alias("module")).filter("module <> ''").distinct().select("project", "module", F.col("module").alias("path"), F.col("module").alias("ordinal"))
+    found = by_suffix(packages.select("project", "name"), folders, ["project"], least=1, unique=True).withColumnRenamed("path", "folder")
+    used = F.array_distinct(F.arrays_zip(_all(text, r"\b([A-Za-z_]\w*)\.([A-Z]\w*)", 1).alias("called"), _all(text, r"\b([A-Za-z_]\w*)\.([A-Z]\w*)", 2).alias("symbol")))
+    outside = own.select("project", "path", F.explode(used).alias("u")).select("project", "path", "u.called", "u.symbol")
+    outside = outside.join(packages.select("project", "path", "called", "name").join(found, ["project", "name"]), ["project", "path", "called"]).select("project", "path", "folder", F.col("symbol").alias("name"))
+    inside = own.select("project", "path", folder.alias("folder"), F.explode(F.array_distinct(_all(text, r"(?<![\w.])([A-Za-z_]\w*)"))).alias("name"))
+    declared = go_symbols(files).select("project", "folder", "name", F.col("path").alias("target"))
+    edges = outside.unionByName(inside).distinct().join(declared, ["project", "folder", "name"]).filter("path <> target").select("project", "path", "target").distinct()
+    return edges, packages.join(found, ["project", "name"], "left_anti").select("project", "path", "name")
+
+
+def rust_imports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, missing) of Rust: `use crate::a::b::C` by the only file that ends in a/b/C or else a/b, `mod x` by the file beside."""
+    rust = files.filter("language = 'rust'")
     used = F.array_distinct(_all(F.col("content"), r"\buse\s+(?:crate|super|self)::([\w:]+)"))
     inner = F.transform(_all(F.col("content"), r"(?m)^\s*(?:pub(?:\([\w:]+\))?\s+)?mod\s+(\w+)\s*;"), lambda m: m)
     named = rust.select("project", "path", F.explode(F.concat(used, inner)).alias("module")).withColumn("module", F.regexp_replace(F.regexp_replace("module", ":+$", ""), "::", "/"))
@@ -112,13 +143,7 @@ def module_imports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = by_suffix(tries.select("project", "name"), modules, ["project"], unique=True).withColumnRenamed("path", "target")
     met = tries.join(index, ["project", "name"]).groupBy("project", "path", "module").agg(F.min_by("target", "n").alias("target"))
     lost = named.join(met, ["project", "path", "module"], "left_anti").select("project", "path", F.regexp_replace("module", "/", "::").alias("name"))
-    packages = go.select("project", "path", F.explode(F.array_distinct(_all(F.col("content"), r'"([\w.\-]+(?:/[\w.\-]+)+)"'))).alias("name"))
-    folder = F.array_join(_without_last(F.split("path", "/")), "/")
-    folders = go.select("project", folder.alias("module")).filter("module <> ''").distinct().select("project", "module", F.col("module").alias("path"), F.col("module").alias("ordinal"))
-    found = by_suffix(packages.select("project", "name"), folders, ["project"], least=1, unique=True).withColumnRenamed("path", "folder")
-    held = packages.join(found, ["project", "name"]).join(go.select("project", folder.alias("folder"), F.col("path").alias("target")), ["project", "folder"])
-    gone = packages.join(found, ["project", "name"], "left_anti")
-    return met.select("project", "path", "target").unionByName(held.select("project", "path", "target")).filter("path <> target").distinct(), lost.unionByName(gone.select("project", "path", "name"))
+    return met.select("project", "path", "target").filter("path <> target").distinct(), lost
 
 
 def import_edges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +152,7 @@ def import_edges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     Targets are files of the same project; missing names what no file of it stands for, such as installed packages. Relative
     and module paths are exploded into the files that they may mean and joined by equality, so no file is compared with
     another. A file may import itself only by mistake; such edges are harmless."""
-    parts = [script_imports(files), python_imports(files), *(scoped_imports(files, each) for each in SCOPED), module_imports(files)]
+    parts = [script_imports(files), python_imports(files), *(scoped_imports(files, each) for each in SCOPED), rust_imports(files), go_imports(files)]
     edges, missing = parts[0]
     for e, m in parts[1:]:
         edges, missing = edges.unionByName(e), missing.unionByName(m)

@@ -9,7 +9,8 @@ SOURCES = {
     "j/a/Ctl.java": "package a;\nimport b.Dto;\nimport c.*;\nimport org.x.Outside;\nclass Ctl { Dto d; Same s; Wild w; Twice t; }", "j/a/Same.java": "package a;\nclass Same {}", "j/b/Dto.java": "package b;\nclass Dto {}", "j/c/Wild.java": "package c;\nclass Wild {}", "j/c/T1.java": "package c;\nclass Twice {}", "j/c/T2.java": "package c;\nclass Twice {}",
     "p/C.php": "<?php\nnamespace App;\nuse Lib\\Dto as D;\nuse Lib\\Tool;\nclass C { function a(Tool $t, Own $o) {} }", "p/Tool.php": "<?php\nnamespace Lib;\nclass Tool {}", "p/Own.php": "<?php\nnamespace App;\nclass Own {}",
     "r/src/main.rs": "mod routes;\nuse crate::models::Thing;\nuse crate::routes::users::list;\n", "r/src/routes/mod.rs": "pub mod users;", "r/src/routes/users.rs": "pub fn list() {}", "r/src/models.rs": "pub struct Thing;",
-    "g/main.go": 'package main\nimport (\n\t"example.com/svc/store"\n\t"fmt"\n\t"github.com/gin-gonic/gin"\n)\n', "g/store/a.go": "package store", "g/store/b.go": "package store", "n/A.cs": "using Lib;\nnamespace App;\nclass A { B b; }", "n/B.cs": "namespace Lib;\nclass B {}",
+    "g/main.go": 'package main\nimport (\n\t"example.com/svc/store"\n\tdb "example.com/svc/data/v2"\n\t"fmt"\n\t"github.com/gin-gonic/gin"\n)\nfunc main() { store.Open(); db.Rows(); helper() }\n', "g/help.go": "package main\nfunc helper() {}\n", "g/aside.go": "package main\nfunc other() {}\n",
+    "g/store/a.go": "package store\nfunc Open() { shut() }\n", "g/store/b.go": "package store\nfunc shut() {}\nfunc Unused() {}\n", "g/data/v2/d.go": "package data\nvar (\n\tRows = 1\n)\n", "n/A.cs": "using Lib;\nnamespace App;\nclass A { B b; }", "n/B.cs": "namespace Lib;\nclass B {}",
 }
 LANGUAGE = {"ts": "typescript", "js": "javascript", "py": "python", "java": "java", "php": "php", "rs": "rust", "go": "go", "cs": "csharp"}
 
@@ -28,7 +29,7 @@ def test_imports_of_every_language(spark):
         ("py/app/routers/items.py", "py/app/models.py"), ("py/app/routers/items.py", "py/app/routers/users.py"), ("py/app/routers/items.py", "py/app/routers/__init__.py"),
         ("j/a/Ctl.java", "j/b/Dto.java"), ("j/a/Ctl.java", "j/a/Same.java"), ("j/a/Ctl.java", "j/c/Wild.java"), ("p/C.php", "p/Tool.php"), ("p/C.php", "p/Own.php"),
         ("r/src/main.rs", "r/src/routes/mod.rs"), ("r/src/main.rs", "r/src/models.rs"), ("r/src/main.rs", "r/src/routes/users.rs"), ("r/src/routes/mod.rs", "r/src/routes/users.rs"),
-        ("g/main.go", "g/store/a.go"), ("g/main.go", "g/store/b.go"), ("n/A.cs", "n/B.cs"),
+        ("g/main.go", "g/store/a.go"), ("g/main.go", "g/help.go"), ("g/store/a.go", "g/store/b.go"), ("g/main.go", "g/data/v2/d.go"), ("n/A.cs", "n/B.cs"),
     }
     lost = {(r.path, r.name) for r in missing.collect()}
     assert {("web/src/app.ts", "express"), ("py/app/main.py", "os"), ("j/a/Ctl.java", "org.x.Outside"), ("g/main.go", "github.com/gin-gonic/gin"), ("p/C.php", "Lib\\Dto")} <= lost

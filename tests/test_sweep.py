@@ -27,7 +27,7 @@ def test_innermost_scope_equals_brute_force(spark, monkeypatch):
         nested(rng, 0, 60 if g else 900, 5 if g else 9, made)
         intervals += [(g, a, b, f"s{k}") for k, (a, b) in enumerate(dict.fromkeys(made))]
         points += [(g, rng.randrange(-3, 66 if g else 950), k) for k in range(40 if g else 400)]
-    points += [(0, None, 9000), (77, 5, 9001)]
+    points += [(0, None, 9000), (77, 5, 9001), (None, 5, 9002)]
     lines = spark.createDataFrame(intervals, "g int, start long, end long, name string")
     asked = spark.createDataFrame(points, "g int, at long, id int")
     want = {}
