@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from corvid.operators.fixpoint import fixpoint
 from corvid.operators.sweep import cut_into_blocks
-from corvid.tables import stored
+from corvid.tables import dropped, stored
 
 
 def mount_closure(roots: DataFrame, edges: DataFrame, budget: int = 10_000, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -39,6 +39,7 @@ def mount_closure(roots: DataFrame, edges: DataFrame, budget: int = 10_000, dept
             raise ValueError(f"roots reach more than {most} mounts together; the budget is {budget} a root")
 
     found = fixpoint(seed, step, None, "mounts", within)
+    dropped(more)
     reached = found.filter("NOT back")
     widest = reached.groupBy(F.get("way", F.lit(0)).alias("root")).count().agg(F.max("count")).first()[0] or 0
     if widest > budget:
@@ -166,6 +167,8 @@ def exception_handlers(raised: DataFrame, handlers: DataFrame, parents: DataFram
         return last.join(known, "class", "left_anti").join(up, "class").select("error", F.col("__up").alias("class"))
 
     seed = raised.select("error").filter("error IS NOT NULL").distinct().select("error", F.col("error").alias("class"))
-    met = fixpoint(seed, step, ["error", "class"], "exceptions").join(handled.select(F.col("error").alias("class"), "handler"), "class")
+    climbed = fixpoint(seed, step, ["error", "class"], "exceptions")
+    dropped(up)
+    met = climbed.join(handled.select(F.col("error").alias("class"), "handler"), "class")
     nearest = met.groupBy("error").agg(F.min_by("handler", F.struct("round", "class")).alias("handler"))
     return raised.join(nearest, "error").select("route", "error", "handler")

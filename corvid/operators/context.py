@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvid.tables import stored
+from corvid.tables import dropped, stored
 
 #: Bytes of a gram, and how many grams in a row one is picked from: a text of GRAM + PICK - 1 bytes holds a picked one.
 GRAM, PICK = 8, 16
@@ -227,5 +227,9 @@ def budgeted_reach(origins: DataFrame, files: DataFrame, edges: DataFrame, asked
                 break
         else:
             levels.append(fresh.select("origin", "path", F.lit(level).alias("depth"), F.lit("depth").alias("why"), *(F.lit(None).cast(levels[0].schema[c].dataType).alias(c) for c in ("place", "chars", "truncated")), "used", "spent"))
+    if len(levels) > depth + 1:
+        levels[-1] = stored(levels[-1], "reach")
+    for spent in (size, hops, *(x for x in (asked, held) if x is not None and asked is not None and held is not None)):
+        dropped(spent)
     found = reduce(DataFrame.unionByName, levels)
     return found.filter("why IS NULL").select("origin", "path", "depth", "place", "chars", "truncated"), found.filter("why IS NOT NULL").select("origin", "path", F.col("why").alias("reason"))

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from corvid.tables import deleted, fresh_path, stored, written
+from corvid.tables import deleted, dropped, fresh_path, stored, written
 
 #: Rounds whose files are merged into one folder.
 MERGED = 16
@@ -106,7 +106,9 @@ def spread(labels: DataFrame, edges: DataFrame, label: str = "label") -> DataFra
     def step(last: DataFrame) -> DataFrame:
         return last.join(edges, "node").select(F.col("__node").alias("node"), label)
 
-    return fixpoint(seed, step, ["node", label], "spread")
+    found = fixpoint(seed, step, ["node", label], "spread")
+    dropped(edges)
+    return found
 
 
 def classified(classes: DataFrame, edges: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -131,7 +133,9 @@ def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     def step(last: DataFrame) -> DataFrame:
         return last.join(up, "ancestor").select("node", F.col("__up").alias("ancestor"))
 
-    return fixpoint(asked.select("node", F.col("node").alias("ancestor")), step, ["node", "ancestor"], "ancestors").withColumnRenamed("round", "distance")
+    found = fixpoint(asked.select("node", F.col("node").alias("ancestor")), step, ["node", "ancestor"], "ancestors").withColumnRenamed("round", "distance")
+    dropped(pairs)
+    return found
 
 
 def inherited(members: DataFrame, edges: DataFrame, value: str = "value", of: DataFrame | None = None) -> DataFrame:

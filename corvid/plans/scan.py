@@ -22,7 +22,7 @@ from corvid.sources import manifests
 from corvid.sources.imports import import_edges
 from corvid.sources.installed import installed_sources
 from corvid.sources.scan import index_files, index_with_roots, listing
-from corvid.tables import deleted, shared_dir, stored
+from corvid.tables import dropped, shared_dir, stored
 
 #: Packages that hint at a framework, and imports that show one without a manifest.
 HINTS: dict[str, tuple[str, ...]] = {
@@ -89,9 +89,8 @@ class Scan:
     def close(self) -> None:
         """Delete the tables that the scan wrote; nothing of it can be read afterwards."""
         for df in (self.files, self.candidates):
-            for folder in {f.rsplit("/", 1)[0] for f in (df.inputFiles() if df is not None else ())}:
-                if "/corvid-" in folder:
-                    deleted(df.sparkSession, folder)
+            if df is not None:
+                dropped(df)
 
     def frameworks(self) -> DataFrame:
         """(project, frameworks) of the operations found."""

@@ -35,6 +35,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return written(df, fresh_path(df.sparkSession, label))
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table made by stored() that no later step reads."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/corvid-" in folder:
+            deleted(df.sparkSession, folder)
+
+
 def deleted(spark: SparkSession, path: str) -> None:
     """Remove a folder that no later step reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
