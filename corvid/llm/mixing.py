@@ -16,7 +16,7 @@ from corvid.llm.ranges import running
 from corvid.llm.shared import stored, words
 
 #: Bits of a document's key, and the rows that a range of keys holds about.
-KEY_BITS, ROWS_A_RANGE = 60, 2000
+KEY_BITS, ROWS_A_RANGE = 60, 500
 #: A table of cuts of up to so many sources is broadcast (some 10 MB); a larger one is joined by a shuffle, salted.
 FEW_SOURCES, SALTS = 100_000, 64
 #: Between a word and the white space after it.
