@@ -30,11 +30,11 @@ def mount_closure(roots: DataFrame, edges: DataFrame, budget: int = 10_000, dept
         child = F.col("child")
         return up.join(more, "parent").select(child.alias("router"), F.concat("base", "more").alias("prefix"), F.concat("was", F.array(child)).alias("way"), F.array_contains("was", child).alias("back"))
 
-    def within(level: int, rows: DataFrame) -> None:
+    def within(level: int, rows: int) -> None:
         nonlocal ways
         if depth is not None and level > depth:
             raise ValueError(f"mounts are nested more than {depth} deep")
-        ways += rows.count()
+        ways += rows
         if ways > most:
             raise ValueError(f"roots reach more than {most} mounts together; the budget is {budget} a root")
 

@@ -30,15 +30,16 @@ class _Found:
         self.made += 1
         return f"{self.root}/{self.made}"
 
-    def add(self, rows: DataFrame) -> DataFrame | None:
-        """The rows from their files, or None where there are none."""
+    def add(self, rows: DataFrame) -> tuple[DataFrame | None, int]:
+        """The rows from their files, or None where there are none, and their number."""
         path, seen = self._path(), Observation()
         level = written(rows.observe(seen, F.count(F.lit(1)).alias("n")), path)
-        if not seen.get.get("n"):
+        size = seen.get.get("n") or 0
+        if not size:
             deleted(self.spark, path)
-            return None
+            return None, 0
         self.tiers[0].append(path)
-        return level
+        return level, size
 
     def merge(self) -> None:
         """Called between rounds; the newest rows stay in their own folder, which the next round reads."""
@@ -59,13 +60,13 @@ class _Found:
         return self.spark.read.schema(self.schema).parquet(*paths)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: Sequence[str] | None, label: str = "fixpoint", after: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: Sequence[str] | None, label: str = "fixpoint", after: Callable[[int, int], None] | None = None) -> DataFrame:
     """The rows of seed and all that `step` makes of found rows, one of each key, with `round`, the first that found it.
 
     `step` takes the rows of the last round and gives candidates of the same columns, without `round`. Of several candidates of
     a key in one round the least row stays, so the result doesn't depend on their order. Without a key all candidates
-    stay, and `step` has to come to an end by itself. `after(round, rows)` may look at a round's new rows and raise to end
-    the work. An empty seed gives an empty result.
+    stay, and `step` has to come to an end by itself. `after(round, rows)` is told how many new rows a round has and may raise
+    to end the work. An empty seed gives an empty result.
     """
     others = [c for c in seed.columns if key and c not in key]
 
@@ -80,15 +81,15 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: Seque
 
     first = one_of_key(seed, 0)
     found, n = _Found(first, label), 0
-    last = found.add(first)
+    last, size = found.add(first)
     if last is None:
         return first.limit(0)
     while last is not None:
         if after:
-            after(n, last)
+            after(n, size)
         n += 1
         fresh = one_of_key(step(last.drop("round")).select(*seed.columns), n)
-        last = found.add(fresh if key is None else fresh.join(found.read().select(*key), list(key), "left_anti"))
+        last, size = found.add(fresh if key is None else fresh.join(found.read().select(*key), list(key), "left_anti"))
         found.merge()
     return found.read()
 
