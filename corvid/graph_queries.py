@@ -74,7 +74,7 @@ _MICROS = {"day": 86_400_000_000, "hour": 3_600_000_000}
 
 @query("""WITH t AS (SELECT *, epoch_us(ts) AS u FROM events), i AS (SELECT DISTINCT user_id, 'day' AS kind, u - u % 86400000000 AS a, u - u % 86400000000 + 86400000000 AS b FROM t WHERE event_type = 'purchase'
         UNION ALL SELECT DISTINCT user_id, 'hour', u - u % 3600000000, u - u % 3600000000 + 3600000000 FROM t WHERE event_type = 'click')
-    SELECT event_id, kind, a AS start FROM (SELECT event_id, kind, a, row_number() OVER (PARTITION BY event_id ORDER BY a DESC, b) AS n FROM t LEFT JOIN i ON i.user_id = t.user_id AND a <= u AND u < b WHERE event_type IN ('error', 'view')) WHERE n = 1""")
+    SELECT event_id, kind, CAST(a AS VARCHAR) AS start FROM (SELECT event_id, kind, a, row_number() OVER (PARTITION BY event_id ORDER BY a DESC, b) AS n FROM t LEFT JOIN i ON i.user_id = t.user_id AND a <= u AND u < b WHERE event_type IN ('error', 'view')) WHERE n = 1""")
 def innermost_scope(table) -> DataFrame:
     """Days with a purchase and hours with a click are scopes, one within the other; where each error and view stands."""
     events = table("events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
@@ -84,7 +84,7 @@ def innermost_scope(table) -> DataFrame:
         return events.filter(F.col("event_type") == event).select("user_id", F.lit(kind).alias("kind"), start.alias("start"), (start + _MICROS[kind]).alias("end")).distinct()
 
     asked = events.filter("event_type IN ('error', 'view')").select("user_id", "at", "event_id")
-    return sweep.innermost(asked, scopes("day", "purchase").unionByName(scopes("hour", "click")), ["user_id"]).select("event_id", "kind", "start")
+    return sweep.innermost(asked, scopes("day", "purchase").unionByName(scopes("hour", "click")), ["user_id"]).select("event_id", "kind", s("start").alias("start"))
 
 
 @query("SELECT r.event_id AS route, h.event_id AS handler FROM events r JOIN events h ON h.user_id = r.user_id AND h.ts > r.ts WHERE r.event_type = 'signup' AND h.event_type = 'error'")
@@ -132,7 +132,7 @@ _USES = """u AS (SELECT c_custkey AS id, 'T' || (c_custkey % 97) AS short, 'pk'
         UNION ALL SELECT id, 3, symbol, symbol, lo, hi FROM u JOIN n ON wild AND (symbol = w1 || '.' || name OR symbol = w2 || '.' || name)
         UNION ALL SELECT id, 4, h.lo, h.hi, plo, phi FROM u JOIN h ON h.short = name),
     b AS (SELECT id, min(way) AS way FROM x GROUP BY id), g AS (SELECT x.id, x.way, min(symbol) AS a, max(other) AS z, min(lo) AS lo, max(hi) AS hi FROM x JOIN b ON b.id = x.id AND b.way = x.way GROUP BY ALL)
-    SELECT id AS use, CASE WHEN a = z AND lo = hi THEN a END AS symbol, CASE WHEN a = z AND lo = hi THEN lo END AS declared_in, CASE WHEN a = z AND lo = hi THEN (['written', 'imported', 'own', 'wildcard', 'short'])[way + 1] END AS by FROM u LEFT JOIN g USING (id)""")
+    SELECT id AS use, CASE WHEN a = z AND lo = hi THEN a END AS symbol, CASE WHEN a = z AND lo = hi THEN CAST(lo AS VARCHAR) END AS declared_in, CASE WHEN a = z AND lo = hi THEN (['written', 'imported', 'own', 'wildcard', 'short'])[way + 1] END AS by FROM u LEFT JOIN g USING (id)""")
 def resolved_names(table) -> DataFrame:
     """Names by import, own scope, wildcard and short name; ambiguous ones stay open."""
     key = F.col("c_custkey")
@@ -143,7 +143,7 @@ def resolved_names(table) -> DataFrame:
         F.when(key % 4 == 1, F.create_map(short, cat("pk", key % 11, ".", short))).alias("imports"), F.when(key % 3 > 0, F.array(cat("pk", key % 13), cat("pk", key % 17))).alias("wildcards"),
     )
     part = F.col("p_partkey")
-    symbols = table("part").select(cat("pk", part % 40, ".T", part % 97).alias("symbol"), F.col("p_size").alias("declared_in"))
+    symbols = table("part").select(cat("pk", part % 40, ".T", part % 97).alias("symbol"), s("p_size").alias("declared_in"))
     return names.resolved_names(uses, symbols)
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CANDIDATES = "project string, framework string, ordinal long, kind string, name string, value string"
 
@@ -48,12 +49,13 @@ def extract(files: DataFrame, gates: DataFrame, counts=None) -> DataFrame:
     """Rows (project, framework, ordinal, kind, name, value as JSON) for the (project, framework) pairs in `gates`.
 
     kind is route, unresolved, component, security or server. Files are filtered to gated projects and the framework's
-    language before they are grouped, and a pack sees them by their ordinal. `counts` is an accumulator of {name: n}: routes by
+    language before they are grouped, and a pack sees them by their ordinal, if they have one, and path. `counts` is an accumulator of {name: n}: routes by
     framework, and failures of packs as "!framework"."""
     also = {"javascript": ("javascript", "typescript", "prisma"), "php": ("php", "yaml")}
     languages = [(f, each) for f, (lang, _) in registry().items() for each in also.get(lang, (lang,))]
     wanted = gates.join(files.sparkSession.createDataFrame(languages, "framework string, language string"), "framework")
-    chosen = files.select("project", "path", "content", "language", "ordinal").join(wanted, ["project", "language"])
+    at = F.col("ordinal") if "ordinal" in files.columns else F.lit(0).alias("ordinal")
+    chosen = files.select("project", "path", "content", "language", at).join(wanted, ["project", "language"])
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         project, framework = key
