@@ -16,13 +16,16 @@ def cut_into_blocks(rows: DataFrame, on: Sequence[str], at: str, rows_a_block: i
     """(cuts, block): for each group of `on` the positions at which it is cut into blocks of about rows_a_block rows, and the
     number of the block of a position by the column __cuts. A small group is one block, without cuts.
 
-    Cuts come from a mergeable quantile sketch, so a hot group is summed up by many tasks; they decide where rows meet, never
-    which do. Positions are numbers or timestamps; those equal to a cut are in the block before it."""
+    Groups are counted, and only of those larger than a block, which are few, cuts are taken from a mergeable quantile sketch,
+    so that a hot group is summed up by many tasks. Cuts decide where rows meet, never which do. Positions are numbers or
+    timestamps; those equal to a cut are in the block before it."""
+    on = list(on)
     shares = [k / BLOCKS for k in range(1, BLOCKS)]
-    found = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(at, shares, 10_000).alias("__q"))
+    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    hot = rows.join(sizes.filter(F.col("__n") > rows_a_block).select(*on), on, "left_semi").groupBy(*on).agg(F.percentile_approx(at, shares, 10_000).alias("__q"))
     every = F.greatest(F.lit(1), F.ceil(F.lit(BLOCKS) * rows_a_block / F.col("__n"))).cast("int")
-    some = F.filter("__q", lambda q, k: ((k + 1) % every == 0) & (F.col("__n") > rows_a_block))
-    cuts = found.select(*on, F.array_distinct(some).alias("__cuts"))
+    some = F.array_distinct(F.filter("__q", lambda q, k: (k + 1) % every == 0))
+    cuts = sizes.join(hot, on, "left").select(*on, F.coalesce(some, F.array().cast(f"array<{rows.schema[at].dataType.simpleString()}>")).alias("__cuts"))
     return cuts, lambda x: F.size(F.filter("__cuts", lambda q: q < x))
 
 
