@@ -7,11 +7,12 @@ from collections import Counter
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
-from corvid.llm.shared import words
+from corvid.llm.shared import let, stored, words
 
 #: Share of a shard's items from which a source or cluster is hot, and how many hot keys a shard indexes bins by.
 HOT_SHARE, HOT_KEYS = 0.02, 6
@@ -103,11 +104,11 @@ def pack_items(items: list[tuple[int, object, object]], capacity: int) -> list[t
     return out + [(n, p, capacity, first + k, 0) for k, (n, p) in enumerate(full)]
 
 
-def best_fit(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_rows: int = 20_000) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_rows: int = 20_000, cluster_col: str | None = None) -> DataFrame:
     """Per piece of a document: id, piece, n_words, bin_id, bin_start (words before it in the bin).
 
     A bin holds up to `capacity` words, at most one document of a source and at most one of a duplicate cluster (texts
-    equal but for case and white space); documents go in by falling size, each into the tightest bin that holds it
+    equal but for case and white space, or the values of cluster_col, such as components of the Jaccard join; null is in none); documents go in by falling size, each into the tightest bin that holds it
     and conflicts with nothing. A document of more words is cut into full bins and a rest. Null, empty and blank
     texts have one row with piece 0, no words and no bin. A null source conflicts with nothing. Ties in size go by id
     (nulls first), cluster and source; repeated rows are documents of one cluster. Other columns are ignored; an empty
@@ -119,8 +120,10 @@ def best_fit(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     w = words(F.lower(text))
-    items = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), w.alias("w"))
-    items = items.select("id", "source", F.size("w").cast("long").alias("n"), F.xxhash64(F.array_join("w", " ")).alias("cluster"))
+    given = [F.col(cluster_col).alias("given")] if cluster_col else []
+    items = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), w.alias("w"), *given)
+    cluster = F.when(F.col("given").isNotNull(), F.xxhash64("given")) if cluster_col else F.xxhash64(F.array_join("w", " "))
+    items = items.select("id", "source", F.size("w").cast("long").alias("n"), cluster.alias("cluster"))
     shards = max(1, -(-docs.count() // shard_rows))
     items = items.withColumn("shard", F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)).cast("int"))
     ordered = items.repartition("shard").sortWithinPartitions("shard", F.desc("n"), "id", "cluster", "source")
@@ -153,15 +156,51 @@ def best_fit(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text
     return out.withColumnRenamed("id", id_col)
 
 
-def sequences(docs: DataFrame, placed: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sequences(docs: DataFrame, placed: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n") -> DataFrame:
     """(bin_id, n_words, pieces, text) of the bins of best_fit(docs, capacity): what is trained on.
 
-    A bin's text is the words of its pieces in the order of their places, between single spaces; pieces are (id, bin_start,
-    n_words), so that attention can be kept within one. ids must be unique in docs. A bin is at most `capacity` words, so
-    no group is large."""
-    spelled = docs.select(F.col(id_col).alias("__id"), words(F.col(text_col).cast("string")).alias("__w"))
-    cut = placed.filter("bin_id IS NOT NULL").join(spelled, F.col(id_col).eqNullSafe(F.col("__id")))
-    cut = cut.select("bin_id", "bin_start", F.col(id_col).alias("id"), "n_words", F.slice("__w", (F.col("piece") * capacity + 1).cast("int"), F.col("n_words").cast("int")).alias("w"))
-    bins = cut.groupBy("bin_id").agg(F.sum("n_words").alias("n_words"), F.sort_array(F.collect_list(F.struct("bin_start", "id", "n_words", "w"))).alias("p"))
-    piece = F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["bin_start"].alias("bin_start"), x["n_words"].alias("n_words")))
-    return bins.select("bin_id", "n_words", piece.alias("pieces"), F.array_join(F.flatten(F.transform("p", lambda x: x["w"])), " ").alias("text"))
+    A bin's text is its pieces as they stand in their documents, white space included, in the order of their places and with the
+    separator between them. pieces are (id, piece, bin_start, n_words, char_start, n_chars), so that attention can be kept within one
+    and a document is the join of its pieces. Rows of docs with one id must have one text; see packed_pieces. A bin is at most
+    `capacity` words, so no group has more; documents are cut before they are shuffled, so a very long one travels as pieces."""
+    cut = docs.select(F.col(id_col).alias("id"), F.posexplode(cut_texts(F.col(text_col), capacity)).alias("piece", "t"))
+    cut = cut.select("id", F.col("piece").cast("long").alias("piece"), "t").dropDuplicates(["id", "piece"])
+    held = placed.filter("bin_id IS NOT NULL").select("bin_id", "bin_start", F.col(id_col).alias("of"), F.col("piece").alias("nth"), "n_words")
+    found = held.join(cut, F.col("of").eqNullSafe(F.col("id")) & (F.col("nth") == F.col("piece"))).withColumn("n_chars", F.length("t").cast("long"))
+    before = Window.partitionBy("bin_id").orderBy("bin_start").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("n_chars") + len(separator)).over(before), F.lit(0)).cast("long")
+    found = found.withColumn("char_start", start)
+    bins = found.groupBy("bin_id").agg(F.sum("n_words").alias("n_words"), F.sort_array(F.collect_list(F.struct("bin_start", "id", "piece", "n_words", "char_start", "n_chars", "t"))).alias("p"))
+    piece = F.transform("p", lambda x: F.struct(*(x[c].alias(c) for c in ("id", "piece", "bin_start", "n_words", "char_start", "n_chars"))))
+    return bins.select("bin_id", "n_words", piece.alias("pieces"), F.array_join(F.transform("p", lambda x: x["t"]), separator).alias("text"))
+
+
+def cut_texts(text: Column, capacity: int) -> Column:
+    """The pieces of `capacity` words that a text is cut into, each with the white space before its words and the last with that at
+    the end; together they are the text. A text without words has none."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    unit = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++\z)?"
+
+    def pieces(units):
+        cuts = F.sequence(F.lit(0), ((F.size(units) - 1) / capacity).cast("int"))
+        return F.when(F.size(units) > 0, F.transform(cuts, lambda k: F.array_join(F.slice(units, k * capacity + 1, F.lit(capacity)), ""))).otherwise(F.array().cast("array<string>"))
+
+    # so few characters can't be more words than a piece has room for
+    short = F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) <= 2 * capacity, short).otherwise(let(F.regexp_extract_all(text, F.lit(unit), F.lit(0)), pieces))
+
+
+def packed_pieces(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, shard_rows: int = 20_000) -> DataFrame:
+    """The rows of best_fit with where each piece stands in its bin's sequence (char_start, n_chars) and the sequence's SHA-256.
+
+    Texts without words have null in these. Rows are told apart by id and text, so ids may repeat: rows equal in both are cut alike
+    and each has its own place. Other columns are ignored; an empty table gives an empty result. Places are written to the
+    shared folder, as they are read twice: for the sequences and for rows without a bin."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    more = {"cluster": F.col(cluster_col)} if cluster_col else {}
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("of")).alias("key"), text.alias("text"), F.col(source_col).alias("source"), *(c.alias(k) for k, c in more.items()))
+    placed = stored(best_fit(keyed, capacity, "key", cluster_col="cluster" if more else None, shard_rows=shard_rows), "places")
+    bins = sequences(keyed, placed, capacity, "key").select("bin_id", F.sha2("text", 256).alias("sequence_sha256"), F.explode("pieces").alias("p"))
+    at = [F.col("p.id.id").alias(id_col), "p.piece", "p.n_words", "bin_id", "p.bin_start", "p.char_start", "p.n_chars", "sequence_sha256"]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("char_start", "long"), ("n_chars", "long"), ("sequence_sha256", "string"))]
+    return bins.select(*at).unionByName(placed.filter("bin_id IS NULL").select(F.col("key.id").alias(id_col), "piece", "n_words", "bin_id", "bin_start", *none))

@@ -23,7 +23,8 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    """Pieces of documents, their places in bins and in the sequences of bins, and digests of the sequences."""
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

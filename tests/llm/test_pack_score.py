@@ -132,3 +132,71 @@ def test_sequences_hold_every_word_once(spark):
         assert len(r.text.split()) == r.n_words == sum(p.n_words for p in r.pieces)
         for p in r.pieces:
             assert set(r.text.split()[p.bin_start : p.bin_start + p.n_words]) <= set(texts[p.id].split())
+
+
+def test_sequences_keep_texts_as_they_are(spark):
+    import hashlib
+
+    rng = random.Random(5)
+    spaces = [" ", "\n", "\t ", "\n\n  ", "\x0b\x0c\r"]
+
+    def text(n):
+        return rng.choice(["", "  ", "\n"]) + "".join(f"é{rng.randrange(99)}" + rng.choice(spaces) for _ in range(n)) + rng.choice(["", "end", " \n "])
+
+    rows = [(i, text(rng.choice([1, 5, 12, 39, 40, 41, 95, 400])), f"s{i % 9}" if i % 10 else None) for i in range(90)]
+    rows += [(None, text(7), "x"), (None, None, "x"), (5, " \n", None), (7, "other text of an id", "y"), rows[3], rows[3], (91, "", "z"), (92, "\u00a0 \u2003", None), (93, "w " * 30_000, "hot")]
+    df = spark.createDataFrame([(*r, 1, "t") for r in rows], "doc_id long, text string, source string, bin_id long, piece string").repartition(3)
+    got = packing.packed_pieces(df, 40, shard_rows=20).collect()
+    blank = lambda t: not re.search(r"[^\x20\x09-\x0D]", t or "")
+    assert sorted((r.doc_id or -1) for r in got if r.bin_id is None) == sorted((i or -1) for i, t, _ in rows if blank(t))
+    assert all(r.sequence_sha256 is None and r.n_words == 0 for r in got if r.bin_id is None)
+
+    once = [(i, t, s) for i, t, s in rows[:90] + rows[-1:]]
+    keyed = spark.createDataFrame(once, "doc_id long, text string, source string").repartition(3)
+    bins = packing.sequences(keyed, packing.best_fit(keyed, 40, shard_rows=20), 40).collect()
+    pieces = collections.defaultdict(dict)
+    for b in bins:
+        assert b.text == "\n".join(b.text[p.char_start : p.char_start + p.n_chars] for p in b.pieces)
+        for p in b.pieces:
+            pieces[p.id][p.piece] = b.text[p.char_start : p.char_start + p.n_chars]
+    want = {i: t for i, t, _ in once if not blank(t)}
+    assert {i: "".join(t for _, t in sorted(by.items())) for i, by in pieces.items()} == want
+
+    # digests by brute force: cut each text, then join what stands in a bin
+    def cut(t):
+        units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\Z)?", t or "")
+        return ["".join(units[k : k + 40]) for k in range(0, len(units), 40)]
+
+    texts = collections.defaultdict(set)
+    for i, t, _ in rows:
+        for k, piece in enumerate(cut(t)):
+            texts[i, k, len(re.findall(r"[^\x20\x09-\x0D]+", piece)), len(piece)].add(piece)
+    held = collections.defaultdict(list)
+    for r in got:
+        if r.bin_id is not None:
+            held[r.bin_id].append((r.bin_start, r.char_start, texts[r.doc_id, r.piece, r.n_words, r.n_chars], r.sequence_sha256))
+    count = collections.Counter(len(cut(t)) for _, t, _ in rows)
+    assert sum(map(len, held.values())) == sum(k * n for k, n in count.items())
+    for places in held.values():
+        places.sort()
+        assert all(len(t) == 1 for *_, t, _ in places)
+        joined = "\n".join(next(iter(t)) for *_, t, _ in places)
+        assert {d for *_, d in places} == {hashlib.sha256(joined.encode()).hexdigest()}
+        assert places[-1][1] + len(next(iter(places[-1][2]))) == len(joined)
+    assert packing.packed_pieces(df.limit(0)).count() == 0
+
+
+def test_given_clusters_never_share_a_bin(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(rng.randrange(1, 9))), None, f"c{rng.randrange(12)}" if i % 4 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, component string").repartition(3)
+    clusters = {i: c for i, _, _, c in rows}
+    got = packing.packed_pieces(df, 40, cluster_col="component").collect()
+    assert sorted(r.doc_id for r in got) == sorted(clusters)
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.bin_id].append(clusters[r.doc_id])
+    for held in bins.values():
+        known = [c for c in held if c is not None]
+        assert len(set(known)) == len(known)
+    assert len(bins) < 60
