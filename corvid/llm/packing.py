@@ -163,8 +163,10 @@ def sequences(docs: DataFrame, placed: DataFrame, capacity: int = 2048, id_col:
     separator between them. pieces are (id, piece, bin_start, n_words, char_start, n_chars), so that attention can be kept within one
     and a document is the join of its pieces. Rows of docs with one id must have one text; see packed_pieces. A bin is at most
     `capacity` words, so no group has more; documents are cut before they are shuffled, so a very long one travels as pieces."""
-    # one key for both sides, so that rows of pieces are dealt once, for finding repeated rows and for the join
-    at = lambda of, piece: F.struct(of.alias("id"), piece.cast("long").alias("piece")).alias("at")
+    # one key of one type for both sides, nullable throughout, so that rows of pieces are dealt once, for finding repeated rows
+    # and for the join
+    kind = f"struct<id:{docs.schema[id_col].dataType.simpleString()},piece:bigint>"
+    at = lambda of, piece: F.struct(of.alias("id"), piece.alias("piece")).cast(kind).alias("at")
     cut = docs.select(F.col(id_col).alias("id"), F.posexplode(cut_texts(F.col(text_col), capacity)).alias("piece", "t"))
     cut = cut.select(at(F.col("id"), F.col("piece")), "t").dropDuplicates(["at"])
     held = placed.filter("bin_id IS NOT NULL").select("bin_id", "bin_start", at(F.col(id_col), F.col("piece")), "n_words")
