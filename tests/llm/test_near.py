@@ -143,3 +143,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert [got[i].component_id for i in range(len(rows))] == components
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_waves_hold_few_rows_of_each_vector(spark, monkeypatch):
+    """Cells that rule out nothing: each wave deals out at most a few rows of a vector, whatever the number of cells."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(600, 32)).astype(np.float32)
+    rows[::50] = rows[1::50] * 3 + rng.normal(size=(12, 32)) * 0.1
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(rows)], "vec_id long, embedding array<float>").repartition(3)
+    dealt, real = [], embedding_dedup._compared
+    monkeypatch.setattr(embedding_dedup, "_compared", lambda rows, *a: dealt.append(rows.count()) or real(rows, *a))
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    degree, components = brute_cosine(rows)
+    assert sum(degree) >= 24 and [got[i].n_links for i in range(600)] == degree and [got[i].component_id for i in range(600)] == components
+    assert max(dealt) <= 4 * 600
