@@ -5,7 +5,6 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,11 +42,12 @@ def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
     marked = df.select(*(F.struct(F.col(f"`{k}`").alias("k")).alias(n) for k, n in zip(keys, names)), row.alias("__row"), *(c.alias(f"__o{n}") for n, c in enumerate(order)))
     cuts, block = cut_into_blocks(marked, names, "__o0", rows_a_block)
-    marked = marked.join(cuts, names).withColumn("__block", F.coalesce(block(F.col("__o0")), F.lit(0))).drop("__cuts")
+    # left joins, whose left side Spark never broadcasts, however small its files are
+    marked = marked.join(cuts, names, "left").withColumn("__block", F.coalesce(block(F.col("__o0")), F.lit(0))).drop("__cuts")
     earlier = Window.partitionBy(*names).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = marked.groupBy(*names, "__block").agg(F.count(F.lit(1)).alias("__n")).select(*names, "__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
     own = Window.partitionBy(*names, "__block").orderBy(*(f"__o{n}" for n in range(len(order))))
-    return marked.withColumn("__at", F.row_number().over(own)).join(starts, [*names, "__block"]).select("__row.*", (F.col("__start") + F.col("__at")).alias(out))
+    return marked.withColumn("__at", F.row_number().over(own)).join(starts, [*names, "__block"], "left").select("__row.*", (F.col("__start") + F.col("__at")).alias(out))
 
 
 def duplicates(df: DataFrame, keys: Sequence[str], ordinal: Column) -> DataFrame:
@@ -64,23 +64,36 @@ def numbered_names(df: DataFrame, name: str, ordinal: Sequence[Column], out: str
 def free_names(names: Sequence[str]) -> list[str]:
     """Names told apart: the first of equal ones keeps its name, later ones get the first suffix from _2 on that gives a
     name which neither stands anywhere in the list nor was given before."""
-    reserved, met, out = set(names), set(), []
+    reserved, following, out = set(names), {}, []
     for name in names:
         new = name
-        if name in met:
-            new = next(x for x in (f"{name}_{n}" for n in itertools.count(2)) if x not in reserved)
-        met.add(name)
+        if name in following:
+            # what was taken once stays taken, so a name's numbers only go up
+            at = next(n for n in itertools.count(following[name]) if f"{name}_{n}" not in reserved)
+            new, following[name] = f"{name}_{at}", at + 1
+        else:
+            following[name] = 2
         reserved.add(new)
         out.append(new)
     return out
 
 
-def unique_names(df: DataFrame, group: str, name: str, ordinal: str, out: str) -> DataFrame:
-    """free_names within each group in the order of ordinal. Sequential by nature: a group is a project's operations."""
+def unique_names(df: DataFrame, group: str, name: str, ordinal: str, out: str, rows_a_block: int = 50_000) -> DataFrame:
+    """free_names within each group in the order of ordinal, a number or a time; null ordinals come first, a null name stays.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordinal, kind="stable")
-        pdf[out] = free_names(pdf[name].tolist())
-        return pdf
-
-    return df.groupBy(group).applyInPandas(run, df.withColumn(out, F.col(name)).schema)
+    A suffixed name can be that of one name only, so a name's kth later row gets the kth number from 2 on which no name of
+    the group shows. Before the jth of the numbers that are taken, n, lie n - 1 - j free ones; so later rows by k and taken
+    numbers by that are put in one order, and a row's place in it, plus one, is its number. Hot names are placed by blocks."""
+    g, n, k = F.col("__g"), F.col("__name"), F.col("__k")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    marked = df.select(F.col(f"`{group}`").alias("__g"), F.col(f"`{name}`").alias("__name"), F.col(f"`{ordinal}`").alias("__o"), row.alias("__row"))
+    nth = placed(marked, ["__g", "__name"], [F.col("__o")], "__nth", rows_a_block)
+    shown = marked.select(g, F.regexp_extract(n, r"(?s)^(.*)_([1-9][0-9]{0,17})$", 1).alias("__name"), F.regexp_extract(n, r"_([1-9][0-9]{0,17})$", 1).alias("__n"))
+    shown = shown.filter("__n <> ''").select(g, n, F.col("__n").cast("long").alias("__n")).filter("__n >= 2").distinct()
+    taken = placed(shown, ["__g", "__name"], [F.col("__n")], "__j", rows_a_block).select(g, n, (F.col("__n") - 1 - F.col("__j")).alias("__k"), F.lit(1).alias("__taken"))
+    later = nth.filter(n.isNotNull() & (F.col("__nth") > 1)).select(g, n, (F.col("__nth") - 1).cast("long").alias("__k"), F.lit(0).alias("__taken"), "__row")
+    both = later.unionByName(taken, allowMissingColumns=True)
+    at = placed(both, ["__g", "__name"], [k, F.col("__taken")], "__at", rows_a_block).filter("__taken = 0")
+    new = at.select("__row.*", F.concat(n, F.lit("_"), (F.col("__at") + 1).cast("string")).alias(out))
+    kept = nth.filter(n.isNull() | (F.col("__nth") == 1)).select("__row.*", n.alias(out))
+    return kept.unionByName(new)

@@ -129,3 +129,24 @@ def test_scorecard(spark):
     for k in "ab":
         own = [r for r in kept if r.k == k]
         assert len(own) <= 8 and sum(r.size for r in own) <= 24 and sorted(r.n for r in own) == list(range(len(own)))
+
+
+def test_unique_names_of_hot_groups(spark):
+    import random
+    import time
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["r", "r", "r", "q", "r_2", "q_3", "r_2_2", "r_02", "r_1", *(f"r_{n}" for n in (3, 5, 6, 9, 40, 10**30))]), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, name string, o long").repartition(3)
+    want = {}
+    for g in ("a", "b", None):
+        own = [r for r in rows if r[0] == g]
+        want |= dict(zip((r[2] for r in own), dedupe.free_names([r[1] for r in own])))
+    for rows_a_block in (50_000, 7):
+        got = dedupe.unique_names(df, "g", "name", "o", "new", rows_a_block)
+        assert got.columns == ["g", "name", "o", "new"]
+        assert sorted((r.o, r.new) for r in got.collect()) == sorted(want.items())
+    assert dedupe.unique_names(df.limit(0), "g", "name", "o", "new").count() == 0
+    start = time.monotonic()
+    names = dedupe.free_names(["r"] * 40_000)
+    assert names[-1] == "r_40000" and time.monotonic() - start < 5
