@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most blocks of one group.
-BLOCKS = 256
+#: Most blocks of one group; most spans of a group that are compared with each other in one row.
+BLOCKS, FEW = 256, 32
 
 
 def cut_into_blocks(rows: DataFrame, on: Sequence[str], at: str, rows_a_block: int) -> tuple[DataFrame, Callable[[Column], Column]]:
@@ -110,23 +110,55 @@ def chosen_spans(spans: DataFrame, on: Sequence[str], limit: int, marker: int =
     and null spans and those of a null group give nothing; of spans equal in all three any is the same. With `ranked` the result has `before` too, what
     was spent before a fragment, and fragments aren't cut short, so that a caller may apply limits of its own.
 
-    Between two successive ends of spans a text belongs to one span, the best that covers it, found by best_covers; pieces of
-    one span that follow each other are a fragment; the budget is a running sum over fragments.
+    Between two successive ends of spans a text belongs to one span, the best that covers it; pieces of one span that follow
+    each other are a fragment; the budget is a running sum over fragments. Spans are dealt out once by their group: one of
+    up to FEW spans is a row with an array of them, in which owners are found; only spans of larger groups go
+    through best_covers, with its rows for each block of places.
     """
     on = list(on)
-    real = spans.filter((F.col(start) < F.col(end)) & F.col(start).isNotNull()).select(*on, F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.col(priority).alias("priority")).distinct()
+    somewhere = (F.col(start) < F.col(end)) & F.col(start).isNotNull()
+    for c in on:
+        somewhere = somewhere & F.col(c).isNotNull()
+    real = spans.filter(somewhere).select(*on, F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.col(priority).alias("priority"))
+    real = real.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*on)))
+    few, many = _owned_within_rows(real.filter(F.col("__n") <= FEW), on), _owned_by_blocks(real.filter(F.col("__n") > FEW).drop("__n").distinct(), on, bits)
+    paid = _paid(few, on, limit, marker).unionByName(_paid(many, on, limit, marker))
+    if ranked:
+        return paid.select(*on, "start", "end", "before")
+    return paid.select(*on, "start", F.least("end", F.col("start") + limit - F.col("before")).alias("end"))
+
+
+def _owned_within_rows(real: DataFrame, on: list[str]) -> DataFrame:
+    """(on, at, next, rank): the stretches between ends of spans with their best span, of small groups, each in one row."""
+    rank = F.struct("priority", (F.col("end") - F.col("start")).alias("length"), F.col("start").alias("from"))
+    groups = real.groupBy(*on).agg(F.sort_array(F.collect_set(rank)).alias("__spans"))
+    places = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.array(s["from"], s["from"] + s["length"]))))
+
+    def piece(at: Column, all_places: Column) -> Column:
+        best = F.get(F.filter("__spans", lambda s: (s["from"] <= at) & (at < s["from"] + s["length"])), F.lit(0))
+        return F.struct(at.alias("at"), F.array_min(F.filter(all_places, lambda x: x > at)).alias("next"), best.alias("rank"))
+
+    # bound to a name, so that the places aren't found again for each of them
+    pieces = F.transform(F.array(places), lambda p: F.transform(p, lambda at: piece(at, p)))[0]
+    return groups.select(*on, F.inline(pieces)).filter("rank IS NOT NULL")
+
+
+def _owned_by_blocks(real: DataFrame, on: list[str], bits: int) -> DataFrame:
+    """(on, at, next, rank) as _owned_within_rows has them, of groups of any size."""
     rank = F.struct("priority", (F.col("end") - F.col("start")).alias("length"), F.col("start").alias("from"))
     of_rank = real.withColumn("rank", rank)
     group = Window.partitionBy(*on)
     edges = real.select(*on, F.explode(F.array("start", "end")).alias("at")).distinct().withColumn("next", F.lead("at").over(group.orderBy("at"))).filter("next IS NOT NULL")
-    owned = best_covers(edges, of_rank, on, "at", "rank", bits=bits).filter("rank IS NOT NULL")
+    return best_covers(edges, of_rank, on, "at", "rank", bits=bits).filter("rank IS NOT NULL")
+
+
+def _paid(owned: DataFrame, on: list[str], limit: int, marker: int) -> DataFrame:
+    """(on, start, end, before): the fragments that the budget reaches, uncut, with what was spent before each."""
+    group = Window.partitionBy(*on)
     by_place = group.orderBy("at")
     fresh = F.lag("rank").over(by_place).eqNullSafe(F.col("rank")) & F.lag("next").over(by_place).eqNullSafe(F.col("at"))
     numbered = owned.withColumn("__new", (~fresh).cast("int")).withColumn("__run", F.sum("__new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy(*on, "__run").agg(F.min("rank").alias("rank"), F.min("at").alias("start"), F.max("next").alias("end"))
     served = group.orderBy("rank", "start")
     cost = F.sum(F.col("end") - F.col("start") + marker).over(served.rowsBetween(Window.unboundedPreceding, -1))
-    paid = runs.withColumn("before", F.coalesce(cost, F.lit(0))).filter(F.col("before") < limit)
-    if ranked:
-        return paid.select(*on, "start", "end", "before")
-    return paid.select(*on, "start", F.least("end", F.col("start") + limit - F.col("before")).alias("end"))
+    return runs.withColumn("before", F.coalesce(cost, F.lit(0))).filter(F.col("before") < limit)

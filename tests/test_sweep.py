@@ -129,3 +129,18 @@ def test_places_among_the_rows_of_a_hot_key(spark):
     for rows_a_block in (50_000, 20, 1):
         got = dedupe.placed(df, ["k"], [F.col("o"), F.col("id")], "n", rows_a_block).collect()
         assert {r.id: r.n for r in got} == want and len(got) == 300
+
+
+def test_spans_of_small_groups_are_dealt_once(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(g, rng.randrange(4), a := rng.randrange(0, 200), rng.randrange(a, 220)) for g in range(12) for _ in range(rng.randrange(1, 12))] + [(None, 1, 3, 9), (3, 1, 7, 90), (3, 1, 7, 90)]
+    spans = spark.createDataFrame(rows, "g int, priority int, start int, end int")
+    looked, real = [], sweep.best_covers
+    monkeypatch.setattr(sweep, "best_covers", lambda points, *a, **b: looked.append(points.count()) or real(points, *a, **b))
+    for few in (32, 5, 0):
+        monkeypatch.setattr(sweep, "FEW", few)
+        got = {}
+        for r in sweep.chosen_spans(spans, ["g"], 90, 7, bits=10).collect():
+            got.setdefault(r.g, []).append((r.start, r.end))
+        assert {g: sorted(v) for g, v in got.items()} == {g: want for g in range(12) if (want := brute_spans([x[1:] for x in rows if x[0] == g], 90, 7))}
+    assert looked[0] == 0 < looked[1] < looked[2]
