@@ -4,6 +4,8 @@ Each round's rows are written to the shared folder, so a round's plan has the sa
 holds nothing, and a lost executor costs one round. Rows that were found before are dropped by an anti-join, which is
 what ends cycles; no depth is fixed in advance. Of the rounds' files so many are merged at a time that the number of
 files stays small and a row is written again once for each power of that number.
+
+A round's joins are sort-merge joins by hint: tables below Spark's broadcast threshold would pass the driver again in each round.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: Seque
             after(n, size)
         n += 1
         fresh = one_of_key(step(last.drop("round")).select(*seed.columns), n)
-        last, size = found.add(fresh if key is None else fresh.join(found.read().select(*key), list(key), "left_anti"))
+        last, size = found.add(fresh if key is None else fresh.join(found.read().select(*key).hint("merge"), list(key), "left_anti"))
         found.merge()
     return found.read()
 
@@ -105,7 +107,7 @@ def spread(labels: DataFrame, edges: DataFrame, label: str = "label") -> DataFra
     seed = labels.select("node", label).filter("node IS NOT NULL")
 
     def step(last: DataFrame) -> DataFrame:
-        return last.join(edges, "node").select(F.col("__node").alias("node"), label)
+        return last.join(edges.hint("merge"), "node").select(F.col("__node").alias("node"), label)
 
     found = fixpoint(seed, step, ["node", label], "spread")
     dropped(edges)
@@ -132,7 +134,7 @@ def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     up = pairs.select(F.col("node").alias("ancestor"), F.col("base").alias("__up"))
 
     def step(last: DataFrame) -> DataFrame:
-        return last.join(up, "ancestor").select("node", F.col("__up").alias("ancestor"))
+        return last.join(up.hint("merge"), "ancestor").select("node", F.col("__up").alias("ancestor"))
 
     found = fixpoint(asked.select("node", F.col("node").alias("ancestor")), step, ["node", "ancestor"], "ancestors").withColumnRenamed("round", "distance")
     dropped(pairs)
@@ -143,11 +145,32 @@ def inherited(members: DataFrame, edges: DataFrame, value: str = "value", of: Da
     """(node, name, value, owner, distance): each member a class has, its own or from its nearest ancestor that has one of
     the name; of equally near owners the least.
 
-    members: node, name and value, one row for each node and name."""
-    line = ancestors(edges, members.select("node").unionByName(edges.select("node")).distinct() if of is None else of)
-    owned = members.select(F.col("node").alias("ancestor"), "name", value)
-    row = F.struct("distance", F.col("ancestor").alias("owner"), F.col(value).alias("value"))
-    return line.join(owned, "ancestor").groupBy("node", "name").agg(F.min(row).alias("r")).select("node", "name", F.col("r.value").alias(value), F.col("r.owner").alias("owner"), F.col("r.distance").alias("distance"))
+    members: node, name and value, one row for each node and name; of (node) limits the classes that are asked about.
+
+    Members go down, not classes up: a round hands each class the names that its bases were the first to get in the round
+    before. A class's nearest owner of a name is as near, less one, to the base through which it is reached, so a name
+    that a class has goes no further twice, and the work is that of the result rather than of all pairs of ancestors."""
+    pairs = stored(edges.select("node", "base").filter("node IS NOT NULL AND base IS NOT NULL").distinct(), "edges")
+    if of is None:
+        down = pairs.select(F.col("base").alias("node"), F.col("node").alias("__down"))
+    else:
+        of = of.select("node").filter("node IS NOT NULL").distinct()
+        up = fixpoint(of, lambda last: last.join(pairs.hint("merge"), "node").select(F.col("base").alias("node")), ["node"], "asked").select("node")
+        down = pairs.join(up.hint("merge"), "node", "left_semi").select(F.col("base").alias("node"), F.col("node").alias("__down"))
+        members = members.join(up.hint("merge"), "node", "left_semi")
+    owned = members.filter("node IS NOT NULL").groupBy("node", F.struct("name").alias("name")).agg(F.min(F.struct(F.col(value).alias("value"))).alias("own"))  # a null name is one name
+    down = stored(down, "down")
+
+    def step(last: DataFrame) -> DataFrame:
+        return last.join(down.hint("merge"), "node").select(F.col("__down").alias("node"), "name", "owner")
+
+    found = fixpoint(owned.select("node", "name", F.col("node").alias("owner")), step, ["node", "name"], "inherited").withColumnRenamed("round", "distance")
+    dropped(pairs)
+    dropped(down)
+    if of is not None:
+        found = found.join(of.hint("merge"), "node", "left_semi")
+    met = found.join(owned.withColumnRenamed("node", "owner"), ["owner", "name"])
+    return met.select("node", F.col("name.name").alias("name"), F.col("own.value").alias(value), "owner", "distance")
 
 
 def renamed(schemas: DataFrame, references: DataFrame, prefix: Column | None = None) -> DataFrame:
@@ -158,12 +181,12 @@ def renamed(schemas: DataFrame, references: DataFrame, prefix: Column | None = N
     `prefix` and the name (input_), with the first number from _2 on that no schema has where that name is taken."""
     prefix = F.lit("input_") if prefix is None else prefix
     changed = spread(schemas.filter("differs").select(F.col("name").alias("node"), F.lit(True).alias("label")), references.select(F.col("name").alias("node"), F.col("to").alias("base")))
-    own = schemas.select("name").join(changed.select(F.col("node").alias("name")), "name", "left_semi").withColumn("__new", F.concat(prefix, "name"))
+    own = schemas.select("name").join(changed.select(F.col("node").alias("name")).hint("merge"), "name", "left_semi").withColumn("__new", F.concat(prefix, "name"))
     # what a new name may not be: names of schemas, and the first choices of others; by the name before its number
     names = schemas.select(F.col("name").alias("__taken")).unionByName(own.select(F.col("__new").alias("__taken")))
     parts = names.select("__taken", F.explode(F.array_distinct(F.array(F.col("__taken"), F.regexp_extract("__taken", r"^(.*?)(?:_[0-9]+)?$", 1)))).alias("__new"))
-    first_choices = own.select(F.col("__new").alias("__taken"), "__new").join(schemas.select(F.col("name").alias("__taken")), "__taken", "left_anti")
+    first_choices = own.select(F.col("__new").alias("__taken"), "__new").join(schemas.select(F.col("name").alias("__taken")).hint("merge"), "__taken", "left_anti")
     taken = parts.exceptAll(first_choices).groupBy("__new").agg(F.collect_set("__taken").alias("__all"))
-    both = own.join(taken, "__new", "left").withColumn("__all", F.coalesce("__all", F.array().cast("array<string>")))
+    both = own.join(taken.hint("merge"), "__new", "left").withColumn("__all", F.coalesce("__all", F.array().cast("array<string>")))
     tries = F.concat(F.array("__new"), F.transform(F.sequence(F.lit(2), F.size("__all") + 2), lambda n: F.concat("__new", F.lit("_"), n.cast("string"))))
     return both.select("name", F.get(F.filter(tries, lambda t: ~F.array_contains("__all", t)), F.lit(0)).alias("new_name"))

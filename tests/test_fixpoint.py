@@ -97,3 +97,32 @@ def test_exceptions_take_the_nearest_class(spark):
     handlers = spark.createDataFrame([("x", "hx"), ("c", "hc"), ("x", "ha")], "error string, handler string")
     raised = spark.createDataFrame([(1, "a"), (2, "b"), (3, "y"), (3, "x")], "route int, error string")
     assert sorted(map(tuple, closure.exception_handlers(raised, handlers, parents).collect())) == [(1, "a", "hc"), (2, "b", "ha"), (3, "x", "ha")]
+
+
+def test_members_go_down_once_for_each_name(spark, monkeypatch):
+    """Of a chain of 30 classes that all define x, each is done after one round; pairs of ancestors would be 30 * 31 / 2."""
+    pairs = [(f"c{k:02}", f"c{k + 1:02}") for k in range(30)] + [("c30", "c00"), ("other", "c05")]
+    members = spark.createDataFrame([(f"c{k:02}", "x", str(k)) for k in range(31)] + [("c30", None, "n"), ("c29", "y", None)], "node string, name string, value string")
+    seen, real = [], fixpoint.fixpoint
+    monkeypatch.setattr(fixpoint, "fixpoint", lambda *a, **b: real(*a, **b, after=lambda n, rows: seen.append(rows)))
+    got = {(r.node, r.name): (r.value, r.owner, r.distance) for r in fixpoint.inherited(members, edges(spark, pairs)).collect()}
+    assert got["c07", "x"] == ("7", "c07", 0) and got["other", "x"] == ("5", "c05", 1) and got["c00", None] == ("n", "c30", 30) and got["other", "y"] == (None, "c29", 25)
+    assert len(got) == 32 * 3 and sum(seen) == len(got)
+    some = fixpoint.inherited(members, edges(spark, pairs), of=edges(spark, [("c28", "")]).select("node")).collect()
+    assert sorted((r.node, r.name or "") for r in some) == [("c28", ""), ("c28", "x"), ("c28", "y")]
+
+
+def test_rounds_broadcast_nothing(spark):
+    pairs = edges(spark, [(f"n{k}", f"n{k + 1}") for k in range(5)])
+    plans, real = [], fixpoint.written
+
+    def written(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, path)
+
+    fixpoint.written = written
+    try:
+        assert fixpoint.spread(spark.createDataFrame([("n5", "a")], "node string, label string"), pairs).count() == 6
+    finally:
+        fixpoint.written = real
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
