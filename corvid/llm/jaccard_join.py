@@ -221,7 +221,9 @@ def _pivoted(sigs: DataFrame, long: bool) -> DataFrame:
     rows = sigs.withColumn("salt", salt) if long else sigs
     rows = rows.withColumn("p", F.min(F.struct("node", "n")).over(own)).withColumn("many", F.max("node").over(own) != F.col("p.node"))
     cold = F.col("sig").bitwiseAND(F.lit(1)) == 0
-    found = stored(rows.filter(F.col("many") | ~cold if long else F.col("many")).select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("p.node").alias("a"), F.col("p.n").alias("n_a")), "met")
+    # copies whose texts came to several tasks: a list holds a set once, or copies would be counted and paired with each other
+    rows = rows.filter(F.col("many") | ~cold if long else F.col("many")).dropDuplicates(["sig", "salt", "node"] if long else ["sig", "node"])
+    found = stored(rows.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("p.node").alias("a"), F.col("p.n").alias("n_a")), "met")
     if not long:
         return found
     hot = found.filter(~cold)

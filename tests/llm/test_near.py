@@ -159,3 +159,11 @@ def test_waves_hold_few_rows_of_each_vector(spark, monkeypatch):
     degree, components = brute_cosine(rows)
     assert sum(degree) >= 24 and [got[i].n_links for i in range(600)] == degree and [got[i].component_id for i in range(600)] == components
     assert max(dealt) <= 4 * 600
+
+
+def test_lists_hold_a_set_once(spark):
+    """Copies that come to several tasks send the same rows; a signature's list has each set once."""
+    rows = [(s, n, 9) for s in (2, 4) for n in (1, 2, 3) for _ in range(5)] + [(6, 1, 9)] * 5
+    sigs = spark.createDataFrame(rows, "sig long, node long, n int").repartition(4)
+    for long in (False, True):
+        assert sorted((r.sig, r.b, r.a) for r in jaccard_join._pivoted(sigs, long).collect()) == [(s, n, 1) for s in (2, 4) for n in (1, 2, 3)]
