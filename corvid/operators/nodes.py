@@ -108,8 +108,8 @@ def unknown_schemas(schemas: DataFrame, on: Sequence[str] = (), schema: str = "s
     known = F.struct(*on, "name")
     nodes = schema_nodes(schemas, on, schema)
     links = nodes.filter("to IS NOT NULL").select(*on, "name", "to").distinct()
-    missing = links.join(schemas.select(*on, F.col("name").alias("to")), [*on, "to"], "left_anti").select(known.alias("node"))
+    missing = links.join(schemas.select(*on, F.col("name").alias("to")).hint("merge"), [*on, "to"], "left_anti").select(known.alias("node"))
     seeds = nodes.filter("open").select(known.alias("node")).unionByName(missing).distinct().withColumn("label", F.lit("unknown"))
     edges = links.select(known.alias("node"), F.struct(*on, F.col("to").alias("name")).alias("base"))
     reached = spread(seeds, edges).select("node.*", F.lit(True).alias("unknown"))
-    return schemas.select(*on, "name").join(reached, [*on, "name"], "left").select(*on, "name", F.coalesce("unknown", F.lit(False)).alias("unknown"))
+    return schemas.select(*on, "name").join(reached.hint("merge"), [*on, "name"], "left").select(*on, "name", F.coalesce("unknown", F.lit(False)).alias("unknown"))
