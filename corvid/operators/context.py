@@ -165,8 +165,8 @@ def identifiers(body: Column) -> Column:
 def scored(pairs: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
     """pairs (origin, path, ...) with score: how many of the origin's names the file has. asked: origin, name; held: path, name; each
     pair once."""
-    met = pairs.select("origin", "path").distinct().join(asked, "origin").join(held, ["path", "name"])
-    return pairs.join(met.groupBy("origin", "path").agg(F.count(F.lit(1)).alias("score")), ["origin", "path"], "left").fillna(0, ["score"])
+    met = pairs.select("origin", "path").distinct().join(asked.hint("merge"), "origin").join(held.hint("merge"), ["path", "name"])
+    return pairs.join(met.groupBy("origin", "path").agg(F.count(F.lit(1)).alias("score")).hint("merge"), ["origin", "path"], "left").fillna(0, ["score"])
 
 
 def budgeted_reach(origins: DataFrame, files: DataFrame, edges: DataFrame, asked: DataFrame | None = None, held: DataFrame | None = None, most_files: int = 8, most_chars: int = 24_000, most_of_one: int = 6_000, depth: int = 6) -> tuple[DataFrame, DataFrame]:
@@ -182,8 +182,8 @@ def budgeted_reach(origins: DataFrame, files: DataFrame, edges: DataFrame, asked
 
     taken: origin, path, depth, place (1, 2, ... of its origin), chars, truncated. left_out: origin, path, reason (budget, depth
     or unknown). A level costs a join of its files with the edges, an anti-join with what its origins have met, and a fold over at
-    most most_files rows of an origin; what is known is a row for each origin and file in the shared folder. Null paths are
-    ignored, and repeated rows count once.
+    most most_files rows of an origin; what is known is a row for each origin and file in the shared folder. Joins are by sorting, so
+    that no level is broadcast through the driver. Null paths are ignored, and repeated rows count once.
     """
     # read once a level, so they are written once
     size = stored(files.filter("path IS NOT NULL").groupBy("path").agg(F.max("size").cast("long").alias("size")), "sizes")
@@ -203,7 +203,7 @@ def budgeted_reach(origins: DataFrame, files: DataFrame, edges: DataFrame, asked
 
     def settled(candidates: DataFrame, level: int) -> DataFrame:
         """Rows (origin, path, depth, why, place, chars, truncated, used, spent) of candidates (origin, path, used, spent)."""
-        known = candidates.join(size, "path", "left")
+        known = candidates.join(size.hint("merge"), "path", "left")
         known = known.withColumn("score", F.lit(0)) if asked is None or held is None else scored(known, asked, held)
         order = Window.partitionBy("origin").orderBy(F.desc("score"), "path")
         first = known.filter("size IS NOT NULL").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most_files)
@@ -211,7 +211,7 @@ def budgeted_reach(origins: DataFrame, files: DataFrame, edges: DataFrame, asked
         start = F.struct(F.max("used").alias("used"), F.max("spent").alias("spent"), F.array().cast(placed).alias("out"))
         after = first.groupBy("origin").agg(line.alias("line"), start.alias("start")).select("origin", F.aggregate("line", F.col("start"), lambda state, f: put(state, f, level)).alias("s"))
         got = after.select("origin", F.explode("s.out").alias("o"), F.col("s.used").alias("used"), F.col("s.spent").alias("spent")).select("origin", "o.*", "used", "spent")
-        met = known.select("origin", "path", "size").join(got, ["origin", "path"], "left")
+        met = known.select("origin", "path", "size").join(got.hint("merge"), ["origin", "path"], "left")
         why = F.when(F.col("size").isNull(), "unknown").when(F.col("place").isNull(), "budget")
         return met.select("origin", "path", F.lit(level).alias("depth"), why.alias("why"), "place", "chars", "truncated", "used", "spent")
 
@@ -219,8 +219,8 @@ def budgeted_reach(origins: DataFrame, files: DataFrame, edges: DataFrame, asked
     levels = [stored(settled(origins.select("origin", "path").filter("path IS NOT NULL").distinct().select("origin", "path", *nothing), 0), "reach")]
     for level in range(1, depth + 2):
         last, met = levels[-1].filter("why IS NULL"), reduce(DataFrame.unionByName, levels).select("origin", "path")
-        reached = last.select("origin", "path", "used", "spent").join(hops, "path").groupBy("origin", F.col("target").alias("path")).agg(F.max("used").alias("used"), F.max("spent").alias("spent"))
-        fresh = reached.join(met, ["origin", "path"], "left_anti")
+        reached = last.select("origin", "path", "used", "spent").join(hops.hint("merge"), "path").groupBy("origin", F.col("target").alias("path")).agg(F.max("used").alias("used"), F.max("spent").alias("spent"))
+        fresh = reached.join(met.hint("merge"), ["origin", "path"], "left_anti")
         if level <= depth:
             levels.append(stored(settled(fresh, level), "reach"))
             if levels[-1].isEmpty():
